@@ -52,3 +52,135 @@ def phase_times(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S4 -> F20 -> W2 -> W8 -> W1 -> A4 over ``events`` written as timeline lines."""
     return tl.phase_times(tl.intervals_from_timeline(si.events_as_timeline(spark, sf_dir)))
+
+
+# --------------------------------------------------------------------------
+# metering: J17, A5, A6, A8 ; boot outcome J18 ; windows W2, W3, W4, W6, W7
+
+from bootlens.operators import meter, requests as rq, windows as win  # noqa: E402
+
+_IV_SQL = """
+WITH m AS (
+  SELECT user_id, CASE WHEN event_type = 'signup' THEN 'begin' ELSE 'end' END AS kind,
+         epoch_us(ts) AS us, event_id AS seq
+  FROM events WHERE event_type IN ('signup', 'purchase')),
+n AS (SELECT *, LEAD(kind) OVER w AS nk, LEAD(us) OVER w AS nus
+      FROM m WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)),
+iv AS (SELECT user_id, us AS b, nus AS e, seq AS bseq FROM n WHERE kind = 'begin' AND nk = 'end')"""
+
+_ENERGY_SQL = _IV_SQL + """,
+s0 AS (SELECT user_id, epoch_us(ts) - 4000000 AS us, event_id AS seq, value FROM events
+       WHERE event_type IN ('view', 'click') AND value >= 1.0),
+s AS (SELECT *, LAG(us) OVER w AS pus, LAG(value) OVER w AS pv
+      FROM s0 WINDOW w AS (PARTITION BY user_id ORDER BY us, seq)),
+en AS (
+  SELECT iv.user_id, iv.bseq, CAST(iv.e - iv.b AS DOUBLE) / 1e6 AS seconds, COUNT(*) AS n_samples,
+         COALESCE(SUM(CASE WHEN s.pus >= iv.b
+                           THEN (s.value + s.pv) / 2.0 * (CAST(s.us - s.pus AS DOUBLE) / 1e6) END), 0.0) AS j
+  FROM iv JOIN s ON s.user_id = iv.user_id AND s.us BETWEEN iv.b AND iv.e
+  GROUP BY iv.user_id, iv.bseq, iv.b, iv.e)"""
+
+
+@query("phase_energy", _ENERGY_SQL + """
+SELECT CAST(user_id AS VARCHAR) AS bmc_id, 'session' AS phase, bseq AS begin_seq, seconds, n_samples,
+       ROUND(j, 6) AS joule, ROUND(j / seconds, 6) AS watt
+FROM en""")
+def phase_energy(spark, sf_dir):
+    return meter.phase_energy(si.events_intervals(spark, sf_dir), si.events_samples(spark, sf_dir),
+                              delay=4.0, floor=1.0)
+
+
+@query("phase_net", _IV_SQL + """
+SELECT CAST(iv.user_id AS VARCHAR) AS bmc_id, 'session' AS phase, iv.bseq AS begin_seq,
+       COUNT(*) AS n_samples, ROUND(SUM(s.value), 6) AS volume
+FROM iv JOIN events s ON s.user_id = iv.user_id AND s.event_type IN ('view', 'click')
+                     AND epoch_us(s.ts) BETWEEN iv.b AND iv.e
+GROUP BY iv.user_id, iv.bseq""")
+def phase_net(spark, sf_dir):
+    return meter.phase_net(si.events_intervals(spark, sf_dir), si.events_samples(spark, sf_dir))
+
+
+@query("phase_report", _ENERGY_SQL + """,
+req AS (SELECT DISTINCT user_id, r.report FROM events, (VALUES ('time'), ('pwr')) AS r(report)
+        WHERE event_type = 'signup')
+SELECT CAST(iv.user_id AS VARCHAR) AS bmc_id, 'session' AS phase, req.report, iv.bseq AS begin_seq,
+       CAST(iv.e - iv.b AS DOUBLE) / 1e6 AS seconds,
+       CASE WHEN req.report = 'pwr' THEN ROUND(en.j, 6) END AS joule,
+       CASE WHEN req.report = 'pwr' THEN ROUND(en.j / en.seconds, 6) END AS watt
+FROM iv JOIN req ON req.user_id = iv.user_id
+LEFT JOIN en ON en.user_id = iv.user_id AND en.bseq = iv.bseq""")
+def phase_report(spark, sf_dir):
+    signups = si.table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
+    requests = (signups.select(si.user_bmc().alias("bmc_id")).distinct()
+                .select("bmc_id", F.lit("session").alias("phase"),
+                        F.explode(F.array(F.lit("time"), F.lit("pwr"))).alias("report")))
+    return meter.phase_report(requests, si.events_intervals(spark, sf_dir), si.events_samples(spark, sf_dir),
+                              delay=4.0, floor=1.0)
+
+
+@query("boot_outcome", """
+WITH r AS (SELECT user_id, epoch_us(ts) AS us, event_id AS seq FROM events WHERE event_type = 'signup'),
+n AS (SELECT user_id, epoch_us(ts) AS us, event_id AS seq,
+             CASE WHEN event_type = 'purchase' THEN 'ok' ELSE 'error' END AS status
+      FROM events WHERE event_type IN ('purchase', 'error')),
+x AS (SELECT r.seq AS rseq, arg_min(n.seq, (n.us, n.seq)) AS nseq, arg_min(n.us, (n.us, n.seq)) AS nus,
+             arg_min(n.status, (n.us, n.seq)) AS st
+      FROM r JOIN n ON n.user_id = r.user_id AND n.us >= r.us AND n.us < r.us + 21600000000
+      GROUP BY r.seq)
+SELECT CAST(r.user_id AS VARCHAR) AS bmc_id, r.seq AS run_seq,
+       CASE WHEN x.nseq IS NULL THEN 'timed out' WHEN x.st = 'ok' THEN 'ok' ELSE 'boot failure: ' || x.st END AS outcome,
+       x.nseq AS notice_seq, CAST(x.nus - r.us AS DOUBLE) / 1e6 AS wait_sec
+FROM r LEFT JOIN x ON x.rseq = r.seq""")
+def boot_outcome(spark, sf_dir):
+    ev = si.events_keyed(spark, sf_dir)
+    runs = ev.where(F.col("event_type") == "signup")
+    notices = (ev.where(F.col("event_type").isin("purchase", "error"))
+               .withColumn("status", F.when(F.col("event_type") == "purchase", F.lit("ok")).otherwise(F.lit("error"))))
+    return rq.boot_outcome(runs, notices, ["bmc_id"], timeout=6 * 3600)
+
+
+@query("relative_time", """
+SELECT CAST(user_id AS VARCHAR) AS bmc_id, event_id,
+       CAST(epoch_us(ts) - MIN(epoch_us(ts)) OVER (PARTITION BY user_id) AS DOUBLE) / 1e6 AS rel_sec
+FROM events""")
+def relative_time(spark, sf_dir):
+    ev = si.events_keyed(spark, sf_dir)
+    return tl.relative_time(ev, "bmc_id").select("bmc_id", F.col("seq").alias("event_id"), "rel_sec")
+
+
+@query("segment_runs", """
+SELECT user_id AS pid, event_id AS seq,
+       last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS)
+         OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_seq
+FROM events""")
+def segment_runs(spark, sf_dir):
+    m = tl.marks(si.events_as_timeline(spark, sf_dir))
+    runs = tl.segment_runs(m, ["host", "pid"], start=F.col("kind") == "begin")
+    return runs.select("pid", "seq", "run_seq")
+
+
+@query("latest_state", """
+SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, arg_max(event_id, (ts, event_id)) AS last_event_id
+FROM events GROUP BY user_id""")
+def latest_state(spark, sf_dir):
+    ev = si.table(spark, sf_dir, "events")
+    return (win.last_wins(ev, ["user_id"], ["ts", "event_id"], ["event_type", "event_id"])
+            .select("user_id", F.col("event_type").alias("state"), F.col("event_id").alias("last_event_id")))
+
+
+@query("first_use", """
+SELECT user_id, props, arg_min(event_id, (ts, event_id)) AS event_id, COUNT(*) AS n_uses
+FROM events GROUP BY user_id, props""")
+def first_use(spark, sf_dir):
+    ev = si.table(spark, sf_dir, "events")
+    return win.first_use(ev, ["user_id", "props"], ["ts", "event_id"], ["event_id"])
+
+
+@query("first_of_group", """
+SELECT o_orderkey, o_custkey,
+       CASE WHEN ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1 THEN 1 ELSE 0 END
+         AS first_flag
+FROM orders""")
+def first_of_group(spark, sf_dir):
+    o = si.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return win.first_of_group(o, ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")

@@ -39,3 +39,27 @@ def events_as_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
                      msg.alias("message"),
                      F.col("event_id").alias("seq"),
                      F.lit(True).alias("valid"))
+
+
+def user_bmc(col: str = "user_id") -> Column:
+    return F.col(col).cast("string")
+
+
+def events_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed and open session intervals per user (W1 on parsed marks)."""
+    from bootlens.operators import timeline as tl
+
+    return tl.pair_marks(tl.marks(events_as_timeline(spark, sf_dir)), ["bmc_id"])
+
+
+def events_samples(spark: SparkSession, sf_dir: str, types=("view", "click")) -> DataFrame:
+    """Events of the given types as meter samples (bmc_id, epoch, seq, value)."""
+    ev = table(spark, sf_dir, "events").where(F.col("event_type").isin(*types))
+    return ev.select(user_bmc().alias("bmc_id"), epoch_of(F.col("ts")).alias("epoch"),
+                     F.col("event_id").alias("seq"), F.col("value"))
+
+
+def events_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    return ev.select(user_bmc().alias("bmc_id"), "user_id", epoch_of(F.col("ts")).alias("epoch"),
+                     F.col("event_id").alias("seq"), "event_type", "props", "value", "ts")

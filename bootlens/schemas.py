@@ -12,6 +12,16 @@ S, L, I, B, TS, D = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType
 EPOCH = T.DecimalType(20, 9)
 
 
+def seconds_lit(seconds: float):
+    """A number of seconds as an exact epoch decimal (adding a double to an
+    epoch would turn the epoch into a double)."""
+    from decimal import Decimal
+
+    from pyspark.sql import functions as F
+
+    return F.lit(Decimal(str(seconds))).cast(EPOCH)
+
+
 def _schema(*fields) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in fields])
 
