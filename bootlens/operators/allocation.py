@@ -1,0 +1,48 @@
+"""Batch allocation, one node per request and one request per node.
+
+The reference allocates one request at a time (INSERT ... SELECT ... LIMIT
+1 in a transaction).  For requests that ask ``eq N`` the pools of different
+ranks do not interact, so the sequential result is reproduced exactly by
+numbering both sides within a rank: the k-th request of rank N (in request
+order) gets the k-th free node of rank N (in node_id order; the reference's
+``LIMIT 1`` has no order, node_id is ours).  Requests left over get NULL and
+the reason "Node exhausted".
+
+The numbering is ``ordered_scan`` with a running count, so a rank holding a
+third of all nodes or requests is still split over many tasks; the two
+sides then meet on an equi-join of (rank, number).
+
+Requests with ``le``/``ge``/``any`` compete for overlapping pools and are
+sequential by nature; they are returned with the reason "not an eq request"
+and are not allocated here (see README).
+"""
+
+from __future__ import annotations
+
+from typing import Sequence
+
+from pyspark.sql import DataFrame, functions as F
+
+from bootlens.operators.sequence import Count, ordered_scan
+
+
+def allocate_eq(requests: DataFrame, free: DataFrame, request_id: str = "request_id",
+                request_order: Sequence[str] = ("request_id",), op: str = "rank_op", n: str = "rank_n",
+                node_id: str = "node_id", rank: str = "node_rank", partitions: int | None = None) -> DataFrame:
+    """Allocate free nodes to ``eq`` requests; see the module text.
+
+    Output: every request with ``node_id`` (NULL when none) and ``reason``
+    (NULL when allocated)."""
+    is_eq = F.col(op) == F.lit("eq")
+    eq = requests.where(is_eq & F.col(n).isNotNull())
+    req_n = ordered_scan(eq.select(request_id, F.col(n).alias("_rank"), *[c for c in request_order if c != request_id]),
+                         ["_rank"], list(request_order), [Count("_k")], partitions=partitions)
+    node_n = ordered_scan(free.where(F.col(rank).isNotNull()).select(node_id, F.col(rank).alias("_rank")),
+                          ["_rank"], [node_id], [Count("_k")], partitions=partitions)
+    got = (req_n.select(request_id, "_rank", "_k")
+           .join(node_n.select("_rank", "_k", node_id), ["_rank", "_k"], "left")
+           .select(request_id, node_id))
+    served = requests.join(got, request_id, "left")
+    reason = (F.when(~F.coalesce(is_eq & F.col(n).isNotNull(), F.lit(False)), F.lit("not an eq request"))
+              .when(F.col(node_id).isNull(), F.lit("Node exhausted")))
+    return served.withColumn("reason", reason)

@@ -64,11 +64,21 @@ class Fill:
     _flag: str = field(default="", repr=False)
 
 
+@dataclass
+class Count:
+    """Running count (inclusive) of rows of the same key where ``when``
+    holds (all rows when ``when`` is None), in scan order.  Output ``out``."""
+
+    out: str = "running_count"
+    when: Column | str | None = None
+    _flag: str = field(default="", repr=False)
+
+
 def _as_col(c: Column | str) -> Column:
     return F.expr(c) if isinstance(c, str) else c
 
 
-def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], ops: Sequence[Lag | Fill],
+def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], ops: Sequence[Lag | Fill | Count],
                  descending: bool = False, partitions: int | None = None) -> DataFrame:
     """Add the columns of ``ops`` to ``df``; see the module text.
 
@@ -91,6 +101,11 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], ops:
     for i, op in enumerate(fills):
         op._flag = f"_fw{i}"
         extra.append(F.coalesce(_as_col(op.when), F.lit(False)).alias(op._flag))
+    counts = [op for op in ops if isinstance(op, Count)]
+    for i, op in enumerate(counts):
+        op._flag = f"_cw{i}"
+        cond = F.lit(True) if op.when is None else F.coalesce(_as_col(op.when), F.lit(False))
+        extra.append(cond.cast("long").alias(op._flag))
 
     ranged = (df.select("*", *extra)
               .repartitionByRange(n_ranges, *keys, *pos)
@@ -110,6 +125,9 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], ops:
             f"_f_{op.prefix}",
             F.last(F.when(F.col(op._flag), F.struct(*[F.col(c) for c in op.cols])), ignorenulls=True).over(upto))
 
+    for op in counts:
+        local = local.withColumn(f"_n_{op.out}", F.sum(op._flag).over(upto))
+
     # 4. edges: last row and last matching row of every range (<= n_ranges rows)
     key_struct = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
     rank = F.struct(*keys, *pos)
@@ -121,9 +139,23 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], ops:
     for i, op in enumerate(fills):
         aggs.append(F.max_by(F.struct(*key_struct, *[F.col(c).alias(f"v{j}") for j, c in enumerate(op.cols)]),
                              F.when(F.col(op._flag), rank)).alias(f"_e_fill{i}"))
-    if not aggs:
+    if not aggs and not counts:
         return df
-    edges = ranged.groupBy("_part").agg(*aggs)
+    edges = ranged.groupBy("_part").agg(*aggs) if aggs else None
+    if counts:
+        # count of the last key of each range: partial counts per (range,
+        # key), then the last key's per range; then running totals along the
+        # ranges that end in the same key.
+        per_key = ranged.groupBy("_part", *keys).agg(*[F.sum(op._flag).alias(f"c{i}") for i, op in enumerate(counts)])
+        tail = per_key.groupBy("_part").agg(
+            F.max_by(F.struct(*key_struct, *[F.col(f"c{i}").alias(f"v{i}") for i in range(len(counts))]),
+                     F.struct(*keys)).alias("_e_tail"))
+        tail_keys = [F.col(f"_e_tail.k{i}") for i in range(len(keys))]
+        by_last = W.partitionBy(*tail_keys).orderBy("_part").rowsBetween(W.unboundedPreceding, W.currentRow)
+        tail = tail.select("_part", F.struct(
+            *[k.alias(f"k{i}") for i, k in enumerate(tail_keys)],
+            *[F.sum(F.col(f"_e_tail.v{i}")).over(by_last).alias(f"v{i}") for i in range(len(counts))]).alias("_e_cum"))
+        edges = tail if edges is None else edges.join(tail, "_part", "full")
     by_range = W.orderBy("_part")  # over <= n_ranges rows
     carry_cols = [F.col("_part")]
     if lags:
@@ -131,6 +163,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], ops:
     for i, _ in enumerate(fills):
         carry_cols.append(F.last(f"_e_fill{i}", ignorenulls=True)
                           .over(by_range.rowsBetween(W.unboundedPreceding, -1)).alias(f"_c_fill{i}"))
+    if counts:
+        carry_cols.append(F.lag("_e_cum").over(by_range).alias("_c_cum"))
     carry = edges.select(*carry_cols)
 
     out = local.join(F.broadcast(carry), "_part", "left")
@@ -154,4 +188,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], ops:
         for jj, c in enumerate(op.cols):
             results.append(F.when(found, F.col(f"_f_{op.prefix}.{c}"))
                            .when(same_key(f"_c_fill{i}"), F.col(f"_c_fill{i}.v{jj}")).alias(op.prefix + c))
+    for i, op in enumerate(counts):
+        results.append((F.col(f"_n_{op.out}") + F.when(same_key("_c_cum"), F.col(f"_c_cum.v{i}")).otherwise(F.lit(0)))
+                       .alias(op.out))
     return out.select(*[F.col(c) for c in base_cols], *results)

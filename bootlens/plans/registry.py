@@ -184,3 +184,223 @@ FROM orders""")
 def first_of_group(spark, sf_dir):
     o = si.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return win.first_of_group(o, ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+
+
+# --------------------------------------------------------------------------
+# catalog: J1-J4, J6-J10, J12, P4, U1, A1, A2, A7
+
+from bootlens.operators import allocation, catalog as cat  # noqa: E402
+
+_FLEET_SQL = """
+WITH nodes AS (
+  SELECT c_custkey AS node_id, c_name AS node_name, c_mktsegment AS node_descr, c_nationkey AS node_rank,
+         c_acctbal > 0 AS have_tpm, 'ipmi' AS method_mgmt, 'mac-' || c_custkey AS mac_addr_mgmt,
+         'mgmt-' || c_custkey AS ip4_addr_mgmt, 'boot-' || c_custkey AS ip4_addr_boot, 'eth0' AS interface_os,
+         'os-' || c_custkey AS ip4_addr_os, '255.255.255.0' AS netmask_os,
+         CAST(NULL AS VARCHAR) AS gateway_os, CAST(NULL AS VARCHAR) AS dns_os
+  FROM customer),
+kernels AS (
+  SELECT p_partkey AS kernel_id, p_name AS kernel_name, 'k/' || p_partkey AS kernel_file,
+         CASE WHEN p_size > 25 THEN 'k/' || p_partkey || '.sig' WHEN p_size > 10 THEN '' END AS kernel_sig_file,
+         p_brand AS kernel_param
+  FROM part),
+initrds AS (
+  SELECT s_suppkey AS initrd_id, s_name AS initrd_name, 'i/' || s_suppkey AS initrd_file,
+         CASE WHEN s_acctbal > 0 THEN 'i/' || s_suppkey || '.sig' END AS initrd_sig_file
+  FROM supplier),
+rootfs AS (SELECT o_orderkey AS rootfs_id, 'img-' || o_orderkey AS rootfs_name, 'r/' || o_orderkey AS rootfs_file
+           FROM orders),
+ocont AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS bmc_id, CASE WHEN o_orderstatus = 'O' THEN o_custkey END AS node_id,
+         o_orderdate AS created,
+         CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'P' THEN 'pending' WHEN 'F' THEN 'terminated' END AS state
+  FROM orders),
+lcont AS (
+  SELECT l_orderkey || '-' || l_linenumber AS bmc_id, CAST(NULL AS VARCHAR) AS client_addr, l_partkey AS kernel_id,
+         l_returnflag AS kernel_param, l_suppkey AS initrd_id, l_orderkey AS rootfs_id,
+         CASE WHEN l_linestatus = 'O' THEN 's-ramfs' ELSE 'nfs' END AS fstype,
+         CASE WHEN o_orderstatus = 'O' THEN o_custkey END AS node_id, l_linestatus AS command, l_shipdate AS created,
+         CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'P' THEN 'pending' WHEN 'F' THEN 'terminated' END AS state
+  FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@query("node_occupancy", _FLEET_SQL + """
+SELECT n.node_id AS "ID", node_name AS name, node_descr AS descr, node_rank AS "rank", have_tpm AS tpm,
+       method_mgmt AS method, ip4_addr_mgmt AS addr_mgmt, ip4_addr_boot AS addr_boot, interface_os AS iface_os,
+       ip4_addr_os AS addr_os, netmask_os, gateway_os, dns_os, c.bmc_id, c.state
+FROM nodes n LEFT JOIN (SELECT * FROM ocont WHERE node_id IS NOT NULL) c ON c.node_id = n.node_id""")
+def node_occupancy(spark, sf_dir):
+    return cat.node_occupancy(si.nodes(spark, sf_dir), si.order_containers(spark, sf_dir))
+
+
+@query("container_listing", _FLEET_SQL + """
+SELECT c.bmc_id, n.ip4_addr_os AS addr, c.client_addr, k.kernel_name, k.kernel_param || ' ' || c.kernel_param AS kernel_param,
+       i.initrd_name, r.rootfs_name, n.node_name, c.fstype, c.command, c.created, c.state
+FROM lcont c
+LEFT JOIN kernels k ON c.kernel_id = k.kernel_id
+LEFT JOIN initrds i ON c.initrd_id = i.initrd_id
+LEFT JOIN rootfs r ON c.rootfs_id = r.rootfs_id
+LEFT JOIN nodes n ON c.node_id = n.node_id
+WHERE c.state != 'terminated'
+ORDER BY c.created, c.bmc_id""")
+def container_listing(spark, sf_dir):
+    return cat.container_listing(si.line_containers(spark, sf_dir), si.kernels(spark, sf_dir),
+                                 si.initrds(spark, sf_dir), si.rootfs(spark, sf_dir), si.nodes(spark, sf_dir))
+
+
+@query("container_ids", _FLEET_SQL + """
+SELECT bmc_id FROM ocont WHERE state != 'terminated' ORDER BY created, bmc_id""")
+def container_ids(spark, sf_dir):
+    return cat.container_ids(si.order_containers(spark, sf_dir))
+
+
+@query("container_detail", _FLEET_SQL + """
+SELECT c.bmc_id, n.node_name, n.ip4_addr_os, k.kernel_name, i.initrd_name, r.rootfs_name, c.state
+FROM lcont c
+JOIN nodes n ON n.node_id = c.node_id JOIN kernels k ON k.kernel_id = c.kernel_id
+JOIN initrds i ON i.initrd_id = c.initrd_id JOIN rootfs r ON r.rootfs_id = c.rootfs_id""")
+def container_detail(spark, sf_dir):
+    c = si.line_containers(spark, sf_dir)
+    d = cat.container_detail(c.select("bmc_id"), c, si.nodes(spark, sf_dir), si.kernels(spark, sf_dir),
+                             si.initrds(spark, sf_dir), si.rootfs(spark, sf_dir))
+    return d.select("bmc_id", "node_name", "ip4_addr_os", "kernel_name", "initrd_name", "rootfs_name", "state")
+
+
+@query("free_nodes", _FLEET_SQL + """
+SELECT node_id, node_name FROM nodes n
+WHERE NOT EXISTS (SELECT 1 FROM ocont c WHERE c.node_id = n.node_id)""")
+def free_nodes(spark, sf_dir):
+    return cat.free_nodes(si.nodes(spark, sf_dir), si.order_containers(spark, sf_dir)).select("node_id", "node_name")
+
+
+@query("deletable_nodes", _FLEET_SQL + """
+SELECT (SELECT COUNT(*) FROM nodes WHERE node_id NOT IN (SELECT node_id FROM ocont)) AS n_deletable,
+       (SELECT COUNT(*) FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM ocont c WHERE c.node_id = n.node_id)) AS n_free""")
+def deletable_nodes(spark, sf_dir):
+    nodes, conts = si.nodes(spark, sf_dir), si.order_containers(spark, sf_dir)
+    strict = cat.deletable_nodes(nodes, conts, null_aware=True).agg(F.count(F.lit(1)).alias("n_deletable"))
+    loose = cat.deletable_nodes(nodes, conts, null_aware=False).agg(F.count(F.lit(1)).alias("n_free"))
+    return strict.unionByName(loose, allowMissingColumns=True) \
+        .agg(F.max("n_deletable").alias("n_deletable"), F.max("n_free").alias("n_free"))
+
+
+_RANK_REQUESTS = [("r-eq10", "eq", 10), ("r-le10", "le", 10), ("r-ge40", "ge", 40), ("r-any", "any", None)]
+
+
+@query("match_rank", """
+WITH req(request_id, rank_op, rank_n) AS (VALUES ('r-eq10', 'eq', 10), ('r-le10', 'le', 10), ('r-ge40', 'ge', 40),
+                                                 ('r-any', 'any', NULL))
+SELECT req.request_id, p.p_partkey AS node_id
+FROM req JOIN part p ON (req.rank_op = 'eq' AND p.p_size = req.rank_n) OR (req.rank_op = 'le' AND p.p_size <= req.rank_n)
+                     OR (req.rank_op = 'ge' AND p.p_size >= req.rank_n) OR req.rank_op = 'any'""")
+def match_rank(spark, sf_dir):
+    parts = si.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"),
+                                                     F.col("p_size").alias("node_rank"))
+    req = spark.createDataFrame(_RANK_REQUESTS, "request_id string, rank_op string, rank_n int")
+    return cat.match_rank(parts, req)
+
+
+@query("allocate_eq", """
+WITH free AS (SELECT c_custkey AS node_id, c_nationkey AS node_rank FROM customer
+              WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'O' AND o_custkey = c_custkey)),
+fr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY node_rank ORDER BY node_id) AS k FROM free),
+rq AS (SELECT s_suppkey AS request_id, s_nationkey AS rank_n,
+              ROW_NUMBER() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier)
+SELECT rq.request_id, fr.node_id, CASE WHEN fr.node_id IS NULL THEN 'Node exhausted' END AS reason
+FROM rq LEFT JOIN fr ON fr.node_rank = rq.rank_n AND fr.k = rq.k""")
+def allocate_eq(spark, sf_dir):
+    free = cat.free_nodes(si.nodes(spark, sf_dir), si.order_containers(spark, sf_dir))
+    req = si.table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("request_id"), F.lit("eq").alias("rank_op"), F.col("s_nationkey").alias("rank_n"))
+    return allocation.allocate_eq(req, free).select("request_id", "node_id", "reason")
+
+
+@query("image_presence", _FLEET_SQL + """,
+images AS (SELECT 'kernel' AS kind, kernel_name AS name FROM kernels UNION ALL
+           SELECT 'initrd', initrd_name FROM initrds UNION ALL SELECT 'rootfs', rootfs_name FROM rootfs),
+names AS (SELECT p_name AS name FROM part UNION SELECT s_name FROM supplier UNION SELECT c_name FROM customer),
+cnt AS (SELECT names.name, COUNT(*) FILTER (WHERE kind = 'kernel') AS n_kernel,
+               COUNT(*) FILTER (WHERE kind = 'initrd') AS n_initrd, COUNT(*) FILTER (WHERE kind = 'rootfs') AS n_rootfs
+        FROM names LEFT JOIN images ON images.name = names.name GROUP BY names.name)
+SELECT name, n_kernel, n_initrd, n_rootfs, greatest(n_kernel, n_initrd, n_rootfs) > 0 AS found,
+       greatest(n_kernel, n_initrd, n_rootfs) > 1 AS broken
+FROM cnt""")
+def image_presence(spark, sf_dir):
+    images = cat.image_catalog(si.kernels(spark, sf_dir), si.initrds(spark, sf_dir), si.rootfs(spark, sf_dir))
+    names = (si.table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
+             .unionByName(si.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")))
+             .unionByName(si.table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))))
+    return cat.image_presence(names, images)
+
+
+_GATE_SQL = """
+WITH req AS (SELECT doc_id AS request_id, 'k' || doc_id AS kernel, 'i' || doc_id AS initrd, 'r' || doc_id AS image,
+                    CASE WHEN lang = 'en' THEN 's-ramfs' ELSE 'nfs' END AS fstype FROM documents),
+k AS (SELECT 'k' || doc_id AS name, max(coalesce(CASE WHEN quality = 1 THEN 'sig' ELSE '' END, '') != '') AS signed
+      FROM labels GROUP BY 1),
+i AS (SELECT 'i' || doc_id AS name, max(coalesce(CASE WHEN quality = 1 THEN 'sig' END, '') != '') AS signed
+      FROM labels WHERE toxic = 0 GROUP BY 1),
+r AS (SELECT DISTINCT 'r' || doc_id AS name FROM labels WHERE quality = 1)
+SELECT req.*, CASE WHEN k.name IS NULL THEN 'missing kernel' WHEN i.name IS NULL THEN 'missing initrd'
+                   WHEN fstype = 's-ramfs' AND NOT k.signed THEN 'unsigned kernel'
+                   WHEN fstype = 's-ramfs' AND NOT i.signed THEN 'unsigned initrd'
+                   WHEN r.name IS NULL THEN 'needs pull' ELSE 'ok' END AS gate
+FROM req LEFT JOIN k ON k.name = req.kernel LEFT JOIN i ON i.name = req.initrd LEFT JOIN r ON r.name = req.image"""
+
+
+@query("run_gate", _GATE_SQL)
+def run_gate(spark, sf_dir):
+    docs = si.table(spark, sf_dir, "documents")
+    lab = si.table(spark, sf_dir, "labels")
+    d = F.col("doc_id").cast("string")
+    req = docs.select(F.col("doc_id").alias("request_id"), F.concat(F.lit("k"), d).alias("kernel"),
+                      F.concat(F.lit("i"), d).alias("initrd"), F.concat(F.lit("r"), d).alias("image"),
+                      F.when(F.col("lang") == "en", F.lit("s-ramfs")).otherwise(F.lit("nfs")).alias("fstype"))
+    kernels = lab.select(F.concat(F.lit("k"), d).alias("kernel_name"),
+                         F.when(F.col("quality") == 1, F.lit("sig")).otherwise(F.lit("")).alias("kernel_sig_file"))
+    initrds = lab.where(F.col("toxic") == 0).select(
+        F.concat(F.lit("i"), d).alias("initrd_name"),
+        F.when(F.col("quality") == 1, F.lit("sig")).alias("initrd_sig_file"))
+    rootfs = lab.where(F.col("quality") == 1).select(F.concat(F.lit("r"), d).alias("rootfs_name"))
+    return cat.run_gate(req, kernels, initrds, rootfs)
+
+
+@query("missing_files", """
+WITH req AS (
+  SELECT CAST(doc_id AS VARCHAR) AS bmc_id, 'kernel' AS what, 'k/' || doc_id AS path FROM documents UNION ALL
+  SELECT CAST(doc_id AS VARCHAR), 'initrd', 'i/' || doc_id FROM documents UNION ALL
+  SELECT CAST(doc_id AS VARCHAR), 'rootfs', 'r/' || doc_id FROM documents UNION ALL
+  SELECT CAST(doc_id AS VARCHAR), 'rootfs-etc', 'r/' || doc_id || '-etc' FROM documents UNION ALL
+  SELECT CAST(doc_id AS VARCHAR), 'kernel-sig', 'k/' || doc_id || '.sig' FROM documents WHERE lang = 'en'),
+listing AS (
+  SELECT 'k/' || doc_id AS path FROM labels UNION ALL SELECT 'i/' || doc_id FROM labels UNION ALL
+  SELECT 'r/' || doc_id FROM labels UNION ALL SELECT 'r/' || doc_id || '-etc' FROM labels UNION ALL
+  SELECT 'k/' || doc_id || '.sig' FROM labels WHERE quality = 1)
+SELECT * FROM req WHERE NOT EXISTS (SELECT 1 FROM listing WHERE listing.path = req.path)""")
+def missing_files(spark, sf_dir):
+    docs = si.table(spark, sf_dir, "documents")
+    lab = si.table(spark, sf_dir, "labels")
+    d = F.col("doc_id").cast("string")
+    images = docs.select(d.alias("bmc_id"), F.concat(F.lit("k/"), d).alias("kernel_file"),
+                         F.concat(F.lit("i/"), d).alias("initrd_file"), F.concat(F.lit("r/"), d).alias("rootfs_file"),
+                         F.when(F.col("lang") == "en", F.concat(F.lit("k/"), d, F.lit(".sig"))).otherwise(F.lit(""))
+                         .alias("kernel_sig_file"),
+                         F.lit(None).cast("string").alias("initrd_sig_file"))
+    files = F.array(F.concat(F.lit("k/"), d), F.concat(F.lit("i/"), d), F.concat(F.lit("r/"), d),
+                    F.concat(F.lit("r/"), d, F.lit("-etc")),
+                    F.when(F.col("quality") == 1, F.concat(F.lit("k/"), d, F.lit(".sig"))))
+    listing = lab.select(F.explode(files).alias("path")).where(F.col("path").isNotNull())
+    return cat.missing_files(cat.required_files(images), listing)
+
+
+@query("key_counts", """
+SELECT c_custkey, COUNT(o_custkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+def key_counts(spark, sf_dir):
+    keys = si.table(spark, sf_dir, "customer").select("c_custkey")
+    return cat.key_counts(keys, si.table(spark, sf_dir, "orders"), "o_custkey", key_col="c_custkey")
+
+
+@query("duplicates", """
+SELECT text, COUNT(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING COUNT(*) > 1""")
+def duplicates(spark, sf_dir):
+    return cat.duplicates(si.table(spark, sf_dir, "documents").select("text"), "text")

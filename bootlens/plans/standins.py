@@ -63,3 +63,87 @@ def events_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.select(user_bmc().alias("bmc_id"), "user_id", epoch_of(F.col("ts")).alias("epoch"),
                      F.col("event_id").alias("seq"), "event_type", "props", "value", "ts")
+
+
+# --------------------------------------------------------------------------
+# A fleet in catalog schemas, from the TPC-H tables:
+#   Node = customer, Kernel = part, Initrd = supplier, Rootfs = orders,
+#   Container = orders (one per order) or lineitem (one per line).
+# An order's status gives the container state: O running (on the order's
+# customer as node), P pending, F terminated; only running containers hold a
+# node, so P and F containers have node_id NULL.
+
+def state_of(status: Column) -> Column:
+    return (F.when(status == "O", F.lit("running")).when(status == "P", F.lit("pending"))
+            .when(status == "F", F.lit("terminated")))
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey").cast("string")
+    return c.select(F.col("c_custkey").alias("node_id"), F.col("c_name").alias("node_name"),
+                    F.col("c_mktsegment").alias("node_descr"), F.col("c_nationkey").alias("node_rank"),
+                    (F.col("c_acctbal") > 0).alias("have_tpm"),
+                    F.lit("ipmi").alias("method_mgmt"),
+                    F.concat(F.lit("mac-"), key).alias("mac_addr_mgmt"),
+                    F.concat(F.lit("mgmt-"), key).alias("ip4_addr_mgmt"),
+                    F.lit("secret").alias("password_mgmt"),
+                    F.concat(F.lit("boot-"), key).alias("ip4_addr_boot"),
+                    F.lit("eth0").alias("interface_os"),
+                    F.concat(F.lit("os-"), key).alias("ip4_addr_os"),
+                    F.lit("255.255.255.0").alias("netmask_os"), F.lit(None).cast("string").alias("gateway_os"),
+                    F.lit(None).cast("string").alias("dns_os"))
+
+
+def kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("kernel_id"), F.col("p_name").alias("kernel_name"),
+                    F.concat(F.lit("k/"), F.col("p_partkey").cast("string")).alias("kernel_file"),
+                    F.when(F.col("p_size") > 25, F.concat(F.lit("k/"), F.col("p_partkey").cast("string"), F.lit(".sig")))
+                    .when(F.col("p_size") > 10, F.lit("")).alias("kernel_sig_file"),
+                    F.col("p_brand").alias("kernel_param"))
+
+
+def initrds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    return s.select(F.col("s_suppkey").alias("initrd_id"), F.col("s_name").alias("initrd_name"),
+                    F.concat(F.lit("i/"), F.col("s_suppkey").cast("string")).alias("initrd_file"),
+                    F.when(F.col("s_acctbal") > 0, F.concat(F.lit("i/"), F.col("s_suppkey").cast("string"), F.lit(".sig")))
+                    .alias("initrd_sig_file"))
+
+
+def rootfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("rootfs_id"),
+                    F.concat(F.lit("img-"), F.col("o_orderkey").cast("string")).alias("rootfs_name"),
+                    F.concat(F.lit("r/"), F.col("o_orderkey").cast("string")).alias("rootfs_file"),
+                    F.lit(None).cast("string").alias("rootfs_sig_file"))
+
+
+def order_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").cast("string").alias("bmc_id"),
+                    F.col("o_orderkey").cast("string").alias("base_name"),
+                    F.lit(None).cast("string").alias("client_addr"),
+                    F.lit(None).cast("long").alias("kernel_id"), F.lit(None).cast("string").alias("kernel_param"),
+                    F.lit(None).cast("long").alias("initrd_id"), F.col("o_orderkey").alias("rootfs_id"),
+                    F.lit("nfs").alias("fstype"),
+                    F.when(F.col("o_orderstatus") == "O", F.col("o_custkey")).alias("node_id"),
+                    F.col("o_orderpriority").alias("command"), F.col("o_orderdate").alias("created"),
+                    state_of(F.col("o_orderstatus")).alias("state"))
+
+
+def line_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One container per line item; node and state come from its order."""
+    li = table(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    j = li.join(o, li.l_orderkey == o.o_orderkey, "left")
+    return j.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("bmc_id"),
+                    F.lit(None).cast("string").alias("base_name"),
+                    F.lit(None).cast("string").alias("client_addr"),
+                    F.col("l_partkey").alias("kernel_id"), F.col("l_returnflag").alias("kernel_param"),
+                    F.col("l_suppkey").alias("initrd_id"), F.col("l_orderkey").alias("rootfs_id"),
+                    F.when(F.col("l_linestatus") == "O", F.lit("s-ramfs")).otherwise(F.lit("nfs")).alias("fstype"),
+                    F.when(F.col("o_orderstatus") == "O", F.col("o_custkey")).alias("node_id"),
+                    F.col("l_linestatus").alias("command"), F.col("l_shipdate").alias("created"),
+                    state_of(F.col("o_orderstatus")).alias("state"))
