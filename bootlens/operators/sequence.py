@@ -82,8 +82,10 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], ops:
                  descending: bool = False, partitions: int | None = None) -> DataFrame:
     """Add the columns of ``ops`` to ``df``; see the module text.
 
-    ``order`` must be numeric columns (epoch decimals, sequence numbers) that
-    order the rows of a key; end them with a unique tie-breaker.
+    ``order`` columns order the rows of a key; end them with a unique
+    tie-breaker.  Reverse scans negate them, so they must be numeric
+    (epoch decimals, sequence numbers); forward scans take any sortable
+    column.  ``keys`` may be empty (one sequence over all rows).
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -93,9 +95,9 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], ops:
 
     keys, order = list(keys), list(order)
     base_cols = df.columns
-    sign = F.lit(-1) if descending else F.lit(1)
     pos = [f"_pos{i}" for i in range(len(order))]
-    extra = [(F.col(o) * sign).alias(p) for o, p in zip(order, pos)]
+    # a reverse scan is a forward scan over negated order values
+    extra = [(-F.col(o) if descending else F.col(o)).alias(p) for o, p in zip(order, pos)]
     fills = [op for op in ops if isinstance(op, Fill)]
     lags = [op for op in ops if isinstance(op, Lag)]
     for i, op in enumerate(fills):

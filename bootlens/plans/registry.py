@@ -404,3 +404,198 @@ def key_counts(spark, sf_dir):
 SELECT text, COUNT(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING COUNT(*) > 1""")
 def duplicates(spark, sf_dir):
     return cat.duplicates(si.table(spark, sf_dir, "documents").select("text"), "text")
+
+
+# --------------------------------------------------------------------------
+# scalars F1-F5, F7, F11, F12, F14, F18 ; sources S2/S3/S6, S9 ; A3, A7 ; Q1-Q4 ; M2, M3
+
+from bootlens.functions import scalars as sc  # noqa: E402
+from bootlens.operators import changes as chg, quality as qa  # noqa: E402
+from bootlens.session import scratch_dir  # noqa: E402
+from bootlens.sources import catalog as src_cat, files as src_files  # noqa: E402
+
+
+@query("scalar_set", r"""
+SELECT page_id,
+       replace(regexp_replace(url, '\.git$', ''), '/', '%') AS escaped,
+       split_part(url, ':', 1) AS image_name,
+       CASE WHEN contains(url, ':') THEN substr(url, strpos(url, ':') + 1) END AS image_tag,
+       CASE WHEN regexp_matches(url, '^([^@]*)@(.*)$') THEN regexp_extract(url, '^([^@]*)@(.*)$', 1) ELSE 'root' END
+         AS login_user,
+       split_part(url, '/', 3) AS host,
+       split_part(split_part(url, '/', 3), '.', 1) AS host_stem,
+       CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) ELSE url END AS no_scheme,
+       NULLIF(split_part(url, '?', 2), '') AS query
+FROM pages""")
+def scalar_set(spark, sf_dir):
+    p = si.table(spark, sf_dir, "pages")
+    host = sc.nth_field("url", "/", 3)
+    return p.select("page_id", sc.path_escape("url").alias("escaped"), sc.image_name("url").alias("image_name"),
+                    sc.image_tag("url").alias("image_tag"), sc.login_user("url").alias("login_user"),
+                    host.alias("host"), sc.stem(host).alias("host_stem"),
+                    sc.strip_prefix("url", "https://").alias("no_scheme"),
+                    sc.null_if_empty(sc.nth_field("url", "?", 2)).alias("query"))
+
+
+@query("parse_query", """
+WITH q AS (SELECT page_id, split_part(url, '?', 2) AS qs FROM pages WHERE strpos(url, '?') > 0),
+items AS (SELECT page_id, unnest(string_split(qs, '&')) AS kv,
+                 unnest(range(1, len(string_split(qs, '&')) + 1)) AS pos FROM q),
+kv AS (SELECT page_id, pos, split_part(kv, '=', 1) AS key,
+              CASE WHEN strpos(kv, '=') > 0 THEN substr(kv, strpos(kv, '=') + 1) ELSE '' END AS value
+       FROM items WHERE kv != '')
+SELECT page_id, key, arg_max(value, pos) AS value FROM kv WHERE key != 'sign' GROUP BY page_id, key""")
+def parse_query(spark, sf_dir):
+    p = si.table(spark, sf_dir, "pages").where(F.col("url").contains("?"))
+    m = sc.parse_query(sc.nth_field("url", "?", 2))
+    return p.select("page_id", F.explode(m).alias("key", "value"))
+
+
+@query("json_rows", """
+SELECT event_id, e.key AS key, CAST(e.value AS BIGINT) AS value FROM events, json_each(props) AS e""")
+def json_rows(spark, sf_dir):
+    ev = si.table(spark, sf_dir, "events").select("event_id", "props")
+    return src_files.json_rows(ev, "props").select("event_id", "key", "value")
+
+
+_RESULT_SQL = """
+WITH r AS (
+  SELECT CASE l_returnflag WHEN 'A' THEN 'pkglapack' WHEN 'N' THEN 'pkgblas' ELSE 'myblas' END AS target,
+         CASE l_linestatus WHEN 'O' THEN 'on' ELSE 'off' END AS smt,
+         l_tax, l_discount, l_quantity FROM lineitem)
+SELECT 'blas' AS bench, target, smt, COUNT(*) AS n_lines,
+       AVG(CASE WHEN l_discount = 0 THEN 0.0 ELSE l_quantity END) AS mean_gflops
+FROM r WHERE l_tax != 0 GROUP BY target, smt"""
+
+
+@query("mean_gflops", _RESULT_SQL)
+def mean_gflops(spark, sf_dir):
+    from bootlens.operators import benchmark as bm
+
+    return bm.mean_gflops(src_files.parse_results(si.result_lines(spark, sf_dir)))
+
+
+@query("gflops_by_group", """
+SELECT l_returnflag, l_linestatus, COUNT(*) AS n_runs,
+       ROUND(AVG(2.0 * pow(l_quantity * 100, 3) / (l_extendedprice / 1000) * 1e-9), 6) AS mean_gflops
+FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+def gflops_by_group(spark, sf_dir):
+    from bootlens.operators import benchmark as bm
+
+    li = si.table(spark, sf_dir, "lineitem")
+    runs = li.select("l_returnflag", "l_linestatus",
+                     sc.gflops(F.col("l_quantity") * 100, F.col("l_extendedprice") / 1000).alias("gflops"))
+    return bm.mean_by_group(runs, ["l_returnflag", "l_linestatus"], count_as="n_runs")
+
+
+@query("area_counts", """
+WITH areas AS (SELECT source AS area FROM documents UNION SELECT lang FROM documents),
+n AS (SELECT source AS area, COUNT(*) AS n FROM documents GROUP BY source)
+SELECT areas.area, COALESCE(n.n, 0) AS n FROM areas LEFT JOIN n ON n.area = areas.area""")
+def area_counts(spark, sf_dir):
+    d = si.table(spark, sf_dir, "documents")
+    areas = d.select(F.col("source").alias("area")).unionByName(d.select(F.col("lang").alias("area")))
+    return src_files.area_counts(d.select(F.col("source").alias("area")), areas)
+
+
+@query("quality_report", _FLEET_SQL + """,
+q3 AS (
+  SELECT 'Q3 unique' AS rule, 'Kernel' AS "table", kernel_name AS key, 'kernel_name n=' || COUNT(*) AS detail
+  FROM kernels WHERE kernel_name IS NOT NULL GROUP BY kernel_name HAVING COUNT(*) > 1
+  UNION ALL
+  SELECT 'Q3 unique', 'Initrd', initrd_name, 'initrd_name n=' || COUNT(*) FROM initrds
+  WHERE initrd_name IS NOT NULL GROUP BY initrd_name HAVING COUNT(*) > 1
+  UNION ALL
+  SELECT 'Q3 unique', 'Rootfs', rootfs_name, 'rootfs_name n=' || COUNT(*) FROM rootfs
+  WHERE rootfs_name IS NOT NULL GROUP BY rootfs_name HAVING COUNT(*) > 1
+  UNION ALL
+  SELECT 'Q3 unique', 'Node', node_name, 'node_name n=' || COUNT(*) FROM nodes
+  WHERE node_name IS NOT NULL GROUP BY node_name HAVING COUNT(*) > 1),
+q4 AS (
+  SELECT 'Q4 reference' AS rule, 'Container' AS "table", bmc_id AS key,
+         'kernel_id=' || kernel_id || ' not in Kernel' AS detail
+  FROM lcont c WHERE kernel_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM kernels k WHERE k.kernel_id = c.kernel_id)
+  UNION ALL
+  SELECT 'Q4 reference', 'Container', bmc_id, 'initrd_id=' || initrd_id || ' not in Initrd'
+  FROM lcont c WHERE initrd_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM initrds i WHERE i.initrd_id = c.initrd_id)
+  UNION ALL
+  SELECT 'Q4 reference', 'Container', bmc_id, 'node_id=' || node_id || ' not in Node'
+  FROM lcont c WHERE node_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.node_id = c.node_id)),
+q12 AS (
+  SELECT 'Q1 required' AS rule, 'Node' AS "table", CAST(node_id AS VARCHAR) AS key, 'node_name missing' AS detail
+  FROM nodes WHERE node_name IS NULL OR node_name = ''
+  UNION ALL
+  SELECT 'Q2 domain', 'Container', bmc_id, 'fstype=' || fstype FROM lcont
+  WHERE fstype IS NOT NULL AND fstype NOT IN ('nfs', 'ramfs', 's-ramfs', 'isofs'))
+SELECT * FROM q3 UNION ALL SELECT * FROM q4 UNION ALL SELECT * FROM q12""")
+def quality_report(spark, sf_dir):
+    nodes = si.nodes(spark, sf_dir)
+    conts = si.line_containers(spark, sf_dir)
+    kernels, initrds, rootfs = si.kernels(spark, sf_dir), si.initrds(spark, sf_dir), si.rootfs(spark, sf_dir)
+    parts = [qa.required(nodes, "Node", "node_id", ["node_name"]),
+             qa.domain(conts, "Container", "bmc_id", "fstype", ("nfs", "ramfs", "s-ramfs", "isofs")),
+             qa.unique(kernels, "Kernel", "kernel_name"), qa.unique(initrds, "Initrd", "initrd_name"),
+             qa.unique(rootfs, "Rootfs", "rootfs_name"), qa.unique(nodes, "Node", "node_name"),
+             qa.references(conts, "Container", "bmc_id", "kernel_id", kernels, "kernel_id", "Kernel"),
+             qa.references(conts, "Container", "bmc_id", "initrd_id", initrds, "initrd_id", "Initrd"),
+             qa.references(conts, "Container", "bmc_id", "node_id", nodes, "node_id", "Node")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_CHANGE_SQL = """
+WITH t AS (SELECT c_custkey AS kernel_id, c_name AS kernel_name, 'k/' || c_custkey AS kernel_file,
+                  CAST(NULL AS VARCHAR) AS kernel_sig_file, c_mktsegment AS kernel_param FROM customer),
+ch AS (SELECT CASE WHEN c_acctbal < -500 THEN c_name ELSE c_name || '-new' END AS kernel_name,
+              'k2/' || c_custkey AS kernel_file, 's/' || c_custkey AS kernel_sig_file
+       FROM customer WHERE c_acctbal < 0),
+top AS (SELECT max(kernel_id) AS m FROM t)"""
+
+
+@query("apply_upsert", _CHANGE_SQL + """
+SELECT t.kernel_id, t.kernel_name, COALESCE(ch.kernel_file, t.kernel_file) AS kernel_file,
+       CASE WHEN ch.kernel_name IS NULL THEN t.kernel_sig_file ELSE ch.kernel_sig_file END AS kernel_sig_file,
+       t.kernel_param
+FROM t LEFT JOIN ch ON ch.kernel_name = t.kernel_name
+UNION ALL
+SELECT top.m + ROW_NUMBER() OVER (ORDER BY ch.kernel_name) AS kernel_id, ch.kernel_name, ch.kernel_file,
+       ch.kernel_sig_file, '' AS kernel_param
+FROM ch, top WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.kernel_name = ch.kernel_name)""")
+def apply_upsert(spark, sf_dir):
+    t, ch = si.customer_kernels(spark, sf_dir)
+    return chg.apply_upsert(t, ch, "kernel_name", "kernel_id")
+
+
+@query("apply_replace", _CHANGE_SQL + """
+SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.kernel_name = t.kernel_name)
+UNION ALL
+SELECT top.m + ROW_NUMBER() OVER (ORDER BY ch.kernel_name) AS kernel_id, ch.kernel_name, ch.kernel_file,
+       ch.kernel_sig_file, CAST(NULL AS VARCHAR) AS kernel_param
+FROM ch, top""")
+def apply_replace(spark, sf_dir):
+    t, ch = si.customer_kernels(spark, sf_dir)
+    return chg.apply_replace(t, ch.withColumn("kernel_param", F.lit(None).cast("string")), "kernel_name", "kernel_id")
+
+
+_DUMP_TABLES = ("region", "nation", "supplier", "customer", "part", "orders")
+
+
+@query("dump_all", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows FROM {t}" for t in _DUMP_TABLES))
+def dump_all(spark, sf_dir):
+    """S2 + S3 + S6: register tables, dump all as TSV (NULL as <NULL>) to a
+    fresh folder under the checkpoint folder, read each back, count rows."""
+    tables = {t: si.table(spark, sf_dir, t) for t in _DUMP_TABLES}
+    src_cat.register_catalog(spark, tables)
+    out = scratch_dir(spark, "dump")
+    written = src_cat.dump_all(spark, out, names=_DUMP_TABLES)
+    back = None
+    for name in src_cat.list_tables(spark):
+        if name not in written:
+            continue
+        df = src_cat.read_tsv(spark, written[name], tables[name].schema, null_value=src_cat.NULL_TEXT)
+        c = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        back = c if back is None else back.unionByName(c)
+    return back

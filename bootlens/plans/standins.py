@@ -147,3 +147,36 @@ def line_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("o_orderstatus") == "O", F.col("o_custkey")).alias("node_id"),
                     F.col("l_linestatus").alias("command"), F.col("l_shipdate").alias("created"),
                     state_of(F.col("o_orderstatus")).alias("state"))
+
+
+def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark result logs in (file_name, line) form from ``lineitem``:
+    target by return flag, SMT by line status, size by line number; the
+    line holds the quantity as GFLOPS, ``n/a`` when there is no discount,
+    and a non-GFLOPS line when there is no tax."""
+    li = table(spark, sf_dir, "lineitem")
+    target = (F.when(F.col("l_returnflag") == "A", F.lit("pkglapack"))
+              .when(F.col("l_returnflag") == "N", F.lit("pkgblas")).otherwise(F.lit("myblas")))
+    smt = F.when(F.col("l_linestatus") == "O", F.lit("on")).otherwise(F.lit("off"))
+    name = F.format_string("res-blas-%d-%s-Smt%s-%d.out", F.col("l_linenumber") * 1600, target, smt,
+                           F.col("l_orderkey"))
+    line = (F.when(F.col("l_tax") == 0, F.lit("checking results..."))
+            .when(F.col("l_discount") == 0, F.lit("GFLOPS = n/a"))
+            .otherwise(F.concat(F.lit("GFLOPS = "), F.col("l_quantity").cast("string"))))
+    return li.select(name.alias("file_name"), line.alias("line"))
+
+
+def customer_kernels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A kernel table from ``customer`` and an import batch for it: the
+    customers in debt, under their own name when below -500 (an update) and
+    under a new name otherwise (an insert)."""
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey").cast("string")
+    t = c.select(F.col("c_custkey").alias("kernel_id"), F.col("c_name").alias("kernel_name"),
+                 F.concat(F.lit("k/"), key).alias("kernel_file"), F.lit(None).cast("string").alias("kernel_sig_file"),
+                 F.col("c_mktsegment").alias("kernel_param"))
+    ch = c.where(F.col("c_acctbal") < 0).select(
+        F.when(F.col("c_acctbal") < -500, F.col("c_name")).otherwise(F.concat(F.col("c_name"), F.lit("-new")))
+        .alias("kernel_name"),
+        F.concat(F.lit("k2/"), key).alias("kernel_file"), F.concat(F.lit("s/"), key).alias("kernel_sig_file"))
+    return t, ch
