@@ -180,3 +180,10 @@ def customer_kernels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
         .alias("kernel_name"),
         F.concat(F.lit("k2/"), key).alias("kernel_file"), F.concat(F.lit("s/"), key).alias("kernel_sig_file"))
     return t, ch
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str, schema) -> DataFrame:
+    """A driver table read as a file stream (the stream source watches a
+    folder, so the folder is read with a filter on the file name)."""
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+            .option("recursiveFileLookup", False).parquet(sf_dir))
