@@ -12,6 +12,8 @@ from pyspark.sql import Column, functions as F
 MARK_PATTERN = r"^(?:([^\s:]+) )?([^\s:]+):(begin|end)(?:[ _](.*))?$"
 BMCID_PATTERN = r"bmcid=(\S+)"
 START_MARK = "--Start--"
+# Marks that name their container as the first word (kill1/rm1 ID).
+ID_FIRST_PHASES = ("exec_kill1", "exec_rm1")
 END_MARK = "--End--"
 
 
@@ -41,7 +43,12 @@ def bmcid_of(text: Column) -> Column:
 
 
 def parse_mark(msg: Column) -> Column:
-    """Struct (prefix, phase, kind, rest, bmc_id); all NULL when not a mark."""
-    rest = mark_rest(msg)
-    return F.struct(mark_prefix(msg).alias("prefix"), mark_phase(msg).alias("phase"),
-                    mark_kind(msg).alias("kind"), rest.alias("rest"), bmcid_of(rest).alias("bmc_id"))
+    """Struct (prefix, phase, kind, rest, bmc_id); all NULL when not a mark.
+
+    The container id is ``bmcid=ID`` in the rest, or the first word of the
+    rest for ``exec_kill1:begin ID`` and ``exec_rm1:begin ID``."""
+    rest, phase, kind = mark_rest(msg), mark_phase(msg), mark_kind(msg)
+    first_word = F.nullif(F.regexp_extract(rest, r"^(\S+)", 1), F.lit(""))
+    positional = F.when(phase.isin(*ID_FIRST_PHASES) & (kind == F.lit("begin")), first_word)
+    return F.struct(mark_prefix(msg).alias("prefix"), phase.alias("phase"), kind.alias("kind"),
+                    rest.alias("rest"), F.coalesce(bmcid_of(rest), positional).alias("bmc_id"))
