@@ -17,38 +17,54 @@ ID_FIRST_PHASES = ("exec_kill1", "exec_rm1")
 END_MARK = "--End--"
 
 
-def _group(msg: Column, i: int) -> Column:
-    # regexp_extract gives '' for a missing group; a missing group is NULL here.
-    return F.when(msg.rlike(MARK_PATTERN), F.nullif(F.regexp_extract(msg, MARK_PATTERN, i), F.lit("")))
+SEP = "\u0001"
+
+
+def mark_parts(msg: Column) -> Column:
+    """The four groups of the mark pattern in one regex pass: the match is
+    rewritten to ``g1 SEP g2 SEP g3 SEP g4`` and split; NULL when the message
+    is not a mark.  Select it once and take fields with ``mark_field``."""
+    joined = F.regexp_replace(msg, MARK_PATTERN, SEP.join(f"${i}" for i in range(1, 5)))
+    return F.when(msg.rlike(MARK_PATTERN), F.split(joined, SEP, 4))
+
+
+def mark_field(parts: Column, i: int) -> Column:
+    return F.nullif(F.element_at(parts, i), F.lit(""))
 
 
 def mark_prefix(msg: Column) -> Column:
-    return _group(msg, 1)
+    return mark_field(mark_parts(msg), 1)
 
 
 def mark_phase(msg: Column) -> Column:
-    return _group(msg, 2)
+    return mark_field(mark_parts(msg), 2)
 
 
 def mark_kind(msg: Column) -> Column:
-    return _group(msg, 3)
+    return mark_field(mark_parts(msg), 3)
 
 
 def mark_rest(msg: Column) -> Column:
-    return _group(msg, 4)
+    return mark_field(mark_parts(msg), 4)
 
 
 def bmcid_of(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, BMCID_PATTERN, 1), F.lit(""))
 
 
-def parse_mark(msg: Column) -> Column:
-    """Struct (prefix, phase, kind, rest, bmc_id); all NULL when not a mark.
-
-    The container id is ``bmcid=ID`` in the rest, or the first word of the
-    rest for ``exec_kill1:begin ID`` and ``exec_rm1:begin ID``."""
-    rest, phase, kind = mark_rest(msg), mark_phase(msg), mark_kind(msg)
+def container_id(phase: Column, kind: Column, rest: Column) -> Column:
+    """The container a mark names: ``bmcid=ID`` in the rest, or the first
+    word of the rest for ``exec_kill1:begin ID`` and ``exec_rm1:begin ID``."""
     first_word = F.nullif(F.regexp_extract(rest, r"^(\S+)", 1), F.lit(""))
     positional = F.when(phase.isin(*ID_FIRST_PHASES) & (kind == F.lit("begin")), first_word)
-    return F.struct(mark_prefix(msg).alias("prefix"), phase.alias("phase"), kind.alias("kind"),
-                    rest.alias("rest"), F.coalesce(bmcid_of(rest), positional).alias("bmc_id"))
+    return F.coalesce(bmcid_of(rest), positional)
+
+
+def parse_mark(msg: Column) -> Column:
+    """Struct (prefix, phase, kind, rest, bmc_id); all NULL when not a mark.
+    (For whole tables prefer ``bootlens.operators.timeline.marks``, which
+    runs the pattern once per line.)"""
+    parts = mark_parts(msg)
+    phase, kind, rest = mark_field(parts, 2), mark_field(parts, 3), mark_field(parts, 4)
+    return F.struct(mark_field(parts, 1).alias("prefix"), phase.alias("phase"), kind.alias("kind"),
+                    rest.alias("rest"), container_id(phase, kind, rest).alias("bmc_id"))

@@ -11,11 +11,12 @@ of the data.  ``ordered_scan`` avoids this:
    ranges of the total order (key, order...).  Spark samples the data, so a
    hot key is cut into many ranges; the order columns end in a unique
    tie-breaker, so even equal timestamps are split.
-2. The range number is stored with the rows by a reliable ``checkpoint()``
-   in the shared checkpoint folder.  The range bounds come from sampling and
-   differ between two executions of the same plan, so they are fixed once;
-   the checkpoint also cuts the lineage, and a lost executor only costs a
-   re-read of the shared files.
+2. The range number is stored with the rows: they are written once as a
+   parquet table in the shared checkpoint folder (``spark.checkpoint.dir``)
+   and read back.  The range bounds come from sampling and differ between
+   two executions of the same plan, so they are fixed once; the written
+   table also cuts the lineage, so a lost executor only costs a re-read of
+   the shared files, and later steps read only the columns they need.
 3. Inside each range a window over ``(range, key)`` computes the scan.  Such
    a group is at most one range (about N/P rows), never a whole hot key.
 4. A row whose predecessor lies in an earlier range takes it from an edge
@@ -34,7 +35,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from bootlens.session import ensure_checkpoint_dir
+from bootlens.session import ensure_checkpoint_dir, scratch_dir
 
 #: Upper bound on range partitions; the edge table holds one row per range,
 #: so this bounds what is broadcast.
@@ -109,10 +110,12 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], ops:
         cond = F.lit(True) if op.when is None else F.coalesce(_as_col(op.when), F.lit(False))
         extra.append(cond.cast("long").alias(op._flag))
 
-    ranged = (df.select("*", *extra)
-              .repartitionByRange(n_ranges, *keys, *pos)
-              .withColumn("_part", F.spark_partition_id())
-              .checkpoint(eager=True))
+    path = scratch_dir(spark, "ordered-scan")
+    (df.select("*", *extra)
+     .repartitionByRange(n_ranges, *keys, *pos)
+     .withColumn("_part", F.spark_partition_id())
+     .write.mode("overwrite").parquet(path))
+    ranged = spark.read.parquet(path)
 
     # 3. scan inside each range
     w = Window_ = W.partitionBy("_part", *keys).orderBy(*pos)

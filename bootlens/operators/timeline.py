@@ -15,7 +15,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bootlens.functions.marks import START_MARK, parse_mark
+from bootlens.functions.marks import START_MARK, container_id, mark_field, mark_parts
 from bootlens.operators.sequence import Fill, Lag, ordered_scan
 
 ORDER = ("epoch", "seq")
@@ -38,11 +38,13 @@ def marks(timeline: DataFrame) -> DataFrame:
     ``bmcid=``) and ``is_start`` (the ``--Start--`` line of a process run).
     """
     tl = timeline.where(F.col("valid")) if "valid" in timeline.columns else timeline
-    m = parse_mark(F.col("message"))
-    return tl.select("host", "pid", "epoch", "seq", "message",
-                     m.prefix.alias("prefix"), m.phase.alias("phase"), m.kind.alias("kind"),
-                     m.rest.alias("rest"), m.bmc_id.alias("bmc_id"),
-                     (F.col("message") == F.lit(START_MARK)).alias("is_start"))
+    base = tl.select("host", "pid", "epoch", "seq", "message", mark_parts(F.col("message")).alias("_parts"))
+    p = F.col("_parts")
+    fields = base.select("host", "pid", "epoch", "seq", "message",
+                         mark_field(p, 1).alias("prefix"), mark_field(p, 2).alias("phase"),
+                         mark_field(p, 3).alias("kind"), mark_field(p, 4).alias("rest"))
+    return fields.select("*", container_id(F.col("phase"), F.col("kind"), F.col("rest")).alias("bmc_id"),
+                         (F.col("message") == F.lit(START_MARK)).alias("is_start"))
 
 
 def segment_runs(m: DataFrame, keys: Sequence[str] = ("host", "pid"), start: Column | None = None,
@@ -128,32 +130,33 @@ def relative_time(df: DataFrame, key: str = "bmc_id", epoch: str = "epoch", out:
             .drop("_first"))
 
 
-# Fixed patterns of the process notes in the log.
-NOTE_BMCID = r"--note=bmcid=(\S+)"
-NOTE_PARENT = r"parent=(\d+)"
+# Fixed pattern of the note a background child process writes first.
+NOTE_PATTERN = r"^exec_pull: (.*)$"
 
 
 def attach_pid(m: DataFrame, keys: Sequence[str] = ("host", "run_epoch", "run_seq")) -> DataFrame:
-    """A child process that notes ``--note=bmcid=ID`` (or names its
-    ``parent=PID``) belongs to that container; its marks get the id.
-
-    Notes are looked up per (keys, pid) and joined back; marks keep an id they
-    already have."""
+    """A background child (``pull --note=bmcid=ID --note=parent=PID``)
+    logs ``exec_pull: bmcid=ID parent=PID``; every mark of that child's run
+    gets the container id, and ``parent_pid`` names the process that started
+    it.  Notes are reduced per (keys, pid) and joined back; marks keep an id
+    they already have."""
     keys = list(keys)
-    noted = (m.select(*keys, "pid",
-                      F.nullif(F.regexp_extract("message", NOTE_BMCID, 1), F.lit("")).alias("_note_id"))
-             .where(F.col("_note_id").isNotNull())
-             .groupBy(*keys, "pid").agg(F.max("_note_id").alias("_note_id")))
+    note = F.regexp_extract("message", NOTE_PATTERN, 1)
+    noted = (m.where(F.col("message").rlike(NOTE_PATTERN))
+             .select(*keys, "pid", F.nullif(F.regexp_extract(note, r"bmcid=(\S+)", 1), F.lit("")).alias("_note_id"),
+                     F.nullif(F.regexp_extract(note, r"parent=(\d+)", 1), F.lit("")).cast("long").alias("_parent"))
+             .groupBy(*keys, "pid").agg(F.max("_note_id").alias("_note_id"), F.max("_parent").alias("parent_pid")))
     joined = _null_safe_join(m, noted, [*keys, "pid"])
     return joined.withColumn("bmc_id", F.coalesce("bmc_id", "_note_id")).drop("_note_id")
 
 
 def intervals_from_timeline(timeline: DataFrame, partitions: int | None = None) -> DataFrame:
-    """S4 -> F20 -> W2 -> W8 -> W1: intervals per (bmc_id, phase).
+    """S4 -> F20 -> W2 -> J19 -> W8 -> W1: intervals per (bmc_id, phase).
 
     Marks without any container id pair on (host, run, pid, phase) instead."""
     m = marks(timeline)
     m = segment_runs(m, partitions=partitions)
+    m = attach_pid(m)
     m = fill_bmc_id(m, partitions=partitions)
     with_id = m.where(F.col("bmc_id").isNotNull())
     no_id = m.where(F.col("bmc_id").isNull())

@@ -32,6 +32,11 @@ LINES = [
     ("2024-01-01 10:00:02|1704103202.000000000|100|kill poweroff:end|", 17),
     ("2024-01-01 10:00:03|1704103203.000000000|100|exec_kill1:begin C2|", 18),
     ("2024-01-01 10:00:04|1704103204.000000000|100|kill poweroff:begin|", 19),
+    # a background pull started by the first run: its note names the container
+    ("2024-01-01 09:00:05|1704099605.500000000|150|--Start--|", 22),
+    ("2024-01-01 09:00:05|1704099605.600000000|150|exec_pull:begin img|", 23),
+    ("2024-01-01 09:00:05|1704099605.700000000|150|exec_pull: bmcid=C1 parent=100|", 24),
+    ("2024-01-01 09:00:08|1704099608.000000000|150|exec_pull:end|", 25),
     # a begin without an end (failed process)
     ("2024-01-01 11:00:00|1704106800.000000000|300|exec_pull:begin img|", 20),
     # not a timeline line
@@ -61,7 +66,7 @@ def test_marks_grammar(timeline):
 
 
 def test_runs_and_ids(timeline):
-    m = tl.fill_bmc_id(tl.segment_runs(tl.marks(timeline)))
+    m = tl.fill_bmc_id(tl.attach_pid(tl.segment_runs(tl.marks(timeline))))
     r = {x.seq: x for x in m.collect()}
     # first run of pid 100 names only C1: all its marks get C1, also before the naming mark
     assert r[3].bmc_id == "C1" and r[2].bmc_id == "C1"
@@ -70,6 +75,7 @@ def test_runs_and_ids(timeline):
     # the kill run names two ids: each mark takes the last id named before it
     assert r[16].bmc_id == "C1" and r[19].bmc_id == "C2"
     assert r[14].bmc_id is None
+    assert r[23].bmc_id == "C1" and r[23].parent_pid == 100
 
 
 def test_intervals(timeline):
@@ -83,6 +89,8 @@ def test_intervals(timeline):
     assert by[("C1", "verify_kernel", 12)].duration == Decimal("0.000000100")
     # second poweroff of the kill run has no end: open interval
     assert by[("C2", "poweroff", 19)].end_seq is None
+    # the background pull belongs to C1 through its note
+    assert by[("C1", "exec_pull", 23)].end_seq == 25
     # the failed pull has no id and no end
     nid = [x for x in iv if x.bmc_id is None and x.phase == "exec_pull"]
     assert len(nid) == 1 and nid[0].end_epoch is None
