@@ -135,13 +135,48 @@ def early_start(method) -> Column:
     return _c(method) != F.lit("wol")
 
 
-def boot_args(fstype, root_addr, root_path, bmc_id) -> Column:
-    """F16: kernel argument text by file system type (inventory column)."""
+def _text(x) -> Column:
+    """A value as the shell sees it: NULL is empty text."""
+    return F.coalesce(_c(x).cast("string"), F.lit(""))
+
+
+def boot_ip(ip4_addr, server, gateway, netmask, node_name, iface) -> Column:
+    """F16: the kernel ``ip=`` value: addr:server:gateway:netmask:name:iface."""
+    return F.concat_ws(":", *[_text(x) for x in (ip4_addr, server, gateway, netmask, node_name, iface)])
+
+
+# Boot argument lines by file system type.
+BOOT_ARGS_NFS = ("imgargs K{base} bmcid={bmc_id} boot=nfs rootdelay=1 ip={ip} root=/dev/nfs "
+                 "nfsroot={server}:{nfs_root} port=tcp rw {kernel_param}")
+BOOT_ARGS_RAMFS = ("imgargs K{base} bmcid={bmc_id} boot=local rootdelay=1 ip={ip} "
+                   "bmcroot={http}://{server}/{doc}/rootfs/{base}.tar.gz "
+                   "bmcroot2={http}://{server}/{doc}/rootfs/{base}-etc.tar.gz rw {kernel_param}")
+BOOT_ARGS_ISOFS = "imgargs K{base} iso raw"
+
+
+def boot_args(fstype, base_name, bmc_id, ip, kernel_param, server, http: str = "http", doc_path: str = "bmc",
+              distfs_root: str = "/export/bmc") -> Column:
+    """F16: the boot loader's argument line for a container (NULL for an
+    unknown file system type).  ``kernel_param`` is the kernel's and the
+    container's parameter joined by a space, as the loader builds it."""
     f = _c(fstype)
-    return (F.when(f == "nfs", F.format_string("root=/dev/nfs nfsroot=%s:%s ip=dhcp bmcid=%s",
-                                               _c(root_addr), _c(root_path), _c(bmc_id)))
-            .when(f.isin("ramfs", "s-ramfs"), F.format_string("rdinit=/sbin/init bmcid=%s", _c(bmc_id)))
-            .when(f == "isofs", F.format_string("iso bmcid=%s", _c(bmc_id))))
+    parts = {"base": _text(base_name), "bmc_id": _text(bmc_id), "ip": _text(ip), "kernel_param": _text(kernel_param),
+             "server": _text(server), "http": F.lit(http), "doc": F.lit(doc_path),
+             "nfs_root": F.concat(F.lit(distfs_root.rstrip("/") + "/"), _text(base_name))}
+
+    def fill(template: str) -> Column:
+        fmt, args = [], []
+        for piece in re.split(r"(\{[a-z_]+\})", template):
+            if piece.startswith("{") and piece.endswith("}"):
+                fmt.append("%s")
+                args.append(parts[piece[1:-1]])
+            else:
+                fmt.append(piece.replace("%", "%%"))
+        return F.format_string("".join(fmt), *args)
+
+    return (F.when(f == "nfs", fill(BOOT_ARGS_NFS))
+            .when(f.isin("ramfs", "s-ramfs"), fill(BOOT_ARGS_RAMFS))
+            .when(f == "isofs", fill(BOOT_ARGS_ISOFS)))
 
 
 def deadline(start, seconds) -> Column:

@@ -95,7 +95,8 @@ def pair_marks(m: DataFrame, keys: Sequence[str] = ("bmc_id",), phase: str = "ph
     ``carry`` columns are taken from the begin mark.
     """
     keys, order = list(keys), list(order)
-    be = m.where(F.col(kind).isin("begin", "end") & F.col(phase).isNotNull())
+    be = (m.where(F.col(kind).isin("begin", "end") & F.col(phase).isNotNull())
+          .select(*dict.fromkeys([*keys, phase, kind, *order, *carry])))
     nxt = ordered_scan(be, [*keys, phase], order, [Lag([kind, *order], prefix="_next_")], descending=True,
                        partitions=partitions)
     closed = F.col(f"_next_{kind}") == F.lit("end")
