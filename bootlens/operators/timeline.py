@@ -63,6 +63,21 @@ def segment_runs(m: DataFrame, keys: Sequence[str] = ("host", "pid"), start: Col
     return out
 
 
+def segment_runs_and_carry(m: DataFrame, keys: Sequence[str] = ("host", "pid"),
+                           partitions: int | None = None) -> DataFrame:
+    """W2 and the carry of W8 in one ordered scan over (host, pid).
+
+    ``run_epoch``/``run_seq`` as in ``segment_runs``; ``_carry_bmc_id`` is
+    the id of the nearest line at or before this one that names an id or
+    starts a run (a start line names none, so the carry stops at run
+    starts and stays inside the run)."""
+    start = F.col("is_start")
+    return ordered_scan(m, list(keys), list(ORDER),
+                        [Fill(list(ORDER), start, prefix="run_"),
+                         Fill(["bmc_id"], F.col("bmc_id").isNotNull() | start, prefix="_carry_")],
+                        partitions=partitions)
+
+
 def fill_bmc_id(m: DataFrame, keys: Sequence[str] = ("host", "run_epoch", "run_seq", "pid"),
                 partitions: int | None = None) -> DataFrame:
     """Give marks of a process the container id the process works on.
@@ -70,13 +85,15 @@ def fill_bmc_id(m: DataFrame, keys: Sequence[str] = ("host", "run_epoch", "run_s
     A process run that names one container id (``exec_run`` names it once)
     gives it to all its marks, also those before the naming mark.  A run that
     names several (``kill``/``rm`` of many ids) gives each mark the last id
-    named at or before it.  Marks that name an id keep it.
+    named at or before it.  Marks that name an id keep it.  When ``m``
+    already holds ``_carry_bmc_id`` (``segment_runs_and_carry``) no second
+    scan is run.
     """
     keys = list(keys)
     stats = (m.groupBy(*keys)
              .agg(F.min("bmc_id").alias("_id_min"), F.max("bmc_id").alias("_id_max")))
-    carried = ordered_scan(m, keys, list(ORDER), [Fill(["bmc_id"], F.col("bmc_id").isNotNull(), prefix="_carry_")],
-                           partitions=partitions)
+    carried = m if "_carry_bmc_id" in m.columns else ordered_scan(
+        m, keys, list(ORDER), [Fill(["bmc_id"], F.col("bmc_id").isNotNull(), prefix="_carry_")], partitions=partitions)
     joined = _null_safe_join(carried, stats, keys)
     single = F.col("_id_min") == F.col("_id_max")
     return (joined
@@ -156,11 +173,13 @@ def intervals_from_timeline(timeline: DataFrame, partitions: int | None = None)
 
     Marks without any container id pair on (host, run, pid, phase) instead."""
     m = marks(timeline)
-    m = segment_runs(m, partitions=partitions)
+    m = segment_runs_and_carry(m, partitions=partitions)
     m = attach_pid(m)
     m = fill_bmc_id(m, partitions=partitions)
-    with_id = m.where(F.col("bmc_id").isNotNull())
-    no_id = m.where(F.col("bmc_id").isNull())
-    a = pair_marks(with_id, ["bmc_id"], carry=["host"], partitions=partitions)
-    b = pair_marks(no_id, ["host", "run_epoch", "run_seq", "pid"], partitions=partitions)
-    return a.unionByName(b.withColumn("bmc_id", F.lit(None).cast("string")), allowMissingColumns=True)
+    # one pairing scan: by container id, or by process run when there is none
+    proc = F.concat_ws("/", F.lit("proc"), F.col("host"), F.col("run_epoch").cast("string"),
+                       F.col("run_seq").cast("string"), F.col("pid").cast("string"))
+    m = m.withColumn("_pair_key", F.when(F.col("bmc_id").isNotNull(), F.concat(F.lit("id/"), F.col("bmc_id")))
+                     .otherwise(proc))
+    iv = pair_marks(m, ["_pair_key"], carry=["bmc_id", "host", "run_epoch", "run_seq", "pid"], partitions=partitions)
+    return iv.drop("_pair_key")

@@ -696,3 +696,14 @@ def enrich_requests_stream(spark, sf_dir):
                    F.concat(F.lit("mac-"), F.col("o_custkey").cast("string")).alias("mac_addr"))
     name = _stream_name("t3")
     return stream.run_to_table(stream.enrich_requests(req, si.nodes(spark, sf_dir)), name, scratch_dir(spark, name))
+
+
+# --------------------------------------------------------------------------
+# the flagship chain as a query: S4 -> F20 -> W2 -> J19 -> W8 -> W1 -> A4
+
+_PHASE_TIMES_SQL = ORACLE["phase_times"]
+
+
+@query("timeline_phase_times", _PHASE_TIMES_SQL)
+def timeline_phase_times(spark, sf_dir):
+    return flagship(spark, sf_dir)
