@@ -1,0 +1,85 @@
+"""Remaining operators: timeline stream, samples, lookups, ages, first/last
+lines, SMT selection, deadlines."""
+
+import datetime as dt
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from bootlens.functions import scalars as sc
+from bootlens.operators import benchmark as bm, catalog as cat, timeline as tl, windows as win
+from bootlens.sources import files as sf
+from bootlens.sources.timeline import format_line, rejects, stream_timeline
+from bootlens.streaming import boot as st
+from tests.fleet import fleet
+
+
+def test_stream_timeline_matches_batch(spark, tmp_dir):
+    os.makedirs(f"{tmp_dir}/logs/h1")
+    lines = ["2024-01-01 09:00:00|1704099600.000000001|7|C9 boot:begin bmcid=C9|",
+             "2024-01-01 09:00:03|1704099603.000000000|7|C9 boot:end bmcid=C9|",
+             "not a line"]
+    with open(f"{tmp_dir}/logs/h1/time.1", "w") as f:
+        f.write("\n".join(lines) + "\n")
+    s = stream_timeline(spark, f"{tmp_dir}/logs/h1")
+    name = "tl_" + uuid.uuid4().hex[:8]
+    rows = st.run_to_table(s, name, f"{tmp_dir}/ck").collect()
+    assert {r.host for r in rows} == {"h1"} and sum(1 for r in rows if not r.valid) == 1
+    m = tl.marks(spark.table(name).where("valid"))
+    assert sorted((r.phase, r.kind) for r in m.collect()) == [("boot", "begin"), ("boot", "end")]
+    assert rejects(spark.table(name)).count() == 1
+    out = spark.range(1).select(format_line(F.lit("d"), F.lit("1.5"), F.lit(3), F.lit("a|b")).alias("x")).first().x
+    assert out == "d|1.5|3|a|b|"
+
+
+def test_samples_reader(spark, tmp_dir):
+    with open(f"{tmp_dir}/watt.csv", "w") as f:
+        f.write("ts,source,value\n2024-01-01 00:00:00,wattchecker,10.5\n2024-01-01 00:00:01,wattchecker,11\n")
+    s = sf.read_samples(spark, f"{tmp_dir}/watt.csv")
+    assert [r.value for r in s.orderBy("ts").collect()] == [10.5, 11.0]
+    assert dict(s.dtypes)["ts"] == "timestamp"
+
+
+def test_lookup_and_active(spark):
+    nodes, conts, *_ = fleet(spark)
+    keys = spark.createDataFrame([(3,), (9,)], "node_id long")
+    got = sorted((r.node_id, r.node_name) for r in cat.lookup(keys, nodes, "node_id", ["node_name"]).collect())
+    assert got == [(3, "n3"), (9, None)]
+    assert cat.active(conts.union(conts.limit(1).withColumn("state", F.lit(None)))).count() == 2
+    assert "password_mgmt" not in cat.node_view(nodes).columns
+
+
+def test_accessed_since(spark):
+    now = dt.datetime(2024, 1, 2, 12, 0, 0)
+    ls = spark.createDataFrame([("a", now - dt.timedelta(hours=23)), ("b", now - dt.timedelta(hours=25))],
+                               "path string, accessed timestamp")
+    assert [r.path for r in sf.accessed_since(ls, F.lit(now)).collect()] == ["a"]
+
+
+def test_first_and_last_lines(spark):
+    df = spark.createDataFrame([("k", 3, "c"), ("k", 1, "a"), ("k", 2, "b"), ("j", 5, "z")],
+                               "key string, line_no long, value string")
+    assert {r.key: r.value for r in sf.first_line(df, "key", "line_no", "value").collect()} == {"k": "a", "j": "z"}
+    assert {r.key: r.value for r in sf.last_line(df, "key", "line_no", "value").collect()} == {"k": "c", "j": "z"}
+    fm = {r.key: r.value for r in win.first_match(df, ["key"], ["line_no"], ["value"]).collect()}
+    assert fm == {"k": "a", "j": "z"}
+
+
+def test_smt_selection(spark):
+    cpus = spark.createDataFrame([("h", 0, 0), ("h", 4, 0), ("h", 1, 1), ("h", 5, 1)], "host string, cpu int, core int")
+    got = {r.cpu: r.online for r in bm.smt_off_cpus(cpus).collect()}
+    assert got == {0: 1, 4: 0, 1: 1, 5: 0}
+    on = {r.cpu: r.first_flag for r in win.first_of_group(cpus, ["host", "core"], ["cpu"], mode="on").collect()}
+    assert set(on.values()) == {1}
+
+
+def test_deadlines(spark):
+    t0 = dt.datetime(2024, 1, 1, 0, 0, 0)
+    df = spark.createDataFrame([(t0,)], "start timestamp")
+    r = df.select(sc.deadline("start", 180).alias("d"),
+                  sc.time_left(sc.deadline("start", 180), F.lit(t0 + dt.timedelta(seconds=30))).alias("left"),
+                  sc.expired(F.lit(t0), F.lit(t0)).alias("same"),
+                  sc.expired(F.lit(t0), F.lit(t0 + dt.timedelta(seconds=1))).alias("later")).first()
+    assert r.d == t0 + dt.timedelta(seconds=180) and r.left == 150.0
+    assert r.same is False and r.later is True
