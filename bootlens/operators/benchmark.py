@@ -25,6 +25,18 @@ def mean_gflops(results: DataFrame, keys: Sequence[str] = ("bench", "target", "s
     return results.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_lines"), F.avg("gflops").alias("mean_gflops"))
 
 
+def mean_gflops_from_lines(lines: DataFrame, keys: Sequence[str] = ("bench", "target", "smt")) -> DataFrame:
+    """A3 straight from result lines: GFLOPS values are summed per file
+    first (one partial row per file and task crosses the shuffle), the file
+    name is parsed once per file, then files are combined per (target, smt)."""
+    from bootlens.sources.files import gflops_lines, result_name_fields
+
+    per_file = gflops_lines(lines).groupBy("file_name").agg(F.sum("gflops").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    named = result_name_fields(per_file)
+    return (named.groupBy(*keys).agg(F.sum("_n").alias("n_lines"), F.sum("_s").alias("_s"))
+            .select(*keys, "n_lines", (F.col("_s") / F.col("n_lines")).alias("mean_gflops")))
+
+
 def smt_off_cpus(cpus: DataFrame) -> DataFrame:
     """W4 (``off``): per (host, core) the first cpu stays online (1), the
     other hardware threads go offline (0)."""

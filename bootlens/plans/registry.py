@@ -472,7 +472,7 @@ FROM r WHERE l_tax != 0 GROUP BY target, smt"""
 def mean_gflops(spark, sf_dir):
     from bootlens.operators import benchmark as bm
 
-    return bm.mean_gflops(src_files.parse_results(si.result_lines(spark, sf_dir)))
+    return bm.mean_gflops_from_lines(si.result_lines(spark, sf_dir))
 
 
 @query("gflops_by_group", """

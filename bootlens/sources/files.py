@@ -107,22 +107,36 @@ def first_number(text: Column) -> Column:
     return F.when(num != "", num.cast("double")).otherwise(F.lit(0.0))
 
 
-def parse_results(lines: DataFrame) -> DataFrame:
-    """Result lines -> (bench, size, target, smt, i, gflops).
-
-    Every line holding ``GFLOPS`` counts; the first ``GFLOPS *= *`` is
-    removed and the first word read as a number (0 when it is not one).
-    Fields come from ``res-BENCH-SIZE-TARGET-SmtSMT-I.out``."""
+def gflops_lines(lines: DataFrame) -> DataFrame:
+    """Result lines -> (file_name, gflops) for every line holding ``GFLOPS``:
+    the first ``GFLOPS *= *`` is removed and the first word read as a number
+    (0 when it is not one)."""
     g = lines.where(F.col("line").contains("GFLOPS"))
-    rest = F.regexp_replace(F.col("line"), r"^(.*?)GFLOPS *= *", "$1")
+    rest = F.concat_ws("", F.split(F.col("line"), "GFLOPS *= *", 2))   # drop the first marker only
     word = F.regexp_extract(rest, r"^\s*(\S*)", 1)
-    fn = F.col("file_name")
+    return g.select("file_name", first_number(word).alias("gflops"))
+
+
+def result_name_fields(df: DataFrame, file_name: str = "file_name") -> DataFrame:
+    """Add (bench, size, target, smt, i) from ``res-BENCH-SIZE-TARGET-SmtSMT-I.out``
+    (one regex pass; NULL fields for other names)."""
+    fn = F.col(file_name)
+    parts = F.when(fn.rlike(RESULT_NAME),
+                   F.split(F.regexp_replace(fn, RESULT_NAME, "$1\u0001$2\u0001$3\u0001$4\u0001$5"), "\u0001", 5))
+    d = df.withColumn("_rn", parts)
 
     def part(i):
-        return F.nullif(F.regexp_extract(fn, RESULT_NAME, i), F.lit(""))
+        return F.element_at(F.col("_rn"), i)
 
-    return g.select(fn, part(1).alias("bench"), part(2).cast("int").alias("size"), part(3).alias("target"),
-                    part(4).alias("smt"), part(5).cast("int").alias("i"), first_number(word).alias("gflops"))
+    return d.select(*df.columns, part(1).alias("bench"), part(2).cast("int").alias("size"), part(3).alias("target"),
+                    part(4).alias("smt"), part(5).cast("int").alias("i"))
+
+
+def parse_results(lines: DataFrame) -> DataFrame:
+    """Result lines -> (file_name, bench, size, target, smt, i, gflops), one
+    row per GFLOPS line."""
+    return result_name_fields(gflops_lines(lines)).select(
+        "file_name", "bench", "size", "target", "smt", "i", "gflops")
 
 
 # --------------------------------------------------------------------------

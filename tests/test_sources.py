@@ -48,6 +48,9 @@ def test_results(spark, tmp_dir):
     assert got == {("myblas", "on"): (3, (10.5 + 0 + 35.0) / 3), ("pkgblas", "off"): (1, 4.0)}
     sizes = sorted({x.size for x in r.collect()})
     assert sizes == [1600, 3200]
+    lines = sf.read_results(spark, f"{tmp_dir}/res")
+    got2 = {(x.target, x.smt): (x.n_lines, x.mean_gflops) for x in bm.mean_gflops_from_lines(lines).collect()}
+    assert got2 == got
 
 
 def test_listing_and_counts(spark, tmp_dir):
