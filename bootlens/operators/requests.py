@@ -61,7 +61,8 @@ def check_session(requests: DataFrame, hashes: DataFrame, now: Column, session:
     or its nonce differs from ``nonce2``.  NULL never matches a nonce (also
     after use, where the reference's empty value would compare equal).
     Among valid requests of one session only the first (in ``order``) is
-    accepted; the later ones are 'reused'.  Output: the requests with
+    accepted; the later ones are 'reused'.  ``order`` must not tie within a
+    session (end it with a request id).  Output: the requests with
     ``verdict``."""
     h = hashes.select(F.col("session_id").alias("_sid"), "session_good_for", "nonce2")
     j = requests.join(h, requests[session] == F.col("_sid"), "left")

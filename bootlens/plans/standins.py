@@ -18,8 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def epoch_of(ts: Column) -> Column:
-    """Epoch seconds as decimal(20,9) from a timestamp (NTZ read as UTC)."""
-    us = F.unix_micros(ts.cast("timestamp"))
+    """Epoch seconds as decimal(20,9) from a TIMESTAMP_NTZ wall clock read as
+    UTC, whatever the session time zone is."""
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    us = F.timestamp_diff("MICROSECOND", zero, ts.cast("timestamp_ntz"))
     return (us.cast("decimal(20,0)") / F.lit(1000000)).cast(EPOCH)
 
 
