@@ -58,8 +58,9 @@ def check_session(requests: DataFrame, hashes: DataFrame, now: Column, session:
 
     A request is refused when its session is unknown, expired
     (``session_good_for < now``, strictly: expiring exactly now is valid),
-    or its nonce differs from ``nonce2``.  NULL never matches a nonce (also
-    after use, where the reference's empty value would compare equal).
+    or its nonce differs from ``nonce2``.  A NULL or empty nonce never
+    matches (also after use, where the reference's empty value would compare
+    equal).
     Among valid requests of one session only the first (in ``order``) is
     accepted; the later ones are 'reused'.  ``order`` must not tie within a
     session (end it with a request id).  Output: the requests with
@@ -68,7 +69,8 @@ def check_session(requests: DataFrame, hashes: DataFrame, now: Column, session:
     j = requests.join(h, requests[session] == F.col("_sid"), "left")
     base = (F.when(F.col("_sid").isNull(), F.lit("unknown session"))
             .when(F.col("session_good_for") < now, F.lit("expired"))
-            .when(~F.coalesce(F.col(nonce) == F.col("nonce2"), F.lit(False)), F.lit("bad nonce")))
+            .when(~F.coalesce(F.nullif(F.col(nonce), F.lit("")) == F.nullif(F.col("nonce2"), F.lit("")), F.lit(False)),
+                  F.lit("bad nonce")))
     j = j.withColumn("_base", base).drop("_sid", "session_good_for", "nonce2")
     valid = j.where(F.col("_base").isNull())
     firsts = (first_use(valid, [session], list(order), list(order), count_as=None)

@@ -39,15 +39,16 @@ def test_scalars(spark):
 def test_check_session(spark):
     now = dt.datetime(2024, 1, 1, 12, 0, 0)
     hashes = spark.createDataFrame([("s1", now + dt.timedelta(hours=1), "n1"), ("s2", now - dt.timedelta(seconds=1), "n2"),
-                                    ("s3", now, "n3"), ("s4", now + dt.timedelta(hours=1), None)],
+                                    ("s3", now, "n3"), ("s4", now + dt.timedelta(hours=1), None),
+                                    ("s5", now + dt.timedelta(hours=1), "")],
                                    "session_id string, session_good_for timestamp, nonce2 string")
     req = spark.createDataFrame([("r1", "s1", "n1", now), ("r2", "s1", "n1", now + dt.timedelta(seconds=5)),
                                  ("r3", "s2", "n2", now), ("r4", "s3", "n3", now), ("r5", "s1", "bad", now),
-                                 ("r6", "s9", "x", now), ("r7", "s4", "", now)],
+                                 ("r6", "s9", "x", now), ("r7", "s4", "", now), ("r8", "s5", "", now)],
                                 "rid string, session_id string, nonce string, ts timestamp")
     got = {x.rid: x.verdict for x in rq.check_session(req, hashes, F.lit(now)).collect()}
     assert got == {"r1": "ok", "r2": "reused", "r3": "expired", "r4": "ok", "r5": "bad nonce",
-                   "r6": "unknown session", "r7": "bad nonce"}
+                   "r6": "unknown session", "r7": "bad nonce", "r8": "bad nonce"}
 
 
 def test_boot_outcome(spark):
