@@ -200,6 +200,15 @@ def gflops(n, seconds) -> Column:
     return F.lit(2.0) * F.pow(_c(n).cast("double"), 3) / _c(seconds) * F.lit(1e-9)
 
 
+def passwd_homes(lines):
+    """F19 lookup table: passwd lines (column ``line``, ``name:x:uid:gid:gecos:home:shell``)
+    to (user, home), the first line of a name winning (P7, a partial
+    ``min_by`` on the line number ``line_no``)."""
+    fields = F.split(F.col("line"), ":")
+    rows = lines.select(F.get(fields, 0).alias("user"), F.get(fields, 5).alias("home"), "line_no")
+    return rows.where(F.col("user").isNotNull()).groupBy("user").agg(F.min_by("home", "line_no").alias("home"))
+
+
 def home_dir(user, passwd_home) -> Column:
     """home directory: passwd field 6 when known, else /root for root
     and /home/USER otherwise."""

@@ -50,10 +50,22 @@ def manifest_lines(files: DataFrame, path: str = "path", text: str = "text") ->
                         .alias("error"))
 
 
-def manifest_table(lines: DataFrame) -> DataFrame:
+def manifest_table(lines: DataFrame, listing: DataFrame | None = None, root: str | None = None) -> DataFrame:
     """One row per repo: kernel, initrd, param, kernelsig, initrdsig (the
     last line of each key wins), and ``error``: the first bad line, else a
-    missing kernel or initrd."""
+    missing kernel or initrd.
+
+    With a file ``listing`` (``path`` column) and the repository ``root``,
+    a line naming a file that is not there is an error too ("cannot read"),
+    as the reference reads every named file."""
+    if listing is not None:
+        present = listing.select(F.col("path").alias("_p"), F.lit(True).alias("_there"))
+        want = F.concat(F.lit(root.rstrip("/") + "/"), F.col("repo"), F.lit("/"), F.col("value"))
+        lines = (lines.join(present, want == F.col("_p"), "left")
+                 .withColumn("error", F.coalesce(F.col("error"),
+                                                 F.when(F.col("_there").isNull(),
+                                                        F.concat(F.lit("cannot read "), F.col("value")))))
+                 .drop("_p", "_there"))
     ok = F.col("error").isNull()
     aggs = [F.max_by(F.when(ok & (F.col("key") == k), F.col("value")),
                      F.when(ok & (F.col("key") == k), F.col("line_no"))).alias(k) for k in MANIFEST_KEYS]

@@ -83,3 +83,13 @@ def test_deadlines(spark):
                   sc.expired(F.lit(t0), F.lit(t0 + dt.timedelta(seconds=1))).alias("later")).first()
     assert r.d == t0 + dt.timedelta(seconds=180) and r.left == 150.0
     assert r.same is False and r.later is True
+
+
+def test_passwd_home(spark):
+    lines = spark.createDataFrame([("root:x:0:0:root:/root:/bin/sh", 1), ("bob:x:1000:1000::/srv/bob:/bin/sh", 2),
+                                   ("bob:x:1001:1001::/other:/bin/sh", 3)], "line string, line_no long")
+    homes = sc.passwd_homes(lines)
+    users = spark.createDataFrame([("bob",), ("eve",), ("root",)], "user string")
+    got = {r.user: r.h for r in users.join(homes, "user", "left")
+           .select("user", sc.home_dir(F.col("user"), F.col("home")).alias("h")).collect()}
+    assert got == {"bob": "/srv/bob", "eve": "/home/eve", "root": "/root"}

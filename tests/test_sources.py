@@ -26,6 +26,13 @@ def test_manifests(spark, tmp_dir):
     assert t["r2"].error == "syntax error: # comment"
     assert t["r3"].error == "syntax error: foo bar"
     assert t["r4"].error == "initrd must be specified"
+    listing = sf.read_listing(spark, root)
+    _write(f"{root}/r5/BMCfile", "kernel k5\ninitrd i5\n")
+    _write(f"{root}/r5/k5", "x")
+    t2 = {r.repo: r for r in sf.manifest_table(sf.read_manifests(spark, root), sf.read_listing(spark, root),
+                                               root).collect()}
+    assert t2["r5"].error == "cannot read i5"
+    assert listing is not None
 
 
 def test_manifest_from_listing(spark):
