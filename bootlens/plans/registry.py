@@ -11,8 +11,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bootlens.operators import timeline as tl
+from bootlens.functions import scalars as sc
+from bootlens.operators import allocation, catalog as cat, changes as chg, meter, quality as qa
+from bootlens.operators import requests as rq, timeline as tl, windows as win
 from bootlens.plans import standins as si
+from bootlens.session import scratch_dir
+from bootlens.sources import catalog as src_cat, files as src_files
+from bootlens.streaming import boot as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,7 +62,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------
 # metering: J17, A5, A6, A8 ; boot outcome J18 ; windows W2, W3, W4, W6, W7
 
-from bootlens.operators import meter, requests as rq, windows as win  # noqa: E402
 
 _IV_SQL = """
 WITH m AS (
@@ -189,7 +193,6 @@ def first_of_group(spark, sf_dir):
 # --------------------------------------------------------------------------
 # catalog: J1-J4, J6-J10, J12, P4, U1, A1, A2, A7
 
-from bootlens.operators import allocation, catalog as cat  # noqa: E402
 
 _FLEET_SQL = """
 WITH nodes AS (
@@ -409,11 +412,6 @@ def duplicates(spark, sf_dir):
 # --------------------------------------------------------------------------
 # scalars F1-F5, F7, F11, F12, F14, F18 ; sources S2/S3/S6, S9 ; A3, A7 ; Q1-Q4 ; M2, M3
 
-from bootlens.functions import scalars as sc  # noqa: E402
-from bootlens.operators import changes as chg, quality as qa  # noqa: E402
-from bootlens.session import scratch_dir  # noqa: E402
-from bootlens.sources import catalog as src_cat, files as src_files  # noqa: E402
-
 
 @query("scalar_set", r"""
 SELECT page_id,
@@ -604,8 +602,6 @@ def dump_all(spark, sf_dir):
 # --------------------------------------------------------------------------
 # requests J13, J14 ; streams T1-T3
 
-from bootlens.streaming import boot as stream  # noqa: E402
-
 
 def _order_requests(spark, sf_dir):
     o = si.table(spark, sf_dir, "orders")
