@@ -703,3 +703,23 @@ _PHASE_TIMES_SQL = ORACLE["phase_times"]
 @query("timeline_phase_times", _PHASE_TIMES_SQL)
 def timeline_phase_times(spark, sf_dir):
     return flagship(spark, sf_dir)
+
+
+@query("check_session", """
+WITH h AS (SELECT CAST(c_custkey AS VARCHAR) AS session_id, make_timestamp(c_nationkey + 1990, 1, 1, 0, 0, 0) AS good_for,
+                  c_mktsegment AS nonce2 FROM customer),
+r AS (SELECT o_orderkey AS rid, CAST(o_custkey AS VARCHAR) AS session_id,
+             CASE WHEN o_orderpriority = '1-URGENT' THEN 'stale' ELSE c_mktsegment END AS nonce, o_orderdate AS ts
+      FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+j AS (SELECT r.*, CASE WHEN h.session_id IS NULL THEN 'unknown session'
+                        WHEN h.good_for < TIMESTAMP '2000-01-01 00:00:00' THEN 'expired'
+                        WHEN NOT coalesce(nullif(r.nonce, '') = nullif(h.nonce2, ''), false) THEN 'bad nonce' END AS base
+      FROM r LEFT JOIN h ON h.session_id = r.session_id),
+f AS (SELECT session_id, min((ts, rid)) AS first FROM j WHERE base IS NULL GROUP BY session_id)
+SELECT j.rid, j.session_id, j.nonce, j.ts,
+       CASE WHEN base IS NOT NULL THEN base WHEN (j.ts, j.rid) = f.first THEN 'ok' ELSE 'reused' END AS verdict
+FROM j LEFT JOIN f ON f.session_id = j.session_id""")
+def check_session(spark, sf_dir):
+    req, hashes = si.sessions(spark, sf_dir)
+    now = F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
+    return rq.check_session(req, hashes, now, order=("ts", "rid"))

@@ -190,3 +190,22 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, schema) -> DataFra
     folder, so the folder is read with a filter on the file name)."""
     return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
             .option("recursiveFileLookup", False).parquet(sf_dir))
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """One-time sessions: a session per customer (valid until 1 January of
+    1990 + nation, nonce = market segment) and a request per order (the
+    customer's session, the segment as nonce except on urgent orders, at the
+    order date)."""
+    c = table(spark, sf_dir, "customer")
+    o = table(spark, sf_dir, "orders")
+    hashes = c.select(F.col("c_custkey").cast("string").alias("session_id"),
+                      F.make_timestamp(F.col("c_nationkey") + 1990, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+                      .cast("timestamp_ntz").alias("session_good_for"),
+                      F.col("c_mktsegment").alias("nonce2"))
+    seg = c.select(F.col("c_custkey").alias("_ck"), F.col("c_mktsegment").alias("_seg"))
+    req = o.join(seg, o.o_custkey == seg._ck, "left").select(
+        F.col("o_orderkey").alias("rid"), F.col("o_custkey").cast("string").alias("session_id"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("stale")).otherwise(F.col("_seg")).alias("nonce"),
+        F.col("o_orderdate").alias("ts"))
+    return req, hashes
