@@ -42,3 +42,21 @@ def test_hot_key_is_split(spark, seq_df):
     ensure_checkpoint_dir(spark)
     ranged = seq_df.repartitionByRange(9, "k", "t", "seq").withColumn("p", F.spark_partition_id())
     assert ranged.where("k = 1").select("p").distinct().count() > 1
+
+
+def test_many_empty_ranges_and_global_numbering(spark):
+    rows = [(i % 3 if i % 5 else None, i * 7 % 11, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, t int, seq long")
+    got = ordered_scan(df, ["k"], ["t", "seq"], [Lag(["seq"]), Count("n")], partitions=97)
+    w = W.partitionBy("k").orderBy("t", "seq")
+    exp = df.select("*", F.lag("seq").over(w).alias("prev_seq"), F.row_number().over(w).cast("long").alias("n"))
+    assert got.select(*exp.columns).exceptAll(exp).count() == 0
+    glob = ordered_scan(df, [], ["t", "seq"], [Count("n")], partitions=6)
+    exp2 = df.select("seq", F.row_number().over(W.orderBy("t", "seq")).cast("long").alias("n"))
+    assert glob.select("seq", "n").exceptAll(exp2).count() == 0
+
+
+def test_empty_input(spark):
+    df = spark.createDataFrame([], "k int, t int, seq long")
+    out = ordered_scan(df, ["k"], ["t", "seq"], [Lag(["seq"]), Fill(["seq"], F.lit(True)), Count("n")], partitions=4)
+    assert out.count() == 0 and "prev_seq" in out.columns
