@@ -93,3 +93,38 @@ def test_passwd_home(spark):
     got = {r.user: r.h for r in users.join(homes, "user", "left")
            .select("user", sc.home_dir(F.col("user"), F.col("home")).alias("h")).collect()}
     assert got == {"bob": "/srv/bob", "eve": "/home/eve", "root": "/root"}
+
+
+def test_catalog_reader(spark, tmp_dir):
+    from bootlens.schemas import NODE
+    from bootlens.sources import catalog as src_cat
+
+    nodes = fleet(spark)[0]
+    nodes.write.parquet(f"{tmp_dir}/db/Node")
+    back = src_cat.catalog(spark, f"{tmp_dir}/db", "Node")
+    assert back.schema == NODE and back.count() == nodes.count()
+    raw = spark.createDataFrame([("1",), ("0",), ("x",)], "v string")
+    assert [r.b for r in raw.select(src_cat.as_bool("v").alias("b")).collect()] == [True, False, None]
+
+
+def test_reset_atime_rule(spark):
+    from bootlens.operators import quality as qa
+
+    req = spark.createDataFrame([("a", "nfs", True), ("b", "ramfs", True), ("c", "ramfs", False), ("d", "isofs", None)],
+                                "request_id string, fstype string, reset_atime boolean")
+    assert [(r.key, r.detail) for r in qa.reset_atime_rule(req).collect()] == [("b", "fstype=ramfs")]
+
+
+def test_insert_absent_and_log(spark, tmp_dir):
+    from bootlens.operators import changes as chg
+    from bootlens.schemas import KERNEL, LOG
+
+    kernels = fleet(spark)[2]
+    rows = spark.createDataFrame([(None, "kA", "x", None, None), (None, "kQ", "q", None, None)], KERNEL)
+    new = {r.kernel_name: (r.kernel_id, r.kernel_file) for r in chg.insert_absent(kernels, rows, "kernel_name",
+                                                                                  "kernel_id").collect()}
+    assert new["kA"] == (10, "k/a") and new["kQ"] == (13, "q")
+    log = spark.createDataFrame([(dt.datetime(2024, 1, 1), 42, "addnode n1")], LOG)
+    chg.append_log(log, f"{tmp_dir}/log")
+    chg.append_log(log, f"{tmp_dir}/log")
+    assert spark.read.parquet(f"{tmp_dir}/log").count() == 2
