@@ -14,7 +14,11 @@ sides then meet on an equi-join of (rank, number).
 
 Requests with ``le``/``ge``/``any`` compete for overlapping pools and are
 sequential by nature; they are returned with the reason "not an eq request"
-and are not allocated here (see README).
+and are not allocated here (see README).  The TPM rule (P5) is not applied
+either: an ``s-ramfs`` request and a plain request of the same rank share
+the TPM nodes in request order, which is again sequential; pass only the
+free nodes a batch may use (e.g. TPM nodes for an ``s-ramfs`` batch), and
+use ``catalog.candidates`` (J5) to check fit.
 """
 
 from __future__ import annotations
