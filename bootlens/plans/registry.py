@@ -723,3 +723,30 @@ def check_session(spark, sf_dir):
     req, hashes = si.sessions(spark, sf_dir)
     now = F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")
     return rq.check_session(req, hashes, now, order=("ts", "rid"))
+
+
+@query("first_use_stream", """
+SELECT DISTINCT CAST(user_id AS VARCHAR) AS bmc_id, props FROM events""")
+def first_use_stream(spark, sf_dir):
+    """T4 over the events file as a stream: a session is (user, props); only
+    its first use passes."""
+    ev = si.table(spark, sf_dir, "events")
+    s = stream.as_event_time(si.table_stream(spark, sf_dir, "events", ev.schema))
+    req = s.select(F.col("user_id").cast("string").alias("bmc_id"), "props", "ts",
+                   F.concat_ws("/", F.col("user_id").cast("string"), F.col("props")).alias("session_id"))
+    name = _stream_name("t4")
+    out = stream.run_to_table(stream.first_use_stream(req), name, scratch_dir(spark, name))
+    return out.select("bmc_id", "props")
+
+
+@query("interval_stream")
+def interval_stream(spark, sf_dir):
+    """T5 over the events file as a stream: signup begins and purchase ends
+    a session of the user, first end within 6 h (rows only: the newest
+    begins stay open until the watermark passes their bound)."""
+    ev = _event_stream(spark, sf_dir)
+    marks = (ev.where(F.col("event_type").isin("signup", "purchase"))
+             .select("bmc_id", F.lit("session").alias("phase"), "ts", "seq",
+                     F.when(F.col("event_type") == "signup", F.lit("begin")).otherwise(F.lit("end")).alias("kind")))
+    name = _stream_name("t5")
+    return stream.run_to_table(stream.interval_stream(marks, bound_seconds=6 * 3600), name, scratch_dir(spark, name))
