@@ -196,8 +196,8 @@ def expired(valid_until, now) -> Column:
 
 
 def gflops(n, seconds) -> Column:
-    """GFLOPS of an n x n matrix multiply: 2 n^3 / t * 1e-9."""
-    return F.lit(2.0) * F.pow(_c(n).cast("double"), 3) / _c(seconds) * F.lit(1e-9)
+    """GFLOPS of an n x n matrix multiply: 2 n^3 / t * 1e-9 (NULL for t = 0)."""
+    return F.try_divide(F.lit(2.0) * F.pow(_c(n).cast("double"), 3), _c(seconds)) * F.lit(1e-9)
 
 
 def passwd_homes(lines):

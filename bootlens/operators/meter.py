@@ -60,7 +60,8 @@ def phase_energy(intervals: DataFrame, samples: DataFrame, keys: Sequence[str] =
     """A5: energy (joule) and mean power (watt) per closed interval.
 
     joule = sum over consecutive inside samples of (v0 + v1) / 2 * (t1 - t0);
-    watt = joule / interval seconds.  Intervals without samples give no row.
+    watt = joule / interval seconds (NULL for a zero-length interval).
+    Intervals without samples give no row.
     """
     keys = list(keys)
     s = prepare_samples(samples, keys, delay=delay, floor=floor, partitions=partitions)
@@ -73,7 +74,7 @@ def phase_energy(intervals: DataFrame, samples: DataFrame, keys: Sequence[str] =
             .agg(F.count(F.lit(1)).alias("n_samples"), F.coalesce(F.sum(term), F.lit(0.0)).alias("_joule"))
             .select(*keys, "phase", "begin_seq", seconds.alias("seconds"), "n_samples",
                     F.round("_joule", 6).alias("joule"),
-                    F.round(F.col("_joule") / seconds, 6).alias("watt")))
+                    F.round(F.try_divide(F.col("_joule"), seconds), 6).alias("watt")))
 
 
 def phase_net(intervals: DataFrame, samples: DataFrame, keys: Sequence[str] = ("bmc_id",),

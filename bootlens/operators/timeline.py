@@ -134,7 +134,7 @@ def phase_times(intervals: DataFrame, keys: Sequence[str] = ("bmc_id", "phase"))
             .agg(F.count("end_epoch").alias("n_closed"),
                  (F.count(F.lit(1)) - F.count("end_epoch")).alias("n_open"),
                  total.alias("total_sec"))
-            .withColumn("avg_sec", F.col("total_sec") / F.col("n_closed")))
+            .withColumn("avg_sec", F.try_divide(F.col("total_sec"), F.col("n_closed"))))
 
 
 def relative_time(df: DataFrame, key: str = "bmc_id", epoch: str = "epoch", out: str = "rel_sec") -> DataFrame:
@@ -162,7 +162,7 @@ def attach_pid(m: DataFrame, keys: Sequence[str] = ("host", "run_epoch", "run_se
     note = F.regexp_extract("message", NOTE_PATTERN, 1)
     noted = (m.where(F.col("message").rlike(NOTE_PATTERN))
              .select(*keys, "pid", F.nullif(F.regexp_extract(note, r"bmcid=(\S+)", 1), F.lit("")).alias("_note_id"),
-                     F.nullif(F.regexp_extract(note, r"parent=(\d+)", 1), F.lit("")).cast("long").alias("_parent"))
+                     F.nullif(F.regexp_extract(note, r"parent=(\d+)", 1), F.lit("")).try_cast("long").alias("_parent"))
              .groupBy(*keys, "pid").agg(F.max("_note_id").alias("_note_id"), F.max("_parent").alias("parent_pid")))
     joined = _null_safe_join(m, noted, [*keys, "pid"])
     return joined.withColumn("bmc_id", F.coalesce("bmc_id", "_note_id")).drop("_note_id")

@@ -116,7 +116,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 def first_number(text: Column) -> Column:
     """The leading number of a word, 0 when there is none (awk's ``$1``)."""
     num = F.regexp_extract(text, NUMBER_PREFIX, 1)
-    return F.when(num != "", num.cast("double")).otherwise(F.lit(0.0))
+    return F.when(num != "", num.try_cast("double")).otherwise(F.lit(0.0))
 
 
 def gflops_lines(lines: DataFrame) -> DataFrame:
@@ -140,8 +140,8 @@ def result_name_fields(df: DataFrame, file_name: str = "file_name") -> DataFrame
     def part(i):
         return F.element_at(F.col("_rn"), i)
 
-    return d.select(*df.columns, part(1).alias("bench"), part(2).cast("int").alias("size"), part(3).alias("target"),
-                    part(4).alias("smt"), part(5).cast("int").alias("i"))
+    return d.select(*df.columns, part(1).alias("bench"), part(2).try_cast("int").alias("size"), part(3).alias("target"),
+                    part(4).alias("smt"), part(5).try_cast("int").alias("i"))
 
 
 def parse_results(lines: DataFrame) -> DataFrame:

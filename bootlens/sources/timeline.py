@@ -25,6 +25,7 @@ def parse_lines(lines: DataFrame, value: str = "value", host: Column | None = No
     """
     v = F.col(value)
     ok = v.rlike(LINE_PATTERN)
+    # a line is valid when it matches and its numbers fit their types
 
     def g(i):
         return F.when(ok, F.regexp_extract(v, LINE_PATTERN, i))
@@ -32,11 +33,11 @@ def parse_lines(lines: DataFrame, value: str = "value", host: Column | None = No
     return lines.select(
         (host if host is not None else F.lit(None).cast("string")).alias("host"),
         g(1).alias("local_date"),
-        g(2).cast(EPOCH).alias("epoch"),
-        g(3).cast("long").alias("pid"),
+        g(2).try_cast(EPOCH).alias("epoch"),      # NULL (not a failed job) on overflow
+        g(3).try_cast("long").alias("pid"),
         g(4).alias("message"),
         (seq if seq is not None else F.monotonically_increasing_id()).alias("seq"),
-        ok.alias("valid"),
+        (ok & g(2).try_cast(EPOCH).isNotNull() & g(3).try_cast("long").isNotNull()).alias("valid"),
         v.alias("line"),
     )
 

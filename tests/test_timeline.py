@@ -118,3 +118,10 @@ def test_relative_time(spark):
                                "bmc_id string, epoch decimal(20,9)")
     got = sorted((r.bmc_id, r.rel_sec) for r in tl.relative_time(df).collect())
     assert got == [("a", 0.0), ("a", 1.5), ("b", 0.0)]
+
+
+def test_oversized_numbers_are_rejects(spark):
+    df = spark.createDataFrame([("d|123456789012345678901234.5|1|x:begin|", 1), ("d|1.5|99999999999999999999999|x:end|", 2)],
+                               "value string, seq long")
+    rows = parse_lines(df, seq=F.col("seq")).collect()
+    assert [r.valid for r in rows] == [False, False]
