@@ -27,11 +27,15 @@ def _with_new_ids(rows: DataFrame, base: DataFrame, id_col: str, order: str,
             .withColumn(id_col, F.col("_top") + F.col("_n")).drop("_one", "_top", "_n"))
 
 
-def apply_insert(table: DataFrame, rows: DataFrame, name: str, id_col: str,
+def apply_insert(table: DataFrame, rows: DataFrame, name: str, id_col: str, empty_as_null: bool = True,
                  partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """M1: insert rows whose name is new; known names are refused.
 
-    Returns (new table, refused rows)."""
+    With ``empty_as_null`` (the node insert) empty text is stored as NULL;
+    image imports keep ''.  Returns (new table, refused rows)."""
+    if empty_as_null:
+        rows = rows.select(*[F.nullif(F.col(c), F.lit("")).alias(c) if t == "string" else F.col(c)
+                             for c, t in rows.dtypes])
     known = table.select(name)
     new = rows.join(known, name, "left_anti")
     refused = rows.join(known, name, "left_semi").withColumn("error", F.concat(F.lit("exists: "), F.col(name)))
@@ -91,7 +95,7 @@ def delete_by_name(table: DataFrame, names: DataFrame, name: str) -> tuple[DataF
 def insert_absent(table: DataFrame, rows: DataFrame, name: str, id_col: str,
                   partitions: int | None = None) -> DataFrame:
     """M6: insert rows whose name is absent; present names are left alone."""
-    return apply_insert(table, rows, name, id_col, partitions)[0]
+    return apply_insert(table, rows, name, id_col, empty_as_null=False, partitions=partitions)[0]
 
 
 def latest_state(events: DataFrame, key: str = "bmc_id", order: Sequence[str] = ("epoch", "seq"),

@@ -22,10 +22,11 @@ def test_insert_upsert_replace(spark):
                                                        "kernel_name", "kernel_id").collect()}
     assert (rep["kA"].kernel_id, rep["kM"].kernel_id, rep["kN"].kernel_id) == (13, 14, 15)
     assert len(rep) == 5
-    rows = spark.createDataFrame([(None, "kA", "f", None, None), (None, "kZ", "f", None, None)], KERNEL)
+    rows = spark.createDataFrame([(None, "kA", "f", None, None), (None, "kZ", "f", "", "")], KERNEL)
     new, refused = chg.apply_insert(kernels, rows, "kernel_name", "kernel_id")
     assert [r.kernel_name for r in refused.collect()] == ["kA"]
-    assert {r.kernel_name: r.kernel_id for r in new.collect()}["kZ"] == 13
+    z = {r.kernel_name: r for r in new.collect()}["kZ"]
+    assert z.kernel_id == 13 and z.kernel_sig_file is None and z.kernel_param is None
 
 
 def test_set_and_delete(spark):
