@@ -6,8 +6,8 @@ Catalog sides (images, nodes) are small next to containers and events in
 practice, but nothing here assumes it: joins are plain equi-joins, so AQE
 picks broadcast when the measured size allows and splits skewed partitions
 otherwise.  Explicit broadcast is used only for tables of a proven size
-(a one-row flag, the handful of image kinds, the distinct ranks of a
-rank-matching step that is bounded by the request predicates).
+(the edge table of an ordered scan).  J8's NULL rule is an EXISTS
+subquery, not a join.
 """
 
 from __future__ import annotations
@@ -133,15 +133,14 @@ def deletable_nodes(nodes: DataFrame, containers: DataFrame, null_aware: bool =
 
     ``null_aware=True`` keeps the reference's ``NOT IN`` without a NULL
     guard: one container with NULL node_id (any terminated one) makes the
-    result empty.  The NULL test is a one-row flag (``limit(1)``, a proven
-    bound, broadcast) and the rest a left anti join, so it plans as a
-    shuffle or broadcast join rather than a null-aware broadcast of the whole
-    container side.  ``null_aware=False`` is J6."""
+    result empty.  The NULL test is an uncorrelated EXISTS subquery (run
+    once, stops at the first NULL) and the rest a left anti join, so it plans
+    as a shuffle or broadcast join rather than a null-aware broadcast of the
+    whole container side.  ``null_aware=False`` is J6."""
     free = free_nodes(nodes, containers, node_id)
     if not null_aware:
         return free
-    has_null = containers.where(F.col(node_id).isNull()).select(F.lit(1).alias("_null")).limit(1)
-    return free.join(F.broadcast(has_null), F.lit(True), "left_anti")
+    return free.where(~containers.where(F.col(node_id).isNull()).exists())
 
 
 def candidates(requests: DataFrame, kernels: DataFrame, initrds: DataFrame, rootfs: DataFrame, nodes: DataFrame,

@@ -20,11 +20,9 @@ def _with_new_ids(rows: DataFrame, base: DataFrame, id_col: str, order: str,
                   partitions: int | None = None) -> DataFrame:
     """Give ``rows`` ids max(base id) + 1, + 2, ... in ``order`` (unique
     among ``rows``; names are)."""
-    top = (base.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long").alias("_top"))
-           .withColumn("_one", F.lit(1)))
+    top = base.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).scalar()   # scalar subquery, run once
     numbered = ordered_scan(rows, [], [order], [Count("_n")], partitions=partitions)
-    return (numbered.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one")  # one row: proven bound
-            .withColumn(id_col, F.col("_top") + F.col("_n")).drop("_one", "_top", "_n"))
+    return numbered.withColumn(id_col, top + F.col("_n")).drop("_n")
 
 
 def apply_insert(table: DataFrame, rows: DataFrame, name: str, id_col: str, empty_as_null: bool = True,
