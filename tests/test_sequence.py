@@ -60,3 +60,11 @@ def test_empty_input(spark):
     df = spark.createDataFrame([], "k int, t int, seq long")
     out = ordered_scan(df, ["k"], ["t", "seq"], [Lag(["seq"]), Fill(["seq"], F.lit(True)), Count("n")], partitions=4)
     assert out.count() == 0 and "prev_seq" in out.columns
+
+
+@pytest.mark.parametrize("parts", [1, 2, 13])
+def test_result_does_not_depend_on_ranges(spark, seq_df, parts):
+    ops = lambda: [Lag(["v"]), Fill(["seq"], F.col("flag"), "f_"), Count("n")]
+    base = ordered_scan(seq_df, ["k"], ["t", "seq"], ops(), descending=True, partitions=5)
+    other = ordered_scan(seq_df, ["k"], ["t", "seq"], ops(), descending=True, partitions=parts)
+    assert base.exceptAll(other).count() == 0 and other.exceptAll(base).count() == 0
