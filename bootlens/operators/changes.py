@@ -96,7 +96,7 @@ def insert_absent(table: DataFrame, rows: DataFrame, name: str, id_col: str,
     return apply_insert(table, rows, name, id_col, empty_as_null=False, partitions=partitions)[0]
 
 
-def latest_state(events: DataFrame, key: str = "bmc_id", order: Sequence[str] = ("epoch", "seq"),
+def latest_state(events: DataFrame, key: str = "bmc_id", order: Sequence[str] = ("epoch_ns", "seq"),
                  state: str = "state") -> DataFrame:
     """Current state per container from state events (last wins, by
     partial ``max_by``)."""

@@ -19,19 +19,19 @@ from typing import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from bootlens.operators.sequence import Lag, ordered_scan
-from bootlens.schemas import seconds_lit
+from bootlens.schemas import NS_PER_SECOND, ns_lit, span_seconds
 
-INTERVAL_COLS = ("phase", "begin_epoch", "begin_seq", "end_epoch")
+INTERVAL_COLS = ("phase", "begin_ns", "begin_seq", "end_ns")
 
 
 def samples_in(intervals: DataFrame, samples: DataFrame, keys: Sequence[str] = ("bmc_id",),
-               begin: str = "begin_epoch", end: str = "end_epoch", ts: str = "epoch",
+               begin: str = "begin_ns", end: str = "end_ns", ts: str = "epoch_ns",
                bin_seconds: float = 3600.0) -> DataFrame:
     """Pairs (interval, sample) of the same key with begin <= ts <= end.
 
     Open intervals (NULL end) match nothing."""
     keys = list(keys)
-    w = F.lit(bin_seconds)
+    w = F.lit(int(bin_seconds * NS_PER_SECOND))
     iv = (intervals.where(F.col(end).isNotNull())
           .withColumn("_bin", F.explode(F.sequence(F.floor(F.col(begin) / w), F.floor(F.col(end) / w)))))
     sm = samples.withColumn("_bin", F.floor(F.col(ts) / w))
@@ -40,17 +40,17 @@ def samples_in(intervals: DataFrame, samples: DataFrame, keys: Sequence[str] = (
             .drop("_bin"))
 
 
-def prepare_samples(samples: DataFrame, keys: Sequence[str] = ("bmc_id",), ts: str = "epoch",
+def prepare_samples(samples: DataFrame, keys: Sequence[str] = ("bmc_id",), ts: str = "epoch_ns",
                     seq: str = "seq", value: str = "value", delay: float = 0.0,
                     floor: float | None = None, partitions: int | None = None) -> DataFrame:
     """Drop samples below ``floor`` (min power threshold), shift sample time
     back by ``delay`` seconds (meter delay) and add the previous sample of
-    the same source (``prev_epoch``, ``prev_value``)."""
+    the same source (``prev_epoch_ns``, ``prev_value``)."""
     s = samples
     if floor is not None:
         s = s.where(F.col(value) >= F.lit(floor))
     if delay:
-        s = s.withColumn(ts, (F.col(ts) - seconds_lit(delay)).cast(samples.schema[ts].dataType))
+        s = s.withColumn(ts, F.col(ts) - ns_lit(delay))
     return ordered_scan(s, list(keys), [ts, seq], [Lag([ts, value], prefix="prev_")], partitions=partitions)
 
 
@@ -66,10 +66,10 @@ def phase_energy(intervals: DataFrame, samples: DataFrame, keys: Sequence[str] =
     keys = list(keys)
     s = prepare_samples(samples, keys, delay=delay, floor=floor, partitions=partitions)
     m = samples_in(intervals, s, keys, bin_seconds=bin_seconds)
-    pair_inside = F.col("prev_epoch") >= F.col("begin_epoch")
-    dt = (F.col("epoch") - F.col("prev_epoch")).cast("double")
+    pair_inside = F.col("prev_epoch_ns") >= F.col("begin_ns")
+    dt = span_seconds(F.col("epoch_ns") - F.col("prev_epoch_ns"))
     term = F.when(pair_inside, (F.col("value") + F.col("prev_value")) / F.lit(2.0) * dt)
-    seconds = (F.col("end_epoch") - F.col("begin_epoch")).cast("double")
+    seconds = span_seconds(F.col("end_ns") - F.col("begin_ns"))
     return (m.groupBy(*keys, *INTERVAL_COLS)
             .agg(F.count(F.lit(1)).alias("n_samples"), F.coalesce(F.sum(term), F.lit(0.0)).alias("_joule"))
             .select(*keys, "phase", "begin_seq", seconds.alias("seconds"), "n_samples",
@@ -98,12 +98,12 @@ def phase_report(requests: DataFrame, intervals: DataFrame, samples: DataFrame,
     """
     keys = list(keys)
     ids = requests.select(*keys).distinct()
-    iv = intervals.join(ids, keys, "left_semi").where(F.col("end_epoch").isNotNull())
+    iv = intervals.join(ids, keys, "left_semi").where(F.col("end_ns").isNotNull())
     samples = samples.join(ids, keys, "left_semi")
     asked = iv.join(requests.select(*keys, "phase", report), [*keys, "phase"])
     energy = phase_energy(iv, samples, keys, delay=delay, floor=floor, bin_seconds=bin_seconds,
                           partitions=partitions).select(*keys, "phase", "begin_seq", "joule", "watt")
-    seconds = (F.col("end_epoch") - F.col("begin_epoch")).cast("double")
+    seconds = span_seconds(F.col("end_ns") - F.col("begin_ns"))
     out = asked.join(energy, [*keys, "phase", "begin_seq"], "left")
     is_pwr = F.col(report) == F.lit("pwr")
     return out.select(*keys, "phase", report, "begin_seq", seconds.alias("seconds"),

@@ -8,7 +8,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bootlens.operators.sequence import Fill, ordered_scan
-from bootlens.schemas import seconds_lit
+from bootlens.schemas import ns_lit, span_seconds
 from bootlens.operators.windows import first_use
 
 
@@ -83,7 +83,7 @@ def check_session(requests: DataFrame, hashes: DataFrame, now: Column, session:
 
 
 def boot_outcome(runs: DataFrame, notices: DataFrame, keys: Sequence[str] = ("bmc_id",),
-                 epoch: str = "epoch", seq: str = "seq", status: str = "status",
+                 epoch: str = "epoch_ns", seq: str = "seq", status: str = "status",
                  timeout: float = 180.0, partitions: int | None = None) -> DataFrame:
     """Did the booted system notify before the deadline?
 
@@ -102,11 +102,11 @@ def boot_outcome(runs: DataFrame, notices: DataFrame, keys: Sequence[str] = ("bm
     scanned = ordered_scan(both, keys, ["_e", "_prio", "_s"],
                            [Fill(["_e", "_s", "_status"], F.col("_is_notice"), prefix="n")],
                            descending=True, partitions=partitions)
-    in_time = F.col("n_e").isNotNull() & (F.col("n_e") < F.col("_e") + seconds_lit(timeout))
+    in_time = F.col("n_e").isNotNull() & (F.col("n_e") < F.col("_e") + ns_lit(timeout))
     outcome = (F.when(~in_time, F.lit("timed out"))
                .when(F.col("n_status") == F.lit("ok"), F.lit("ok"))
                .otherwise(F.concat(F.lit("boot failure: "), F.col("n_status"))))
     return (scanned.where(~F.col("_is_notice"))
             .select(*keys, F.col("_s").alias("run_seq"), outcome.alias("outcome"),
                     F.when(in_time, F.col("n_s")).alias("notice_seq"),
-                    F.when(in_time, (F.col("n_e") - F.col("_e")).cast("double")).alias("wait_sec")))
+                    F.when(in_time, span_seconds(F.col("n_e") - F.col("_e"))).alias("wait_sec")))

@@ -85,7 +85,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], ops:
 
     ``order`` columns order the rows of a key; end them with a unique
     tie-breaker.  Reverse scans negate them, so they must be numeric
-    (epoch decimals, sequence numbers); forward scans take any sortable
+    (epoch nanoseconds, sequence numbers); forward scans take any sortable
     column.  ``keys`` may be empty (one sequence over all rows).
     """
     spark = df.sparkSession

@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from bootlens.functions.marks import START_MARK, container_id, mark_field, mark_parts
 from bootlens.operators.sequence import Fill, Lag, ordered_scan
+from bootlens.schemas import span_seconds
 
-ORDER = ("epoch", "seq")
+ORDER = ("epoch_ns", "seq")
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -38,9 +39,9 @@ def marks(timeline: DataFrame) -> DataFrame:
     ``bmcid=``) and ``is_start`` (the ``--Start--`` line of a process run).
     """
     tl = timeline.where(F.col("valid")) if "valid" in timeline.columns else timeline
-    base = tl.select("host", "pid", "epoch", "seq", "message", mark_parts(F.col("message")).alias("_parts"))
+    base = tl.select("host", "pid", "epoch_ns", "seq", "message", mark_parts(F.col("message")).alias("_parts"))
     p = F.col("_parts")
-    fields = base.select("host", "pid", "epoch", "seq", "message",
+    fields = base.select("host", "pid", "epoch_ns", "seq", "message",
                          mark_field(p, 1).alias("prefix"), mark_field(p, 2).alias("phase"),
                          mark_field(p, 3).alias("kind"), mark_field(p, 4).alias("rest"))
     return fields.select("*", container_id(F.col("phase"), F.col("kind"), F.col("rest")).alias("bmc_id"),
@@ -53,7 +54,7 @@ def segment_runs(m: DataFrame, keys: Sequence[str] = ("host", "pid"), start: Col
 
     A run starts at a ``--Start--`` line (or where ``start`` holds) and holds
     every later line of the same (host, pid) up to the next start.  The run
-    is named by the (epoch, seq) of its start line: ``run_epoch``,
+    is named by the (epoch_ns, seq) of its start line: ``run_epoch_ns``,
     ``run_seq``.  Lines before any start (CGI scripts write none) form one run
     with NULL run fields.
     """
@@ -67,7 +68,7 @@ def segment_runs_and_carry(m: DataFrame, keys: Sequence[str] = ("host", "pid"),
                            partitions: int | None = None) -> DataFrame:
     """W2 and the carry of W8 in one ordered scan over (host, pid).
 
-    ``run_epoch``/``run_seq`` as in ``segment_runs``; ``_carry_bmc_id`` is
+    ``run_epoch_ns``/``run_seq`` as in ``segment_runs``; ``_carry_bmc_id`` is
     the id of the nearest line at or before this one that names an id or
     starts a run (a start line names none, so the carry stops at run
     starts and stays inside the run)."""
@@ -78,7 +79,7 @@ def segment_runs_and_carry(m: DataFrame, keys: Sequence[str] = ("host", "pid"),
                         partitions=partitions)
 
 
-def fill_bmc_id(m: DataFrame, keys: Sequence[str] = ("host", "run_epoch", "run_seq", "pid"),
+def fill_bmc_id(m: DataFrame, keys: Sequence[str] = ("host", "run_epoch_ns", "run_seq", "pid"),
                 partitions: int | None = None) -> DataFrame:
     """Give marks of a process the container id the process works on.
 
@@ -105,7 +106,7 @@ def pair_marks(m: DataFrame, keys: Sequence[str] = ("bmc_id",), phase: str = "ph
                order: Sequence[str] = ORDER, carry: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """Pair begin and end marks into intervals.
 
-    Per (keys, phase) the marks are taken in (epoch, seq) order; a begin is
+    Per (keys, phase) the marks are taken in (epoch_ns, seq) order; a begin is
     closed by the very next mark when that mark is an end.  Begins followed by
     another begin, or by nothing (a failed process writes no end), are kept
     as open intervals with NULL end.  Ends without a begin are dropped.
@@ -120,31 +121,31 @@ def pair_marks(m: DataFrame, keys: Sequence[str] = ("bmc_id",), phase: str = "ph
     ep, sq = order[0], order[-1]
     return (nxt.where(F.col(kind) == "begin")
             .select(*keys, phase, *carry,
-                    F.col(ep).alias("begin_epoch"), F.col(sq).alias("begin_seq"),
-                    F.when(closed, F.col(f"_next_{ep}")).alias("end_epoch"),
+                    F.col(ep).alias("begin_ns"), F.col(sq).alias("begin_seq"),
+                    F.when(closed, F.col(f"_next_{ep}")).alias("end_ns"),
                     F.when(closed, F.col(f"_next_{sq}")).alias("end_seq"))
-            .withColumn("duration", F.col("end_epoch") - F.col("begin_epoch")))
+            .withColumn("duration_ns", F.col("end_ns") - F.col("begin_ns")))
 
 
 def phase_times(intervals: DataFrame, keys: Sequence[str] = ("bmc_id", "phase")) -> DataFrame:
     """A4: time per phase: closed and open interval counts, total and mean
     seconds of the closed ones."""
-    total = F.sum("duration").cast("double")
     return (intervals.groupBy(*keys)
-            .agg(F.count("end_epoch").alias("n_closed"),
-                 (F.count(F.lit(1)) - F.count("end_epoch")).alias("n_open"),
-                 total.alias("total_sec"))
+            .agg(F.count("end_ns").alias("n_closed"),
+                 (F.count(F.lit(1)) - F.count("end_ns")).alias("n_open"),
+                 F.sum("duration_ns").alias("_total_ns"))
+            .withColumn("total_sec", span_seconds(F.col("_total_ns"))).drop("_total_ns")
             .withColumn("avg_sec", F.try_divide(F.col("total_sec"), F.col("n_closed"))))
 
 
-def relative_time(df: DataFrame, key: str = "bmc_id", epoch: str = "epoch", out: str = "rel_sec") -> DataFrame:
+def relative_time(df: DataFrame, key: str = "bmc_id", epoch: str = "epoch_ns", out: str = "rel_sec") -> DataFrame:
     """Seconds since the first mark of the same key.
 
     The first mark is a partial ``min`` per key joined back (no window over a
     whole key)."""
     first = df.groupBy(key).agg(F.min(epoch).alias("_first"))
     return (df.join(first, key, "left")
-            .withColumn(out, (F.col(epoch) - F.col("_first")).cast("double"))
+            .withColumn(out, span_seconds(F.col(epoch) - F.col("_first")))
             .drop("_first"))
 
 
@@ -152,7 +153,7 @@ def relative_time(df: DataFrame, key: str = "bmc_id", epoch: str = "epoch", out:
 NOTE_PATTERN = r"^exec_pull: (.*)$"
 
 
-def attach_pid(m: DataFrame, keys: Sequence[str] = ("host", "run_epoch", "run_seq")) -> DataFrame:
+def attach_pid(m: DataFrame, keys: Sequence[str] = ("host", "run_epoch_ns", "run_seq")) -> DataFrame:
     """A background child (``pull --note=bmcid=ID --note=parent=PID``)
     logs ``exec_pull: bmcid=ID parent=PID``; every mark of that child's run
     gets the container id, and ``parent_pid`` names the process that started
@@ -177,9 +178,9 @@ def intervals_from_timeline(timeline: DataFrame, partitions: int | None = None)
     m = attach_pid(m)
     m = fill_bmc_id(m, partitions=partitions)
     # one pairing scan: by container id, or by process run when there is none
-    proc = F.concat_ws("/", F.lit("proc"), F.col("host"), F.col("run_epoch").cast("string"),
+    proc = F.concat_ws("/", F.lit("proc"), F.col("host"), F.col("run_epoch_ns").cast("string"),
                        F.col("run_seq").cast("string"), F.col("pid").cast("string"))
     m = m.withColumn("_pair_key", F.when(F.col("bmc_id").isNotNull(), F.concat(F.lit("id/"), F.col("bmc_id")))
                      .otherwise(proc))
-    iv = pair_marks(m, ["_pair_key"], carry=["bmc_id", "host", "run_epoch", "run_seq", "pid"], partitions=partitions)
+    iv = pair_marks(m, ["_pair_key"], carry=["bmc_id", "host", "run_epoch_ns", "run_seq", "pid"], partitions=partitions)
     return iv.drop("_pair_key")

@@ -10,19 +10,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bootlens.schemas import EPOCH
+from bootlens.schemas import NS_PER_SECOND
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def epoch_of(ts: Column) -> Column:
-    """Epoch seconds as decimal(20,9) from a TIMESTAMP_NTZ wall clock read as
-    UTC, whatever the session time zone is."""
+def epoch_ns_of(ts: Column) -> Column:
+    """Epoch nanoseconds from a TIMESTAMP_NTZ wall clock read as UTC,
+    whatever the session time zone is."""
     zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     us = F.timestamp_diff("MICROSECOND", zero, ts.cast("timestamp_ntz"))
-    return (us.cast("decimal(20,0)") / F.lit(1000000)).cast(EPOCH)
+    return us * F.lit(NS_PER_SECOND // 1_000_000)
 
 
 def events_as_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def events_as_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
            .otherwise(F.concat(F.col("event_type"), F.lit(" value="), F.col("value").cast("string"))))
     return ev.select(F.lit("events").alias("host"),
                      F.date_format(F.col("ts"), "yyyy-MM-dd HH:mm:ss").alias("local_date"),
-                     epoch_of(F.col("ts")).alias("epoch"),
+                     epoch_ns_of(F.col("ts")).alias("epoch_ns"),
                      F.col("user_id").alias("pid"),
                      msg.alias("message"),
                      F.col("event_id").alias("seq"),
@@ -55,15 +55,15 @@ def events_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_samples(spark: SparkSession, sf_dir: str, types=("view", "click")) -> DataFrame:
-    """Events of the given types as meter samples (bmc_id, epoch, seq, value)."""
+    """Events of the given types as meter samples (bmc_id, epoch_ns, seq, value)."""
     ev = table(spark, sf_dir, "events").where(F.col("event_type").isin(*types))
-    return ev.select(user_bmc().alias("bmc_id"), epoch_of(F.col("ts")).alias("epoch"),
+    return ev.select(user_bmc().alias("bmc_id"), epoch_ns_of(F.col("ts")).alias("epoch_ns"),
                      F.col("event_id").alias("seq"), F.col("value"))
 
 
 def events_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
-    return ev.select(user_bmc().alias("bmc_id"), "user_id", epoch_of(F.col("ts")).alias("epoch"),
+    return ev.select(user_bmc().alias("bmc_id"), "user_id", epoch_ns_of(F.col("ts")).alias("epoch_ns"),
                      F.col("event_id").alias("seq"), "event_type", "props", "value", "ts")
 
 

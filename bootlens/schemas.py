@@ -2,24 +2,34 @@
 
 Types follow the catalog DDL: INTEGER ids are ``long``, BOOL is ``boolean``
 (stored as 1/0 and read as boolean), CURRENT_TIMESTAMP columns are UTC
-``timestamp``.  The timeline keeps the nanosecond epoch as ``decimal(20,9)``
-next to the parsed fields so that order ties break exactly.
+``timestamp``.  The timeline keeps the epoch as whole nanoseconds in a
+``long`` (``epoch_ns``; exact until the year 2262) so that order ties break
+exactly and comparisons, sorts and range bounds stay 8-byte integer work.
 """
 
 from pyspark.sql import types as T
 
 S, L, I, B, TS, D = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType(), T.TimestampType(), T.DoubleType()
-EPOCH = T.DecimalType(20, 9)
+EPOCH_NS = T.LongType()
+NS_PER_SECOND = 1_000_000_000
+_EXACT_DOUBLE = 2 ** 53
 
 
-def seconds_lit(seconds: float):
-    """A number of seconds as an exact epoch decimal (adding a double to an
-    epoch would turn the epoch into a double)."""
-    from decimal import Decimal
+def ns_lit(seconds: float):
+    """A number of seconds as a nanosecond literal."""
+    from pyspark.sql import functions as F
+
+    return F.lit(int(round(seconds * NS_PER_SECOND)))
+
 
+def span_seconds(ns):
+    """Nanoseconds to seconds as a double, correctly rounded: a plain
+    double division while the count is exact in a double (under 2^53 ns,
+    about 104 days), an exact decimal division beyond."""
     from pyspark.sql import functions as F
 
-    return F.lit(Decimal(str(seconds))).cast(EPOCH)
+    exact = (ns.cast("decimal(38,0)") / F.lit(NS_PER_SECOND)).cast("double")
+    return F.when(F.abs(ns) < F.lit(_EXACT_DOUBLE), ns.cast("double") / F.lit(float(NS_PER_SECOND))).otherwise(exact)
 
 
 def _schema(*fields) -> T.StructType:
@@ -38,7 +48,7 @@ INITRD = _schema(("initrd_id", L), ("initrd_name", S), ("initrd_file", S), ("ini
 ROOTFS = _schema(("rootfs_id", L), ("rootfs_name", S), ("rootfs_file", S), ("rootfs_sig_file", S))
 LOG = _schema(("date", TS), ("pid", L), ("message", S))
 HASHES = _schema(("session_id", S), ("session_good_for", TS), ("nonce2", S))
-TIMELINE = _schema(("host", S), ("local_date", S), ("epoch", EPOCH), ("pid", L), ("message", S), ("seq", L))
+TIMELINE = _schema(("host", S), ("local_date", S), ("epoch_ns", EPOCH_NS), ("pid", L), ("message", S), ("seq", L))
 REQUEST = _schema(("ts", TS), ("remote_addr", S), ("mac_addr", S), ("query", S))
 NOTICE = _schema(("ts", TS), ("remote_addr", S), ("bmc_id", S), ("status", S))
 RUN_REQUEST = _schema(("request_id", S), ("ts", TS), ("image", S), ("kernel", S), ("initrd", S), ("fstype", S),

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bootlens.schemas import EPOCH
+from bootlens.schemas import NS_PER_SECOND
 
 # Fixed pattern of a timeline line.
 LINE_PATTERN = r"^([^|]*)\|([0-9]+(?:\.[0-9]+)?)\|([0-9]+)\|(.*)\|$"
@@ -30,14 +30,20 @@ def parse_lines(lines: DataFrame, value: str = "value", host: Column | None = No
     def g(i):
         return F.when(ok, F.regexp_extract(v, LINE_PATTERN, i))
 
+    # "seconds.fraction" to whole nanoseconds (fraction cut or padded to 9
+    # digits); NULL, not a failed job, when it does not fit a long.
+    secs = F.regexp_extract(g(2), r"^([0-9]+)", 1).try_cast("long")
+    frac = F.rpad(F.substring(F.regexp_extract(g(2), r"\.([0-9]+)$", 1), 1, 9), 9, "0").try_cast("long")
+    epoch_ns = F.try_add(F.try_multiply(secs, F.lit(NS_PER_SECOND)), frac)
+
     return lines.select(
         (host if host is not None else F.lit(None).cast("string")).alias("host"),
         g(1).alias("local_date"),
-        g(2).try_cast(EPOCH).alias("epoch"),      # NULL (not a failed job) on overflow
+        epoch_ns.alias("epoch_ns"),
         g(3).try_cast("long").alias("pid"),
         g(4).alias("message"),
         (seq if seq is not None else F.monotonically_increasing_id()).alias("seq"),
-        (ok & g(2).try_cast(EPOCH).isNotNull() & g(3).try_cast("long").isNotNull()).alias("valid"),
+        (ok & epoch_ns.isNotNull() & g(3).try_cast("long").isNotNull()).alias("valid"),
         v.alias("line"),
     )
 
@@ -66,6 +72,9 @@ def rejects(timeline: DataFrame) -> DataFrame:
     return timeline.where(~F.col("valid")).select("host", "line")
 
 
-def format_line(local_date: Column, epoch: Column, pid: Column, message: Column) -> Column:
-    """The writer's side: one timeline line."""
-    return F.concat_ws("|", local_date, epoch.cast("string"), pid.cast("string"), message, F.lit(""))
+def format_line(local_date: Column, epoch_ns: Column, pid: Column, message: Column) -> Column:
+    """The writer's side: one timeline line (``seconds.nanoseconds``)."""
+    frac = F.pmod(epoch_ns, F.lit(NS_PER_SECOND))
+    secs = ((epoch_ns - frac).cast("decimal(20,0)") / F.lit(NS_PER_SECOND)).cast("long")
+    epoch = F.format_string("%d.%09d", secs, frac)
+    return F.concat_ws("|", local_date, epoch, pid.cast("string"), message, F.lit(""))

@@ -1,7 +1,6 @@
 """Change sets: insert, upsert, replace, set, delete, state events."""
 
 import datetime as dt
-from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -41,9 +40,9 @@ def test_set_and_delete(spark):
 
 def test_state_events(spark):
     _, conts, *_ = fleet(spark)
-    ev = spark.createDataFrame([("c1", Decimal("1"), 1, "shutting-down"), ("c1", Decimal("2"), 2, "terminated"),
-                                ("c4", Decimal("1"), 3, "removed"), ("c3", Decimal("1"), 4, "removed")],
-                               "bmc_id string, epoch decimal(20,9), seq long, state string")
+    ev = spark.createDataFrame([("c1", 1, 1, "shutting-down"), ("c1", 2, 2, "terminated"),
+                                ("c4", 1, 3, "removed"), ("c3", 1, 4, "removed")],
+                               "bmc_id string, epoch_ns long, seq long, state string")
     new, refused = chg.apply_states(conts, ev)
     got = {r.bmc_id: (r.state, r.node_id) for r in new.collect()}
     assert got["c1"] == ("terminated", None) and "c3" not in got and got["c4"] == ("pending", 2)

@@ -29,8 +29,8 @@ def test_stream_timeline_matches_batch(spark, tmp_dir):
     m = tl.marks(spark.table(name).where("valid"))
     assert sorted((r.phase, r.kind) for r in m.collect()) == [("boot", "begin"), ("boot", "end")]
     assert rejects(spark.table(name)).count() == 1
-    out = spark.range(1).select(format_line(F.lit("d"), F.lit("1.5"), F.lit(3), F.lit("a|b")).alias("x")).first().x
-    assert out == "d|1.5|3|a|b|"
+    out = spark.range(1).select(format_line(F.lit("d"), F.lit(1_500_000_000), F.lit(3), F.lit("a|b")).alias("x")).first().x
+    assert out == "d|1.500000000|3|a|b|"
 
 
 def test_samples_reader(spark, tmp_dir):
@@ -131,20 +131,20 @@ def test_insert_absent_and_log(spark, tmp_dir):
 
 
 def test_zero_length_and_open_only(spark):
-    from decimal import Decimal as D
-
     from bootlens.operators import meter
 
+    def D(s):
+        return int(s) * 1_000_000_000
+
     iv = spark.createDataFrame([("c", "p", D("10"), 1, D("10")), ("c", "p", D("20"), 2, D("30"))],
-                               "bmc_id string, phase string, begin_epoch decimal(20,9), begin_seq long, "
-                               "end_epoch decimal(20,9)")
+                               "bmc_id string, phase string, begin_ns long, begin_seq long, end_ns long")
     s = spark.createDataFrame([("c", D("10"), 5, 3.0), ("c", D("25"), 6, 4.0), ("c", D("30"), 7, 6.0)],
-                              "bmc_id string, epoch decimal(20,9), seq long, value double")
+                              "bmc_id string, epoch_ns long, seq long, value double")
     got = {r.begin_seq: (r.n_samples, r.joule, r.watt) for r in meter.phase_energy(iv, s, delay=0, floor=None,
                                                                                   partitions=2).collect()}
     assert got == {1: (1, 0.0, None), 2: (2, 25.0, 2.5)}
-    open_only = spark.createDataFrame([("c", "p", None, None)], "bmc_id string, phase string, end_epoch decimal(20,9), "
-                                                               "duration decimal(21,9)")
+    open_only = spark.createDataFrame([("c", "p", None, None)], "bmc_id string, phase string, end_ns long, "
+                                                               "duration_ns long")
     r = tl.phase_times(open_only).first()
     assert (r.n_closed, r.n_open, r.total_sec, r.avg_sec) == (0, 1, None, None)
     assert spark.range(1).select(sc.gflops(F.lit(10), F.lit(0.0)).alias("g")).first().g is None

@@ -1,7 +1,6 @@
 """Request checks: query strings, sessions, boot outcome, senders."""
 
 import datetime as dt
-from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -53,14 +52,14 @@ def test_check_session(spark):
 
 def test_boot_outcome(spark):
     def e(s):
-        return Decimal(s)
-    runs = spark.createDataFrame([("a", e("100"), 1), ("b", e("100"), 2), ("c", e("100"), 3), ("d", e("100"), 4)],
-                                 "bmc_id string, epoch decimal(20,9), seq long")
+        return s * 1_000_000_000
+    runs = spark.createDataFrame([("a", e(100), 1), ("b", e(100), 2), ("c", e(100), 3), ("d", e(100), 4)],
+                                 "bmc_id string, epoch_ns long, seq long")
     notes = spark.createDataFrame([
-        ("a", e("150"), 10, "ok"), ("a", e("160"), 11, "fail"),      # two in time: first wins
-        ("b", e("280"), 12, "ok"),                                    # late (>= 180 s)
-        ("c", e("100"), 13, "panic"),                                 # at the start instant
-    ], "bmc_id string, epoch decimal(20,9), seq long, status string")
+        ("a", e(150), 10, "ok"), ("a", e(160), 11, "fail"),          # two in time: first wins
+        ("b", e(280), 12, "ok"),                                      # late (>= 180 s)
+        ("c", e(100), 13, "panic"),                                   # at the start instant
+    ], "bmc_id string, epoch_ns long, seq long, status string")
     got = {x.bmc_id: (x.outcome, x.notice_seq) for x in rq.boot_outcome(runs, notes, partitions=3).collect()}
     assert got == {"a": ("ok", 10), "b": ("timed out", None), "c": ("boot failure: panic", 13), "d": ("timed out", None)}
 

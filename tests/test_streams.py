@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bootlens.operators import requests as rq, timeline as tl
 from bootlens.operators.windows import last_wins
-from bootlens.plans.standins import epoch_of
+from bootlens.plans.standins import epoch_ns_of
 from bootlens.streaming import boot as st
 
 T0 = dt.datetime(2024, 1, 1)
@@ -35,7 +35,7 @@ def test_boot_outcome_stream_equals_batch(spark, tmp_dir):
     n = spark.createDataFrame(notes, "bmc_id string, seq long, ts timestamp, status string")
     got = _run(st.boot_outcome_stream(_stream(spark, r, f"{tmp_dir}/r"), _stream(spark, n, f"{tmp_dir}/n")), tmp_dir)
     got = {(x.bmc_id, x.run_seq): (x.outcome, x.notice_seq) for x in got}
-    batch = rq.boot_outcome(r.withColumn("epoch", epoch_of(F.col("ts"))), n.withColumn("epoch", epoch_of(F.col("ts"))),
+    batch = rq.boot_outcome(r.withColumn("epoch_ns", epoch_ns_of(F.col("ts"))), n.withColumn("epoch_ns", epoch_ns_of(F.col("ts"))),
                             partitions=3)
     exp = {(x.bmc_id, x.run_seq): (x.outcome, x.notice_seq) for x in batch.collect() if x.bmc_id != "zz"}
     assert got == exp
@@ -58,7 +58,7 @@ def test_interval_stream_equals_pairing(spark, tmp_dir):
              ("zz", "boot", "end", 10, _at(99999))]
     m = spark.createDataFrame(marks, "bmc_id string, phase string, kind string, seq long, ts timestamp")
     got = {(x.bmc_id, x.begin_seq): x.end_seq for x in _run(st.interval_stream(_stream(spark, m, f"{tmp_dir}/m")), tmp_dir)}
-    batch = tl.pair_marks(m.withColumn("epoch", epoch_of(F.col("ts"))), ["bmc_id"], partitions=3)
+    batch = tl.pair_marks(m.withColumn("epoch_ns", epoch_ns_of(F.col("ts"))), ["bmc_id"], partitions=3)
     exp = {(x.bmc_id, x.begin_seq): x.end_seq for x in batch.collect() if x.bmc_id != "zz"}
     assert got == exp == {("c1", 1): 2, ("c1", 3): 4, ("c2", 5): None}
 
