@@ -104,14 +104,16 @@ def latest_state(events: DataFrame, key: str = "bmc_id", order: Sequence[str] =
     return events.groupBy(key).agg(F.max_by(state, o).alias(state), F.max(o).alias("_at")).drop("_at")
 
 
-def apply_states(containers: DataFrame, events: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
+def apply_states(containers: DataFrame, events: DataFrame, force: bool = False,
+                 order: Sequence[str] = ("epoch_ns", "seq")) -> tuple[DataFrame, DataFrame]:
     """M7: apply state events (kill / rm) to the container table.
 
     The latest event per container sets its state; ``terminated`` clears
     node_id; ``removed`` deletes the row, but a live container (state not
     terminated before the event) is refused unless ``force``.
-    Returns (new table, refused removals)."""
-    last = latest_state(events).withColumnRenamed("state", "_new")
+    ``order`` ranks the events of a container (end it with a unique
+    column).  Returns (new table, refused removals)."""
+    last = latest_state(events, order=order).withColumnRenamed("state", "_new")
     j = containers.join(last, "bmc_id", "left")
     live = F.col("state") != F.lit("terminated")
     removing = F.col("_new") == F.lit("removed")

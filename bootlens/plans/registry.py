@@ -750,3 +750,129 @@ def interval_stream(spark, sf_dir):
                      F.when(F.col("event_type") == "signup", F.lit("begin")).otherwise(F.lit("end")).alias("kind")))
     name = _stream_name("t5")
     return stream.run_to_table(stream.interval_stream(marks, bound_seconds=6 * 3600), name, scratch_dir(spark, name))
+
+
+# --------------------------------------------------------------------------
+# more catalog operators: J5 (+P4, P5), P3, O4/P7, M1, M4, M5, M7, Q5
+
+def _part_requests(spark, sf_dir):
+    p = si.table(spark, sf_dir, "part")
+    ge = F.col("p_size") > 25
+    return p.select(F.col("p_partkey").alias("request_id"), F.col("p_name").alias("kernel"),
+                    F.concat(F.lit("Supplier#"), F.lpad(F.col("p_size").cast("string"), 9, "0")).alias("initrd"),
+                    F.concat(F.lit("img-"), F.col("p_partkey").cast("string")).alias("image"),
+                    F.when(F.col("p_retailprice") > 1500, F.lit("s-ramfs")).otherwise(F.lit("nfs")).alias("fstype"),
+                    F.when(ge, F.lit("eq")).otherwise(F.lit("le")).alias("rank_op"),
+                    F.when(ge, F.col("p_size") - 25).otherwise(F.col("p_size") - 20).alias("rank_n"))
+
+
+@query("candidates", _FLEET_SQL + """,
+req AS (SELECT p_partkey AS request_id, p_name AS kernel, 'Supplier#' || lpad(CAST(p_size AS VARCHAR), 9, '0') AS initrd,
+               'img-' || p_partkey AS image, CASE WHEN p_retailprice > 1500 THEN 's-ramfs' ELSE 'nfs' END AS fstype,
+               CASE WHEN p_size > 25 THEN 'eq' ELSE 'le' END AS rank_op,
+               CASE WHEN p_size > 25 THEN p_size - 25 ELSE p_size - 20 END AS rank_n FROM part),
+free AS (SELECT * FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM ocont c WHERE c.node_id = n.node_id))
+SELECT req.request_id, k.kernel_id, i.initrd_id, r.rootfs_id, f.node_id
+FROM req JOIN kernels k ON k.kernel_name = req.kernel JOIN initrds i ON i.initrd_name = req.initrd
+JOIN rootfs r ON r.rootfs_name = req.image
+JOIN free f ON ((req.rank_op = 'le' AND f.node_rank <= req.rank_n) OR (req.rank_op = 'eq' AND f.node_rank = req.rank_n))
+            AND (req.fstype != 's-ramfs' OR f.have_tpm)""")
+def candidates(spark, sf_dir):
+    return cat.candidates(_part_requests(spark, sf_dir), si.kernels(spark, sf_dir), si.initrds(spark, sf_dir),
+                          si.rootfs(spark, sf_dir), si.nodes(spark, sf_dir), si.order_containers(spark, sf_dir))
+
+
+@query("lookup", """
+SELECT o_orderkey, o_custkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey""")
+def lookup(spark, sf_dir):
+    keys = si.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return cat.lookup(keys, si.table(spark, sf_dir, "customer"), "c_custkey", ["c_name"], key_col="o_custkey")
+
+
+@query("first_last_line", """
+SELECT conv_id, arg_min(role, turn) AS first_role, arg_max(role, turn) AS last_role, min(turn) AS first_turn
+FROM conversations GROUP BY conv_id""")
+def first_last_line(spark, sf_dir):
+    c = si.table(spark, sf_dir, "conversations")
+    first = src_files.first_line(c, "conv_id", "turn", "role").withColumnRenamed("role", "first_role")
+    last = src_files.last_line(c, "conv_id", "turn", "role").withColumnRenamed("role", "last_role")
+    turn = win.first_match(c, ["conv_id"], ["turn"], ["turn"]).withColumnRenamed("turn", "first_turn")
+    return first.join(last, "conv_id").join(turn, "conv_id")
+
+
+_KERNEL_T_SQL = """
+WITH t AS (SELECT c_custkey AS kernel_id, c_name AS kernel_name, 'k/' || c_custkey AS kernel_file,
+                  CAST(NULL AS VARCHAR) AS kernel_sig_file, c_mktsegment AS kernel_param FROM customer),
+ch AS (SELECT CASE WHEN c_acctbal < -500 THEN c_name ELSE c_name || '-new' END AS kernel_name,
+              'k2/' || c_custkey AS kernel_file, 's/' || c_custkey AS kernel_sig_file,
+              'p' || c_custkey AS kernel_param
+       FROM customer WHERE c_acctbal < 0),
+top AS (SELECT max(kernel_id) AS m FROM t)"""
+
+
+def _kernel_changes(spark, sf_dir):
+    t, ch = si.customer_kernels(spark, sf_dir)
+    c = si.table(spark, sf_dir, "customer").where(F.col("c_acctbal") < 0)
+    params = c.select(F.when(F.col("c_acctbal") < -500, F.col("c_name")).otherwise(F.concat(F.col("c_name"), F.lit("-new")))
+                      .alias("kernel_name"), F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("kernel_param"))
+    return t, ch.join(params, "kernel_name")
+
+
+@query("apply_insert", _KERNEL_T_SQL + """
+SELECT * FROM t
+UNION ALL
+SELECT top.m + ROW_NUMBER() OVER (ORDER BY ch.kernel_name) AS kernel_id, ch.kernel_name, ch.kernel_file,
+       ch.kernel_sig_file, ch.kernel_param
+FROM ch, top WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.kernel_name = ch.kernel_name)""")
+def apply_insert(spark, sf_dir):
+    t, ch = _kernel_changes(spark, sf_dir)
+    return chg.apply_insert(t, ch.select(*[c for c in t.columns if c != "kernel_id"]), "kernel_name", "kernel_id")[0]
+
+
+@query("set_column", _KERNEL_T_SQL + """
+SELECT t.kernel_id, t.kernel_name, t.kernel_file, t.kernel_sig_file,
+       CASE WHEN ch.kernel_name IS NOT NULL THEN ch.kernel_param ELSE t.kernel_param END AS kernel_param
+FROM t LEFT JOIN ch ON ch.kernel_name = t.kernel_name""")
+def set_column(spark, sf_dir):
+    t, ch = _kernel_changes(spark, sf_dir)
+    return chg.set_column(t, ch.select("kernel_name", "kernel_param"), "kernel_name", "kernel_param")[0]
+
+
+@query("delete_by_name", _KERNEL_T_SQL + """
+SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.kernel_name = t.kernel_name)""")
+def delete_by_name(spark, sf_dir):
+    t, ch = _kernel_changes(spark, sf_dir)
+    return chg.delete_by_name(t, ch.select("kernel_name"), "kernel_name")[0]
+
+
+@query("apply_states", _FLEET_SQL + """,
+ev AS (SELECT CAST(l_orderkey AS VARCHAR) AS bmc_id,
+              arg_max(CASE l_returnflag WHEN 'R' THEN 'removed' WHEN 'A' THEN 'terminated' ELSE 'shutting-down' END,
+                      (l_shipdate, l_linenumber,
+                       CASE l_returnflag WHEN 'R' THEN 'removed' WHEN 'A' THEN 'terminated' ELSE 'shutting-down' END))
+         AS new_state
+       FROM lineitem GROUP BY l_orderkey),
+j AS (SELECT c.bmc_id, c.node_id, c.state, ev.new_state FROM ocont c LEFT JOIN ev ON ev.bmc_id = c.bmc_id),
+kept AS (SELECT *, CASE WHEN new_state IS NULL OR new_state = 'removed' THEN state ELSE new_state END AS final
+         FROM j WHERE NOT (coalesce(new_state = 'removed', false) AND state = 'terminated'))
+SELECT bmc_id, final AS state, CASE WHEN final = 'terminated' THEN NULL ELSE node_id END AS node_id FROM kept""")
+def apply_states(spark, sf_dir):
+    li = si.table(spark, sf_dir, "lineitem")
+    ev = li.select(F.col("l_orderkey").cast("string").alias("bmc_id"),
+                   si.epoch_ns_of(F.col("l_shipdate")).alias("epoch_ns"), F.col("l_linenumber").cast("long").alias("seq"),
+                   F.when(F.col("l_returnflag") == "R", F.lit("removed")).when(F.col("l_returnflag") == "A", F.lit("terminated"))
+                   .otherwise(F.lit("shutting-down")).alias("state"))
+    new, _ = chg.apply_states(si.order_containers(spark, sf_dir), ev, order=("epoch_ns", "seq", "state"))
+    return new.select("bmc_id", "state", "node_id")
+
+
+@query("reset_atime_rule", """
+SELECT 'Q5 reset-atime' AS rule, 'request' AS "table", CAST(doc_id AS VARCHAR) AS key,
+       'fstype=' || CASE WHEN lang = 'en' THEN 'nfs' ELSE 'ramfs' END AS detail
+FROM documents WHERE n_chars > 1000 AND lang != 'en'""")
+def reset_atime_rule(spark, sf_dir):
+    d = si.table(spark, sf_dir, "documents")
+    req = d.select(F.col("doc_id").alias("request_id"),
+                   F.when(F.col("lang") == "en", F.lit("nfs")).otherwise(F.lit("ramfs")).alias("fstype"),
+                   (F.col("n_chars") > 1000).alias("reset_atime"))
+    return qa.reset_atime_rule(req)
