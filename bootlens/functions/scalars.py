@@ -186,8 +186,9 @@ def deadline(start, seconds) -> Column:
 
 
 def time_left(deadline_col, now) -> Column:
-    """seconds left until the deadline (negative when passed)."""
-    return (F.unix_micros(_c(deadline_col)) - F.unix_micros(_c(now))) / F.lit(1e6)
+    """seconds left until the deadline (negative when passed); no
+    session time zone is involved for TIMESTAMP_NTZ inputs."""
+    return F.timestamp_diff("MICROSECOND", _c(now), _c(deadline_col)) / F.lit(1e6)
 
 
 def expired(valid_until, now) -> Column:

@@ -876,3 +876,100 @@ def reset_atime_rule(spark, sf_dir):
                    F.when(F.col("lang") == "en", F.lit("nfs")).otherwise(F.lit("ramfs")).alias("fstype"),
                    (F.col("n_chars") > 1000).alias("reset_atime"))
     return qa.reset_atime_rule(req)
+
+
+# --------------------------------------------------------------------------
+# F16 boot arguments, F17 deadlines, F8/F9 parameters, S7 manifests, S11 samples
+
+@query("boot_args", _FLEET_SQL + """,
+d AS (SELECT c.bmc_id, c.fstype, coalesce(k.kernel_param, '') || ' ' || coalesce(c.kernel_param, '') AS kp,
+             coalesce(n.ip4_addr_os, '') || ':srv:' || coalesce(n.gateway_os, '') || ':' || coalesce(n.netmask_os, '')
+               || ':' || coalesce(n.node_name, '') || ':' || coalesce(n.interface_os, '') AS ip
+      FROM lcont c JOIN nodes n ON n.node_id = c.node_id JOIN kernels k ON k.kernel_id = c.kernel_id
+      JOIN initrds i ON i.initrd_id = c.initrd_id JOIN rootfs r ON r.rootfs_id = c.rootfs_id)
+SELECT bmc_id, CASE
+  WHEN fstype = 'nfs' THEN 'imgargs K' || bmc_id || ' bmcid=' || bmc_id || ' boot=nfs rootdelay=1 ip=' || ip
+       || ' root=/dev/nfs nfsroot=srv:/export/bmc/' || bmc_id || ' port=tcp rw ' || kp
+  WHEN fstype IN ('ramfs', 's-ramfs') THEN 'imgargs K' || bmc_id || ' bmcid=' || bmc_id || ' boot=local rootdelay=1 ip='
+       || ip || ' bmcroot=http://srv/bmc/rootfs/' || bmc_id || '.tar.gz bmcroot2=http://srv/bmc/rootfs/' || bmc_id
+       || '-etc.tar.gz rw ' || kp
+  WHEN fstype = 'isofs' THEN 'imgargs K' || bmc_id || ' iso raw' END AS args
+FROM d""")
+def boot_args(spark, sf_dir):
+    c = si.line_containers(spark, sf_dir)
+    d = cat.container_detail(c.select("bmc_id"), c, si.nodes(spark, sf_dir), si.kernels(spark, sf_dir),
+                             si.initrds(spark, sf_dir), si.rootfs(spark, sf_dir))
+    server = F.lit("srv")
+    ip = sc.boot_ip("ip4_addr_os", server, "gateway_os", "netmask_os", "node_name", "interface_os")
+    kp = F.concat(F.coalesce("kernel_default_param", F.lit("")), F.lit(" "), F.coalesce("kernel_param", F.lit("")))
+    return d.select("bmc_id", sc.boot_args("fstype", "base_name", "bmc_id", ip, kp, server,
+                                           distfs_root="/export/bmc").alias("args"))
+
+
+@query("deadlines", """
+SELECT o_orderkey, o_orderdate + INTERVAL 180 SECOND AS deadline,
+       CAST(epoch_us(o_orderdate + INTERVAL 180 SECOND) - epoch_us(TIMESTAMP '1998-01-01 00:00:00') AS DOUBLE) / 1e6
+         AS left_sec,
+       o_orderdate + INTERVAL 180 SECOND < TIMESTAMP '1998-01-01 00:00:00' AS expired
+FROM orders""")
+def deadlines(spark, sf_dir):
+    o = si.table(spark, sf_dir, "orders")
+    now = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
+    dl = sc.deadline("o_orderdate", 180)
+    return o.select("o_orderkey", dl.alias("deadline"), sc.time_left(dl, now).alias("left_sec"),
+                    sc.expired(dl, now).alias("expired"))
+
+
+@query("query_params", """
+WITH q AS (SELECT page_id, url, split_part(url, '?', 2) AS qs FROM pages WHERE strpos(url, '?') > 0),
+items AS (SELECT page_id, unnest(string_split(qs, '&')) AS kv,
+                 unnest(range(1, len(string_split(qs, '&')) + 1)) AS pos FROM q),
+kv AS (SELECT page_id, pos, split_part(kv, '=', 1) AS key,
+              CASE WHEN strpos(kv, '=') > 0 THEN substr(kv, strpos(kv, '=') + 1) ELSE '' END AS value
+       FROM items WHERE kv != ''),
+m AS (SELECT page_id, arg_max(value, pos) FILTER (WHERE key = 'ref') AS ref,
+             arg_max(value, pos) FILTER (WHERE key = 'page') AS page,
+             arg_max(value, pos) FILTER (WHERE key = 'utm_source') AS utm_source
+      FROM kv GROUP BY page_id)
+SELECT q.page_id, NULLIF(m.ref, '') AS ref, NULLIF(m.page, '') AS page, NULLIF(m.utm_source, '') AS utm_source,
+       url_decode(q.url) AS decoded, regexp_replace(q.url, '%3[Aa]', ':', 'g') AS colon
+FROM q LEFT JOIN m ON m.page_id = q.page_id""")
+def query_params(spark, sf_dir):
+    p = si.table(spark, sf_dir, "pages").where(F.col("url").contains("?"))
+    m = sc.parse_query(sc.nth_field("url", "?", 2))
+    return p.select("page_id", sc.required(m, "ref").alias("ref"), sc.required(m, "page").alias("page"),
+                    sc.required(m, "utm_source").alias("utm_source"), sc.url_decode("url").alias("decoded"),
+                    sc.decode_colon("url").alias("colon"))
+
+
+@query("manifests", """
+WITH s AS (SELECT 'repo-' || s_suppkey AS repo, s_suppkey AS k, s_acctbal, s_nationkey, s_name FROM supplier)
+SELECT 'repo=' || repo AS repo,
+       CASE WHEN s_acctbal > 5000 THEN 'k2-' || k ELSE 'k-' || k END AS kernel,
+       CASE WHEN s_acctbal >= 0 THEN 'i-' || k END AS initrd,
+       'p-' || s_name AS param, CAST(NULL AS VARCHAR) AS kernelsig, CAST(NULL AS VARCHAR) AS initrdsig,
+       CASE WHEN s_nationkey = 0 THEN 'syntax error: foo bar'
+            WHEN s_acctbal < 0 THEN 'initrd must be specified' END AS error
+FROM s""")
+def manifests(spark, sf_dir):
+    """Manifests written as files (one folder per repository), read
+    back and reduced to one row per repository."""
+    out = scratch_dir(spark, "manifests")
+    lines = si.supplier_manifests(spark, sf_dir)
+    (lines.repartition("repo").sortWithinPartitions("repo", "line_no").select("repo", "text")
+     .write.partitionBy("repo").text(out))
+    return src_files.manifest_table(src_files.read_manifests(spark, out, name="part-*"))
+
+
+@query("samples_csv", """
+SELECT CAST(user_id AS VARCHAR) AS source, COUNT(*) AS n_samples, ROUND(SUM(value), 6) AS total
+FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id""")
+def samples_csv(spark, sf_dir):
+    """Meter samples written as CSV with a header, read back with the
+    declared schema, summed per source."""
+    out = scratch_dir(spark, "samples")
+    ev = si.table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click"))
+    (ev.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("source"), "value")
+     .write.option("header", True).csv(out))
+    s = src_files.read_samples(spark, out)
+    return s.groupBy("source").agg(F.count(F.lit(1)).alias("n_samples"), F.round(F.sum("value"), 6).alias("total"))

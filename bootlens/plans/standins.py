@@ -140,8 +140,8 @@ def line_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "left")
-    return j.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("bmc_id"),
-                    F.lit(None).cast("string").alias("base_name"),
+    bmc = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return j.select(bmc.alias("bmc_id"), bmc.alias("base_name"),
                     F.lit(None).cast("string").alias("client_addr"),
                     F.col("l_partkey").alias("kernel_id"), F.col("l_returnflag").alias("kernel_param"),
                     F.col("l_suppkey").alias("initrd_id"), F.col("l_orderkey").alias("rootfs_id"),
@@ -209,3 +209,19 @@ def sessions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("stale")).otherwise(F.col("_seg")).alias("nonce"),
         F.col("o_orderdate").alias("ts"))
     return req, hashes
+
+
+def supplier_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest lines per supplier repository (repo, line_no, text): kernel,
+    initrd (missing when in debt), param; a second kernel line when the
+    balance is over 5000 (the last one wins); an unknown key in nation 0."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey").cast("string")
+    lines = F.array(
+        F.struct(F.lit(1).alias("line_no"), F.concat(F.lit("kernel k-"), k).alias("text")),
+        F.struct(F.lit(2).alias("line_no"), F.when(F.col("s_acctbal") >= 0, F.concat(F.lit("initrd  i-"), k)).alias("text")),
+        F.struct(F.lit(3).alias("line_no"), F.concat(F.lit("param p-"), F.col("s_name")).alias("text")),
+        F.struct(F.lit(4).alias("line_no"), F.when(F.col("s_acctbal") > 5000, F.concat(F.lit("kernel k2-"), k)).alias("text")),
+        F.struct(F.lit(5).alias("line_no"), F.when(F.col("s_nationkey") == 0, F.lit("foo bar")).alias("text")))
+    return (s.select(F.concat(F.lit("repo-"), k).alias("repo"), F.explode(lines).alias("l"))
+            .select("repo", "l.line_no", "l.text").where(F.col("text").isNotNull()))
