@@ -16,7 +16,7 @@ from bootlens.operators import allocation, catalog as cat, changes as chg, meter
 from bootlens.operators import requests as rq, timeline as tl, windows as win
 from bootlens.plans import standins as si
 from bootlens.session import scratch_dir
-from bootlens.sources import catalog as src_cat, files as src_files
+from bootlens.sources import catalog as src_cat, files as src_files, timeline as sources_timeline
 from bootlens.streaming import boot as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -973,3 +973,169 @@ def samples_csv(spark, sf_dir):
      .write.option("header", True).csv(out))
     s = src_files.read_samples(spark, out)
     return s.groupBy("source").agg(F.count(F.lit(1)).alias("n_samples"), F.round(F.sum("value"), 6).alias("total"))
+
+
+# --------------------------------------------------------------------------
+# S1 typed catalog read, S5 timeline stream, S8 listing manifests, S12 image env,
+# W4 SMT selection, M6, M8, F6/F10/F13/F15/F19
+
+_NODE_COLS_SQL = _FLEET_SQL + """
+SELECT node_id, node_name, node_descr, node_rank, have_tpm, method_mgmt, mac_addr_mgmt, ip4_addr_mgmt,
+       'secret' AS password_mgmt, ip4_addr_boot, interface_os, ip4_addr_os, netmask_os, gateway_os, dns_os FROM nodes"""
+
+
+@query("catalog_csv", _NODE_COLS_SQL)
+def catalog_csv(spark, sf_dir):
+    """The node table written as CSV with a header (booleans as 1/0, as
+    the catalog stores them) and scanned back with its declared schema."""
+    out = scratch_dir(spark, "catalog")
+    nodes = si.nodes(spark, sf_dir)
+    (nodes.withColumn("have_tpm", F.col("have_tpm").cast("int"))
+     .write.option("header", True).csv(f"{out}/Node"))
+    return src_cat.catalog(spark, out, "Node", fmt="csv")
+
+
+@query("timeline_stream", """
+SELECT 'timeline' AS host, epoch_us(ts) * 1000 AS epoch_ns, user_id AS pid,
+       CASE WHEN event_type = 'signup' THEN 'session:begin bmcid=' || user_id
+            WHEN event_type = 'purchase' THEN 'session:end bmcid=' || user_id
+            ELSE event_type || ' value=' || CAST(value AS VARCHAR) END AS message
+FROM events""")
+def timeline_stream(spark, sf_dir):
+    """The events written as timeline text files (S4's line format) in a
+    folder, read back as a stream of parsed lines."""
+    out = scratch_dir(spark, "timeline") + "/timeline"
+    tl_rows = si.events_as_timeline(spark, sf_dir)
+    tl_rows.select(sources_timeline.format_line(F.col("local_date"), F.col("epoch_ns"), F.col("pid"),
+                                                F.col("message")).alias("value")).write.text(out)
+    name = _stream_name("s5")
+    s = sources_timeline.stream_timeline(spark, out)
+    got = stream.run_to_table(s, name, scratch_dir(spark, name))
+    return got.where("valid").select("host", "epoch_ns", "pid", "message")
+
+
+@query("listing_manifests", """
+WITH s AS (SELECT s_suppkey AS k, s_acctbal, s_nationkey FROM supplier)
+SELECT 'r' || k AS repo,
+       CASE WHEN s_nationkey != 1 THEN '/repo/r' || k || '/vmlinuz-kernel' END AS kernel,
+       '/repo/r' || k || '/initramfs-initrd' AS initrd,
+       CASE WHEN s_acctbal > 0 THEN '/repo/r' || k || '/cmd-param' END AS param,
+       CAST(NULL AS VARCHAR) AS kernelsig,
+       CASE WHEN s_acctbal > 5000 THEN '/repo/r' || k || '/initramfs-initrd.sig' END AS initrdsig,
+       CASE WHEN s_nationkey = 1 THEN 'ambiguous kernel' END AS error
+FROM s""")
+def listing_manifests(spark, sf_dir):
+    """Repositories without a manifest, from a file listing (paths
+    built from ``supplier``: a kernel, an initrd, a param when the balance is
+    positive, an initrd signature over 5000, two kernels in nation 1 and a
+    file in a subfolder that does not count)."""
+    s = si.table(spark, sf_dir, "supplier")
+    base = F.concat(F.lit("/repo/r"), F.col("s_suppkey").cast("string"))
+    files = F.array(F.concat(base, F.lit("/vmlinuz-kernel")), F.concat(base, F.lit("/initramfs-initrd")),
+                    F.when(F.col("s_acctbal") > 0, F.concat(base, F.lit("/cmd-param"))),
+                    F.when(F.col("s_acctbal") > 5000, F.concat(base, F.lit("/initramfs-initrd.sig"))),
+                    F.when(F.col("s_nationkey") == 1, F.concat(base, F.lit("/old-kernel"))),
+                    F.concat(base, F.lit("/sub/other-kernel")))
+    listing = s.select(F.explode(files).alias("path")).where(F.col("path").isNotNull())
+    return src_files.manifest_from_listing(listing, "/repo")
+
+
+@query("image_env", """
+SELECT conv_id, turn, 'CONV' AS key, CAST(conv_id AS VARCHAR) AS value FROM conversations UNION ALL
+SELECT conv_id, turn, 'ROLE', role FROM conversations UNION ALL
+SELECT conv_id, turn, 'PATH', '/bin:/usr/bin' FROM conversations""")
+def image_env(spark, sf_dir):
+    """Image inspect documents (``[{"Config": {"Env": [...]}}]``) built
+    from ``conversations`` as JSON text, parsed back to (key, value) rows."""
+    c = si.table(spark, sf_dir, "conversations")
+    env = F.array(F.concat(F.lit("CONV="), F.col("conv_id").cast("string")), F.concat(F.lit("ROLE="), F.col("role")),
+                  F.lit("PATH=/bin:/usr/bin"))
+    doc = F.to_json(F.array(F.struct(F.struct(env.alias("Env")).alias("Config"))))
+    return src_files.image_env(c.select("conv_id", "turn", doc.alias("json")), "json").select("conv_id", "turn", "key",
+                                                                                               "value")
+
+
+@query("smt_cpus", """
+SELECT c_mktsegment AS host, c_nationkey AS core, c_custkey AS cpu,
+       CASE WHEN ROW_NUMBER() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) = 1 THEN 1 ELSE 0 END
+         AS online
+FROM customer""")
+def smt_cpus(spark, sf_dir):
+    """One hardware thread per core stays online (host = segment, core =
+    nation, cpu = customer)."""
+    c = si.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("host"),
+                                                    F.col("c_nationkey").alias("core"), F.col("c_custkey").alias("cpu"))
+    from bootlens.operators import benchmark as bm
+
+    return bm.smt_off_cpus(c)
+
+
+@query("insert_absent", _KERNEL_T_SQL + """
+SELECT * FROM t
+UNION ALL
+SELECT top.m + ROW_NUMBER() OVER (ORDER BY ch.kernel_name) AS kernel_id, ch.kernel_name, ch.kernel_file,
+       ch.kernel_sig_file, ch.kernel_param
+FROM ch, top WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.kernel_name = ch.kernel_name)""")
+def insert_absent(spark, sf_dir):
+    t, ch = _kernel_changes(spark, sf_dir)
+    return chg.insert_absent(t, ch.select(*[c for c in t.columns if c != "kernel_id"]), "kernel_name", "kernel_id")
+
+
+@query("append_log", """
+SELECT pid, message, COUNT(*) AS n FROM (
+  SELECT o_orderkey AS pid, 'run ' || o_orderkey || ' on ' || o_custkey AS message FROM orders
+  UNION ALL
+  SELECT o_orderkey, 'run ' || o_orderkey || ' on ' || o_custkey FROM orders) GROUP BY pid, message""")
+def append_log(spark, sf_dir):
+    """M8: audit rows appended twice to a log table, read back."""
+    out = scratch_dir(spark, "log")
+    o = si.table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderdate").cast("timestamp").alias("date"), F.col("o_orderkey").alias("pid"),
+                    F.concat(F.lit("run "), F.col("o_orderkey").cast("string"), F.lit(" on "),
+                             F.col("o_custkey").cast("string")).alias("message"))
+    chg.append_log(rows, out)
+    chg.append_log(rows, out)
+    return spark.read.parquet(out).groupBy("pid", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("scalar_more", r"""
+SELECT c.conv_id, c.turn,
+       right(md5(c.text), 12) AS short,
+       NULLIF(regexp_extract(c.text, 'the\s+(\S+)', 1), '') AS after_the,
+       list_contains(string_split(c.role, 'a'), 'ssist') AS has_part,
+       CASE c.role WHEN 'user' THEN 2 WHEN 'assistant' THEN 8 END AS power,
+       c.role != 'wol' AS early
+FROM conversations c""")
+def scalar_more(spark, sf_dir):
+    """F6 (last group of an id), F10 (token after a marker), F13 (exact
+    member of a list), F15 (power codes, early start) over conversations."""
+    c = si.table(spark, sf_dir, "conversations")
+    uuid_like = F.concat_ws("-", F.substring(F.md5("text"), 1, 8), F.substring(F.md5("text"), 9, 4),
+                            F.substring(F.md5("text"), 13, 4), F.substring(F.md5("text"), 17, 4),
+                            F.substring(F.md5("text"), 21, 12))
+    action = F.when(F.col("role") == "user", F.lit("on")).when(F.col("role") == "assistant", F.lit("off"))
+    return c.select("conv_id", "turn", sc.short_id(uuid_like).alias("short"),
+                    sc.token_after("text", "the").alias("after_the"),
+                    src_files.tag_exists(F.split("role", "a"), F.lit("ssist")).alias("has_part"),
+                    sc.power_code(action).alias("power"), sc.early_start("role").alias("early"))
+
+
+@query("passwd_home", """
+WITH homes AS (SELECT c_mktsegment AS u, arg_min('/home/' || c_custkey, c_custkey) AS home FROM customer GROUP BY 1),
+users AS (SELECT DISTINCT c_mktsegment AS u FROM customer UNION SELECT 'root' UNION SELECT 'nobody')
+SELECT users.u AS user, COALESCE(homes.home, CASE WHEN users.u = 'root' THEN '/root' ELSE '/home/' || users.u END)
+  AS home
+FROM users LEFT JOIN homes ON homes.u = users.u""")
+def passwd_home(spark, sf_dir):
+    """passwd lines built from ``customer`` (name = segment, home by
+    customer), first line of a name wins; unknown users fall back."""
+    c = si.table(spark, sf_dir, "customer")
+    lines = c.select(F.concat_ws(":", "c_mktsegment", F.lit("x"), F.col("c_custkey").cast("string"),
+                                 F.col("c_nationkey").cast("string"), F.lit(""),
+                                 F.concat(F.lit("/home/"), F.col("c_custkey").cast("string")), F.lit("/bin/sh")).alias("line"),
+                     F.col("c_custkey").alias("line_no"))
+    homes = sc.passwd_homes(lines)
+    users = (c.select(F.col("c_mktsegment").alias("user"))
+             .unionByName(spark.range(1).select(F.explode(F.array(F.lit("root"), F.lit("nobody"))).alias("user")))
+             .distinct())
+    return users.join(homes, "user", "left").select("user", sc.home_dir(F.col("user"), F.col("home")).alias("home"))

@@ -4,21 +4,33 @@ from __future__ import annotations
 
 from typing import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from bootlens.schemas import CATALOG
 
 NULL_TEXT = "<NULL>"
 
 
+TEXT_FORMATS = ("csv", "json", "text")
+
+
 def catalog(spark: SparkSession, path: str, name: str, fmt: str = "parquet") -> DataFrame:
     """Scan one catalog table with its declared schema (no inference).
 
-    ``fmt`` is any Spark file format (parquet, orc, csv with a header...)."""
-    reader = spark.read.schema(CATALOG[name]).format(fmt)
+    ``fmt`` is any Spark file format (parquet, orc, csv with a header...).
+    The catalog stores booleans as 1/0: in text formats boolean columns are
+    read as text and turned into booleans (``as_bool``)."""
+    schema = CATALOG[name]
+    if fmt not in TEXT_FORMATS:
+        return spark.read.schema(schema).format(fmt).load(f"{path}/{name}")
+    bools = [f.name for f in schema.fields if isinstance(f.dataType, T.BooleanType)]
+    as_text = T.StructType([T.StructField(f.name, T.StringType() if f.name in bools else f.dataType, True)
+                            for f in schema.fields])
+    reader = spark.read.schema(as_text).format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True)
-    return reader.load(f"{path}/{name}")
+    raw = reader.load(f"{path}/{name}")
+    return raw.select(*[as_bool(f.name).alias(f.name) if f.name in bools else F.col(f.name) for f in schema.fields])
 
 
 def register_catalog(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
