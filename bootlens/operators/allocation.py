@@ -50,3 +50,24 @@ def allocate_eq(requests: DataFrame, free: DataFrame, request_id: str = "request
     reason = (F.when(~F.coalesce(is_eq & F.col(n).isNotNull(), F.lit(False)), F.lit("not an eq request"))
               .when(F.col(node_id).isNull(), F.lit("Node exhausted")))
     return served.withColumn("reason", reason)
+
+
+def admit_runs(requests: DataFrame, kernels: DataFrame, initrds: DataFrame, rootfs: DataFrame, nodes: DataFrame,
+               containers: DataFrame, request_id: str = "request_id",
+               request_order: Sequence[str] = ("request_id",), partitions: int | None = None) -> DataFrame:
+    """The run path: gate (J10/J11), then allocation (J7) of the requests
+    that pass.  A request whose image is missing ('needs pull') is pulled
+    first in the reference and then allocated, so it goes on too.
+
+    Output: request_id, gate, node_id, reason (the gate's verdict when the
+    request stops there, else the allocation's)."""
+    from bootlens.operators.catalog import free_nodes, run_gate
+
+    gated = run_gate(requests, kernels, initrds, rootfs)
+    passing = gated.where(F.col("gate").isin("ok", "needs pull"))
+    free = free_nodes(nodes, containers)
+    alloc = allocate_eq(passing.select(request_id, "rank_op", "rank_n", *[c for c in request_order if c != request_id]),
+                        free, request_id=request_id, request_order=request_order, partitions=partitions)
+    out = gated.select(request_id, "gate").join(alloc.select(request_id, "node_id", "reason"), request_id, "left")
+    reason = F.when(~F.col("gate").isin("ok", "needs pull"), F.col("gate")).otherwise(F.col("reason"))
+    return out.select(request_id, "gate", "node_id", reason.alias("reason"))

@@ -1139,3 +1139,33 @@ def passwd_home(spark, sf_dir):
              .unionByName(spark.range(1).select(F.explode(F.array(F.lit("root"), F.lit("nobody"))).alias("user")))
              .distinct())
     return users.join(homes, "user", "left").select("user", sc.home_dir(F.col("user"), F.col("home")).alias("home"))
+
+
+@query("admit_runs", _FLEET_SQL + """,
+req AS (SELECT p_partkey AS request_id, p_name AS kernel, 'Supplier#' || lpad(CAST(p_size AS VARCHAR), 9, '0') AS initrd,
+               'img-' || (p_partkey * 10) AS image, CASE WHEN p_retailprice > 1500 THEN 's-ramfs' ELSE 'nfs' END AS fstype,
+               CASE WHEN p_size > 25 THEN 'eq' ELSE 'le' END AS rank_op,
+               CASE WHEN p_size > 25 THEN p_size - 25 ELSE p_size - 20 END AS rank_n FROM part),
+k AS (SELECT kernel_name AS name, max(coalesce(kernel_sig_file, '') != '') AS signed FROM kernels GROUP BY 1),
+i AS (SELECT initrd_name AS name, max(coalesce(initrd_sig_file, '') != '') AS signed FROM initrds GROUP BY 1),
+r AS (SELECT DISTINCT rootfs_name AS name FROM rootfs),
+g AS (SELECT req.*, CASE WHEN k.name IS NULL THEN 'missing kernel' WHEN i.name IS NULL THEN 'missing initrd'
+                         WHEN fstype = 's-ramfs' AND NOT k.signed THEN 'unsigned kernel'
+                         WHEN fstype = 's-ramfs' AND NOT i.signed THEN 'unsigned initrd'
+                         WHEN r.name IS NULL THEN 'needs pull' ELSE 'ok' END AS gate
+      FROM req LEFT JOIN k ON k.name = req.kernel LEFT JOIN i ON i.name = req.initrd LEFT JOIN r ON r.name = req.image),
+free AS (SELECT node_id, node_rank FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM ocont c WHERE c.node_id = n.node_id)),
+fr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY node_rank ORDER BY node_id) AS kk FROM free),
+rq AS (SELECT request_id, rank_n, ROW_NUMBER() OVER (PARTITION BY rank_n ORDER BY request_id) AS kk
+       FROM g WHERE gate IN ('ok', 'needs pull') AND rank_op = 'eq')
+SELECT g.request_id, g.gate, fr.node_id,
+       CASE WHEN g.gate NOT IN ('ok', 'needs pull') THEN g.gate WHEN g.rank_op != 'eq' THEN 'not an eq request'
+            WHEN fr.node_id IS NULL THEN 'Node exhausted' END AS reason
+FROM g LEFT JOIN rq ON rq.request_id = g.request_id LEFT JOIN fr ON fr.node_rank = rq.rank_n AND fr.kk = rq.kk""")
+def admit_runs(spark, sf_dir):
+    """Run requests from ``part`` (image ``img-<10 x partkey>``, so some
+    images are missing and must be pulled first), gated, then allocated."""
+    req = _part_requests(spark, sf_dir).withColumn(
+        "image", F.concat(F.lit("img-"), (F.col("request_id") * 10).cast("string")))
+    return allocation.admit_runs(req, si.kernels(spark, sf_dir), si.initrds(spark, sf_dir),
+                                 si.rootfs(spark, sf_dir), si.nodes(spark, sf_dir), si.order_containers(spark, sf_dir))

@@ -119,3 +119,16 @@ def test_quality_report(f):
     assert ("Q3 unique", "Node", "10.0.1.3", "ip4_addr_mgmt n=2") in rep
     assert ("Q4 reference", "Container", "c4", "kernel_id=99 not in Kernel") in rep
     assert not any(x[2] == "c3" for x in rep)   # NULL node reference passes
+
+
+def test_admit_runs(spark, f):
+    nodes, conts, k, i, r = f
+    req = spark.createDataFrame([
+        ("a", "kX", "iA", "rA", "nfs", "eq", 2),        # missing kernel: stops at the gate
+        ("b", "kA", "iA", "rZ", "nfs", "eq", 2),        # needs pull: still allocated
+        ("c", "kA", "iA", "rA", "nfs", "eq", 2),        # rank 2 has one free node left after b
+        ("d", "kA", "iA", "rA", "nfs", "any", None)],
+        "request_id string, kernel string, initrd string, image string, fstype string, rank_op string, rank_n int")
+    got = {x.request_id: (x.gate, x.node_id, x.reason) for x in allocation.admit_runs(req, k, i, r, nodes, conts).collect()}
+    assert got == {"a": ("missing kernel", None, "missing kernel"), "b": ("needs pull", 4, None),
+                   "c": ("ok", None, "Node exhausted"), "d": ("ok", None, "not an eq request")}
