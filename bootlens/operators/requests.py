@@ -110,3 +110,13 @@ def boot_outcome(runs: DataFrame, notices: DataFrame, keys: Sequence[str] = ("bm
             .select(*keys, F.col("_s").alias("run_seq"), outcome.alias("outcome"),
                     F.when(in_time, F.col("n_s")).alias("notice_seq"),
                     F.when(in_time, span_seconds(F.col("n_e") - F.col("_e"))).alias("wait_sec")))
+
+
+def checked_boot_outcome(runs: DataFrame, notices: DataFrame, detail: DataFrame, keys: Sequence[str] = ("bmc_id",),
+                         sender: str = "remote_addr", timeout: float = 180.0,
+                         partitions: int | None = None) -> DataFrame:
+    """The notice path: a notice counts only when its sender is one of the
+    container's addresses (J14); the first counted notice before the
+    deadline decides the boot (J18)."""
+    ok = authorise_sender(notices, detail, key=keys[0], sender=sender)
+    return boot_outcome(runs, ok, keys, timeout=timeout, partitions=partitions)

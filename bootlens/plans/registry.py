@@ -1169,3 +1169,33 @@ def admit_runs(spark, sf_dir):
         "image", F.concat(F.lit("img-"), (F.col("request_id") * 10).cast("string")))
     return allocation.admit_runs(req, si.kernels(spark, sf_dir), si.initrds(spark, sf_dir),
                                  si.rootfs(spark, sf_dir), si.nodes(spark, sf_dir), si.order_containers(spark, sf_dir))
+
+
+@query("checked_boot_outcome", """
+WITH r AS (SELECT user_id, epoch_us(ts) AS us, event_id AS seq FROM events WHERE event_type = 'signup'),
+n AS (SELECT user_id, epoch_us(ts) AS us, event_id AS seq,
+             CASE WHEN event_type = 'purchase' THEN 'ok' ELSE 'error' END AS status
+      FROM events WHERE event_type IN ('purchase', 'error') AND value <= 100),
+x AS (SELECT r.seq AS rseq, arg_min(n.seq, (n.us, n.seq)) AS nseq, arg_min(n.us, (n.us, n.seq)) AS nus,
+             arg_min(n.status, (n.us, n.seq)) AS st
+      FROM r JOIN n ON n.user_id = r.user_id AND n.us >= r.us AND n.us < r.us + 21600000000
+      GROUP BY r.seq)
+SELECT CAST(r.user_id AS VARCHAR) AS bmc_id, r.seq AS run_seq,
+       CASE WHEN x.nseq IS NULL THEN 'timed out' WHEN x.st = 'ok' THEN 'ok' ELSE 'boot failure: ' || x.st END AS outcome,
+       x.nseq AS notice_seq, CAST(x.nus - r.us AS DOUBLE) / 1e6 AS wait_sec
+FROM r LEFT JOIN x ON x.rseq = r.seq""")
+def checked_boot_outcome(spark, sf_dir):
+    """Runs = signups; notices = purchases (ok) and errors, sent from the
+    user's os address, or from elsewhere when the event value is over 100
+    (refused); container addresses per user."""
+    ev = si.events_keyed(spark, sf_dir)
+    runs = ev.where(F.col("event_type") == "signup")
+    user_addr = F.concat(F.lit("os-"), F.col("user_id").cast("string"))
+    notices = (ev.where(F.col("event_type").isin("purchase", "error"))
+               .withColumn("status", F.when(F.col("event_type") == "purchase", F.lit("ok")).otherwise(F.lit("error")))
+               .withColumn("remote_addr", F.when(F.col("value") > 100, F.lit("10.9.9.9")).otherwise(user_addr)))
+    detail = ev.select("bmc_id", "user_id").distinct().select(
+        "bmc_id", F.concat(F.lit("os-"), F.col("user_id").cast("string")).alias("ip4_addr_os"),
+        F.concat(F.lit("mgmt-"), F.col("user_id").cast("string")).alias("ip4_addr_mgmt"),
+        F.lit(None).cast("string").alias("ip4_addr_boot"))
+    return rq.checked_boot_outcome(runs, notices, detail, ["bmc_id"], timeout=6 * 3600)

@@ -89,3 +89,16 @@ def test_boot_args(spark):
     assert got[1] == ("imgargs KB2 bmcid=C2 boot=local rootdelay=1 ip=10.0.3.1:srv::255.255.255.0:n1:eth0 "
                       "bmcroot=http://srv/bmc/rootfs/B2.tar.gz bmcroot2=http://srv/bmc/rootfs/B2-etc.tar.gz rw a b")
     assert got[2] == "imgargs KB3 iso raw" and got[3] is None
+
+
+def test_checked_boot_outcome(spark):
+    e = 1_000_000_000
+    runs = spark.createDataFrame([("a", 100 * e, 1), ("b", 100 * e, 2)], "bmc_id string, epoch_ns long, seq long")
+    notes = spark.createDataFrame([("a", 110 * e, 10, "ok", "10.9.9.9"), ("a", 120 * e, 11, "bad", "10.0.3.1"),
+                                   ("b", 110 * e, 12, "ok", "10.0.2.2")],
+                                  "bmc_id string, epoch_ns long, seq long, status string, remote_addr string")
+    detail = spark.createDataFrame([("a", "10.0.3.1", "10.0.1.1", "10.0.2.1"), ("b", "10.0.3.2", "10.0.1.2", "10.0.2.2")],
+                                   "bmc_id string, ip4_addr_os string, ip4_addr_mgmt string, ip4_addr_boot string")
+    got = {x.bmc_id: (x.outcome, x.notice_seq) for x in rq.checked_boot_outcome(runs, notes, detail, partitions=2).collect()}
+    # a's first notice comes from a foreign address and does not count
+    assert got == {"a": ("boot failure: bad", 11), "b": ("ok", 12)}
