@@ -95,6 +95,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], ops:
         raise ValueError(f"partitions must be in 1..{MAX_RANGES}, got {n_ranges}")
 
     keys, order = list(keys), list(order)
+    if not ops:
+        return df
     base_cols = df.columns
     pos = [f"_pos{i}" for i in range(len(order))]
     # a reverse scan is a forward scan over negated order values
@@ -118,13 +120,13 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], ops:
     ranged = spark.read.parquet(path)
 
     # 3. scan inside each range
-    w = Window_ = W.partitionBy("_part", *keys).orderBy(*pos)
+    w = W.partitionBy("_part", *keys).orderBy(*pos)
     local = ranged
     for op in lags:
         local = local.withColumn(f"_lf_{op.prefix}", F.lag(F.lit(True)).over(w))
         for c in op.cols:
             local = local.withColumn(f"_l_{op.prefix}{c}", F.lag(c).over(w))
-    upto = Window_.rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     for op in fills:
         local = local.withColumn(
             f"_f_{op.prefix}",
@@ -144,8 +146,6 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], ops:
     for i, op in enumerate(fills):
         aggs.append(F.max_by(F.struct(*key_struct, *[F.col(c).alias(f"v{j}") for j, c in enumerate(op.cols)]),
                              F.when(F.col(op._flag), rank)).alias(f"_e_fill{i}"))
-    if not aggs and not counts:
-        return df
     edges = ranged.groupBy("_part").agg(*aggs) if aggs else None
     if counts:
         # count of the last key of each range: partial counts per (range,
