@@ -1199,3 +1199,21 @@ def checked_boot_outcome(spark, sf_dir):
         F.concat(F.lit("mgmt-"), F.col("user_id").cast("string")).alias("ip4_addr_mgmt"),
         F.lit(None).cast("string").alias("ip4_addr_boot"))
     return rq.checked_boot_outcome(runs, notices, detail, ["bmc_id"], timeout=6 * 3600)
+
+
+@query("area_listing", """
+SELECT 'event_type=' || event_type AS area, true AS has_files FROM (SELECT DISTINCT event_type FROM events)
+UNION ALL SELECT 'unused' AS area, false AS has_files""")
+def area_listing(spark, sf_dir):
+    """S10 + A7: events written as parquet in one folder per type, listed
+    with the binaryFile source (no content read) and counted per folder;
+    an area without files counts 0."""
+    out = scratch_dir(spark, "areas")
+    ev = si.table(spark, sf_dir, "events")
+    ev.write.partitionBy("event_type").parquet(out)
+    listing = src_files.read_listing(spark, out, pattern="*.parquet")
+    listing = listing.withColumn("area", F.element_at(F.split("path", "/"), -2))
+    areas = (ev.select(F.concat(F.lit("event_type="), F.col("event_type")).alias("area"))
+             .unionByName(spark.range(1).select(F.lit("unused").alias("area"))))
+    counts = src_files.area_counts(listing, areas)
+    return counts.select("area", (F.col("n") > 0).alias("has_files"))
