@@ -1217,3 +1217,16 @@ def area_listing(spark, sf_dir):
              .unionByName(spark.range(1).select(F.lit("unused").alias("area"))))
     counts = src_files.area_counts(listing, areas)
     return counts.select("area", (F.col("n") > 0).alias("has_files"))
+
+
+@query("accessed_since", """
+SELECT 'f/' || event_id AS path, ts AS accessed FROM events
+WHERE ts > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 1 DAY""")
+def accessed_since(spark, sf_dir):
+    """A listing whose access times are the event times; files touched
+    in the day before 2024-01-20."""
+    ev = si.table(spark, sf_dir, "events")
+    listing = ev.select(F.concat(F.lit("f/"), F.col("event_id").cast("string")).alias("path"),
+                        F.col("ts").alias("accessed"))
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    return src_files.accessed_since(listing, now).select("path", "accessed")
