@@ -102,3 +102,10 @@ def test_checked_boot_outcome(spark):
     got = {x.bmc_id: (x.outcome, x.notice_seq) for x in rq.checked_boot_outcome(runs, notes, detail, partitions=2).collect()}
     # a's first notice comes from a foreign address and does not count
     assert got == {"a": ("boot failure: bad", 11), "b": ("ok", 12)}
+
+
+def test_strip_prefix_and_null_if_empty(spark):
+    df = spark.createDataFrame([("/srv/repo/a/k",), ("/other/x",), ("",)], "p string")
+    got = [(r.s, r.n) for r in df.select(sc.strip_prefix("p", "/srv/repo/").alias("s"),
+                                          sc.null_if_empty("p").alias("n")).collect()]
+    assert got == [("a/k", "/srv/repo/a/k"), ("/other/x", "/other/x"), ("", None)]
