@@ -91,21 +91,40 @@ def bad_rank_requests(requests: DataFrame, op: str = "rank_op") -> DataFrame:
 
 
 def match_rank(nodes: DataFrame, requests: DataFrame, request_id: str = "request_id", op: str = "rank_op",
-               n: str = "rank_n", rank: str = "node_rank", node_id: str = "node_id") -> DataFrame:
+               n: str = "rank_n", rank: str = "node_rank", node_id: str = "node_id",
+               max_bins: int = 1024) -> DataFrame:
     """(request_id, node_id) for every node whose rank satisfies all rank
-    predicates of the request (repeated predicates are ANDed; a request with
-    no predicate matches every rank, written ``any``).
-
-    The theta condition is evaluated on the distinct ranks only (requests x
-    distinct ranks), then the accepted (request, rank) pairs meet the nodes
-    on an equi-join of rank, so the node side is never in a nested loop."""
-    preds = requests.select(request_id, op, n)
-    n_preds = preds.groupBy(request_id).agg(F.count(F.lit(1)).alias("_np"))
+    predicates of the request (repeated predicates are ANDed; ``any``
+    accepts every rank; an unknown operator or a missing number matches
+    nothing, as a false SQL predicate would).
+
+    No nested loop: the predicates of a request fold into one rank interval
+    [lo, hi] (partial aggregation), clipped to the ranks present (scalar
+    subqueries).  The rank axis is cut into at most ``max_bins`` bins, an
+    interval is exploded into the bins it covers, each distinct rank meets
+    the intervals of its own bin on an equi-join and the exact bounds are
+    checked; the accepted (request, rank) pairs meet the nodes on an
+    equi-join of rank."""
+    o, v = F.col(op), F.col(n)
+    known = F.coalesce(o.isin(*RANK_OPS), F.lit(False))
+    iv = requests.groupBy(request_id).agg(
+        F.max(F.when(o.isin("ge", "eq"), v)).alias("_lo"),
+        F.min(F.when(o.isin("le", "eq"), v)).alias("_hi"),
+        F.max((~known | (o.isin("ge", "le", "eq") & v.isNull())).cast("int")).alias("_void"))
     ranks = nodes.select(F.col(rank).alias("_rank")).where(F.col("_rank").isNotNull()).distinct()
-    ok = (preds.join(ranks, rank_ok(F.col(op), F.col(n), F.col("_rank")))
-          .groupBy(request_id, "_rank").agg(F.count(F.lit(1)).alias("_ok"))
-          .join(n_preds, request_id)
-          .where(F.col("_ok") == F.col("_np"))
+    r_min = ranks.agg(F.min("_rank").cast("long")).scalar()
+    r_max = ranks.agg(F.max("_rank").cast("long")).scalar()
+    width = F.greatest(F.lit(1), F.ceil((r_max - r_min + F.lit(1)) / F.lit(max_bins)))
+    lo = F.greatest(F.coalesce(F.col("_lo").cast("long"), r_min), r_min)
+    hi = F.least(F.coalesce(F.col("_hi").cast("long"), r_max), r_max)
+    wanted = (iv.where((F.col("_void") == 0) & r_min.isNotNull())
+              .select(request_id, lo.alias("_l"), hi.alias("_h"))
+              .where(F.col("_l") <= F.col("_h"))
+              .withColumn("_bin", F.explode(F.sequence(F.floor((F.col("_l") - r_min) / width),
+                                                       F.floor((F.col("_h") - r_min) / width)))))
+    binned = ranks.withColumn("_bin", F.floor((F.col("_rank") - r_min) / width))
+    ok = (wanted.join(binned, "_bin")
+          .where((F.col("_rank") >= F.col("_l")) & (F.col("_rank") <= F.col("_h")))
           .select(request_id, "_rank"))
     return ok.join(nodes.select(F.col(rank).alias("_rank"), node_id), "_rank").select(request_id, node_id)
 
