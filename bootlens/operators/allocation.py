@@ -14,11 +14,9 @@ sides then meet on an equi-join of (rank, number).
 
 Requests with ``le``/``ge``/``any`` compete for overlapping pools and are
 sequential by nature; they are returned with the reason "not an eq request"
-and are not allocated here (see README).  The TPM rule (P5) is not applied
-either: an ``s-ramfs`` request and a plain request of the same rank share
-the TPM nodes in request order, which is again sequential; pass only the
-free nodes a batch may use (e.g. TPM nodes for an ``s-ramfs`` batch), and
-use ``catalog.candidates`` (J5) to check fit.
+and are not allocated here (see README).  The TPM rule (P5) is exact for
+ranks whose requests all need a TPM or all do not; a rank with both kinds is
+order-dependent again and is reported, not allocated.
 """
 
 from __future__ import annotations
@@ -32,24 +30,43 @@ from bootlens.operators.sequence import Count, ordered_scan
 
 def allocate_eq(requests: DataFrame, free: DataFrame, request_id: str = "request_id",
                 request_order: Sequence[str] = ("request_id",), op: str = "rank_op", n: str = "rank_n",
-                node_id: str = "node_id", rank: str = "node_rank", partitions: int | None = None) -> DataFrame:
+                node_id: str = "node_id", rank: str = "node_rank", need_tpm: str | None = None,
+                tpm: str = "have_tpm", partitions: int | None = None) -> DataFrame:
     """Allocate free nodes to ``eq`` requests; see the module text.
 
+    With ``need_tpm`` (a boolean request column, true for ``s-ramfs``) the
+    TPM rule (P5) applies: in a rank whose requests all need a TPM they are
+    numbered against the rank's TPM nodes, in a rank where none does against
+    all its nodes.  A rank with both kinds is order-dependent (plain requests
+    may take the TPM nodes first); its requests get the reason
+    "mixed TPM pool" and no node.
+
     Output: every request with ``node_id`` (NULL when none) and ``reason``
     (NULL when allocated)."""
-    is_eq = F.col(op) == F.lit("eq")
-    eq = requests.where(is_eq & F.col(n).isNotNull())
-    req_n = ordered_scan(eq.select(request_id, F.col(n).alias("_rank"), *[c for c in request_order if c != request_id]),
-                         ["_rank"], list(request_order), [Count("_k")], partitions=partitions)
-    node_n = ordered_scan(free.where(F.col(rank).isNotNull()).select(node_id, F.col(rank).alias("_rank")),
-                          ["_rank"], [node_id], [Count("_k")], partitions=partitions)
-    got = (req_n.select(request_id, "_rank", "_k")
-           .join(node_n.select("_rank", "_k", node_id), ["_rank", "_k"], "left")
-           .select(request_id, node_id))
-    served = requests.join(got, request_id, "left")
-    reason = (F.when(~F.coalesce(is_eq & F.col(n).isNotNull(), F.lit(False)), F.lit("not an eq request"))
+    is_eq = F.coalesce((F.col(op) == F.lit("eq")) & F.col(n).isNotNull(), F.lit(False))
+    need = F.coalesce(F.col(need_tpm), F.lit(False)) if need_tpm else F.lit(False)
+    extra = [c for c in request_order if c != request_id]
+    eq = requests.where(is_eq).select(request_id, F.col(n).alias("_rank"), need.alias("_need"), *extra)
+    kinds = eq.groupBy("_rank").agg((F.min(F.col("_need").cast("int")) != F.max(F.col("_need").cast("int")))
+                                    .alias("_mixed"))
+    eq = eq.join(kinds, "_rank")
+    req_n = ordered_scan(eq.where(~F.col("_mixed")), ["_rank"], list(request_order), [Count("_k")],
+                         partitions=partitions)
+    has_tpm = F.coalesce(F.col(tpm), F.lit(False)) if tpm in free.columns else F.lit(False)
+    node_n = ordered_scan(free.where(F.col(rank).isNotNull()).select(node_id, F.col(rank).alias("_rank"),
+                                                                     has_tpm.alias("_tpm")),
+                          ["_rank"], [node_id], [Count("_k"), Count("_kt", F.col("_tpm"))], partitions=partitions)
+    plain = (req_n.where(~F.col("_need")).select(request_id, "_rank", "_k")
+             .join(node_n.select("_rank", "_k", node_id), ["_rank", "_k"], "left"))
+    secure = (req_n.where(F.col("_need")).select(request_id, "_rank", F.col("_k").alias("_kt"))
+              .join(node_n.where(F.col("_tpm")).select("_rank", "_kt", node_id), ["_rank", "_kt"], "left"))
+    got = plain.select(request_id, node_id).unionByName(secure.select(request_id, node_id))
+    mixed = eq.where(F.col("_mixed")).select(request_id, F.lit(True).alias("_mixed"))
+    served = requests.join(got, request_id, "left").join(mixed, request_id, "left")
+    reason = (F.when(~is_eq, F.lit("not an eq request"))
+              .when(F.coalesce(F.col("_mixed"), F.lit(False)), F.lit("mixed TPM pool"))
               .when(F.col(node_id).isNull(), F.lit("Node exhausted")))
-    return served.withColumn("reason", reason)
+    return served.withColumn("reason", reason).drop("_mixed")
 
 
 def admit_runs(requests: DataFrame, kernels: DataFrame, initrds: DataFrame, rootfs: DataFrame, nodes: DataFrame,
@@ -66,8 +83,11 @@ def admit_runs(requests: DataFrame, kernels: DataFrame, initrds: DataFrame, root
     gated = run_gate(requests, kernels, initrds, rootfs)
     passing = gated.where(F.col("gate").isin("ok", "needs pull"))
     free = free_nodes(nodes, containers)
-    alloc = allocate_eq(passing.select(request_id, "rank_op", "rank_n", *[c for c in request_order if c != request_id]),
-                        free, request_id=request_id, request_order=request_order, partitions=partitions)
+    alloc = allocate_eq(passing.select(request_id, "rank_op", "rank_n",
+                                       (F.col("fstype") == F.lit("s-ramfs")).alias("_need_tpm"),
+                                       *[c for c in request_order if c != request_id]),
+                        free, request_id=request_id, request_order=request_order, need_tpm="_need_tpm",
+                        partitions=partitions)
     out = gated.select(request_id, "gate").join(alloc.select(request_id, "node_id", "reason"), request_id, "left")
     reason = F.when(~F.col("gate").isin("ok", "needs pull"), F.col("gate")).otherwise(F.col("reason"))
     return out.select(request_id, "gate", "node_id", reason.alias("reason"))

@@ -1154,14 +1154,22 @@ g AS (SELECT req.*, CASE WHEN k.name IS NULL THEN 'missing kernel' WHEN i.name I
                          WHEN fstype = 's-ramfs' AND NOT i.signed THEN 'unsigned initrd'
                          WHEN r.name IS NULL THEN 'needs pull' ELSE 'ok' END AS gate
       FROM req LEFT JOIN k ON k.name = req.kernel LEFT JOIN i ON i.name = req.initrd LEFT JOIN r ON r.name = req.image),
-free AS (SELECT node_id, node_rank FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM ocont c WHERE c.node_id = n.node_id)),
-fr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY node_rank ORDER BY node_id) AS kk FROM free),
-rq AS (SELECT request_id, rank_n, ROW_NUMBER() OVER (PARTITION BY rank_n ORDER BY request_id) AS kk
-       FROM g WHERE gate IN ('ok', 'needs pull') AND rank_op = 'eq')
-SELECT g.request_id, g.gate, fr.node_id,
+free AS (SELECT node_id, node_rank, coalesce(have_tpm, false) AS tpm FROM nodes n
+         WHERE NOT EXISTS (SELECT 1 FROM ocont c WHERE c.node_id = n.node_id)),
+fr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY node_rank ORDER BY node_id) AS kk,
+              ROW_NUMBER() OVER (PARTITION BY node_rank, tpm ORDER BY node_id) AS kt FROM free),
+rq0 AS (SELECT request_id, rank_n, fstype = 's-ramfs' AS need FROM g
+        WHERE gate IN ('ok', 'needs pull') AND rank_op = 'eq' AND rank_n IS NOT NULL),
+mixed AS (SELECT rank_n FROM rq0 GROUP BY rank_n HAVING min(CAST(need AS INT)) != max(CAST(need AS INT))),
+rq AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY rank_n ORDER BY request_id) AS kk FROM rq0
+       WHERE rank_n NOT IN (SELECT rank_n FROM mixed)),
+got AS (SELECT rq.request_id, fr.node_id FROM rq JOIN fr ON fr.node_rank = rq.rank_n
+        AND CASE WHEN rq.need THEN fr.tpm AND fr.kt = rq.kk ELSE fr.kk = rq.kk END)
+SELECT g.request_id, g.gate, got.node_id,
        CASE WHEN g.gate NOT IN ('ok', 'needs pull') THEN g.gate WHEN g.rank_op != 'eq' THEN 'not an eq request'
-            WHEN fr.node_id IS NULL THEN 'Node exhausted' END AS reason
-FROM g LEFT JOIN rq ON rq.request_id = g.request_id LEFT JOIN fr ON fr.node_rank = rq.rank_n AND fr.kk = rq.kk""")
+            WHEN g.rank_n IN (SELECT rank_n FROM mixed) THEN 'mixed TPM pool'
+            WHEN got.node_id IS NULL THEN 'Node exhausted' END AS reason
+FROM g LEFT JOIN got ON got.request_id = g.request_id""")
 def admit_runs(spark, sf_dir):
     """Run requests from ``part`` (image ``img-<10 x partkey>``, so some
     images are missing and must be pulled first), gated, then allocated."""

@@ -132,3 +132,14 @@ def test_admit_runs(spark, f):
     got = {x.request_id: (x.gate, x.node_id, x.reason) for x in allocation.admit_runs(req, k, i, r, nodes, conts).collect()}
     assert got == {"a": ("missing kernel", None, "missing kernel"), "b": ("needs pull", 4, None),
                    "c": ("ok", None, "Node exhausted"), "d": ("ok", None, "not an eq request")}
+
+
+def test_allocate_eq_with_tpm(spark):
+    free = spark.createDataFrame([(1, 7, True), (2, 7, False), (3, 7, True), (4, 8, False), (5, 9, True), (6, 9, False)],
+                                 "node_id long, node_rank int, have_tpm boolean")
+    req = spark.createDataFrame([("r1", "eq", 7, True), ("r2", "eq", 7, True), ("r3", "eq", 7, True),
+                                 ("r4", "eq", 8, False), ("r5", "eq", 9, True), ("r6", "eq", 9, False)],
+                                "request_id string, rank_op string, rank_n int, need boolean")
+    got = {x.request_id: (x.node_id, x.reason) for x in allocation.allocate_eq(req, free, need_tpm="need").collect()}
+    assert got == {"r1": (1, None), "r2": (3, None), "r3": (None, "Node exhausted"), "r4": (4, None),
+                   "r5": (None, "mixed TPM pool"), "r6": (None, "mixed TPM pool")}
