@@ -761,14 +761,14 @@ def _part_requests(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("request_id"), F.col("p_name").alias("kernel"),
                     F.concat(F.lit("Supplier#"), F.lpad(F.col("p_size").cast("string"), 9, "0")).alias("initrd"),
                     F.concat(F.lit("img-"), F.col("p_partkey").cast("string")).alias("image"),
-                    F.when(F.col("p_retailprice") > 1500, F.lit("s-ramfs")).otherwise(F.lit("nfs")).alias("fstype"),
+                    F.when(F.col("p_retailprice") > 950, F.lit("s-ramfs")).otherwise(F.lit("nfs")).alias("fstype"),
                     F.when(ge, F.lit("eq")).otherwise(F.lit("le")).alias("rank_op"),
                     F.when(ge, F.col("p_size") - 25).otherwise(F.col("p_size") - 20).alias("rank_n"))
 
 
 @query("candidates", _FLEET_SQL + """,
 req AS (SELECT p_partkey AS request_id, p_name AS kernel, 'Supplier#' || lpad(CAST(p_size AS VARCHAR), 9, '0') AS initrd,
-               'img-' || p_partkey AS image, CASE WHEN p_retailprice > 1500 THEN 's-ramfs' ELSE 'nfs' END AS fstype,
+               'img-' || p_partkey AS image, CASE WHEN p_retailprice > 950 THEN 's-ramfs' ELSE 'nfs' END AS fstype,
                CASE WHEN p_size > 25 THEN 'eq' ELSE 'le' END AS rank_op,
                CASE WHEN p_size > 25 THEN p_size - 25 ELSE p_size - 20 END AS rank_n FROM part),
 free AS (SELECT * FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM ocont c WHERE c.node_id = n.node_id))
@@ -1143,7 +1143,7 @@ def passwd_home(spark, sf_dir):
 
 @query("admit_runs", _FLEET_SQL + """,
 req AS (SELECT p_partkey AS request_id, p_name AS kernel, 'Supplier#' || lpad(CAST(p_size AS VARCHAR), 9, '0') AS initrd,
-               'img-' || (p_partkey * 10) AS image, CASE WHEN p_retailprice > 1500 THEN 's-ramfs' ELSE 'nfs' END AS fstype,
+               'img-' || (p_partkey * 10) AS image, CASE WHEN p_retailprice > 950 THEN 's-ramfs' ELSE 'nfs' END AS fstype,
                CASE WHEN p_size > 25 THEN 'eq' ELSE 'le' END AS rank_op,
                CASE WHEN p_size > 25 THEN p_size - 25 ELSE p_size - 20 END AS rank_n FROM part),
 k AS (SELECT kernel_name AS name, max(coalesce(kernel_sig_file, '') != '') AS signed FROM kernels GROUP BY 1),
