@@ -27,6 +27,7 @@ def image_tag(x) -> Column:
     return F.when(x.contains(":"), F.substring(x, F.instr(x, ":") + 1, 1 << 30))
 
 
+# Fixed pattern: user@host, split at the first '@'.
 LOGIN_PATTERN = r"^([^@]*)@(.*)$"
 
 

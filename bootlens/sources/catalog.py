@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from bootlens.schemas import CATALOG
 
+# Fixed value: how a dump shows NULL.
 NULL_TEXT = "<NULL>"
 
 

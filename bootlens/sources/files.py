@@ -104,6 +104,8 @@ def manifest_from_listing(listing: DataFrame, root: str, path: str = "path") ->
 # --------------------------------------------------------------------------
 # Benchmark result logs
 
+# Fixed patterns: result log names (res-BENCH-SIZE-TARGET-SmtSMT-I.out) and
+# the leading number awk reads from a word.
 RESULT_NAME = r"^res-([^-]+)-(\d+)-(.+)-Smt([^-]+)-(\d+)\.out$"
 NUMBER_PREFIX = r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 
@@ -188,6 +190,7 @@ def read_samples(spark: SparkSession, path: str, fmt: str = "csv", schema: T.Str
     return r.load(path)
 
 
+# The layout of an image inspect document and of a tag list.
 IMAGE_ENV_SCHEMA = "array<struct<Config:struct<Env:array<string>>>>"
 TAG_SCHEMA = "array<struct<name:string>>"
 
