@@ -12,8 +12,10 @@ from pyspark.sql import Column, functions as F
 MARK_PATTERN = r"^(?:([^\s:]+) )?([^\s:]+):(begin|end)(?:[ _](.*))?$"
 BMCID_PATTERN = r"bmcid=(\S+)"
 START_MARK = "--Start--"
-# Marks that name their container as the first word (kill1/rm1 ID).
+# Marks that name their container as the first word (kill1/rm1 ID),
+# and the name prefix of the web scripts, which write no start line.
 ID_FIRST_PHASES = ("exec_kill1", "exec_rm1")
+SCRIPT_PREFIX = "cgi-"
 END_MARK = "--End--"
 
 

@@ -15,7 +15,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bootlens.functions.marks import START_MARK, container_id, mark_field, mark_parts
+from bootlens.functions.marks import SCRIPT_PREFIX, START_MARK, bmcid_of, container_id, mark_field, mark_parts
 from bootlens.operators.sequence import Fill, Lag, ordered_scan
 from bootlens.schemas import span_seconds
 
@@ -35,8 +35,13 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 def marks(timeline: DataFrame) -> DataFrame:
     """F20 over every valid timeline line.
 
-    Adds prefix, phase, kind (begin/end or NULL), rest, bmc_id (from
-    ``bmcid=``) and ``is_start`` (the ``--Start--`` line of a process run).
+    Adds prefix, phase, kind (begin/end or NULL), rest, bmc_id and
+    ``is_start``.  bmc_id: a mark's ``bmcid=`` (or the first word of
+    ``exec_kill1``/``exec_rm1``); a plain fact line (``... bmcid=ID ...``)
+    names its container too.  is_start: the ``--Start--`` line of a process
+    run, or a web script's own begin mark (``cgi-...:begin`` without
+    prefix), since those scripts write no start line and their pids are
+    reused.
     """
     tl = timeline.where(F.col("valid")) if "valid" in timeline.columns else timeline
     base = tl.select("host", "pid", "epoch_ns", "seq", "message", mark_parts(F.col("message")).alias("_parts"))
@@ -44,8 +49,12 @@ def marks(timeline: DataFrame) -> DataFrame:
     fields = base.select("host", "pid", "epoch_ns", "seq", "message",
                          mark_field(p, 1).alias("prefix"), mark_field(p, 2).alias("phase"),
                          mark_field(p, 3).alias("kind"), mark_field(p, 4).alias("rest"))
-    return fields.select("*", container_id(F.col("phase"), F.col("kind"), F.col("rest")).alias("bmc_id"),
-                         (F.col("message") == F.lit(START_MARK)).alias("is_start"))
+    named = F.coalesce(container_id(F.col("phase"), F.col("kind"), F.col("rest")),
+                       F.when(F.col("kind").isNull(), bmcid_of(F.col("message"))))
+    script_begin = (F.col("prefix").isNull() & F.col("phase").startswith(SCRIPT_PREFIX)
+                    & (F.col("kind") == F.lit("begin")))
+    start = (F.col("message") == F.lit(START_MARK)) | F.coalesce(script_begin, F.lit(False))
+    return fields.select("*", named.alias("bmc_id"), start.alias("is_start"))
 
 
 def segment_runs(m: DataFrame, keys: Sequence[str] = ("host", "pid"), start: Column | None = None,

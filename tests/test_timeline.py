@@ -35,6 +35,15 @@ LINES = [
     ("2024-01-01 09:00:05|1704099605.600000000|150|exec_pull:begin img|", 23),
     ("2024-01-01 09:00:05|1704099605.700000000|150|exec_pull: bmcid=C1 parent=100|", 24),
     ("2024-01-01 09:00:08|1704099608.000000000|150|exec_pull:end|", 25),
+    # web scripts: pid 400 serves two requests; the second names its id only after its begin mark
+    ("2024-01-01 12:00:00|1704110400.000000000|400|cgi-baremetal bmcid=C1 from=10.0.0.5 mac=m1|", 30),
+    ("2024-01-01 12:00:00|1704110400.100000000|400|cgi-baremetal:begin bmcid=C1 from=10.0.0.5|", 31),
+    ("2024-01-01 12:00:01|1704110401.000000000|400|cgi-baremetal waitstate:begin|", 32),
+    ("2024-01-01 12:00:02|1704110402.000000000|400|cgi-baremetal waitstate:end|", 33),
+    ("2024-01-01 12:00:02|1704110402.100000000|400|cgi-baremetal:end|", 34),
+    ("2024-01-01 12:01:00|1704110460.000000000|400|cgi-notify-bmc:begin from 10.0.3.2|", 35),
+    ("2024-01-01 12:01:00|1704110460.100000000|400|cgi-notify-bmc bmcid=C2 status=ok|", 36),
+    ("2024-01-01 12:01:00|1704110460.200000000|400|cgi-notify-bmc:end|", 37),
     # a begin without an end (failed process)
     ("2024-01-01 11:00:00|1704106800.000000000|300|exec_pull:begin img|", 20),
     # not a timeline line
@@ -74,6 +83,10 @@ def test_runs_and_ids(timeline):
     assert r[16].bmc_id == "C1" and r[19].bmc_id == "C2"
     assert r[14].bmc_id is None
     assert r[23].bmc_id == "C1" and r[23].parent_pid == 100
+    # web script runs: each request of the reused pid is its own run
+    assert r[31].is_start and r[35].is_start and r[32].run_seq == 31 and r[35].run_seq == 35
+    assert r[32].bmc_id == "C1" and r[34].bmc_id == "C1"
+    assert r[35].bmc_id == "C2" and r[37].bmc_id == "C2"      # named only by the fact line after it
 
 
 def test_intervals(timeline):
