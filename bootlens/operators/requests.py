@@ -102,7 +102,7 @@ def boot_outcome(runs: DataFrame, notices: DataFrame, keys: Sequence[str] = ("bm
     scanned = ordered_scan(both, keys, ["_e", "_prio", "_s"],
                            [Fill(["_e", "_s", "_status"], F.col("_is_notice"), prefix="n")],
                            descending=True, partitions=partitions)
-    in_time = F.col("n_e").isNotNull() & (F.col("n_e") < F.col("_e") + ns_lit(timeout))
+    in_time = F.coalesce(F.col("n_e") < F.col("_e") + ns_lit(timeout), F.lit(False))   # no time: not in time
     outcome = (F.when(~in_time, F.lit("timed out"))
                .when(F.col("n_status") == F.lit("ok"), F.lit("ok"))
                .otherwise(F.concat(F.lit("boot failure: "), F.col("n_status"))))

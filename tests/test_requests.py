@@ -109,3 +109,11 @@ def test_strip_prefix_and_null_if_empty(spark):
     got = [(r.s, r.n) for r in df.select(sc.strip_prefix("p", "/srv/repo/").alias("s"),
                                           sc.null_if_empty("p").alias("n")).collect()]
     assert got == [("a/k", "/srv/repo/a/k"), ("/other/x", "/other/x"), ("", None)]
+
+
+def test_boot_outcome_null_times(spark):
+    runs = spark.createDataFrame([("a", None, 1), ("b", 5, 2)], "bmc_id string, epoch_ns long, seq long")
+    notes = spark.createDataFrame([("a", 1, 10, "ok"), ("b", None, 11, "ok")],
+                                  "bmc_id string, epoch_ns long, seq long, status string")
+    got = {x.bmc_id: x.outcome for x in rq.boot_outcome(runs, notes, partitions=2).collect()}
+    assert got == {"a": "timed out", "b": "timed out"}
