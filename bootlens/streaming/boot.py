@@ -5,11 +5,14 @@ both on the same input with ``trigger(availableNow=True)``).  Event time
 columns must be ``timestamp`` (``withWatermark`` refuses TIMESTAMP_NTZ), so
 inputs are cast with the session time zone (UTC).
 
-Late data: a notice after the deadline is never read by the reference; here
-a row behind the watermark is dropped the same way.  An outer-join row is
-emitted only once the watermark passes its bound, so the newest runs of a
-finite input stay open until later rows arrive (tests end their input with
-a late row on each side).
+Late data: a notice after the deadline is never read by the reference.
+Here a run is closed (and its outcome emitted, once) when the watermark
+passes its deadline; a notice that arrives after that is behind the
+watermark and dropped (``tests/test_streams.py::test_late_notice_is_ignored``).
+A notice delivered late but before its run is closed still counts, since its
+own time decides.  The newest runs of a finite input stay open until later
+rows move the watermark (tests end their input with a late row on each
+side).
 """
 
 from __future__ import annotations

@@ -72,3 +72,29 @@ def test_first_use_stream(spark, tmp_dir):
         .parquet(f"{tmp_dir}/s")
     got = sorted(x.rid for x in _run(st.first_use_stream(s), tmp_dir))
     assert got == ["r1", "r2", "r4"]
+
+
+def test_late_notice_is_ignored(spark, tmp_dir):
+    """A notice that arrives after its run was closed by the watermark is
+    dropped, as the reference ignores a notice after the deadline.
+
+    One file per micro-batch (``maxFilesPerTrigger=1``) fixes what arrives
+    when: batch 0 moves the watermark far past run a's bound, batch 1 closes
+    run a (timed out), batch 2 brings a notice for a that is late."""
+    rs = "bmc_id string, seq long, ts timestamp"
+    ns = "bmc_id string, seq long, ts timestamp, status string"
+    batches = [([("a", 1, _at(0)), ("z", 9, _at(5000))], [("z", 19, _at(5000), "ok")]),
+               ([("zz", 8, _at(9000))], [("zz", 18, _at(9000), "ok")]),
+               ([("zzz", 7, _at(12000))], [("a", 10, _at(60), "ok"), ("zzz", 17, _at(12000), "ok")])]
+    for i, (runs, notes) in enumerate(batches):
+        spark.createDataFrame(runs, rs).coalesce(1).write.parquet(f"{tmp_dir}/r/{i}")
+        spark.createDataFrame(notes, ns).coalesce(1).write.parquet(f"{tmp_dir}/n/{i}")
+
+    def src(path, schema):
+        return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+                .parquet(path))
+
+    out = st.boot_outcome_stream(src(f"{tmp_dir}/r", rs), src(f"{tmp_dir}/n", ns), timeout=180, watermark="1 second")
+    got = {(x.bmc_id, x.run_seq): (x.outcome, x.notice_seq) for x in _run(out, tmp_dir)}
+    assert got[("a", 1)] == ("timed out", None)
+    assert got[("z", 9)] == ("ok", 19)
