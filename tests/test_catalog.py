@@ -143,3 +143,12 @@ def test_allocate_eq_with_tpm(spark):
     got = {x.request_id: (x.node_id, x.reason) for x in allocation.allocate_eq(req, free, need_tpm="need").collect()}
     assert got == {"r1": (1, None), "r2": (3, None), "r3": (None, "Node exhausted"), "r4": (4, None),
                    "r5": (None, "mixed TPM pool"), "r6": (None, "mixed TPM pool")}
+
+
+def test_rank_ok_predicate(spark):
+    from bootlens.operators.catalog import rank_ok
+
+    df = spark.createDataFrame([("any", None, 3), ("eq", 3, 3), ("eq", 2, 3), ("le", 3, 3), ("ge", 4, 3), ("lt", 9, 3),
+                                ("eq", None, 3)], "op string, n int, r int")
+    got = [x.ok for x in df.select(rank_ok(F.col("op"), F.col("n"), F.col("r")).alias("ok")).collect()]
+    assert got == [True, True, False, True, False, False, None]

@@ -136,3 +136,19 @@ def test_oversized_numbers_are_rejects(spark):
                                "value string, seq long")
     rows = parse_lines(df, seq=F.col("seq")).collect()
     assert [r.valid for r in rows] == [False, False]
+
+
+def test_mark_helpers_agree_with_marks(spark, timeline):
+    from bootlens.functions import marks as mk
+
+    msg = F.col("message")
+    one = timeline.where("valid").select(
+        "seq", mk.parse_mark(msg).alias("p"), mk.mark_prefix(msg).alias("prefix"), mk.mark_phase(msg).alias("phase"),
+        mk.mark_kind(msg).alias("kind"), mk.mark_rest(msg).alias("rest"))
+    table = {r.seq: r for r in tl.marks(timeline).collect()}
+    for r in one.collect():
+        t = table[r.seq]
+        assert (r.prefix, r.phase, r.kind, r.rest) == (t.prefix, t.phase, t.kind, t.rest)
+        assert (r.p.prefix, r.p.phase, r.p.kind) == (t.prefix, t.phase, t.kind)
+        if t.kind is not None:
+            assert r.p.bmc_id == t.bmc_id
