@@ -7,10 +7,13 @@ belongs to, the next notice after a boot start).  A plain
 container, meter or user holds a third of all rows that task holds a third
 of the data.  ``ordered_scan`` avoids this:
 
-1. ``repartitionByRange(P, *keys, *order)`` spreads the rows over ``P``
-   ranges of the total order (key, order...).  Spark samples the data, so a
-   hot key is cut into many ranges; the order columns end in a unique
-   tie-breaker, so even equal timestamps are split.
+1. ``repartitionByRange(*keys, *order)`` spreads the rows over ``P``
+   ranges of the total order (key, order...), P being
+   ``spark.sql.shuffle.partitions``.  Spark samples the data, so a hot key is
+   cut into many ranges; the order columns end in a unique tie-breaker, so
+   even equal timestamps are split.  AQE may merge adjacent small ranges
+   (a merged range is still a contiguous slice of the order), so tiny inputs
+   do not pay for P tasks.
 2. The range number is stored with the rows: they are written once as a
    parquet table in the shared checkpoint folder (``spark.checkpoint.dir``)
    and read back.  The range bounds come from sampling and differ between
@@ -113,10 +116,13 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], ops:
         extra.append(cond.cast("long").alias(op._flag))
 
     path = scratch_dir(spark, "ordered-scan")
-    (df.select("*", *extra)
-     .repartitionByRange(n_ranges, *keys, *pos)
-     .withColumn("_part", F.spark_partition_id())
-     .write.mode("overwrite").parquet(path))
+    staged = df.select("*", *extra)
+    # Without an explicit count the ranges start at spark.sql.shuffle.partitions
+    # and AQE may merge adjacent small ones: a merged partition still holds a
+    # contiguous slice of the order, which is all the edge stitching needs.
+    ranged_out = (staged.repartitionByRange(n_ranges, *keys, *pos) if partitions
+                  else staged.repartitionByRange(*keys, *pos))
+    ranged_out.withColumn("_part", F.spark_partition_id()).write.mode("overwrite").parquet(path)
     ranged = spark.read.parquet(path)
 
     # 3. scan inside each range

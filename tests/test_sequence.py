@@ -68,3 +68,13 @@ def test_result_does_not_depend_on_ranges(spark, seq_df, parts):
     base = ordered_scan(seq_df, ["k"], ["t", "seq"], ops(), descending=True, partitions=5)
     other = ordered_scan(seq_df, ["k"], ["t", "seq"], ops(), descending=True, partitions=parts)
     assert base.exceptAll(other).count() == 0 and other.exceptAll(base).count() == 0
+
+
+def test_default_ranges_may_be_merged(spark, seq_df):
+    """Without ``partitions`` the ranges come from the session and AQE may
+    merge adjacent ones; the result is the same as plain windows."""
+    got = ordered_scan(seq_df, ["k"], ["t", "seq"], [Lag(["seq"]), Count("n")])
+    w = W.partitionBy("k").orderBy("t", "seq")
+    exp = seq_df.select("*", F.lag("seq").over(w).alias("prev_seq"), F.row_number().over(w).cast("long").alias("n"))
+    got = got.select(*exp.columns)
+    assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
