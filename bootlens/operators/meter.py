@@ -100,7 +100,7 @@ def phase_report(requests: DataFrame, intervals: DataFrame, samples: DataFrame,
     ids = requests.select(*keys).distinct()
     iv = intervals.join(ids, keys, "left_semi").where(F.col("end_ns").isNotNull())
     samples = samples.join(ids, keys, "left_semi")
-    asked = iv.join(requests.select(*keys, "phase", report), [*keys, "phase"])
+    asked = iv.join(requests.select(*keys, "phase", report).distinct(), [*keys, "phase"])   # a request asked twice is one
     energy = phase_energy(iv, samples, keys, delay=delay, floor=floor, bin_seconds=bin_seconds,
                           partitions=partitions).select(*keys, "phase", "begin_seq", "joule", "watt")
     seconds = span_seconds(F.col("end_ns") - F.col("begin_ns"))
