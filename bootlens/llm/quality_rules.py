@@ -31,7 +31,7 @@ RULES = (
     Rule("n_words", 50, 1_000_000),
     Rule("repeat_ratio", None, 0.5),
     Rule("mean_word_chars", 2, 12),
-    Rule("symbol_ratio", None, 0.3),
+    Rule("symbol_ratio", None, 0.15),
     Rule("stop_ratio", 0.01, None),
     Rule("dup_line_ratio", None, 0.5),
 )
