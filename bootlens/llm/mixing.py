@@ -18,7 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bootlens.llm.common import prefix_sums, staged, word_count
+from bootlens.llm.common import fresh, prefix_sums, staged, word_count
 
 #: Production settings: weights by rank of the source, total share, most times a document is taken.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -109,8 +109,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 def take(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken, columns as they are."""
-    p = plan(staged(_sized(docs, doc_id, text, source), "sized")).select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"), F.col("fill").alias("_fill"))
+    p = plan(staged(_sized(docs, doc_id, text, source), "sized")).select("source", "epochs", "cut", "fill")
     drawn = key(docs[doc_id].cast("long"), quality(word_count(docs[text])))
-    times = _times(drawn, F.col("_epochs"), F.col("_cut"), F.col("_fill"))
-    joined = docs.join(p, docs[source].eqNullSafe(F.col("_source")))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(True), times.cast("int"))).alias("_copy")).drop("_copy")
+    times = _times(drawn, p["epochs"], p["cut"], p["fill"])
+    joined = docs.join(p, docs[source].eqNullSafe(p["source"]))
+    copy = fresh(docs, "copy")
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(True), times.cast("int"))).alias(copy)).drop(copy)

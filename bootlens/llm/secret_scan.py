@@ -15,7 +15,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bootlens.llm.common import staged
+from bootlens.llm.common import fresh, staged
 from bootlens.llm.trees import forest_votes
 
 #: What a candidate looks like, names that announce a secret, formats of providers.
@@ -139,6 +139,7 @@ def mask_secrets(docs: DataFrame, text: str = "text", n_chars: str | None = "n_c
     masked = scanner.masked(F.col(text))
     if not n_chars or n_chars not in docs.columns:
         return docs.select(*[masked.alias(c) if c == text else F.col(c) for c in docs.columns])
-    both = docs.withColumn("_masked", masked)
-    size = F.when(F.col("_masked") != F.col(text), F.length("_masked").cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars))
-    return both.select(*[F.col("_masked").alias(c) if c == text else size.alias(c) if c == n_chars else F.col(c) for c in docs.columns])
+    new = fresh(docs, "masked")
+    both = docs.withColumn(new, masked)
+    size = F.when(F.col(new) != F.col(text), F.length(new).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars))
+    return both.select(*[F.col(new).alias(c) if c == text else size.alias(c) if c == n_chars else F.col(c) for c in docs.columns])

@@ -142,7 +142,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **sett
     found = staged(near_duplicates(docs, doc_id, text, **settings), "near")
     ids = found.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id"))
     verdict = staged(ids.agg(F.min(F.col("doc_id") == F.col("component_id")).alias("_first"), F.count("*").alias("_n")).where("not _first or _n > 1"), "verdict")
-    left = docs.join(verdict.where("not _first"), docs[doc_id] == F.col("_id"), "left_anti")
+    dropped = verdict.where("not _first")
+    left = docs.join(dropped, docs[doc_id] == dropped["_id"], "left_anti")
     repeated = verdict.where("_first and _n > 1").select("_id")
     if repeated.isEmpty():
         return left

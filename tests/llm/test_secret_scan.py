@@ -1,0 +1,96 @@
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from bootlens.llm import secret_scan as s
+from tests.llm.rows import documents, odd_rows, prose
+
+
+def hexes(rng, n=40):
+    return "".join(rng.choice("0123456789abcdef") for _ in range(n))
+
+
+def planted(n=120):
+    rng, rows, secret = random.Random(1), [], {}
+    for k in range(n):
+        text = prose(k, 60)
+        if k % 3 == 0:
+            key = hexes(rng)
+            name = rng.choice(["token", "api_key", "SECRET", "password"])
+            secret[k] = [key]
+            text += f' {name} = "{key}" ' + prose(k + 1000, 20)
+        if k % 4 == 0:
+            text += f" see https://example.com/archive/{rng.randrange(10**9)}/longwordsinthepath and {rng.randrange(10**15, 10**16)} 中"
+        if k % 5 == 0:
+            text += " notwithstandingtheabove internationalization-and-more \U0001F600 counterintuitively_speaking"
+        rows.append((k, text, "en", "a", len(text)))
+    return rows, secret
+
+
+def test_findings(spark):
+    rows, secret = planted()
+    got = s.scan(documents(spark, rows)).collect()
+    text = {r[0]: r[1] for r in rows}
+    found = {}
+    for r in got:
+        value = text[r["doc_id"]][r["start"]:r["start"] + r["length"]]
+        assert hashlib.sha256(value.encode()).hexdigest() == r["candidate_sha256"]
+        if r["is_secret"]:
+            found.setdefault(r["doc_id"], []).append(value)
+    assert found == secret
+    assert sum(not r["is_secret"] for r in got) > 50  # false positives were there to remove
+
+
+def test_held_out_findings(spark):
+    """A forest fitted on half of the documents judges the other half."""
+    rows, secret = planted(200)
+    scanner = s.fit(documents(spark, [r for r in rows if r[0] % 2]))
+    rest = documents(spark, [r for r in rows if r[0] % 2 == 0]).select("doc_id", F.explode(scanner.findings(F.col("text"))).alias("x"))
+    got = {(r["doc_id"], r["x"]["candidate"]): r["x"]["score"] >= 0.5 for r in rest.collect()}
+    want = {k: k[1] in secret.get(k[0], []) for k in got}
+    assert sum(got[k] == want[k] for k in got) >= 0.95 * len(got)
+    assert all(got[k, v] for k, vs in secret.items() if k % 2 == 0 for v in vs)
+
+
+def test_secret_without_its_name_is_found_by_its_looks(spark):
+    rows, _ = planted()
+    bare = hexes(random.Random(5))
+    got = s.scan(documents(spark, rows + [(999, f'key: "{bare}"', "en", "a", 1)])).where("doc_id = 999").collect()
+    assert [r["is_secret"] for r in got] == [True]
+
+
+def test_masking(spark):
+    rows, secret = planted(40)
+    rows += [(r[0] if r[0] is None else 500 + r[0], *r[1:]) for r in odd_rows()]
+    df = documents(spark, rows)
+    out = s.mask_secrets(df)
+    assert out.columns == df.columns
+    got = sorted((tuple(r) for r in out.select("doc_id", "text", "n_chars").collect()), key=str)
+    want = []
+    for i, text, _, _, n in rows:
+        for value in secret.get(i, []):
+            text = text.replace(value, s.MASK)
+            n = len(text)
+        want.append((i, text, n))
+    assert got == sorted(want, key=str)
+
+
+def test_formats_and_adjacent_candidates(spark):
+    key = "AKIA" + "ABCDEFGH12345678"
+    rows, _ = planted(30)
+    got = s.scan(documents(spark, rows + [(900, f"{key} {key}\n{key}", "en", "a", 1)])).where("doc_id = 900").orderBy("finding").collect()
+    assert [(r["finding"], r["start"], r["is_secret"]) for r in got] == [(0, 0, True), (1, 21, True), (2, 42, True)]
+
+
+def test_one_class_odd_rows_and_empty(spark):
+    only = documents(spark, [(1, "notwithstandingtheabove", "en", "a", 1), (2, None, None, None, None)])
+    assert [r["is_secret"] for r in s.scan(only).collect()] == [False]
+    assert s.scan(documents(spark, [])).collect() == [] and s.mask_secrets(documents(spark, [])).collect() == []
+    assert all(re.fullmatch(r"[0-9a-f]{64}", r["candidate_sha256"]) for r in s.scan(documents(spark)).collect())
+
+
+def test_scan_is_native(spark):
+    rows, _ = planted(30)
+    assert "Python" not in s.scan(documents(spark, rows))._jdf.queryExecution().toString()
