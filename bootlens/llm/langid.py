@@ -24,7 +24,7 @@ from bootlens.llm.common import BoundedCache, staged
 LETTERS = regex.compile(r"\p{L}+")
 #: Model size and documented bound of the training sample (documents per language).
 BUCKETS, DIMS, GRAMS, PER_LABEL = 1 << 15, 16, (1, 2, 3, 4), 400
-EPOCHS, BATCH, RATE, SEED = 8, 16, 20.0, 5
+EPOCHS, STEPS, BATCH, RATE, SEED = 8, 800, 16, 20.0, 5  # epochs, but at least so many steps
 #: Of held-back predictions as low as the rejection score or lower, at least this share is wrong or doubtful.
 TOLERATED = 0.02
 UNKNOWN = "und"
@@ -104,7 +104,9 @@ def train(texts: list[str], labels: list[str], buckets: int = BUCKETS, dims: int
     held, used = bags[::5], [b for k, b in enumerate(bags) if k % 5] or bags
     table = rng.normal(0, 0.1, (buckets, dims))
     weights, bias = rng.normal(0, 0.1, (dims, len(names))), np.zeros(len(names))
-    steps, step = max(1, epochs * -(-len(used) // BATCH)), 0
+    per_epoch = max(1, -(-len(used) // BATCH))
+    epochs = max(epochs, -(-STEPS // per_epoch)) if used else 0
+    steps, step = epochs * per_epoch, 0
     for _ in range(epochs):
         order = rng.permutation(len(used))
         for a in range(0, len(order), BATCH):
