@@ -24,7 +24,7 @@ def image_name(x) -> Column:
 def image_tag(x) -> Column:
     """tag after the first ':'; NULL when there is none."""
     x = _c(x)
-    return F.when(x.contains(":"), F.substring(x, F.instr(x, ":") + 1, 1 << 30))
+    return F.when(x.contains(":"), F.substr(x, F.instr(x, ":") + 1))
 
 
 # Fixed pattern: user@host, split at the first '@'.
@@ -47,7 +47,7 @@ def strip_prefix(x, prefix) -> Column:
     """drop a leading ``prefix`` (repository root) when present."""
     x = _c(x)
     prefix = F.lit(prefix) if isinstance(prefix, str) else prefix
-    return F.when(x.startswith(prefix), F.substring(x, F.length(prefix) + 1, 1 << 30)).otherwise(x)
+    return F.when(x.startswith(prefix), F.substr(x, F.length(prefix) + 1)).otherwise(x)
 
 
 def stem(x) -> Column:
@@ -66,7 +66,7 @@ def query_entries(q) -> Column:
     items = F.filter(F.split(_c(q), "&"), lambda s: s != F.lit(""))
     return F.transform(items, lambda s, i: F.struct(
         F.substring_index(s, "=", 1).alias("key"),
-        F.when(s.contains("="), F.substring(s, F.instr(s, "=") + 1, 1 << 30)).otherwise(F.lit("")).alias("value"),
+        F.when(s.contains("="), F.substr(s, F.instr(s, "=") + 1)).otherwise(F.lit("")).alias("value"),
         i.alias("pos")))
 
 

@@ -1,72 +1,118 @@
 """Batch allocation, one node per request and one request per node.
 
-The reference allocates one request at a time (INSERT ... SELECT ... LIMIT
-1 in a transaction).  For requests that ask ``eq N`` the pools of different
-ranks do not interact, so the sequential result is reproduced exactly by
-numbering both sides within a rank: the k-th request of rank N (in request
-order) gets the k-th free node of rank N (in node_id order; the reference's
-``LIMIT 1`` has no order, node_id is ours).  Requests left over get NULL and
-the reason "Node exhausted".
-
-The numbering is ``ordered_scan`` with a running count, so a rank holding a
-third of all nodes or requests is still split over many tasks; the two
-sides then meet on an equi-join of (rank, number).
-
-Requests with ``le``/``ge``/``any`` compete for overlapping pools and are
-sequential by nature; they are returned with the reason "not an eq request"
-and are not allocated here (see README).  The TPM rule (P5) is exact for
-ranks whose requests all need a TPM or all do not; a rank with both kinds is
-order-dependent again and is reported, not allocated.
+The reference allocates one request at a time and takes any fitting free node
+(INSERT ... SELECT ... LIMIT 1).  A batch needs a policy; this one is:
+
+1. by predicate: ``eq`` requests, then ``le``, then ``ge``, then ``any``;
+2. inside each: requests that need a TPM take TPM nodes, the others take nodes
+   without one and then the TPM nodes that are left;
+3. inside these: as many requests as possible are served, earlier ones (in
+   request order) before later ones of the same rank predicate, and nodes go
+   by rank (``ge``: from the highest), then node_id (``any``: by node_id).
+
+No request is looked at one by one.  For ``le``, with A(N) nodes and R(N)
+requests of rank N or less, the number that can be served up to N is
+``R(N) + min over M <= N of (A(M) - R(M), 0)``: a running minimum over the
+distinct ranks.  It tells how many requests of each rank are served; they and
+the nodes are numbered in order and meet on the number.  ``ge`` is the same
+over negated ranks, ``any`` with one rank for all, ``eq`` with a pool per
+rank.  The numbering is ``ordered_scan`` with a running count, so a rank that
+holds a third of all nodes or requests is split over many tasks; the window of
+the running minimum goes over one row per distinct rank.
 """
 
 from __future__ import annotations
 
+import functools
 from typing import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bootlens.operators.sequence import Count, ordered_scan
+from bootlens.session import scratch_dir
+
+RANK_ORDER = ("eq", "le", "ge", "any")
+
 
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def allocate_eq(requests: DataFrame, free: DataFrame, request_id: str = "request_id",
-                request_order: Sequence[str] = ("request_id",), op: str = "rank_op", n: str = "rank_n",
-                node_id: str = "node_id", rank: str = "node_rank", need_tpm: str | None = None,
-                tpm: str = "have_tpm", partitions: int | None = None) -> DataFrame:
-    """Allocate free nodes to ``eq`` requests; see the module text.
 
-    With ``need_tpm`` (a boolean request column, true for ``s-ramfs``) the
-    TPM rule (P5) applies: in a rank whose requests all need a TPM they are
-    numbered against the rank's TPM nodes, in a rank where none does against
-    all its nodes.  A rank with both kinds is order-dependent (plain requests
-    may take the TPM nodes first); its requests get the reason
-    "mixed TPM pool" and no node.
+def _match(requests: DataFrame, nodes: DataFrame, order: Sequence[str], partitions: int | None) -> DataFrame:
+    """(_rid, node_id): requests (_rid, _pool, _key, order...) served from nodes
+    (node_id, _pool, _key) of the same pool with a key not above their own."""
+    counts = (requests.groupBy("_pool", "_key").agg(F.count("*").alias("_r"), F.lit(0).cast("long").alias("_a"))
+              .unionByName(nodes.groupBy("_pool", "_key").agg(F.lit(0).cast("long").alias("_r"), F.count("*").alias("_a")))
+              .groupBy("_pool", "_key").agg(F.sum("_r").alias("_r"), F.sum("_a").alias("_a")))
+    upto = W.partitionBy("_pool").orderBy("_key").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = counts.select("_pool", "_key", "_r", F.sum("_r").over(upto).alias("_rs"), F.sum("_a").over(upto).alias("_as"))
+    served = sums.withColumn("_s", F.col("_rs") + F.least(F.lit(0), F.min(F.col("_as") - F.col("_rs")).over(upto)))
+    before = F.coalesce(F.lag("_s").over(W.partitionBy("_pool").orderBy("_key")), F.lit(0))
+    quota = served.select("_pool", "_key", before.alias("_before"), (F.col("_s") - before).alias("_served"))
+    numbered = ordered_scan(requests, ["_pool", "_key"], list(order), [Count("_k")], partitions=partitions)
+    asked = (numbered.join(quota, ["_pool", "_key"]).where(F.col("_k") <= F.col("_served"))
+             .select("_rid", "_pool", (F.col("_before") + F.col("_k")).alias("_q")))
+    offered = ordered_scan(nodes, ["_pool"], ["_key", "node_id"], [Count("_q")], partitions=partitions)
+    return asked.join(offered.select("_pool", "_q", "node_id"), ["_pool", "_q"]).select("_rid", "node_id")
 
-    Output: every request with ``node_id`` (NULL when none) and ``reason``
-    (NULL when allocated)."""
-    is_eq = F.coalesce((F.col(op) == F.lit("eq")) & F.col(n).isNotNull(), F.lit(False))
+
+def allocate(requests: DataFrame, free: DataFrame, request_id: str = "request_id",
+             request_order: Sequence[str] = ("request_id",), op: str = "rank_op", n: str = "rank_n",
+             node_id: str = "node_id", rank: str = "node_rank", need_tpm: str | None = None,
+             tpm: str = "have_tpm", partitions: int | None = None) -> DataFrame:
+    """Allocate free nodes to requests by the policy of the module text.
+
+    ``request_order`` must be unique (end it with the request id).  With
+    ``need_tpm`` (a boolean request column, true for ``s-ramfs``) the TPM rule
+    (P5) applies; without it all nodes are alike.  A node without a rank fits ``any`` only.  Output: every
+    request with ``node_id`` (NULL when none) and ``reason`` (NULL when
+    allocated): "Node exhausted", or "invalid rank expression" for an unknown
+    operator or a missing number."""
+    order = [f"_o{i}" for i in range(len(request_order))]
     need = F.coalesce(F.col(need_tpm), F.lit(False)) if need_tpm else F.lit(False)
-    extra = [c for c in request_order if c != request_id]
-    eq = requests.where(is_eq).select(request_id, F.col(n).alias("_rank"), need.alias("_need"), *extra)
-    kinds = eq.groupBy("_rank").agg((F.min(F.col("_need").cast("int")) != F.max(F.col("_need").cast("int")))
-                                    .alias("_mixed"))
-    eq = eq.join(kinds, "_rank")
-    req_n = ordered_scan(eq.where(~F.col("_mixed")), ["_rank"], list(request_order), [Count("_k")],
-                         partitions=partitions)
-    has_tpm = F.coalesce(F.col(tpm), F.lit(False)) if tpm in free.columns else F.lit(False)
-    node_n = ordered_scan(free.where(F.col(rank).isNotNull()).select(node_id, F.col(rank).alias("_rank"),
-                                                                     has_tpm.alias("_tpm")),
-                          ["_rank"], [node_id], [Count("_k"), Count("_kt", F.col("_tpm"))], partitions=partitions)
-    plain = (req_n.where(~F.col("_need")).select(request_id, "_rank", "_k")
-             .join(node_n.select("_rank", "_k", node_id), ["_rank", "_k"], "left"))
-    secure = (req_n.where(F.col("_need")).select(request_id, "_rank", F.col("_k").alias("_kt"))
-              .join(node_n.where(F.col("_tpm")).select("_rank", "_kt", node_id), ["_rank", "_kt"], "left"))
-    got = plain.select(request_id, node_id).unionByName(secure.select(request_id, node_id))
-    mixed = eq.where(F.col("_mixed")).select(request_id, F.lit(True).alias("_mixed"))
-    served = requests.join(got, request_id, "left").join(mixed, request_id, "left")
-    reason = (F.when(~is_eq, F.lit("not an eq request"))
-              .when(F.coalesce(F.col("_mixed"), F.lit(False)), F.lit("mixed TPM pool"))
-              .when(F.col(node_id).isNull(), F.lit("Node exhausted")))
-    return served.withColumn("reason", reason).drop("_mixed")
+    known = F.coalesce((F.col(op) == "any") | (F.col(op).isin("eq", "le", "ge") & F.col(n).isNotNull()), F.lit(False))
+    asked = _staged(requests.where(known).select(
+        F.col(request_id).alias("_rid"), F.col(op).alias("_op"), F.col(n).cast("long").alias("_n"), need.alias("_need"),
+        *[F.col(c).alias(o) for c, o in zip(request_order, order)]), "alloc-requests")
+    has_tpm = F.coalesce(F.col(tpm), F.lit(False)) if need_tpm and tpm in free.columns else F.lit(False)
+    pool = _staged(free.select(F.col(node_id).alias("node_id"), F.col(rank).cast("long").alias("_rank"), has_tpm.alias("_tpm")),
+                   "alloc-nodes")
+    kinds = {(r["_op"], r["_need"]) for r in asked.select("_op", "_need").distinct().collect()}   # 8 rows at most
+
+    def keys(o: str, value: Column) -> list[Column]:
+        at = F.lit(0).cast("long")
+        return {"eq": [value.alias("_pool"), at.alias("_key")], "le": [at.alias("_pool"), value.alias("_key")],
+                "ge": [at.alias("_pool"), (-value).alias("_key")], "any": [at.alias("_pool"), at.alias("_key")]}[o]
+
+    got: list[DataFrame] = []
+
+    def left(df: DataFrame, col: str) -> DataFrame:
+        """Rows of ``df`` that no step so far has used."""
+        used = functools.reduce(DataFrame.unionByName, got).select(col) if got else None
+        return df.join(used, col, "left_anti") if used is not None else df
+
+    for o in RANK_ORDER:
+        for needs, from_tpm in ((True, True), (False, False), (False, True)):
+            if (o, needs) not in kinds:
+                continue
+            wanted = left(asked.where((F.col("_op") == o) & (F.col("_need") == needs)), "_rid")
+            nodes = left(pool.where(F.col("_tpm") == from_tpm), "node_id")
+            if o != "any":
+                nodes = nodes.where(F.col("_rank").isNotNull())
+            pairs = _match(wanted.select("_rid", *keys(o, F.col("_n")), *order),
+                           nodes.select("node_id", *keys(o, F.col("_rank"))), order, partitions)
+            got.append(_staged(pairs, "alloc-pairs"))
+
+    out = requests
+    if got:
+        pairs = functools.reduce(DataFrame.unionByName, got).select("_rid", F.col("node_id").alias(node_id))
+        out = out.join(pairs, F.col(request_id) == F.col("_rid"), "left").drop("_rid")
+    else:
+        out = out.withColumn(node_id, F.lit(None).cast(free.schema[node_id].dataType))
+    reason = (F.when(~known, F.lit("invalid rank expression")).when(F.col(node_id).isNull(), F.lit("Node exhausted")))
+    return out.withColumn("reason", reason)
 
 
 def admit_runs(requests: DataFrame, kernels: DataFrame, initrds: DataFrame, rootfs: DataFrame, nodes: DataFrame,
@@ -80,14 +126,30 @@ def admit_runs(requests: DataFrame, kernels: DataFrame, initrds: DataFrame, root
     request stops there, else the allocation's)."""
     from bootlens.operators.catalog import free_nodes, run_gate
 
-    gated = run_gate(requests, kernels, initrds, rootfs)
-    passing = gated.where(F.col("gate").isin("ok", "needs pull"))
-    free = free_nodes(nodes, containers)
-    alloc = allocate_eq(passing.select(request_id, "rank_op", "rank_n",
-                                       (F.col("fstype") == F.lit("s-ramfs")).alias("_need_tpm"),
-                                       *[c for c in request_order if c != request_id]),
-                        free, request_id=request_id, request_order=request_order, need_tpm="_need_tpm",
-                        partitions=partitions)
+    extra = [c for c in request_order if c not in (request_id, "rank_op", "rank_n", "fstype")]
+    gated = _staged(run_gate(requests, kernels, initrds, rootfs).select(request_id, "gate", "rank_op", "rank_n", "fstype", *extra), "gated")
+    go = F.col("gate").isin("ok", "needs pull")
+    asked = gated.where(go).withColumn("_need_tpm", F.coalesce(F.col("fstype") == F.lit("s-ramfs"), F.lit(False)))
+    alloc = allocate(asked, free_nodes(nodes, containers), request_id=request_id, request_order=request_order,
+                     need_tpm="_need_tpm", partitions=partitions)
     out = gated.select(request_id, "gate").join(alloc.select(request_id, "node_id", "reason"), request_id, "left")
-    reason = F.when(~F.col("gate").isin("ok", "needs pull"), F.col("gate")).otherwise(F.col("reason"))
-    return out.select(request_id, "gate", "node_id", reason.alias("reason"))
+    return out.select(request_id, "gate", "node_id", F.when(~go, F.col("gate")).otherwise(F.col("reason")).alias("reason"))
+
+
+def allocated_containers(admitted: DataFrame, requests: DataFrame, kernels: DataFrame, initrds: DataFrame,
+                         rootfs: DataFrame, created: Column, request_id: str = "request_id") -> DataFrame:
+    """Container rows of the admitted requests that got a node, as the
+    allocation inserts them: ids of the named images, the request's id as
+    bmc_id, and the default state ``terminated`` (power-on comes later).  A
+    request whose image is still to be pulled has no rootfs row and gets no
+    container yet."""
+    got = admitted.where(F.col("node_id").isNotNull()).select(request_id, "node_id")
+    j = (requests.join(got, request_id)
+         .join(kernels.select(F.col("kernel_name").alias("kernel"), "kernel_id"), "kernel")
+         .join(initrds.select(F.col("initrd_name").alias("initrd"), "initrd_id"), "initrd")
+         .join(rootfs.select(F.col("rootfs_name").alias("image"), "rootfs_id"), "image"))
+    text = lambda c: F.col(c) if c in requests.columns else F.lit(None).cast("string")
+    return j.select(F.col(request_id).cast("string").alias("bmc_id"), text("base_name").alias("base_name"),
+                    text("client_addr").alias("client_addr"), "kernel_id", text("kernel_param").alias("kernel_param"),
+                    "initrd_id", "rootfs_id", "fstype", "node_id", text("command").alias("command"),
+                    created.alias("created"), F.lit("terminated").alias("state"))

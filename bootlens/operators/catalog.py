@@ -5,8 +5,7 @@ U1, P1-P5, J1-J6, J8-J12, A1, A2, O1, O3.
 Catalog sides (images, nodes) are small next to containers and events in
 practice, but nothing here assumes it: joins are plain equi-joins, so AQE
 picks broadcast when the measured size allows and splits skewed partitions
-otherwise.  Explicit broadcast is used only for tables of a proven size
-(the edge table of an ordered scan).  J8's NULL rule is an EXISTS
+otherwise; none carries a broadcast hint.  J8's NULL rule is an EXISTS
 subquery, not a join.
 """
 
@@ -16,6 +15,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from bootlens.operators.sequence import Count, ordered_scan
 from bootlens.schemas import IMAGE_KINDS
 
 # --------------------------------------------------------------------------
@@ -91,42 +91,61 @@ def bad_rank_requests(requests: DataFrame, op: str = "rank_op") -> DataFrame:
 
 
 def match_rank(nodes: DataFrame, requests: DataFrame, request_id: str = "request_id", op: str = "rank_op",
-               n: str = "rank_n", rank: str = "node_rank", node_id: str = "node_id",
-               max_bins: int = 1024) -> DataFrame:
-    """(request_id, node_id) for every node whose rank satisfies all rank
-    predicates of the request (repeated predicates are ANDed; ``any``
-    accepts every rank; an unknown operator or a missing number matches
-    nothing, as a false SQL predicate would).
-
-    No nested loop: the predicates of a request fold into one rank interval
-    [lo, hi] (partial aggregation), clipped to the ranks present (scalar
-    subqueries).  The rank axis is cut into at most ``max_bins`` bins, an
-    interval is exploded into the bins it covers, each distinct rank meets
-    the intervals of its own bin on an equi-join and the exact bounds are
-    checked; the accepted (request, rank) pairs meet the nodes on an
-    equi-join of rank."""
+               n: str = "rank_n", rank: str = "node_rank", node_id: str = "node_id", need_tpm: str | None = None,
+               tpm: str = "have_tpm", partitions: int | None = None) -> DataFrame:
+    """Per request the number of nodes whose rank satisfies all its rank
+    predicates and the lowest ``node_id`` among them: (request_id, n_nodes,
+    node_id), one row per request.  Repeated predicates are ANDed; ``any``
+    accepts every rank and, if nothing else is asked, nodes without one; an unknown operator
+    or a missing number matches nothing, as a false SQL predicate would.  With ``need_tpm`` (a boolean
+    request column) only TPM nodes count for the requests that need one.
+
+    No request x node pairs are formed.  A request's predicates fold into one
+    interval of ranks.  The distinct ranks are numbered in order (a running
+    count, ``ordered_scan``, in which the interval ends take part and so find
+    their numbers).  Over these numbers a tree of halves holds count and
+    lowest id per span of 1, 2, 4, ... ranks; an interval is at most two spans
+    of each length, found by an equi-join."""
     o, v = F.col(op), F.col(n)
     known = F.coalesce(o.isin(*RANK_OPS), F.lit(False))
+    secure = F.coalesce(F.col(need_tpm), F.lit(False)) if need_tpm else F.lit(False)
     iv = requests.groupBy(request_id).agg(
-        F.max(F.when(o.isin("ge", "eq"), v)).alias("_lo"),
-        F.min(F.when(o.isin("le", "eq"), v)).alias("_hi"),
+        F.max(F.when(o.isin("ge", "eq"), v)).cast("long").alias("_lo"),
+        F.min(F.when(o.isin("le", "eq"), v)).cast("long").alias("_hi"),
+        F.max(secure).alias("_need"),
         F.max((~known | (o.isin("ge", "le", "eq") & v.isNull())).cast("int")).alias("_void"))
-    ranks = nodes.select(F.col(rank).alias("_rank")).where(F.col("_rank").isNotNull()).distinct()
-    r_min = ranks.agg(F.min("_rank").cast("long")).scalar()
-    r_max = ranks.agg(F.max("_rank").cast("long")).scalar()
-    width = F.greatest(F.lit(1), F.ceil((r_max - r_min + F.lit(1)) / F.lit(max_bins)))
-    lo = F.greatest(F.coalesce(F.col("_lo").cast("long"), r_min), r_min)
-    hi = F.least(F.coalesce(F.col("_hi").cast("long"), r_max), r_max)
-    wanted = (iv.where((F.col("_void") == 0) & r_min.isNotNull())
-              .select(request_id, lo.alias("_l"), hi.alias("_h"))
-              .where(F.col("_l") <= F.col("_h"))
-              .withColumn("_bin", F.explode(F.sequence(F.floor((F.col("_l") - r_min) / width),
-                                                       F.floor((F.col("_h") - r_min) / width)))))
-    binned = ranks.withColumn("_bin", F.floor((F.col("_rank") - r_min) / width))
-    ok = (wanted.join(binned, "_bin")
-          .where((F.col("_rank") >= F.col("_l")) & (F.col("_rank") <= F.col("_h")))
-          .select(request_id, "_rank"))
-    return ok.join(nodes.select(F.col(rank).alias("_rank"), node_id), "_rank").select(request_id, node_id)
+    has = F.coalesce(F.col(tpm), F.lit(False)) if tpm in nodes.columns else F.lit(False)
+    per_rank = (nodes.groupBy(F.col(rank).cast("long").alias("_at"))   # nodes without a rank come first
+                .agg(F.count("*").alias("_n"), F.min(node_id).alias("_id"),
+                     F.count(F.when(has, 1)).alias("_nt"), F.min(F.when(has, F.col(node_id))).alias("_idt")))
+    # ends before a rank of the same value look at smaller ranks only: side 0 < rank 1 < side 2
+    none = [F.lit(None).cast("long").alias(c) for c in ("_n", "_nt")] + [F.lit(None).cast(nodes.schema[node_id].dataType).alias(c) for c in ("_id", "_idt")]
+    ends = iv.select(F.col(request_id).alias("_req"), F.explode(F.array(
+        F.struct(F.lit(0).alias("_side"), F.col("_lo").alias("_at")), F.struct(F.lit(2).alias("_side"), F.col("_hi").alias("_at")))).alias("_e"))
+    rows = per_rank.select("_at", F.lit(1).alias("_side"), F.lit(None).cast(iv.schema[request_id].dataType).alias("_req"), "_n", "_nt", "_id", "_idt").unionByName(
+        ends.where("_e._at is not null").select(F.col("_e._at").alias("_at"), F.col("_e._side").alias("_side"), "_req", *none))
+    placed = ordered_scan(rows, [], ["_at", "_side", "_req"], [Count("_k", F.col("_side") == 1)], partitions=partitions)
+    levels = per_rank.agg(F.ceil(F.log2(F.count("*") + F.lit(1.0))).cast("int")).scalar()
+    spans = placed.where("_side = 1").select("_n", "_nt", "_id", "_idt", (F.col("_k") - 1).alias("_i"), F.explode(F.sequence(F.lit(0), levels)).alias("_level"))
+    tree = (spans.groupBy("_level", F.expr("shiftright(_i, _level)").alias("_span"))
+            .agg(F.sum("_n").alias("_n"), F.min("_id").alias("_id"), F.sum("_nt").alias("_nt"), F.min("_idt").alias("_idt")))
+    total = per_rank.agg(F.count("*")).scalar()
+    unranked = per_rank.where("_at is null").agg(F.count("*")).scalar()
+    bounds = placed.where("_side != 1").groupBy("_req").agg(
+        F.max(F.when(F.col("_side") == 0, F.col("_k"))).alias("_a"), F.max(F.when(F.col("_side") == 2, F.col("_k"))).alias("_b"))
+    asked = (iv.where("_void = 0").join(bounds, F.col(request_id) == F.col("_req"), "left")
+             .select(request_id, "_need", F.coalesce("_a", F.when(F.col("_hi").isNotNull(), unranked).otherwise(0)).alias("_a"), F.coalesce("_b", total).alias("_b"),
+                     F.explode(F.sequence(F.lit(0), levels)).alias("_level")))
+    # spans of this length: [a, b) rounded inwards; an odd end is not covered by the next length
+    low, high = F.expr("shiftright(_a + shiftleft(1L, _level) - 1, _level)"), F.expr("shiftright(_b, _level)")
+    pieces = (asked.withColumn("_l", low).withColumn("_h", high).where("_l < _h")
+              .select(request_id, "_need", "_level", F.explode(F.array_compact(F.array(
+                  F.when(F.col("_l") % 2 == 1, F.col("_l")), F.when(F.col("_h") % 2 == 1, F.col("_h") - 1)))).alias("_span")))
+    count = F.when(F.col("_need"), F.col("_nt")).otherwise(F.col("_n"))
+    lowest = F.when(F.col("_need"), F.col("_idt")).otherwise(F.col("_id"))
+    found = pieces.join(tree, ["_level", "_span"]).groupBy(request_id).agg(F.sum(count).alias("n_nodes"), F.min(lowest).alias(node_id))
+    return iv.select(request_id).join(found, request_id, "left").select(
+        request_id, F.coalesce("n_nodes", F.lit(0)).cast("long").alias("n_nodes"), node_id)
 
 
 def tpm_ok(fstype: Column, have_tpm: Column) -> Column:
@@ -163,23 +182,21 @@ def deletable_nodes(nodes: DataFrame, containers: DataFrame, null_aware: bool =
 
 
 def candidates(requests: DataFrame, kernels: DataFrame, initrds: DataFrame, rootfs: DataFrame, nodes: DataFrame,
-               containers: DataFrame, request_id: str = "request_id") -> DataFrame:
-    """For each run request the (kernel, initrd, rootfs, node) choices:
-    the named images must exist, the node rank must satisfy the request,
-    ``s-ramfs`` needs a TPM node, and the node must be free.
+               containers: DataFrame, request_id: str = "request_id", partitions: int | None = None) -> DataFrame:
+    """For each run request whose kernel, initrd and image exist, their
+    ids, the number of free nodes that fit and the lowest of them (NULL when
+    none): the rank predicates hold, and ``s-ramfs`` needs a TPM node.  One
+    row per request, as the reference takes one node (LIMIT 1).
 
     Requests carry: request_id, kernel, initrd, image, fstype, rank_op,
-    rank_n.  Names join by equality; ranks through ``match_rank``."""
-    r = (requests
-         .join(kernels.select(F.col("kernel_name").alias("kernel"), "kernel_id"), "kernel")
-         .join(initrds.select(F.col("initrd_name").alias("initrd"), "initrd_id"), "initrd")
-         .join(rootfs.select(F.col("rootfs_name").alias("image"), "rootfs_id"), "image"))
-    free = free_nodes(nodes, containers)
-    fit = match_rank(free, requests.select(request_id, "rank_op", "rank_n"), request_id)
-    tpm = free.select("node_id", "have_tpm")
-    return (r.join(fit, request_id).join(tpm, "node_id")
-            .where(tpm_ok(F.col("fstype"), F.col("have_tpm")))
-            .select(request_id, "kernel_id", "initrd_id", "rootfs_id", "node_id"))
+    rank_n; rows that repeat a request_id add rank predicates (ANDed)."""
+    images = (requests.select(request_id, "kernel", "initrd", "image").distinct()
+              .join(kernels.select(F.col("kernel_name").alias("kernel"), "kernel_id"), "kernel")
+              .join(initrds.select(F.col("initrd_name").alias("initrd"), "initrd_id"), "initrd")
+              .join(rootfs.select(F.col("rootfs_name").alias("image"), "rootfs_id"), "image"))
+    asked = requests.select(request_id, "rank_op", "rank_n", (F.col("fstype") == F.lit("s-ramfs")).alias("_need"))
+    fit = match_rank(free_nodes(nodes, containers), asked, request_id, need_tpm="_need", partitions=partitions)
+    return images.join(fit, request_id).select(request_id, "kernel_id", "initrd_id", "rootfs_id", "n_nodes", "node_id")
 
 
 # --------------------------------------------------------------------------

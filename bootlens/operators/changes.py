@@ -11,70 +11,96 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from bootlens.operators.sequence import Count, ordered_scan
+from bootlens.operators.sequence import Count, Fill, ordered_scan
 
 
 def _with_new_ids(rows: DataFrame, base: DataFrame, id_col: str, order: str,
-                  partitions: int | None = None) -> DataFrame:
-    """Give ``rows`` ids max(base id) + 1, + 2, ... in ``order`` (unique
-    among ``rows``; names are)."""
+                  partitions: int | None = None, highest: int | Column | None = None) -> DataFrame:
+    """Give ``rows`` the ids after the highest one ever given, in ``order``
+    (unique among ``rows``; names are).  ``highest`` is that id where the
+    table no longer holds it, so that the id of a deleted row never returns."""
     top = base.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).scalar()   # scalar subquery, run once
+    if highest is not None:
+        top = F.greatest(top, F.lit(highest) if isinstance(highest, int) else highest)
     numbered = ordered_scan(rows, [], [order], [Count("_n")], partitions=partitions)
     return numbered.withColumn(id_col, top + F.col("_n")).drop("_n")
 
 
+def _last_per_name(rows: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
+    """One change per name: the last in ``order`` (all columns when empty)."""
+    rest = [c for c in rows.columns if c != name]
+    at = F.struct(*[F.col(c) for c in (order or rows.columns)])
+    return (rows.groupBy(name).agg(F.max_by(F.struct(*[F.col(c) for c in rest]), at).alias("_r"))
+            .select(name, *[F.col("_r")[c].alias(c) for c in rest]))
+
+
 def apply_insert(table: DataFrame, rows: DataFrame, name: str, id_col: str, empty_as_null: bool = True,
-                 partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """M1: insert rows whose name is new; known names are refused.
+                 partitions: int | None = None, order: Sequence[str] = (),
+                 highest: int | Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """M1: insert rows whose name is new; known names are refused, and of rows
+    that repeat a new name all but the first in ``order`` (a unique input
+    order; without one equal rows count once and the smallest row is first).
 
     With ``empty_as_null`` (the node insert) empty text is stored as NULL;
     image imports keep ''.  Returns (new table, refused rows)."""
     if empty_as_null:
         rows = rows.select(*[F.nullif(F.col(c), F.lit("")).alias(c) if t == "string" else F.col(c)
                              for c, t in rows.dtypes])
-    known = table.select(name)
-    new = rows.join(known, name, "left_anti")
-    refused = rows.join(known, name, "left_semi").withColumn("error", F.concat(F.lit("exists: "), F.col(name)))
-    added = _with_new_ids(new.drop(id_col) if id_col in new.columns else new, table, id_col, name, partitions)
+    if not order:
+        rows = rows.dropDuplicates()
+    at = F.struct(*[F.col(c) for c in (order or rows.columns)])
+    first = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(at).alias("_first"))
+    known = table.select(name).where(F.col(name).isNotNull()).distinct().withColumn("_known", F.lit(True))
+    marked = (rows.join(first, name, "left").join(known, name, "left")
+              .withColumn("_ok", F.col("_known").isNull() & (F.col("_first").isNull() | (at == F.col("_first")))))
+    new = marked.where("_ok").drop("_first", "_known", "_ok")
+    refused = (marked.where("not _ok").drop("_first", "_known", "_ok")
+               .withColumn("error", F.concat(F.lit("exists: "), F.col(name))))
+    added = _with_new_ids(new.drop(id_col) if id_col in new.columns else new, table, id_col, name, partitions, highest)
     return table.unionByName(added.select(*table.columns)), refused
 
 
 def apply_upsert(table: DataFrame, changes: DataFrame, name: str, id_col: str,
                  keep: Sequence[str] = ("kernel_param",), new_default: str = "",
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, order: Sequence[str] = (),
+                 highest: int | Column | None = None) -> DataFrame:
     """M2: insert or update by name.  An updated row keeps its id and the
     ``keep`` columns; other columns take the change's values.  A new row gets
-    a new id and ``new_default`` ('') in the ``keep`` columns."""
+    a new id and ``new_default`` ('') in the ``keep`` columns.  Of changes that
+    repeat a name the last in ``order`` counts.  One full outer join."""
     keep = list(keep)
     set_cols = [c for c in table.columns if c not in (id_col, name, *keep)]
-    ch = changes.select(name, *set_cols)
-    updated = (table.join(ch.select(name, *[F.col(c).alias(f"_new_{c}") for c in set_cols]), name, "left")
-               .select(*[F.col(f"_new_{c}").alias(c) if c in set_cols else F.col(c) for c in table.columns]))
-    # rows of ``table`` whose name has no change keep their values
-    untouched = table.join(ch.select(name), name, "left_anti")
-    changed = updated.join(ch.select(name), name, "left_semi")
-    new = ch.join(table.select(name), name, "left_anti")
-    for c in keep:
-        new = new.withColumn(c, F.lit(new_default))
-    added = _with_new_ids(new, table, id_col, name, partitions).select(*table.columns)
-    return untouched.unionByName(changed).unionByName(added)
+    ch = _last_per_name(changes.select(name, *set_cols, *[c for c in order if c not in (name, *set_cols)]), name, order)
+    new_of = [F.col(c).alias(f"_new_{c}") for c in set_cols]
+    both = (table.withColumn("_old", F.lit(True))
+            .join(ch.select(name, *new_of, F.lit(True).alias("_ch")), name, "full_outer"))
+    merged = [F.when(F.col("_ch"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in set_cols
+              else F.when(F.col("_old"), F.col(c)).otherwise(F.lit(new_default)).alias(c) if c in keep
+              else F.col(c) for c in table.columns]
+    added = _with_new_ids(both.where("_old is null").select(*merged).drop(id_col), table, id_col, name, partitions, highest)
+    return both.where("_old").select(*merged).unionByName(added.select(*table.columns))
 
 
 def apply_replace(table: DataFrame, changes: DataFrame, name: str, id_col: str,
-                  partitions: int | None = None) -> DataFrame:
-    """M3: insert or replace: every change row gets a new id (the replaced
-    row's id is gone; containers pointing at it keep the old id)."""
+                  partitions: int | None = None, order: Sequence[str] = (),
+                  highest: int | Column | None = None) -> DataFrame:
+    """M3: insert or replace: every changed name gets a new id (the replaced
+    row's id is gone; containers pointing at it keep the old id).  Of changes
+    that repeat a name the last in ``order`` stays."""
     kept = table.join(changes.select(name), name, "left_anti")
-    added = _with_new_ids(changes.drop(id_col) if id_col in changes.columns else changes,
-                          table, id_col, name, partitions)
+    ch = _last_per_name(changes, name, order)
+    added = _with_new_ids(ch.drop(id_col) if id_col in ch.columns else ch, table, id_col, name, partitions, highest)
     return kept.unionByName(added.select(*table.columns))
 
 
-def set_column(table: DataFrame, changes: DataFrame, name: str, col: str) -> tuple[DataFrame, DataFrame]:
-    """M4: update one column by name.  Returns (new table, unknown names)."""
-    ch = changes.select(name, F.col(col).alias("_v"), F.lit(True).alias("_m"))
+def set_column(table: DataFrame, changes: DataFrame, name: str, col: str,
+               order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """M4: update one column by name; of changes that repeat a name the last
+    in ``order`` counts.  Returns (new table, unknown names)."""
+    last = _last_per_name(changes.select(name, col, *[c for c in order if c not in (name, col)]), name, order)
+    ch = last.select(name, F.col(col).alias("_v"), F.lit(True).alias("_m"))
     out = (table.join(ch, name, "left")
            .withColumn(col, F.when(F.col("_m"), F.col("_v")).otherwise(F.col(col))).drop("_v", "_m"))
     unknown = changes.join(table.select(name), name, "left_anti").withColumn(
@@ -90,10 +116,12 @@ def delete_by_name(table: DataFrame, names: DataFrame, name: str) -> tuple[DataF
     return out.select(*table.columns), unknown
 
 
-def insert_absent(table: DataFrame, rows: DataFrame, name: str, id_col: str,
-                  partitions: int | None = None) -> DataFrame:
-    """M6: insert rows whose name is absent; present names are left alone."""
-    return apply_insert(table, rows, name, id_col, empty_as_null=False, partitions=partitions)[0]
+def insert_absent(table: DataFrame, rows: DataFrame, name: str, id_col: str, partitions: int | None = None,
+                  order: Sequence[str] = (), highest: int | Column | None = None) -> DataFrame:
+    """M6: insert rows whose name is absent; present names are left alone, and
+    so is the table by rows that repeat a name after the first."""
+    return apply_insert(table, rows, name, id_col, empty_as_null=False, partitions=partitions, order=order,
+                        highest=highest)[0]
 
 
 def latest_state(events: DataFrame, key: str = "bmc_id", order: Sequence[str] = ("epoch_ns", "seq"),
@@ -105,24 +133,47 @@ def latest_state(events: DataFrame, key: str = "bmc_id", order: Sequence[str] =
 
 
 def apply_states(containers: DataFrame, events: DataFrame, force: bool = False,
-                 order: Sequence[str] = ("epoch_ns", "seq")) -> tuple[DataFrame, DataFrame]:
-    """M7: apply state events (kill / rm) to the container table.
-
-    The latest event per container sets its state; ``terminated`` clears
-    node_id; ``removed`` deletes the row, but a live container (state not
-    terminated before the event) is refused unless ``force``.
-    ``order`` ranks the events of a container (end it with a unique
-    column).  Returns (new table, refused removals)."""
-    last = latest_state(events, order=order).withColumnRenamed("state", "_new")
-    j = containers.join(last, "bmc_id", "left")
-    live = F.col("state") != F.lit("terminated")
-    removing = F.col("_new") == F.lit("removed")
-    refused = j.where(removing & live & F.lit(not force)).select("bmc_id", F.lit("live container").alias("error"))
-    keep = j.where(~F.coalesce(removing & (~live | F.lit(force)), F.lit(False)))
-    new_state = F.when(F.col("_new").isNull() | removing, F.col("state")).otherwise(F.col("_new"))
-    out = (keep.withColumn("state", new_state)
-           .withColumn("node_id", F.when(F.col("state") == F.lit("terminated"), F.lit(None)).otherwise(F.col("node_id")))
-           .drop("_new"))
+                 order: Sequence[str] = ("epoch_ns", "seq"), partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """M7: apply state events (kill / rm) to the container table, in ``order``
+    (end it with a unique column).
+
+    An event sets the container's state; ``terminated`` frees its node.
+    ``removed`` deletes the row if the state before it (the last state event,
+    else the table's) is ``terminated``, or with ``force``; any other state,
+    NULL too, is live: that removal is refused and the rest of the events
+    still counts.  Returns (new table, containers with a refused removal).
+
+    The state before each removal is a running fill (``ordered_scan``), the
+    rest one row per container by partial aggregation."""
+    order = list(order)
+    ev = events.select("bmc_id", *[c for c in order if c != "state"], F.col("state").alias("_state"),
+                       *([F.col("state")] if "state" in order else []))
+    ev = ev.withColumn("_set", ~F.col("_state").eqNullSafe(F.lit("removed")))
+    seen = ordered_scan(ev, ["bmc_id"], order, [Fill(["_state", "_set"], F.col("_set"), prefix="_before")],
+                        partitions=partitions)
+    at = F.struct(*[F.col(c) for c in order])
+    removal, known = ~F.col("_set"), F.col("_before_set").isNotNull()
+    dead = F.coalesce(F.col("_before_state") == F.lit("terminated"), F.lit(False))
+    per = seen.groupBy("bmc_id").agg(
+        F.min(F.when(removal & ~known, at)).alias("_early"),
+        F.min(F.when(removal & known & dead, at)).alias("_dies"),
+        F.min(F.when(removal & known & ~dead, at)).alias("_stays"),
+        F.max(F.col("_set")).alias("_any"), F.max_by(F.col("_state"), F.when(F.col("_set"), at)).alias("_new"),
+        F.max(F.coalesce(F.col("_set") & (F.col("_state") == F.lit("terminated")), F.lit(False))).alias("_freed"))
+    j = containers.join(per, "bmc_id", "left")
+    was_dead = F.coalesce(F.col("state") == F.lit("terminated"), F.lit(False))
+    dies = F.when(was_dead & F.col("_early").isNotNull(), F.col("_early")).otherwise(F.col("_dies"))
+    if force:
+        refused_here = F.lit(False)
+        gone = F.col("_early").isNotNull() | F.col("_dies").isNotNull() | F.col("_stays").isNotNull()
+    else:
+        refused_here = ((F.col("_early").isNotNull() & ~was_dead)
+                        | (F.col("_stays").isNotNull() & (dies.isNull() | (F.col("_stays") < dies))))
+        gone = dies.isNotNull()
+    refused = j.where(F.coalesce(refused_here, F.lit(False))).select("bmc_id", F.lit("live container").alias("error"))
+    state = F.when(F.coalesce(F.col("_any"), F.lit(False)), F.col("_new")).otherwise(F.col("state"))
+    free = F.coalesce(F.col("_freed"), F.lit(False)) | F.coalesce(state == F.lit("terminated"), F.lit(False))
+    out = j.where(~gone).withColumn("node_id", F.when(~free, F.col("node_id"))).withColumn("state", state)
     return out.select(*containers.columns), refused
 
 

@@ -12,24 +12,28 @@ from bootlens.schemas import ns_lit, span_seconds
 from bootlens.operators.windows import first_use
 
 
-def identify_caller(requests: DataFrame, nodes: DataFrame, req_ip: str = "remote_addr", req_mac: str = "mac_addr",
-                    node_ip: str = "ip4_addr_boot", node_mac: str = "mac_addr_mgmt",
-                    node_cols: Sequence[str] = ("node_id", "node_name")) -> DataFrame:
-    """The node a boot request comes from, by boot address and by MAC;
-    the address match wins.  ``matched_by`` is 'ip', 'mac' or NULL (reject).
-
-    Both lookups are equi-joins on unique catalog columns (NULL never
-    matches), so a request gets at most one node from each."""
-    node_cols = list(node_cols)
-    by_ip = nodes.where(F.col(node_ip).isNotNull()).select(
-        F.col(node_ip).alias("_ip"), F.struct(*node_cols).alias("_by_ip"))
-    by_mac = nodes.where(F.col(node_mac).isNotNull()).select(
-        F.col(node_mac).alias("_mac"), F.struct(*node_cols).alias("_by_mac"))
-    j = (requests.join(by_ip, F.col(req_ip) == F.col("_ip"), "left")
-         .join(by_mac, F.col(req_mac) == F.col("_mac"), "left"))
-    node = F.coalesce(F.col("_by_ip"), F.col("_by_mac"))
+def identify_caller(requests: DataFrame, nodes: DataFrame, containers: DataFrame, req_ip: str = "remote_addr",
+                    req_mac: str = "mac_addr", node_ip: str = "ip4_addr_boot", node_mac: str = "mac_addr_mgmt",
+                    key: str = "bmc_id", node_id: str = "node_id") -> DataFrame:
+    """The container a boot request comes from, by the boot address and
+    by the MAC of its node; the address match wins.  ``matched_by`` is 'ip',
+    'mac' or NULL (reject).
+
+    Only nodes that hold a container can match: an idle node with the boot
+    address does not hide a container found by MAC.  Should a node hold
+    several containers, or nodes share an address, the smallest key answers,
+    so a request gets one row (NULL addresses never match)."""
+    held = (containers.where(F.col(node_id).isNotNull()).select(key, node_id)
+            .join(nodes.select(node_id, node_ip, node_mac), node_id))
+
+    def lookup(addr: str, as_addr: str, as_key: str) -> DataFrame:
+        return (held.where(F.col(addr).isNotNull()).groupBy(F.col(addr).alias(as_addr))
+                .agg(F.min(key).alias(as_key)))
+
+    j = (requests.join(lookup(node_ip, "_ip", "_by_ip"), F.col(req_ip) == F.col("_ip"), "left")
+         .join(lookup(node_mac, "_mac", "_by_mac"), F.col(req_mac) == F.col("_mac"), "left"))
     matched = F.when(F.col("_by_ip").isNotNull(), F.lit("ip")).when(F.col("_by_mac").isNotNull(), F.lit("mac"))
-    return j.select(*requests.columns, *[node[c].alias(c) for c in node_cols], matched.alias("matched_by"))
+    return j.select(*requests.columns, F.coalesce("_by_ip", "_by_mac").alias(key), matched.alias("matched_by"))
 
 
 def container_addresses(detail: DataFrame, key: str = "bmc_id",
@@ -57,7 +61,8 @@ def check_session(requests: DataFrame, hashes: DataFrame, now: Column, session:
     """J15 + W7: one-time sessions.
 
     A request is refused when its session is unknown, expired
-    (``session_good_for < now``, strictly: expiring exactly now is valid),
+    (``session_good_for < now``, strictly: expiring exactly now is valid; a
+    session without an expiry counts as expired),
     or its nonce differs from ``nonce2``.  A NULL or empty nonce never
     matches (also after use, where the reference's empty value would compare
     equal).
@@ -68,7 +73,7 @@ def check_session(requests: DataFrame, hashes: DataFrame, now: Column, session:
     h = hashes.select(F.col("session_id").alias("_sid"), "session_good_for", "nonce2")
     j = requests.join(h, requests[session] == F.col("_sid"), "left")
     base = (F.when(F.col("_sid").isNull(), F.lit("unknown session"))
-            .when(F.col("session_good_for") < now, F.lit("expired"))
+            .when(F.col("session_good_for").isNull() | (F.col("session_good_for") < now), F.lit("expired"))
             .when(~F.coalesce(F.nullif(F.col(nonce), F.lit("")) == F.nullif(F.col("nonce2"), F.lit("")), F.lit(False)),
                   F.lit("bad nonce")))
     j = j.withColumn("_base", base).drop("_sid", "session_good_for", "nonce2")

@@ -23,8 +23,9 @@ of the data.  ``ordered_scan`` avoids this:
 3. Inside each range a window over ``(range, key)`` computes the scan.  Such
    a group is at most one range (about N/P rows), never a whole hot key.
 4. A row whose predecessor lies in an earlier range takes it from an edge
-   table: one row per non-empty range (at most P rows, a proven bound), so it
-   is broadcast.  Edge values are found with ``max_by`` (partial aggregation,
+   table: one row per non-empty range (at most P rows), joined on the range
+   number; AQE broadcasts it when its measured size allows and shuffles
+   otherwise.  Edge values are found with ``max_by`` (partial aggregation,
    nothing is collected to the driver).
 
 ``descending=True`` runs the scan from the end: ``Lag`` then yields the next
@@ -40,10 +41,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bootlens.session import ensure_checkpoint_dir, scratch_dir
 
-#: Upper bound on range partitions; the edge table holds one row per range,
-#: so this bounds what is broadcast.
-MAX_RANGES = 200_000
-
 
 @dataclass
 class Lag:
@@ -94,8 +91,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], ops:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n_ranges = int(partitions or spark.conf.get("spark.sql.shuffle.partitions"))
-    if not 1 <= n_ranges <= MAX_RANGES:
-        raise ValueError(f"partitions must be in 1..{MAX_RANGES}, got {n_ranges}")
+    if n_ranges < 1:
+        raise ValueError(f"partitions must be at least 1, got {n_ranges}")
 
     keys, order = list(keys), list(order)
     if not ops:
@@ -141,7 +138,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], ops:
     for op in counts:
         local = local.withColumn(f"_n_{op.out}", F.sum(op._flag).over(upto))
 
-    # 4. edges: last row and last matching row of every range (<= n_ranges rows)
+    # 4. edges: last row and last matching row of every range
     key_struct = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
     rank = F.struct(*keys, *pos)
     aggs = []
@@ -167,7 +164,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], ops:
             *[k.alias(f"k{i}") for i, k in enumerate(tail_keys)],
             *[F.sum(F.col(f"_e_tail.v{i}")).over(by_last).alias(f"v{i}") for i in range(len(counts))]).alias("_e_cum"))
         edges = tail if edges is None else edges.join(tail, "_part", "full")
-    by_range = W.orderBy("_part")  # over <= n_ranges rows
+    by_range = W.orderBy("_part")  # one row per range
     carry_cols = [F.col("_part")]
     if lags:
         carry_cols.append(F.lag("_e_last").over(by_range).alias("_c_last"))
@@ -178,7 +175,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], ops:
         carry_cols.append(F.lag("_e_cum").over(by_range).alias("_c_cum"))
     carry = edges.select(*carry_cols)
 
-    out = local.join(F.broadcast(carry), "_part", "left")
+    out = local.join(carry, "_part", "left")
 
     def same_key(struct_col: str) -> Column:
         cond = F.col(struct_col).isNotNull()

@@ -287,35 +287,93 @@ def deletable_nodes(spark, sf_dir):
         .agg(F.max("n_deletable").alias("n_deletable"), F.max("n_free").alias("n_free"))
 
 
-_RANK_REQUESTS = [("r-eq10", "eq", 10), ("r-le10", "le", 10), ("r-ge40", "ge", 40), ("r-any", "any", None)]
-
-
 @query("match_rank", """
-WITH req(request_id, rank_op, rank_n) AS (VALUES ('r-eq10', 'eq', 10), ('r-le10', 'le', 10), ('r-ge40', 'ge', 40),
-                                                 ('r-any', 'any', NULL))
-SELECT req.request_id, p.p_partkey AS node_id
-FROM req JOIN part p ON (req.rank_op = 'eq' AND p.p_size = req.rank_n) OR (req.rank_op = 'le' AND p.p_size <= req.rank_n)
-                     OR (req.rank_op = 'ge' AND p.p_size >= req.rank_n) OR req.rank_op = 'any'""")
+WITH req AS (
+  SELECT s_suppkey AS request_id, CASE s_suppkey % 5 WHEN 0 THEN 'eq' WHEN 1 THEN 'le' WHEN 2 THEN 'any' WHEN 3 THEN 'lt' ELSE 'ge' END AS op,
+         CASE WHEN s_suppkey % 5 != 2 THEN s_nationkey END AS n FROM supplier
+  UNION ALL SELECT s_suppkey, 'le', s_nationkey + 10 FROM supplier WHERE s_suppkey % 5 IN (2, 4)),
+iv AS (SELECT request_id, max(n) FILTER (op IN ('ge', 'eq')) AS lo, min(n) FILTER (op IN ('le', 'eq')) AS hi,
+              bool_or(op = 'lt') AS bad FROM req GROUP BY request_id)
+SELECT iv.request_id, count(p_partkey) AS n_nodes, min(p_partkey) AS node_id
+FROM iv LEFT JOIN part p ON NOT iv.bad AND p_size >= coalesce(lo, p_size) AND p_size <= coalesce(hi, p_size)
+GROUP BY iv.request_id""")
 def match_rank(spark, sf_dir):
-    parts = si.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"),
-                                                     F.col("p_size").alias("node_rank"))
-    req = spark.createDataFrame(_RANK_REQUESTS, "request_id string, rank_op string, rank_n int")
-    return cat.match_rank(parts, req)
-
-
-@query("allocate_eq", """
-WITH free AS (SELECT c_custkey AS node_id, c_nationkey AS node_rank FROM customer
-              WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'O' AND o_custkey = c_custkey)),
-fr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY node_rank ORDER BY node_id) AS k FROM free),
-rq AS (SELECT s_suppkey AS request_id, s_nationkey AS rank_n,
-              ROW_NUMBER() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier)
-SELECT rq.request_id, fr.node_id, CASE WHEN fr.node_id IS NULL THEN 'Node exhausted' END AS reason
-FROM rq LEFT JOIN fr ON fr.node_rank = rq.rank_n AND fr.k = rq.k""")
+    """Parts as nodes (rank = size), suppliers as requests with one or two
+    predicates, some with an unknown operator."""
+    nodes = si.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_size").alias("node_rank"))
+    sup, kind = si.table(spark, sf_dir, "supplier"), F.col("s_suppkey") % 5
+    op = F.when(kind == 0, "eq").when(kind == 1, "le").when(kind == 2, "any").when(kind == 3, "lt").otherwise("ge")
+    req = (sup.select(F.col("s_suppkey").alias("request_id"), op.alias("rank_op"), F.when(kind != 2, F.col("s_nationkey")).alias("rank_n"))
+           .unionByName(sup.where(kind.isin(2, 4)).select(F.col("s_suppkey").alias("request_id"), F.lit("le").alias("rank_op"),
+                                                          (F.col("s_nationkey") + 10).alias("rank_n"))))
+    return cat.match_rank(nodes, req)
+
+
+def _alloc_sql(steps) -> str:
+    """CTEs that hand out nodes one request after another: rq0(rid, op, n,
+    need) in rid order, fr0(node_id, rk, tpm); g<last> holds (rid, node_id)."""
+    keys = {"eq": ("{c}", "0"), "le": ("0", "{c}"), "ge": ("0", "-{c}"), "any": ("0", "0")}
+    out = ["g0 AS (SELECT rid, CAST(NULL AS BIGINT) AS node_id FROM rq0 WHERE false)"]
+    for i, (op, need, tpm) in enumerate(steps, 1):
+        pool, key = keys[op]
+        out.append(f"""w{i} AS MATERIALIZED (
+  SELECT rid, pool, key, row_number() OVER (ORDER BY pool, key, rid) AS j
+  FROM (SELECT rid, {pool.format(c='n')} AS pool, {key.format(c='n')} AS key FROM rq0
+        WHERE op = '{op}' AND need = {need} AND NOT EXISTS (SELECT 1 FROM g{i - 1} g WHERE g.rid = rq0.rid))),
+p{i} AS MATERIALIZED (
+  SELECT node_id, pool, key, row_number() OVER (PARTITION BY pool ORDER BY key, node_id) AS q
+  FROM (SELECT node_id, {pool.format(c='rk')} AS pool, {key.format(c='rk')} AS key FROM fr0
+        WHERE tpm = {tpm} AND NOT EXISTS (SELECT 1 FROM g{i - 1} g WHERE g.node_id = fr0.node_id))),
+a{i} AS MATERIALIZED (
+  SELECT w.j, w.rid, w.pool, count(p.node_id) AS a FROM w{i} w LEFT JOIN p{i} p ON p.pool = w.pool AND p.key <= w.key
+  GROUP BY w.j, w.rid, w.pool),
+s{i}(j, rid, pool, s, hit) AS (
+  SELECT a.j, a.rid, a.pool, CAST(a.a > 0 AS BIGINT), a.a > 0 FROM a{i} a WHERE a.j = 1
+  UNION ALL
+  SELECT a.j, a.rid, a.pool, CASE WHEN a.pool = s.pool THEN s.s ELSE 0 END + CAST(CASE WHEN a.pool = s.pool THEN s.s ELSE 0 END < a.a AS BIGINT),
+         CASE WHEN a.pool = s.pool THEN s.s ELSE 0 END < a.a
+  FROM s{i} s JOIN a{i} a ON a.j = s.j + 1),
+g{i} AS (
+  SELECT * FROM g{i - 1} UNION ALL SELECT s.rid, p.node_id FROM s{i} s JOIN p{i} p ON p.pool = s.pool AND p.q = s.s WHERE s.hit)""")
+    return ",\n".join(out)
+
+
+_ALLOC_STEPS = [(op, need, tpm) for op in ("eq", "le", "ge", "any")
+                for need, tpm in (("true", "true"), ("false", "false"), ("false", "true"))]
+_FREE_SQL = """
+fr0 AS (SELECT c_custkey AS node_id, c_nationkey AS rk, c_acctbal > 0 AS tpm FROM customer
+        WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'O' AND o_custkey = c_custkey))"""
+
+
+@query("allocate_eq", "WITH RECURSIVE rq0 AS (SELECT s_suppkey AS rid, 'eq' AS op, s_nationkey AS n, false AS need FROM supplier),"
+       + _FREE_SQL.replace("c_acctbal > 0", "false") + ",\n" + _alloc_sql(_ALLOC_STEPS[1:2]) + """
+SELECT rid AS request_id, node_id, CASE WHEN node_id IS NULL THEN 'Node exhausted' END AS reason
+FROM rq0 LEFT JOIN g1 USING (rid)""")
 def allocate_eq(spark, sf_dir):
     free = cat.free_nodes(si.nodes(spark, sf_dir), si.order_containers(spark, sf_dir))
     req = si.table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("request_id"), F.lit("eq").alias("rank_op"), F.col("s_nationkey").alias("rank_n"))
-    return allocation.allocate_eq(req, free).select("request_id", "node_id", "reason")
+    return allocation.allocate(req, free).select("request_id", "node_id", "reason")
+
+
+@query("allocate", """
+WITH RECURSIVE rq0 AS (
+  SELECT p_partkey AS rid, CASE p_partkey % 4 WHEN 0 THEN 'eq' WHEN 1 THEN 'le' WHEN 2 THEN 'ge' ELSE 'any' END AS op,
+         CASE WHEN p_partkey % 4 != 3 AND p_size % 13 != 0 THEN p_size - 20 END AS n, p_retailprice > 950 AS need
+  FROM part),""" + _FREE_SQL + ",\n" + _alloc_sql(_ALLOC_STEPS).replace("FROM rq0\n", "FROM (SELECT * FROM rq0 WHERE op = 'any' OR n IS NOT NULL) rq0\n") + """
+SELECT rq0.rid AS request_id, node_id, CASE WHEN op != 'any' AND n IS NULL THEN 'invalid rank expression'
+                                            WHEN node_id IS NULL THEN 'Node exhausted' END AS reason
+FROM rq0 LEFT JOIN g12 ON g12.rid = rq0.rid""")
+def allocate(spark, sf_dir):
+    """J7 with all four operators and both TPM kinds: a request per part."""
+    free = cat.free_nodes(si.nodes(spark, sf_dir), si.order_containers(spark, sf_dir))
+    kind = F.col("p_partkey") % 4
+    req = si.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("request_id"),
+        F.when(kind == 0, "eq").when(kind == 1, "le").when(kind == 2, "ge").otherwise("any").alias("rank_op"),
+        F.when((kind != 3) & (F.col("p_size") % 13 != 0), F.col("p_size") - 20).alias("rank_n"),
+        (F.col("p_retailprice") > 950).alias("need"))
+    return allocation.allocate(req, free, need_tpm="need").select("request_id", "node_id", "reason")
 
 
 @query("image_presence", _FLEET_SQL + """,
@@ -544,26 +602,44 @@ def quality_report(spark, sf_dir):
 
 
 _CHANGE_SQL = """
-WITH t AS (SELECT c_custkey AS kernel_id, c_name AS kernel_name, 'k/' || c_custkey AS kernel_file,
-                  CAST(NULL AS VARCHAR) AS kernel_sig_file, c_mktsegment AS kernel_param FROM customer),
+WITH top AS (SELECT max(c_custkey) AS m FROM customer),
+t AS (SELECT c_custkey AS kernel_id, c_name AS kernel_name, 'k/' || c_custkey AS kernel_file,
+             CAST(NULL AS VARCHAR) AS kernel_sig_file, c_mktsegment AS kernel_param FROM customer, top WHERE c_custkey < m),
 ch AS (SELECT CASE WHEN c_acctbal < -500 THEN c_name ELSE c_name || '-new' END AS kernel_name,
-              'k2/' || c_custkey AS kernel_file, 's/' || c_custkey AS kernel_sig_file
-       FROM customer WHERE c_acctbal < 0),
-top AS (SELECT max(kernel_id) AS m FROM t)"""
+              'k' || n || '/' || c_custkey AS kernel_file, 's' || n || '/' || c_custkey AS kernel_sig_file,
+              'p' || n || '-' || c_custkey AS kernel_param, c_custkey * 2 + n AS line
+       FROM customer, (VALUES (2), (3)) AS v(n)
+       WHERE c_acctbal < 0 AND (n = 2 OR c_acctbal < -800 OR c_acctbal > -200)),
+firsts AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY kernel_name ORDER BY line) = 1),
+lasts AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY kernel_name ORDER BY line DESC) = 1)"""
+
+_INSERT_SQL = """
+SELECT 'row' AS kind, *, CAST(NULL AS VARCHAR) AS error FROM t
+UNION ALL
+SELECT 'row', top.m + ROW_NUMBER() OVER (ORDER BY c.kernel_name), c.kernel_name, c.kernel_file, c.kernel_sig_file,
+       c.kernel_param, NULL
+FROM firsts c, top WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.kernel_name = c.kernel_name)"""
+
+
+def _rows_and_errors(new: DataFrame, errors: DataFrame) -> DataFrame:
+    """The new table and the refused changes in one result, told apart by ``kind``."""
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "kernel_name" else F.col(f.name) for f in new.schema]
+    return new.select(F.lit("row").alias("kind"), "*", F.lit(None).cast("string").alias("error")).unionByName(
+        errors.select(F.lit("error").alias("kind"), *nulls, "error"))
 
 
 @query("apply_upsert", _CHANGE_SQL + """
 SELECT t.kernel_id, t.kernel_name, COALESCE(ch.kernel_file, t.kernel_file) AS kernel_file,
        CASE WHEN ch.kernel_name IS NULL THEN t.kernel_sig_file ELSE ch.kernel_sig_file END AS kernel_sig_file,
        t.kernel_param
-FROM t LEFT JOIN ch ON ch.kernel_name = t.kernel_name
+FROM t LEFT JOIN lasts ch ON ch.kernel_name = t.kernel_name
 UNION ALL
 SELECT top.m + ROW_NUMBER() OVER (ORDER BY ch.kernel_name) AS kernel_id, ch.kernel_name, ch.kernel_file,
        ch.kernel_sig_file, '' AS kernel_param
-FROM ch, top WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.kernel_name = ch.kernel_name)""")
+FROM lasts ch, top WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.kernel_name = ch.kernel_name)""")
 def apply_upsert(spark, sf_dir):
-    t, ch = si.customer_kernels(spark, sf_dir)
-    return chg.apply_upsert(t, ch, "kernel_name", "kernel_id")
+    t, ch, top = si.customer_kernels(spark, sf_dir)
+    return chg.apply_upsert(t, ch, "kernel_name", "kernel_id", order=["line"], highest=top)
 
 
 @query("apply_replace", _CHANGE_SQL + """
@@ -571,10 +647,11 @@ SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.kernel_name = t.kern
 UNION ALL
 SELECT top.m + ROW_NUMBER() OVER (ORDER BY ch.kernel_name) AS kernel_id, ch.kernel_name, ch.kernel_file,
        ch.kernel_sig_file, CAST(NULL AS VARCHAR) AS kernel_param
-FROM ch, top""")
+FROM lasts ch, top""")
 def apply_replace(spark, sf_dir):
-    t, ch = si.customer_kernels(spark, sf_dir)
-    return chg.apply_replace(t, ch.withColumn("kernel_param", F.lit(None).cast("string")), "kernel_name", "kernel_id")
+    t, ch, top = si.customer_kernels(spark, sf_dir)
+    return chg.apply_replace(t, ch.withColumn("kernel_param", F.lit(None).cast("string")), "kernel_name", "kernel_id",
+                             order=["line"], highest=top)
 
 
 _DUMP_TABLES = ("region", "nation", "supplier", "customer", "part", "orders")
@@ -603,25 +680,26 @@ def dump_all(spark, sf_dir):
 # requests J13, J14 ; streams T1-T3
 
 
-def _order_requests(spark, sf_dir):
-    o = si.table(spark, sf_dir, "orders")
-    return o.select(F.col("o_orderkey").alias("request_id"),
-                    F.concat(F.lit("boot-"), F.col("o_orderkey").cast("string")).alias("remote_addr"),
-                    F.concat(F.lit("mac-"), F.col("o_custkey").cast("string")).alias("mac_addr"))
+def _order_requests(orders: DataFrame) -> DataFrame:
+    return orders.select(F.col("o_orderkey").alias("request_id"),
+                         F.concat(F.lit("boot-"), (F.col("o_orderkey") % 2000).cast("string")).alias("remote_addr"),
+                         F.concat(F.lit("mac-"), F.col("o_custkey").cast("string")).alias("mac_addr"))
 
 
-_CALLER_SQL = _FLEET_SQL + """
-SELECT o.o_orderkey AS request_id, 'boot-' || o.o_orderkey AS remote_addr, 'mac-' || o.o_custkey AS mac_addr,
-       COALESCE(bi.node_id, bm.node_id) AS node_id, CASE WHEN bi.node_id IS NOT NULL THEN bi.node_name ELSE bm.node_name END
-         AS node_name,
-       CASE WHEN bi.node_id IS NOT NULL THEN 'ip' WHEN bm.node_id IS NOT NULL THEN 'mac' END AS matched_by
-FROM orders o LEFT JOIN nodes bi ON bi.ip4_addr_boot = 'boot-' || o.o_orderkey
-LEFT JOIN nodes bm ON bm.mac_addr_mgmt = 'mac-' || o.o_custkey"""
+_CALLER_SQL = _FLEET_SQL + """,
+held AS (SELECT n.ip4_addr_boot, n.mac_addr_mgmt, min(c.bmc_id) AS bmc_id FROM ocont c JOIN nodes n ON n.node_id = c.node_id
+         GROUP BY n.ip4_addr_boot, n.mac_addr_mgmt)
+SELECT o.o_orderkey AS request_id, 'boot-' || (o.o_orderkey % 2000) AS remote_addr, 'mac-' || o.o_custkey AS mac_addr,
+       COALESCE(bi.bmc_id, bm.bmc_id) AS bmc_id,
+       CASE WHEN bi.bmc_id IS NOT NULL THEN 'ip' WHEN bm.bmc_id IS NOT NULL THEN 'mac' END AS matched_by
+FROM orders o LEFT JOIN held bi ON bi.ip4_addr_boot = 'boot-' || (o.o_orderkey % 2000)
+LEFT JOIN held bm ON bm.mac_addr_mgmt = 'mac-' || o.o_custkey"""
 
 
 @query("identify_caller", _CALLER_SQL)
 def identify_caller(spark, sf_dir):
-    return rq.identify_caller(_order_requests(spark, sf_dir), si.nodes(spark, sf_dir))
+    return rq.identify_caller(_order_requests(si.table(spark, sf_dir, "orders")), si.nodes(spark, sf_dir),
+                              si.order_containers(spark, sf_dir))
 
 
 @query("authorise_sender", _FLEET_SQL + """,
@@ -646,30 +724,30 @@ def authorise_sender(spark, sf_dir):
 
 
 def _event_stream(spark, sf_dir):
-    ev = si.table(spark, sf_dir, "events")
-    s = si.table_stream(spark, sf_dir, "events", ev.schema)
-    return stream.as_event_time(s).select(F.col("user_id").cast("string").alias("bmc_id"), "ts",
-                                          F.col("event_id").alias("seq"), "event_type")
-
-
-def _stream_name(prefix):
-    import uuid
-
-    return f"{prefix}_{uuid.uuid4().hex[:10]}"
-
-
-@query("boot_outcome_stream")
+    """The events read as a stream from files in the checkpoint folder.  The
+    input ends with a signup and a purchase of nobody a month later, so that
+    the watermarks pass every real row's deadline and all of them close."""
+    ev = si.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("bmc_id"),
+                                                  F.col("ts").cast("timestamp").alias("ts"),
+                                                  F.col("event_id").alias("seq"), "event_type")
+    late = (ev.agg(F.max("ts").alias("ts")).where("ts is not null")
+            .select(F.lit("").alias("bmc_id"), (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"),
+                    F.lit(None).cast("long").alias("seq"), F.explode(F.array(F.lit("signup"), F.lit("purchase"))).alias("event_type")))
+    folder = scratch_dir(spark, "event-files")
+    ev.unionByName(late).write.parquet(folder)
+    return spark.readStream.schema(ev.schema).parquet(folder)
+
+
+@query("boot_outcome_stream", ORACLE["boot_outcome"])
 def boot_outcome_stream(spark, sf_dir):
-    """T1 over the events file read as a stream; runs newer than the
-    watermark bound stay open (rows-only check; tests hold it to J18)."""
+    """T1 over the events as a stream; held to J18's SQL."""
     ev = _event_stream(spark, sf_dir)
     runs = ev.where(F.col("event_type") == "signup").select("bmc_id", "ts", "seq")
     notices = ev.where(F.col("event_type").isin("purchase", "error")).select(
         "bmc_id", "ts", "seq",
         F.when(F.col("event_type") == "purchase", F.lit("ok")).otherwise(F.lit("error")).alias("status"))
     out = stream.boot_outcome_stream(runs, notices, timeout=6 * 3600, watermark="10 minutes")
-    name = _stream_name("t1")
-    return stream.run_to_table(out, name, scratch_dir(spark, name))
+    return stream.run_to_files(out, scratch_dir(spark, "t1")).where("bmc_id != ''")
 
 
 @query("state_stream", """
@@ -677,21 +755,19 @@ SELECT CAST(user_id AS VARCHAR) AS bmc_id, arg_max(event_type, (ts, event_id)) A
        max(ts) AS last_ts, arg_max(event_id, (ts, event_id)) AS last_seq
 FROM events GROUP BY user_id""")
 def state_stream(spark, sf_dir):
-    ev = _event_stream(spark, sf_dir).withColumnRenamed("event_type", "state")
-    name = _stream_name("t2")
-    out = stream.run_to_table(stream.state_stream(ev), name, scratch_dir(spark, name), mode="complete")
-    return out.withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
+    """The upserts of every micro-batch go to files; the table is the last upsert of each container."""
+    ev = _event_stream(spark, sf_dir).where("bmc_id != ''").withColumnRenamed("event_type", "state")
+    upserts = stream.run_to_files(stream.state_stream(ev), scratch_dir(spark, "t2"), mode="update")
+    out = win.last_wins(upserts, ["bmc_id"], ["batch"], ["state", "last_ts", "last_seq"])
+    return out.select("bmc_id", "state", F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "last_seq")
 
 
 @query("enrich_requests_stream", _CALLER_SQL)
 def enrich_requests_stream(spark, sf_dir):
     o = si.table(spark, sf_dir, "orders")
-    s = si.table_stream(spark, sf_dir, "orders", o.schema)
-    req = s.select(F.col("o_orderkey").alias("request_id"),
-                   F.concat(F.lit("boot-"), F.col("o_orderkey").cast("string")).alias("remote_addr"),
-                   F.concat(F.lit("mac-"), F.col("o_custkey").cast("string")).alias("mac_addr"))
-    name = _stream_name("t3")
-    return stream.run_to_table(stream.enrich_requests(req, si.nodes(spark, sf_dir)), name, scratch_dir(spark, name))
+    req = _order_requests(si.table_stream(spark, sf_dir, "orders", o.schema))
+    out = stream.enrich_requests(req, si.nodes(spark, sf_dir), si.order_containers(spark, sf_dir))
+    return stream.run_to_files(out, scratch_dir(spark, "t3"))
 
 
 # --------------------------------------------------------------------------
@@ -726,30 +802,43 @@ def check_session(spark, sf_dir):
 
 
 @query("first_use_stream", """
-SELECT DISTINCT CAST(user_id AS VARCHAR) AS bmc_id, props FROM events""")
+WITH h AS (SELECT CAST(c_custkey AS VARCHAR) AS session_id, make_timestamp(c_nationkey + 1990, 1, 1, 0, 0, 0) AS good_for,
+                  c_mktsegment AS nonce2 FROM customer),
+r AS (SELECT o_orderkey AS rid, CAST(o_custkey AS VARCHAR) AS session_id,
+             CASE WHEN o_orderpriority = '1-URGENT' THEN 'stale' ELSE c_mktsegment END AS nonce, o_orderdate AS ts
+      FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
+SELECT session_id, min((ts, rid))[2] AS rid, min(ts) AS ts FROM r JOIN h USING (session_id)
+WHERE ts <= good_for AND nullif(nonce, '') = nullif(nonce2, '') GROUP BY session_id""")
 def first_use_stream(spark, sf_dir):
-    """T4 over the events file as a stream: a session is (user, props); only
-    its first use passes."""
-    ev = si.table(spark, sf_dir, "events")
-    s = stream.as_event_time(si.table_stream(spark, sf_dir, "events", ev.schema))
-    req = s.select(F.col("user_id").cast("string").alias("bmc_id"), "props", "ts",
-                   F.concat_ws("/", F.col("user_id").cast("string"), F.col("props")).alias("session_id"))
-    name = _stream_name("t4")
-    out = stream.run_to_table(stream.first_use_stream(req), name, scratch_dir(spark, name))
-    return out.select("bmc_id", "props")
-
-
-@query("interval_stream")
+    """T4 over session requests read as a stream: of the valid requests of a
+    session only the first passes."""
+    req, hashes = si.sessions(spark, sf_dir)
+    folder = scratch_dir(spark, "session-files")
+    req.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(folder)
+    s = spark.readStream.schema("rid long, session_id string, nonce string, ts timestamp").parquet(folder)
+    used = stream.first_use_stream(s, stream.as_event_time(hashes, "session_good_for"), seq="rid")
+    out = stream.run_to_files(used, scratch_dir(spark, "t4"))
+    return out.select("session_id", F.col("seq").alias("rid"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("interval_stream", """
+WITH m AS (SELECT CAST(user_id AS VARCHAR) AS bmc_id, event_type, ts, event_id AS seq FROM events
+           WHERE event_type IN ('signup', 'purchase')),
+n AS (SELECT *, lead(event_type) OVER w AS nk, lead(ts) OVER w AS nts, lead(seq) OVER w AS nseq
+      FROM m WINDOW w AS (PARTITION BY bmc_id ORDER BY ts, seq))
+SELECT bmc_id, 'session' AS phase, seq AS begin_seq, ts AS begin_ts,
+       CASE WHEN nk = 'purchase' AND nts < ts + INTERVAL 6 HOUR THEN nseq END AS end_seq,
+       CASE WHEN nk = 'purchase' AND nts < ts + INTERVAL 6 HOUR THEN nts END AS end_ts
+FROM n WHERE event_type = 'signup'""")
 def interval_stream(spark, sf_dir):
-    """T5 over the events file as a stream: signup begins and purchase ends
-    a session of the user, first end within 6 h (rows only: the newest
-    begins stay open until the watermark passes their bound)."""
+    """T5 over the events as a stream: signup begins and purchase ends a
+    session of the user; an end within 6 h closes the begin right before it."""
     ev = _event_stream(spark, sf_dir)
     marks = (ev.where(F.col("event_type").isin("signup", "purchase"))
              .select("bmc_id", F.lit("session").alias("phase"), "ts", "seq",
                      F.when(F.col("event_type") == "signup", F.lit("begin")).otherwise(F.lit("end")).alias("kind")))
-    name = _stream_name("t5")
-    return stream.run_to_table(stream.interval_stream(marks, bound_seconds=6 * 3600), name, scratch_dir(spark, name))
+    out = stream.run_to_files(stream.interval_stream(marks, bound_seconds=6 * 3600), scratch_dir(spark, "t5")).where("bmc_id != ''")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("begin_ts", "end_ts")})
 
 
 # --------------------------------------------------------------------------
@@ -763,22 +852,35 @@ def _part_requests(spark, sf_dir):
                     F.concat(F.lit("img-"), F.col("p_partkey").cast("string")).alias("image"),
                     F.when(F.col("p_retailprice") > 950, F.lit("s-ramfs")).otherwise(F.lit("nfs")).alias("fstype"),
                     F.when(ge, F.lit("eq")).otherwise(F.lit("le")).alias("rank_op"),
-                    F.when(ge, F.col("p_size") - 25).otherwise(F.col("p_size") - 20).alias("rank_n"))
+                    F.when(ge, F.col("p_size") - 25).otherwise(F.col("p_size") - 20).alias("rank_n"),
+                    F.col("p_size").alias("size"))
 
 
 @query("candidates", _FLEET_SQL + """,
 req AS (SELECT p_partkey AS request_id, p_name AS kernel, 'Supplier#' || lpad(CAST(p_size AS VARCHAR), 9, '0') AS initrd,
                'img-' || p_partkey AS image, CASE WHEN p_retailprice > 950 THEN 's-ramfs' ELSE 'nfs' END AS fstype,
-               CASE WHEN p_size > 25 THEN 'eq' ELSE 'le' END AS rank_op,
-               CASE WHEN p_size > 25 THEN p_size - 25 ELSE p_size - 20 END AS rank_n FROM part),
-free AS (SELECT * FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM ocont c WHERE c.node_id = n.node_id))
-SELECT req.request_id, k.kernel_id, i.initrd_id, r.rootfs_id, f.node_id
+               CASE p_partkey % 4 WHEN 0 THEN 'eq' WHEN 1 THEN 'le' WHEN 2 THEN 'any' ELSE 'ge' END AS rank_op,
+               CASE WHEN p_partkey % 4 != 2 THEN p_size - 22 END AS rank_n FROM part),
+two AS (SELECT request_id, fstype, rank_op, rank_n FROM req
+        UNION ALL SELECT request_id, fstype, 'le', rank_n + 6 FROM req WHERE rank_op = 'ge'),
+iv AS (SELECT request_id, bool_or(fstype = 's-ramfs') AS need, max(rank_n) FILTER (rank_op IN ('ge', 'eq')) AS lo,
+              min(rank_n) FILTER (rank_op IN ('le', 'eq')) AS hi FROM two GROUP BY request_id),
+free AS (SELECT * FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM ocont c WHERE c.node_id = n.node_id)),
+fit AS (SELECT iv.request_id, count(f.node_id) AS n_nodes, min(f.node_id) AS node_id
+        FROM iv LEFT JOIN free f ON f.node_rank >= coalesce(lo, f.node_rank) AND f.node_rank <= coalesce(hi, f.node_rank)
+                                AND (NOT need OR f.have_tpm)
+        GROUP BY iv.request_id)
+SELECT req.request_id, k.kernel_id, i.initrd_id, r.rootfs_id, fit.n_nodes, fit.node_id
 FROM req JOIN kernels k ON k.kernel_name = req.kernel JOIN initrds i ON i.initrd_name = req.initrd
-JOIN rootfs r ON r.rootfs_name = req.image
-JOIN free f ON ((req.rank_op = 'le' AND f.node_rank <= req.rank_n) OR (req.rank_op = 'eq' AND f.node_rank = req.rank_n))
-            AND (req.fstype != 's-ramfs' OR f.have_tpm)""")
+JOIN rootfs r ON r.rootfs_name = req.image JOIN fit ON fit.request_id = req.request_id""")
 def candidates(spark, sf_dir):
-    return cat.candidates(_part_requests(spark, sf_dir), si.kernels(spark, sf_dir), si.initrds(spark, sf_dir),
+    """A request per part; ``ge`` requests carry a second predicate."""
+    kind = F.col("request_id") % 4
+    req = _part_requests(spark, sf_dir)
+    op = F.when(kind == 0, "eq").when(kind == 1, "le").when(kind == 2, "any").otherwise("ge")
+    one = req.withColumn("rank_op", op).withColumn("rank_n", F.when(kind != 2, F.col("size") - 22))
+    two = one.where(kind == 3).withColumn("rank_op", F.lit("le")).withColumn("rank_n", F.col("rank_n") + 6)
+    return cat.candidates(one.unionByName(two), si.kernels(spark, sf_dir), si.initrds(spark, sf_dir),
                           si.rootfs(spark, sf_dir), si.nodes(spark, sf_dir), si.order_containers(spark, sf_dir))
 
 
@@ -800,70 +902,74 @@ def first_last_line(spark, sf_dir):
     return first.join(last, "conv_id").join(turn, "conv_id")
 
 
-_KERNEL_T_SQL = """
-WITH t AS (SELECT c_custkey AS kernel_id, c_name AS kernel_name, 'k/' || c_custkey AS kernel_file,
-                  CAST(NULL AS VARCHAR) AS kernel_sig_file, c_mktsegment AS kernel_param FROM customer),
-ch AS (SELECT CASE WHEN c_acctbal < -500 THEN c_name ELSE c_name || '-new' END AS kernel_name,
-              'k2/' || c_custkey AS kernel_file, 's/' || c_custkey AS kernel_sig_file,
-              'p' || c_custkey AS kernel_param
-       FROM customer WHERE c_acctbal < 0),
-top AS (SELECT max(kernel_id) AS m FROM t)"""
-
-
-def _kernel_changes(spark, sf_dir):
-    t, ch = si.customer_kernels(spark, sf_dir)
-    c = si.table(spark, sf_dir, "customer").where(F.col("c_acctbal") < 0)
-    params = c.select(F.when(F.col("c_acctbal") < -500, F.col("c_name")).otherwise(F.concat(F.col("c_name"), F.lit("-new")))
-                      .alias("kernel_name"), F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("kernel_param"))
-    return t, ch.join(params, "kernel_name")
-
-
-@query("apply_insert", _KERNEL_T_SQL + """
-SELECT * FROM t
+@query("apply_insert", _CHANGE_SQL + _INSERT_SQL + """
 UNION ALL
-SELECT top.m + ROW_NUMBER() OVER (ORDER BY ch.kernel_name) AS kernel_id, ch.kernel_name, ch.kernel_file,
-       ch.kernel_sig_file, ch.kernel_param
-FROM ch, top WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.kernel_name = ch.kernel_name)""")
+SELECT 'error', NULL, ch.kernel_name, NULL, NULL, NULL, 'exists: ' || ch.kernel_name
+FROM ch JOIN firsts f ON f.kernel_name = ch.kernel_name
+WHERE ch.line != f.line OR EXISTS (SELECT 1 FROM t WHERE t.kernel_name = ch.kernel_name)""")
 def apply_insert(spark, sf_dir):
-    t, ch = _kernel_changes(spark, sf_dir)
-    return chg.apply_insert(t, ch.select(*[c for c in t.columns if c != "kernel_id"]), "kernel_name", "kernel_id")[0]
+    t, ch, top = si.customer_kernels(spark, sf_dir)
+    return _rows_and_errors(*chg.apply_insert(t, ch, "kernel_name", "kernel_id", order=["line"], highest=top))
 
 
-@query("set_column", _KERNEL_T_SQL + """
-SELECT t.kernel_id, t.kernel_name, t.kernel_file, t.kernel_sig_file,
-       CASE WHEN ch.kernel_name IS NOT NULL THEN ch.kernel_param ELSE t.kernel_param END AS kernel_param
-FROM t LEFT JOIN ch ON ch.kernel_name = t.kernel_name""")
+@query("set_column", _CHANGE_SQL + """
+SELECT 'row' AS kind, t.kernel_id, t.kernel_name, t.kernel_file, t.kernel_sig_file,
+       CASE WHEN ch.kernel_name IS NOT NULL THEN ch.kernel_param ELSE t.kernel_param END AS kernel_param,
+       CAST(NULL AS VARCHAR) AS error
+FROM t LEFT JOIN lasts ch ON ch.kernel_name = t.kernel_name
+UNION ALL
+SELECT 'error', NULL, kernel_name, NULL, NULL, NULL, 'unknown: ' || kernel_name FROM ch
+WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.kernel_name = ch.kernel_name)""")
 def set_column(spark, sf_dir):
-    t, ch = _kernel_changes(spark, sf_dir)
-    return chg.set_column(t, ch.select("kernel_name", "kernel_param"), "kernel_name", "kernel_param")[0]
+    t, ch, _ = si.customer_kernels(spark, sf_dir)
+    return _rows_and_errors(*chg.set_column(t, ch.select("kernel_name", "kernel_param", "line"), "kernel_name",
+                                            "kernel_param", order=["line"]))
 
 
-@query("delete_by_name", _KERNEL_T_SQL + """
-SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.kernel_name = t.kernel_name)""")
+@query("delete_by_name", _CHANGE_SQL + """
+SELECT 'row' AS kind, *, CAST(NULL AS VARCHAR) AS error FROM t
+WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.kernel_name = t.kernel_name)
+UNION ALL
+SELECT 'error', NULL, kernel_name, NULL, NULL, NULL, 'unknown: ' || kernel_name FROM ch
+WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.kernel_name = ch.kernel_name)""")
 def delete_by_name(spark, sf_dir):
-    t, ch = _kernel_changes(spark, sf_dir)
-    return chg.delete_by_name(t, ch.select("kernel_name"), "kernel_name")[0]
+    t, ch, _ = si.customer_kernels(spark, sf_dir)
+    return _rows_and_errors(*chg.delete_by_name(t, ch.select("kernel_name"), "kernel_name"))
 
 
 @query("apply_states", _FLEET_SQL + """,
-ev AS (SELECT CAST(l_orderkey AS VARCHAR) AS bmc_id,
-              arg_max(CASE l_returnflag WHEN 'R' THEN 'removed' WHEN 'A' THEN 'terminated' ELSE 'shutting-down' END,
-                      (l_shipdate, l_linenumber,
-                       CASE l_returnflag WHEN 'R' THEN 'removed' WHEN 'A' THEN 'terminated' ELSE 'shutting-down' END))
-         AS new_state
-       FROM lineitem GROUP BY l_orderkey),
-j AS (SELECT c.bmc_id, c.node_id, c.state, ev.new_state FROM ocont c LEFT JOIN ev ON ev.bmc_id = c.bmc_id),
-kept AS (SELECT *, CASE WHEN new_state IS NULL OR new_state = 'removed' THEN state ELSE new_state END AS final
-         FROM j WHERE NOT (coalesce(new_state = 'removed', false) AND state = 'terminated'))
-SELECT bmc_id, final AS state, CASE WHEN final = 'terminated' THEN NULL ELSE node_id END AS node_id FROM kept""")
+ev AS (SELECT CAST(l_orderkey AS VARCHAR) AS bmc_id, l_shipdate AS dt, l_linenumber AS seq,
+              CASE l_returnflag WHEN 'R' THEN 'removed' WHEN 'A' THEN 'terminated' ELSE 'shutting-down' END AS st
+       FROM lineitem),
+seen AS (SELECT ev.*, c.state AS was,
+                last_value(CASE WHEN st != 'removed' THEN st END IGNORE NULLS)
+                  OVER (PARTITION BY ev.bmc_id ORDER BY dt, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+         FROM ev JOIN ocont c ON c.bmc_id = ev.bmc_id),
+gone AS (SELECT bmc_id, min((dt, seq)) AS dies FROM seen
+         WHERE st = 'removed' AND coalesce(prev, was) = 'terminated' GROUP BY bmc_id),
+refused AS (SELECT DISTINCT s.bmc_id FROM seen s LEFT JOIN gone g ON g.bmc_id = s.bmc_id
+            WHERE st = 'removed' AND coalesce(prev, was) IS DISTINCT FROM 'terminated'
+              AND (g.dies IS NULL OR (s.dt, s.seq) < g.dies)),
+per AS (SELECT bmc_id, arg_max(st, (dt, seq)) FILTER (st != 'removed') AS final,
+               bool_or(st = 'terminated') AS freed FROM seen GROUP BY bmc_id)
+SELECT 'row' AS kind, c.bmc_id, coalesce(per.final, c.state) AS state,
+       CASE WHEN NOT coalesce(per.freed, false) AND coalesce(per.final, c.state) IS DISTINCT FROM 'terminated'
+            THEN c.node_id END AS node_id, CAST(NULL AS VARCHAR) AS error
+FROM ocont c LEFT JOIN per ON per.bmc_id = c.bmc_id
+WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.bmc_id = c.bmc_id)
+UNION ALL SELECT 'error', bmc_id, NULL, NULL, 'live container' FROM refused""")
 def apply_states(spark, sf_dir):
+    """M7 with kill-then-rm, refused and repeated removals: line items as the
+    state events of their order's container."""
     li = si.table(spark, sf_dir, "lineitem")
     ev = li.select(F.col("l_orderkey").cast("string").alias("bmc_id"),
                    si.epoch_ns_of(F.col("l_shipdate")).alias("epoch_ns"), F.col("l_linenumber").cast("long").alias("seq"),
                    F.when(F.col("l_returnflag") == "R", F.lit("removed")).when(F.col("l_returnflag") == "A", F.lit("terminated"))
                    .otherwise(F.lit("shutting-down")).alias("state"))
-    new, _ = chg.apply_states(si.order_containers(spark, sf_dir), ev, order=("epoch_ns", "seq", "state"))
-    return new.select("bmc_id", "state", "node_id")
+    new, refused = chg.apply_states(si.order_containers(spark, sf_dir), ev)
+    return (new.select(F.lit("row").alias("kind"), "bmc_id", "state", "node_id", F.lit(None).cast("string").alias("error"))
+            .unionByName(refused.select(F.lit("error").alias("kind"), "bmc_id", F.lit(None).cast("string").alias("state"),
+                                        F.lit(None).cast("long").alias("node_id"), "error")))
 
 
 @query("reset_atime_rule", """
@@ -1008,9 +1114,7 @@ def timeline_stream(spark, sf_dir):
     tl_rows = si.events_as_timeline(spark, sf_dir)
     tl_rows.select(sources_timeline.format_line(F.col("local_date"), F.col("epoch_ns"), F.col("pid"),
                                                 F.col("message")).alias("value")).write.text(out)
-    name = _stream_name("s5")
-    s = sources_timeline.stream_timeline(spark, out)
-    got = stream.run_to_table(s, name, scratch_dir(spark, name))
+    got = stream.run_to_files(sources_timeline.stream_timeline(spark, out), scratch_dir(spark, "s5"))
     return got.where("valid").select("host", "epoch_ns", "pid", "message")
 
 
@@ -1070,15 +1174,15 @@ def smt_cpus(spark, sf_dir):
     return bm.smt_off_cpus(c)
 
 
-@query("insert_absent", _KERNEL_T_SQL + """
+@query("insert_absent", _CHANGE_SQL + """
 SELECT * FROM t
 UNION ALL
 SELECT top.m + ROW_NUMBER() OVER (ORDER BY ch.kernel_name) AS kernel_id, ch.kernel_name, ch.kernel_file,
        ch.kernel_sig_file, ch.kernel_param
-FROM ch, top WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.kernel_name = ch.kernel_name)""")
+FROM firsts ch, top WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.kernel_name = ch.kernel_name)""")
 def insert_absent(spark, sf_dir):
-    t, ch = _kernel_changes(spark, sf_dir)
-    return chg.insert_absent(t, ch.select(*[c for c in t.columns if c != "kernel_id"]), "kernel_name", "kernel_id")
+    t, ch, top = si.customer_kernels(spark, sf_dir)
+    return chg.insert_absent(t, ch, "kernel_name", "kernel_id", order=["line"], highest=top)
 
 
 @query("append_log", """
@@ -1141,7 +1245,7 @@ def passwd_home(spark, sf_dir):
     return users.join(homes, "user", "left").select("user", sc.home_dir(F.col("user"), F.col("home")).alias("home"))
 
 
-@query("admit_runs", _FLEET_SQL + """,
+_ADMIT_SQL = _FLEET_SQL.replace("WITH nodes", "WITH RECURSIVE nodes") + """,
 req AS (SELECT p_partkey AS request_id, p_name AS kernel, 'Supplier#' || lpad(CAST(p_size AS VARCHAR), 9, '0') AS initrd,
                'img-' || (p_partkey * 10) AS image, CASE WHEN p_retailprice > 950 THEN 's-ramfs' ELSE 'nfs' END AS fstype,
                CASE WHEN p_size > 25 THEN 'eq' ELSE 'le' END AS rank_op,
@@ -1154,29 +1258,37 @@ g AS (SELECT req.*, CASE WHEN k.name IS NULL THEN 'missing kernel' WHEN i.name I
                          WHEN fstype = 's-ramfs' AND NOT i.signed THEN 'unsigned initrd'
                          WHEN r.name IS NULL THEN 'needs pull' ELSE 'ok' END AS gate
       FROM req LEFT JOIN k ON k.name = req.kernel LEFT JOIN i ON i.name = req.initrd LEFT JOIN r ON r.name = req.image),
-free AS (SELECT node_id, node_rank, coalesce(have_tpm, false) AS tpm FROM nodes n
-         WHERE NOT EXISTS (SELECT 1 FROM ocont c WHERE c.node_id = n.node_id)),
-fr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY node_rank ORDER BY node_id) AS kk,
-              ROW_NUMBER() OVER (PARTITION BY node_rank, tpm ORDER BY node_id) AS kt FROM free),
-rq0 AS (SELECT request_id, rank_n, fstype = 's-ramfs' AS need FROM g
-        WHERE gate IN ('ok', 'needs pull') AND rank_op = 'eq' AND rank_n IS NOT NULL),
-mixed AS (SELECT rank_n FROM rq0 GROUP BY rank_n HAVING min(CAST(need AS INT)) != max(CAST(need AS INT))),
-rq AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY rank_n ORDER BY request_id) AS kk FROM rq0
-       WHERE rank_n NOT IN (SELECT rank_n FROM mixed)),
-got AS (SELECT rq.request_id, fr.node_id FROM rq JOIN fr ON fr.node_rank = rq.rank_n
-        AND CASE WHEN rq.need THEN fr.tpm AND fr.kt = rq.kk ELSE fr.kk = rq.kk END)
-SELECT g.request_id, g.gate, got.node_id,
-       CASE WHEN g.gate NOT IN ('ok', 'needs pull') THEN g.gate WHEN g.rank_op != 'eq' THEN 'not an eq request'
-            WHEN g.rank_n IN (SELECT rank_n FROM mixed) THEN 'mixed TPM pool'
-            WHEN got.node_id IS NULL THEN 'Node exhausted' END AS reason
-FROM g LEFT JOIN got ON got.request_id = g.request_id""")
+rq0 AS (SELECT request_id AS rid, rank_op AS op, rank_n AS n, fstype = 's-ramfs' AS need FROM g WHERE gate IN ('ok', 'needs pull')),""" \
+    + _FREE_SQL + ",\n" + _alloc_sql(_ALLOC_STEPS[:6]) + """
+"""
+
+
+@query("admit_runs", _ADMIT_SQL + """
+SELECT g.request_id, g.gate, g6.node_id, CASE WHEN g.gate NOT IN ('ok', 'needs pull') THEN g.gate WHEN g6.node_id IS NULL THEN 'Node exhausted' END AS reason
+FROM g LEFT JOIN g6 ON g6.rid = g.request_id""")
 def admit_runs(spark, sf_dir):
     """Run requests from ``part`` (image ``img-<10 x partkey>``, so some
     images are missing and must be pulled first), gated, then allocated."""
+    return _admitted(spark, sf_dir)[1]
+
+
+def _admitted(spark, sf_dir):
     req = _part_requests(spark, sf_dir).withColumn(
         "image", F.concat(F.lit("img-"), (F.col("request_id") * 10).cast("string")))
-    return allocation.admit_runs(req, si.kernels(spark, sf_dir), si.initrds(spark, sf_dir),
-                                 si.rootfs(spark, sf_dir), si.nodes(spark, sf_dir), si.order_containers(spark, sf_dir))
+    return req, allocation.admit_runs(req, si.kernels(spark, sf_dir), si.initrds(spark, sf_dir),
+                                      si.rootfs(spark, sf_dir), si.nodes(spark, sf_dir), si.order_containers(spark, sf_dir))
+
+
+@query("allocated_containers", _ADMIT_SQL + """
+SELECT CAST(g.request_id AS VARCHAR) AS bmc_id, kn.kernel_id, ir.initrd_id, rf.rootfs_id, g.fstype, g6.node_id, 'terminated' AS state
+FROM g JOIN g6 ON g6.rid = g.request_id JOIN kernels kn ON kn.kernel_name = g.kernel JOIN initrds ir ON ir.initrd_name = g.initrd
+JOIN rootfs rf ON rf.rootfs_name = g.image""")
+def allocated_containers(spark, sf_dir):
+    """The container rows that the admitted requests insert."""
+    req, admitted = _admitted(spark, sf_dir)
+    out = allocation.allocated_containers(admitted, req, si.kernels(spark, sf_dir), si.initrds(spark, sf_dir),
+                                          si.rootfs(spark, sf_dir), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    return out.select("bmc_id", "kernel_id", "initrd_id", "rootfs_id", "fstype", "node_id", "state")
 
 
 @query("checked_boot_outcome", """

@@ -169,20 +169,31 @@ def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(name.alias("file_name"), line.alias("line"))
 
 
-def customer_kernels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A kernel table from ``customer`` and an import batch for it: the
-    customers in debt, under their own name when below -500 (an update) and
-    under a new name otherwise (an insert)."""
+def customer_kernels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Column]:
+    """A kernel table from ``customer``, an import batch for it, and the
+    highest id ever given (the last customer's, whose row is gone again).
+
+    The batch holds the customers in debt, under their own name when below
+    -500 (an update) and under a new name otherwise (an insert); deep and
+    slight debts come twice, so names repeat.  ``line`` is the input order."""
     c = table(spark, sf_dir, "customer")
     key = F.col("c_custkey").cast("string")
-    t = c.select(F.col("c_custkey").alias("kernel_id"), F.col("c_name").alias("kernel_name"),
-                 F.concat(F.lit("k/"), key).alias("kernel_file"), F.lit(None).cast("string").alias("kernel_sig_file"),
-                 F.col("c_mktsegment").alias("kernel_param"))
-    ch = c.where(F.col("c_acctbal") < 0).select(
-        F.when(F.col("c_acctbal") < -500, F.col("c_name")).otherwise(F.concat(F.col("c_name"), F.lit("-new")))
-        .alias("kernel_name"),
-        F.concat(F.lit("k2/"), key).alias("kernel_file"), F.concat(F.lit("s/"), key).alias("kernel_sig_file"))
-    return t, ch
+    top = c.agg(F.max("c_custkey")).scalar()
+    t = c.where(F.col("c_custkey") < top).select(
+        F.col("c_custkey").alias("kernel_id"), F.col("c_name").alias("kernel_name"),
+        F.concat(F.lit("k/"), key).alias("kernel_file"), F.lit(None).cast("string").alias("kernel_sig_file"),
+        F.col("c_mktsegment").alias("kernel_param"))
+    name = F.when(F.col("c_acctbal") < -500, F.col("c_name")).otherwise(F.concat(F.col("c_name"), F.lit("-new")))
+    debts = c.where(F.col("c_acctbal") < 0)
+    again = debts.where((F.col("c_acctbal") < -800) | (F.col("c_acctbal") > -200))
+
+    def batch(rows: DataFrame, n: int) -> DataFrame:
+        return rows.select(name.alias("kernel_name"), F.concat(F.lit(f"k{n}/"), key).alias("kernel_file"),
+                           F.concat(F.lit(f"s{n}/"), key).alias("kernel_sig_file"),
+                           F.concat(F.lit(f"p{n}-"), key).alias("kernel_param"),
+                           (F.col("c_custkey") * 2 + n).alias("line"))
+
+    return t, batch(debts, 2).unionByName(batch(again, 3)), top
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, schema) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 S, L, I, B, TS, D = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType(), T.TimestampType(), T.DoubleType()
 EPOCH_NS = T.LongType()
 NS_PER_SECOND = 1_000_000_000
-_EXACT_DOUBLE = 2 ** 53
 
 
 def ns_lit(seconds: float):
@@ -23,13 +22,13 @@ def ns_lit(seconds: float):
 
 
 def span_seconds(ns):
-    """Nanoseconds to seconds as a double, correctly rounded: a plain
-    double division while the count is exact in a double (under 2^53 ns,
-    about 104 days), an exact decimal division beyond."""
+    """Nanoseconds to seconds as a double, correctly rounded for every size:
+    an exact decimal product with nine fraction digits, rounded once."""
+    from decimal import Decimal
+
     from pyspark.sql import functions as F
 
-    exact = (ns.cast("decimal(38,0)") / F.lit(NS_PER_SECOND)).cast("double")
-    return F.when(F.abs(ns) < F.lit(_EXACT_DOUBLE), ns.cast("double") / F.lit(float(NS_PER_SECOND))).otherwise(exact)
+    return (ns.cast("decimal(28,0)") * F.lit(Decimal("0.000000001"))).cast("double")
 
 
 def _schema(*fields) -> T.StructType:

@@ -82,7 +82,7 @@ def manifest_from_listing(listing: DataFrame, root: str, path: str = "path") ->
     pattern.  Exactly one match is taken; two or more are an error (the
     reference cannot read them); none is an error for kernel and initrd."""
     rel = F.when(F.col(path).startswith(root.rstrip("/") + "/"),
-                 F.substring(F.col(path), len(root.rstrip("/")) + 2, 1 << 30))
+                 F.substr(F.col(path), F.lit(len(root.rstrip("/")) + 2)))
     parts = F.split(rel, "/")
     top = listing.select(F.element_at(parts, 1).alias("repo"), F.element_at(parts, 2).alias("file"),
                          F.size(parts).alias("depth"), F.col(path).alias("path")).where(F.col("depth") == 2)
@@ -203,7 +203,7 @@ def image_env(df: DataFrame, json_col: str = "json") -> DataFrame:
     rows = df.select("*", F.explode(env).alias("_env"))
     return rows.select(*df.columns, F.substring_index("_env", "=", 1).alias("key"),
                        F.when(F.col("_env").contains("="),
-                              F.substring(F.col("_env"), F.instr(F.col("_env"), "=") + 1, 1 << 30)).alias("value"))
+                              F.substr(F.col("_env"), F.instr(F.col("_env"), "=") + 1)).alias("value"))
 
 
 def tag_names(df: DataFrame, json_col: str = "json") -> Column:

@@ -35,9 +35,10 @@ def _interval(seconds: float) -> Column:
 
 def first_within(left: DataFrame, right: DataFrame, keys: Sequence[str], bound_seconds: float,
                  left_cols: Sequence[str], right_cols: Sequence[str], ts: str = "ts", seq: str = "seq",
-                 watermark: str = "10 minutes") -> DataFrame:
+                 watermark: str = "10 minutes", later: bool = False) -> DataFrame:
     """For each left row, the first right row of the same key with
-    left.ts <= right.ts < left.ts + bound (NULL fields when none).
+    left.ts <= right.ts < left.ts + bound (NULL fields when none).  With
+    ``later`` the right row must come after the left one in (ts, seq).
 
     A stream-stream left outer join bounded in event time (state is dropped
     once the watermark passes the bound), then a ``min_by`` per left row
@@ -50,6 +51,8 @@ def first_within(left: DataFrame, right: DataFrame, keys: Sequence[str], bound_s
         c = F.col(f"l.{k}") == F.col(f"r.{k}")
         cond = c if cond is None else cond & c
     cond = cond & (F.col(f"r.{ts}") >= F.col(f"l.{ts}")) & (F.col(f"r.{ts}") < F.col(f"l.{ts}") + _interval(bound_seconds))
+    if later:
+        cond = cond & ((F.col(f"r.{ts}") > F.col(f"l.{ts}")) | (F.col(f"r.{seq}") > F.col(f"l.{seq}")))
     j = lft.join(rgt, cond, "leftOuter").select(
         *[F.col(f"l.{k}").alias(k) for k in keys], *[F.col(f"l.{c}").alias(c) for c in left_cols],
         F.col(f"l.{ts}").alias(ts),
@@ -93,39 +96,79 @@ def wait_verdict(state: Column) -> Column:
             .otherwise(F.lit("wait")))
 
 
-def enrich_requests(requests: DataFrame, nodes: DataFrame, **kw) -> DataFrame:
-    """Boot requests (a stream) resolved against the node catalog (a
-    static table): a stream-static left join, J13's rule."""
-    return identify_caller(requests, nodes, **kw)
-
-
-def first_use_stream(requests: DataFrame, key: str = "session_id", ts: str = "ts",
-                     valid: Column | None = None, watermark: str = "10 minutes") -> DataFrame:
-    """T4: one-time sessions: after the validity filter only the first
-    request of a session passes; state per session is kept until the
-    watermark passes (``dropDuplicatesWithinWatermark``).  Two uses of a
-    session inside one micro-batch are told apart by arrival, not by
-    timestamp."""
-    r = requests if valid is None else requests.where(valid)
-    return r.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
+def enrich_requests(requests: DataFrame, nodes: DataFrame, containers: DataFrame, **kw) -> DataFrame:
+    """Boot requests (a stream) resolved against the node and container
+    tables (static): a stream-static left join, J13's rule."""
+    return identify_caller(requests, nodes, containers, **kw)
+
+
+def first_use_stream(requests: DataFrame, hashes: DataFrame, session: str = "session_id", nonce: str = "nonce",
+                     ts: str = "ts", seq: str = "seq", watermark: str = "10 minutes") -> DataFrame:
+    """T4: one-time sessions on a stream: (session, ts, seq) of the one
+    request of each session that passes.
+
+    J15's test comes first: a known session, not expired at the request's own
+    time (no expiry counts as expired), and its nonce.  Of the requests that
+    pass it the earliest (ts, seq) of the micro-batch in which a session is
+    first used is accepted; every later one is refused.  That a session is
+    used is kept until it expires: only when the watermark has passed
+    ``session_good_for`` is its state dropped, and from then on its requests
+    are expired."""
+    h = hashes.select(F.col("session_id").alias("_sid"), "session_good_for", "nonce2")
+    valid = (requests.withWatermark(ts, watermark).join(h, F.col(session) == F.col("_sid"))
+             .where((F.col(ts) <= F.col("session_good_for"))
+                    & (F.nullif(F.col(nonce), F.lit("")) == F.nullif(F.col("nonce2"), F.lit(""))))
+             .select(F.col(session).alias("session_id"), F.col(ts).alias("ts"), F.col(seq).cast("long").alias("seq"), "session_good_for"))
+
+    def once(key, batches, state):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, until = None, None
+        for rows in batches:
+            row = rows.sort_values(["ts", "seq"]).iloc[0]
+            until = rows["session_good_for"].max()
+            if first is None or (row["ts"], row["seq"]) < (first["ts"], first["seq"]):
+                first = row
+        if state.exists or first is None:
+            return
+        state.update((True,))
+        expiry = int(until.timestamp() * 1000) + 1
+        if expiry > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(expiry)
+        yield pd.DataFrame({"session_id": [key[0]], "ts": [first["ts"]], "seq": [first["seq"]]})
+
+    return valid.groupBy("session_id").applyInPandasWithState(
+        once, "session_id string, ts timestamp, seq long", "used boolean", "append", "EventTimeTimeout")
 
 
 def interval_stream(marks: DataFrame, keys: Sequence[str] = ("bmc_id", "phase"), bound_seconds: float = 3600.0,
                     watermark: str = "10 minutes") -> DataFrame:
-    """T5: phase intervals as marks arrive: each begin with the first end of
-    the same (bmc_id, phase) within ``bound_seconds`` (NULL end when none).
-    Equals W1 when begins of one key do not nest."""
+    """T5: phase intervals as marks arrive, by W1's rule: the next mark of the
+    same (bmc_id, phase) decides.  An end within ``bound_seconds`` closes the
+    begin before it; another begin, or none in time, leaves it open (NULL end)."""
     begins = marks.where(F.col("kind") == "begin")
-    ends = marks.where(F.col("kind") == "end")
-    f = first_within(begins, ends, keys, bound_seconds, ["seq"], [], watermark=watermark)
+    f = first_within(begins, marks, keys, bound_seconds, ["seq"], ["kind"], watermark=watermark, later=True)
+    closed = F.col("first.kind") == F.lit("end")
     return f.select(*keys, F.col("seq").alias("begin_seq"), F.col("ts").alias("begin_ts"),
-                    F.col("first.seq").alias("end_seq"), F.col("first.ts").alias("end_ts"))
-
-
-def run_to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over everything available now into a memory table and
-    return that table (tests and the registered stream queries)."""
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+                    F.when(closed, F.col("first.seq")).alias("end_seq"), F.when(closed, F.col("first.ts")).alias("end_ts"))
+
+
+def run_to_files(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over everything available now into Parquet files under
+    ``folder`` (in the shared checkpoint folder) and read them back.
+
+    ``update`` writes each micro-batch's upserts with its number in ``batch``;
+    a batch that is repeated after a failure replaces its own files."""
+    out = f"{folder}/rows"
+    run = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        run = run.format("parquet").option("path", out)
+        schema = df.schema
+    else:
+        run = run.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+        schema = df.schema.add("batch", "long")
+    run.start().awaitTermination()
+    return df.sparkSession.read.schema(schema).parquet(out)

@@ -1,5 +1,7 @@
 """Catalog operators on the hand-made fleet: NULL and ordering rules."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,26 +52,73 @@ def test_node_occupancy(f):
 def test_match_rank_and_candidates(spark, f):
     nodes, conts, k, i, r = f
     req = spark.createDataFrame([("q1", "eq", 2), ("q2", "ge", 1), ("q2", "le", 1), ("q3", "any", None),
-                                 ("q4", "lt", 1)], "request_id string, rank_op string, rank_n int")
-    got = sorted((x.request_id, x.node_id) for x in cat.match_rank(nodes, req).collect())
-    assert got == [("q1", 3), ("q1", 4), ("q2", 1), ("q2", 2), ("q3", 1), ("q3", 2), ("q3", 3), ("q3", 4)]
+                                 ("q4", "lt", 1), ("q5", "le", 1), ("q6", "ge", 9)], "request_id string, rank_op string, rank_n int")
+    got = {x.request_id: (x.n_nodes, x.node_id) for x in cat.match_rank(nodes, req).collect()}
+    # node 5 has no rank: it fits ``any`` alone
+    assert got == {"q1": (2, 3), "q2": (2, 1), "q3": (5, 1), "q4": (0, None), "q5": (2, 1), "q6": (0, None)}
     assert [x.request_id for x in cat.bad_rank_requests(req).collect()] == ["q4"]
-    runs = spark.createDataFrame([("q1", "kA", "iA", "rA", "s-ramfs", "eq", 2), ("q5", "kA", "iA", "rA", "nfs", "any", None)],
+    runs = spark.createDataFrame([("q1", "kA", "iA", "rA", "s-ramfs", "eq", 2), ("q5", "kA", "iA", "rA", "nfs", "ge", 0),
+                                  ("q7", "kX", "iA", "rA", "nfs", "any", None)],
                                  "request_id string, kernel string, initrd string, image string, fstype string, "
                                  "rank_op string, rank_n int")
-    cand = sorted((x.request_id, x.node_id) for x in cat.candidates(runs, k, i, r, nodes, conts).collect())
-    # node 3 is taken by c2, node 4 has no TPM -> q1 gets nothing; q5 takes the free nodes 4 (rank 2)
-    assert cand == [("q5", 4)]
-
-
-def test_allocate_eq(spark, f):
+    cand = {x.request_id: (x.n_nodes, x.node_id) for x in cat.candidates(runs, k, i, r, nodes, conts).collect()}
+    # node 3 is taken by c2, node 4 has no TPM -> q1 gets nothing; q5 may take node 4 (rank 2); q7 names no kernel
+    assert cand == {"q1": (0, None), "q5": (1, 4)}
+
+
+def test_match_rank_as_brute_force(spark):
+    rng = random.Random(3)
+    nodes = [(j, rng.choice([None, *range(-4, 40, 3)]), rng.random() < 0.4) for j in range(120)]
+    reqs = [(q, op, rng.randint(-6, 42)) for q in range(80) for op in rng.choice([["eq"], ["le"], ["ge"], ["ge", "le"], ["any"], ["any", "le"]])]
+    need = {q: rng.random() < 0.5 for q, *_ in reqs}
+    n = spark.createDataFrame(nodes, "node_id long, node_rank int, have_tpm boolean")
+    r = spark.createDataFrame([(q, op, None if op == "any" else v, need[q]) for q, op, v in reqs],
+                              "request_id long, rank_op string, rank_n int, need boolean")
+    got = {x.request_id: (x.n_nodes, x.node_id) for x in cat.match_rank(n, r, need_tpm="need", partitions=5).collect()}
+    fits = {"eq": lambda a, v: a is not None and a == v, "le": lambda a, v: a is not None and a <= v,
+            "ge": lambda a, v: a is not None and a >= v, "any": lambda a, v: True}
+    for q in need:
+        ok = [j for j, a, t in nodes if (t or not need[q]) and all(fits[op](a, v) for p, op, v in reqs if p == q)]
+        assert got[q] == (len(ok), min(ok, default=None))
+
+
+def test_allocate(spark, f):
     nodes, conts, *_ = f
     free = cat.free_nodes(nodes.withColumn("node_rank", F.lit(7)), conts.where("bmc_id = 'x'"))
-    req = spark.createDataFrame([(f"r{j}", "eq", 7) for j in range(7)] + [("r9", "ge", 1)],
+    req = spark.createDataFrame([(f"r{j}", "eq", 7) for j in range(4)] + [("r9", "ge", 1), ("r8", "any", None), ("r7", "lt", 3), ("r6", "le", None)],
                                 "request_id string, rank_op string, rank_n int")
-    got = {x.request_id: (x.node_id, x.reason) for x in allocation.allocate_eq(req, free).collect()}
-    assert [got[f"r{j}"][0] for j in range(5)] == [1, 2, 3, 4, 5]
-    assert got["r5"] == (None, "Node exhausted") and got["r9"] == (None, "not an eq request")
+    got = {x.request_id: (x.node_id, x.reason) for x in allocation.allocate(req, free).collect()}
+    assert [got[f"r{j}"][0] for j in range(4)] == [1, 2, 3, 4] and got["r9"] == (5, None)
+    assert got["r8"] == (None, "Node exhausted") and got["r7"] == got["r6"] == (None, "invalid rank expression")
+
+
+def _one_by_one(reqs, nodes):
+    """The policy of ``allocate``, one request after another."""
+    fits = {"eq": lambda a, v: a == v, "le": lambda a, v: a <= v, "ge": lambda a, v: a >= v, "any": lambda a, v: True}
+    got, left = {}, sorted(nodes, key=lambda x: (x[1] is None, x[1] or 0, x[0]))
+    for op in ("eq", "le", "ge", "any"):
+        for need, tpm in ((True, True), (False, False), (False, True)):
+            turn = sorted((r for r in reqs if r[1] == op and r[3] == need and r[0] not in got),
+                          key=lambda r: ({"eq": 0, "le": r[2], "ge": -(r[2] or 0), "any": 0}[op], r[0]))
+            for q, _, v, _ in turn:
+                pool = [x for x in left if x[2] == tpm and (op == "any" or x[1] is not None and fits[op](x[1], v))]
+                if pool:
+                    best = min(pool, key=lambda x: (-(x[1] or 0) if op == "ge" else (x[1] or 0) if op != "any" else 0, x[0]))
+                    got[q] = best[0]
+                    left.remove(best)
+    return got
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_allocate_as_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    nodes = [(j, rng.choice([None, 1, 2, 3, 4, 5, 6]), rng.random() < 0.4) for j in range(40)]
+    reqs = [(q, op, None if op == "any" else rng.randint(0, 7), rng.random() < 0.4) for q in range(60) for op in [rng.choice(["eq", "le", "ge", "any"])]]
+    n = spark.createDataFrame(nodes, "node_id long, node_rank int, have_tpm boolean")
+    r = spark.createDataFrame(reqs, "request_id long, rank_op string, rank_n int, need boolean")
+    got = {x.request_id: x.node_id for x in allocation.allocate(r, n, need_tpm="need", partitions=3).collect()}
+    want = _one_by_one(reqs, nodes)
+    assert got == {q: want.get(q) for q, *_ in reqs}
 
 
 def test_gate_and_signatures(spark, f):
@@ -131,18 +180,18 @@ def test_admit_runs(spark, f):
         "request_id string, kernel string, initrd string, image string, fstype string, rank_op string, rank_n int")
     got = {x.request_id: (x.gate, x.node_id, x.reason) for x in allocation.admit_runs(req, k, i, r, nodes, conts).collect()}
     assert got == {"a": ("missing kernel", None, "missing kernel"), "b": ("needs pull", 4, None),
-                   "c": ("ok", None, "Node exhausted"), "d": ("ok", None, "not an eq request")}
+                   "c": ("ok", None, "Node exhausted"), "d": ("ok", 5, None)}
 
 
-def test_allocate_eq_with_tpm(spark):
+def test_allocate_with_tpm(spark):
     free = spark.createDataFrame([(1, 7, True), (2, 7, False), (3, 7, True), (4, 8, False), (5, 9, True), (6, 9, False)],
                                  "node_id long, node_rank int, have_tpm boolean")
     req = spark.createDataFrame([("r1", "eq", 7, True), ("r2", "eq", 7, True), ("r3", "eq", 7, True),
-                                 ("r4", "eq", 8, False), ("r5", "eq", 9, True), ("r6", "eq", 9, False)],
+                                 ("r4", "eq", 8, False), ("r5", "eq", 9, True), ("r6", "eq", 9, False), ("r7", "any", None, False)],
                                 "request_id string, rank_op string, rank_n int, need boolean")
-    got = {x.request_id: (x.node_id, x.reason) for x in allocation.allocate_eq(req, free, need_tpm="need").collect()}
+    got = {x.request_id: (x.node_id, x.reason) for x in allocation.allocate(req, free, need_tpm="need").collect()}
     assert got == {"r1": (1, None), "r2": (3, None), "r3": (None, "Node exhausted"), "r4": (4, None),
-                   "r5": (None, "mixed TPM pool"), "r6": (None, "mixed TPM pool")}
+                   "r5": (5, None), "r6": (6, None), "r7": (2, None)}
 
 
 def test_rank_ok_predicate(spark):

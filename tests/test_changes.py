@@ -51,3 +51,38 @@ def test_state_events(spark):
     assert "c4" not in {r.bmc_id for r in forced.collect()}
     assert {r.bmc_id: r.state for r in chg.latest_state(ev).collect()}["c1"] == "terminated"
     _ = dt
+
+
+def _events(spark, rows):
+    return spark.createDataFrame([(b, k, k, s) for k, (b, s) in enumerate(rows)], "bmc_id string, epoch_ns long, seq long, state string")
+
+
+def test_kill_then_remove(spark):
+    """rm of a live container is refused; kill then rm deletes it, whatever came before."""
+    _, conts, *_ = fleet(spark)
+    ev = _events(spark, [("c1", "removed"), ("c1", "terminated"), ("c1", "removed"),      # refused, killed, gone
+                         ("c2", "running"), ("c2", "removed"),                           # live by its last event: refused
+                         ("c4", "terminated"), ("c4", None), ("c4", "removed"),            # NULL is live: refused, node is free
+                         ("zz", "removed")])
+    new, refused = chg.apply_states(conts, ev, partitions=3)
+    assert {r.bmc_id: (r.state, r.node_id) for r in new.collect()} == {"c2": ("running", 3), "c3": ("terminated", None), "c4": (None, None)}
+    assert sorted(r.bmc_id for r in refused.collect()) == ["c1", "c2", "c4"]
+    new, refused = chg.apply_states(conts, ev, force=True)
+    assert sorted(r.bmc_id for r in new.collect()) == ["c3"] and refused.count() == 0
+
+
+def test_repeated_names_and_deleted_ids(spark):
+    _, _, kernels, _, _ = fleet(spark)
+    ch = spark.createDataFrame([(1, "kA", "a1", "s"), (2, "kA", "a2", "s"), (3, "kN", "n1", "s"), (4, "kN", "n2", "s")],
+                               "line int, kernel_name string, kernel_file string, kernel_sig_file string")
+    table = kernels.where("kernel_name != 'kC'")      # id 12 was given to kC once
+    up = {r.kernel_name: (r.kernel_id, r.kernel_file) for r in chg.apply_upsert(table, ch, "kernel_name", "kernel_id", order=["line"], highest=12).collect()}
+    assert up == {"kA": (10, "a2"), "kB": (11, "k/b"), "kN": (13, "n2")}
+    full = ch.withColumn("kernel_param", F.lit("p"))
+    rep = {r.kernel_name: (r.kernel_id, r.kernel_file) for r in chg.apply_replace(table, full, "kernel_name", "kernel_id", order=["line"], highest=12).collect()}
+    assert rep == {"kA": (13, "a2"), "kB": (11, "k/b"), "kN": (14, "n2")}
+    new, refused = chg.apply_insert(table, full, "kernel_name", "kernel_id", order=["line"], highest=12)
+    assert {r.kernel_name: (r.kernel_id, r.kernel_file) for r in new.collect()} == {"kA": (10, "k/a"), "kB": (11, "k/b"), "kN": (13, "n1")}
+    assert sorted((r.kernel_name, r.line) for r in refused.collect()) == [("kA", 1), ("kA", 2), ("kN", 4)]
+    new, _ = chg.set_column(table, full.withColumn("kernel_param", F.col("kernel_file")), "kernel_name", "kernel_param", order=["line"])
+    assert sorted((r.kernel_name, r.kernel_param) for r in new.collect()) == [("kA", "a2"), ("kB", None)]

@@ -66,10 +66,11 @@ def test_boot_outcome(spark):
 
 def test_identify_and_authorise(spark):
     nodes, conts, *_ = fleet(spark)
-    req = spark.createDataFrame([("10.0.2.2", "m1"), ("10.9.9.9", "m1"), ("10.9.9.9", None)],
+    # c1 on node 1 (mac m1), c4 on node 2; node 4 (10.0.2.4, m4) is idle and never matches
+    req = spark.createDataFrame([("10.0.2.2", "m1"), ("10.9.9.9", "m1"), ("10.9.9.9", None), ("10.0.2.4", "m1"), ("10.0.2.4", "m4")],
                                 "remote_addr string, mac_addr string")
-    got = [(x.node_id, x.matched_by) for x in rq.identify_caller(req, nodes).orderBy("remote_addr", "mac_addr").collect()]
-    assert sorted(got, key=str) == sorted([(2, "ip"), (1, "mac"), (None, None)], key=str)
+    got = [(x.bmc_id, x.matched_by) for x in rq.identify_caller(req, nodes, conts).collect()]
+    assert sorted(got, key=str) == sorted([("c4", "ip"), ("c1", "mac"), (None, None), ("c1", "mac"), (None, None)], key=str)
     detail = conts.join(nodes, "node_id")     # inner: terminated c3 has no node
     notices = spark.createDataFrame([("c1", "10.0.3.1"), ("c1", "10.0.1.1"), ("c1", "10.0.3.2"), ("c3", "10.0.3.1")],
                                     "bmc_id string, remote_addr string")
@@ -117,3 +118,19 @@ def test_boot_outcome_null_times(spark):
                                   "bmc_id string, epoch_ns long, seq long, status string")
     got = {x.bmc_id: x.outcome for x in rq.boot_outcome(runs, notes, partitions=2).collect()}
     assert got == {"a": "timed out", "b": "timed out"}
+
+
+def test_session_without_expiry_is_refused(spark):
+    h = spark.createDataFrame([("s", None, "n")], "session_id string, session_good_for timestamp, nonce2 string")
+    req = spark.createDataFrame([("s", "n", T0)], "session_id string, nonce string, ts timestamp")
+    assert [x.verdict for x in rq.check_session(req, h, F.lit(T0)).collect()] == ["expired"]
+
+
+def test_span_seconds_on_both_sides_of_104_days(spark):
+    from fractions import Fraction
+
+    from bootlens.schemas import span_seconds
+
+    values = [0, 1, 999, 123456789, 2**53 - 1, 2**53 + 1, 10000000123456789, 9223372036854775807, -1, -10000000123456789]
+    df = spark.createDataFrame([(v,) for v in values], "ns long")
+    assert [r.s for r in df.select(span_seconds(F.col("ns")).alias("s")).collect()] == [float(Fraction(v, 10**9)) for v in values]

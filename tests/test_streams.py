@@ -19,8 +19,7 @@ def _stream(spark, df, path):
 
 
 def _run(df, tmp_dir, mode="append"):
-    name = "q_" + uuid.uuid4().hex[:8]
-    return st.run_to_table(df, name, f"{tmp_dir}/ck_{name}", mode).collect()
+    return st.run_to_files(df, f"{tmp_dir}/q_{uuid.uuid4().hex[:8]}", mode).collect()
 
 
 def _at(s):
@@ -45,7 +44,7 @@ def test_boot_outcome_stream_equals_batch(spark, tmp_dir):
 def test_state_stream_equals_batch(spark, tmp_dir):
     ev = spark.createDataFrame([("c1", _at(1), 1, "up"), ("c1", _at(5), 2, "running"), ("c2", _at(2), 3, "pending"),
                                 ("c1", _at(5), 4, "shutting-down")], "bmc_id string, ts timestamp, seq long, state string")
-    got = {x.bmc_id: x.state for x in _run(st.state_stream(_stream(spark, ev, f"{tmp_dir}/e")), tmp_dir, "complete")}
+    got = {x.bmc_id: x.state for x in _run(st.state_stream(_stream(spark, ev, f"{tmp_dir}/e")), tmp_dir, "update")}
     exp = {x.bmc_id: x.state for x in last_wins(ev, ["bmc_id"], ["ts", "seq"], ["state"]).collect()}
     assert got == exp == {"c1": "shutting-down", "c2": "pending"}
     v = spark.createDataFrame([("pending",), ("up",), ("terminated",), (None,)], "s string")
@@ -63,15 +62,32 @@ def test_interval_stream_equals_pairing(spark, tmp_dir):
     assert got == exp == {("c1", 1): 2, ("c1", 3): 4, ("c2", 5): None}
 
 
-def test_first_use_stream(spark, tmp_dir):
-    a = spark.createDataFrame([("s1", _at(0), "r1"), ("s2", _at(1), "r2")], "session_id string, ts timestamp, rid string")
-    b = spark.createDataFrame([("s1", _at(5), "r3"), ("s3", _at(6), "r4")], "session_id string, ts timestamp, rid string")
-    a.write.parquet(f"{tmp_dir}/s/1")
-    b.write.parquet(f"{tmp_dir}/s/2")
-    s = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True) \
-        .parquet(f"{tmp_dir}/s")
-    got = sorted(x.rid for x in _run(st.first_use_stream(s), tmp_dir))
-    assert got == ["r1", "r2", "r4"]
+def test_the_next_mark_decides(spark, tmp_dir):
+    """begin, begin, end: the first begin stays open, as a failed and retried phase does in the batch form."""
+    marks = [("c1", "boot", "begin", 1, _at(0)), ("c1", "boot", "begin", 2, _at(10)), ("c1", "boot", "end", 3, _at(20)),
+             ("c1", "boot", "begin", 4, _at(20)), ("c1", "boot", "end", 5, _at(20)), ("zz", "boot", "begin", 9, _at(99999))]
+    m = spark.createDataFrame(marks, "bmc_id string, phase string, kind string, seq long, ts timestamp")
+    got = {x.begin_seq: x.end_seq for x in _run(st.interval_stream(_stream(spark, m, f"{tmp_dir}/m")), tmp_dir) if x.bmc_id == "c1"}
+    batch = tl.pair_marks(m.withColumn("epoch_ns", epoch_ns_of(F.col("ts"))), ["bmc_id"], partitions=2)
+    assert got == {x.begin_seq: x.end_seq for x in batch.collect() if x.bmc_id == "c1"} == {1: None, 2: 3, 4: 5}
+
+
+def test_a_session_is_used_once_until_it_expires(spark, tmp_dir):
+    """Five micro-batches: the state outlives the watermark delay by far and ends with the session."""
+    schema = "session_id string, nonce string, ts timestamp, rid long"
+    hashes = spark.createDataFrame([("s1", _at(20000), "n"), ("s2", _at(100), "n"), ("s3", None, "n"), ("s4", _at(9e5), None)],
+                                   "session_id string, session_good_for timestamp, nonce2 string")
+    batches = [[("s1", "n", _at(5), 2), ("s1", "n", _at(1), 1), ("s3", "n", _at(0), 3), ("s4", "", _at(0), 4)],
+               [("s2", "x", _at(50), 5), ("s9", "n", _at(50), 6)],
+               [("s2", "n", _at(100), 7), ("s1", "n", _at(7300), 8)],
+               [("s1", "n", _at(15000), 9), ("s2", "n", _at(15000), 10)],
+               [("s1", "n", _at(30000), 11), ("s1", "n", _at(19999), 12)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_dir}/s/{i}")
+    s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+         .parquet(f"{tmp_dir}/s"))
+    got = sorted((x.session_id, x.seq) for x in _run(st.first_use_stream(s, hashes), tmp_dir))
+    assert got == [("s1", 1), ("s2", 7)]
 
 
 def test_late_notice_is_ignored(spark, tmp_dir):
