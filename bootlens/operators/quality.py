@@ -11,7 +11,7 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from bootlens.schemas import FSTYPES, MGMT_METHODS
+from bootlens.schemas import FSTYPES, MGMT_METHODS, TPM_VALUES
 
 REPORT_COLS = ("rule", "table", "key", "detail")
 
@@ -63,8 +63,14 @@ def reset_atime_rule(requests: DataFrame, key: str = "request_id") -> DataFrame:
 
 def quality_report(nodes: DataFrame, containers: DataFrame, kernels: DataFrame, initrds: DataFrame,
                    rootfs: DataFrame) -> DataFrame:
-    """Q1-Q4 over a catalog, as one table."""
+    """Q1-Q4 over a catalog, as one table.
+
+    ``have_tpm`` may be a boolean, or 1/0 as stored; then other values are
+    reported too."""
+    stored = [] if dict(nodes.dtypes)["have_tpm"] == "boolean" else [
+        domain(nodes.withColumn("have_tpm", F.col("have_tpm").cast("string")), "Node", "node_id", "have_tpm", TPM_VALUES)]
     parts = [
+        *stored,
         required(nodes, "Node", "node_id", ["node_name", "node_rank", "method_mgmt"]),
         domain(nodes, "Node", "node_id", "method_mgmt", MGMT_METHODS),
         domain(containers, "Container", "bmc_id", "fstype", FSTYPES),

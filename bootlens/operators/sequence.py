@@ -68,10 +68,13 @@ class Fill:
 @dataclass
 class Count:
     """Running count (inclusive) of rows of the same key where ``when``
-    holds (all rows when ``when`` is None), in scan order.  Output ``out``."""
+    holds (all rows when ``when`` is None), in scan order.  With ``value``
+    the running sum of that column instead (NULL counts 0; give a decimal for
+    sums whose differences must be exact).  Output ``out``."""
 
     out: str = "running_count"
     when: Column | str | None = None
+    value: Column | str | None = None
     _flag: str = field(default="", repr=False)
 
 
@@ -110,7 +113,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], ops:
     for i, op in enumerate(counts):
         op._flag = f"_cw{i}"
         cond = F.lit(True) if op.when is None else F.coalesce(_as_col(op.when), F.lit(False))
-        extra.append(cond.cast("long").alias(op._flag))
+        added = cond.cast("long") if op.value is None else F.coalesce(F.when(cond, _as_col(op.value)), F.lit(0))
+        extra.append(added.alias(op._flag))
 
     path = scratch_dir(spark, "ordered-scan")
     staged = df.select("*", *extra)

@@ -91,7 +91,7 @@ SELECT CAST(user_id AS VARCHAR) AS bmc_id, 'session' AS phase, bseq AS begin_seq
 FROM en""")
 def phase_energy(spark, sf_dir):
     return meter.phase_energy(si.events_intervals(spark, sf_dir), si.events_samples(spark, sf_dir),
-                              delay=4.0, floor=1.0)
+                              delay=4.0, floor=1.0).drop("begin_ns")
 
 
 @query("phase_net", _IV_SQL + """
@@ -101,7 +101,7 @@ FROM iv JOIN events s ON s.user_id = iv.user_id AND s.event_type IN ('view', 'cl
                      AND epoch_us(s.ts) BETWEEN iv.b AND iv.e
 GROUP BY iv.user_id, iv.bseq""")
 def phase_net(spark, sf_dir):
-    return meter.phase_net(si.events_intervals(spark, sf_dir), si.events_samples(spark, sf_dir))
+    return meter.phase_net(si.events_intervals(spark, sf_dir), si.events_samples(spark, sf_dir)).drop("begin_ns")
 
 
 @query("phase_report", _ENERGY_SQL + """,
@@ -554,51 +554,50 @@ def area_counts(spark, sf_dir):
     return src_files.area_counts(d.select(F.col("source").alias("area")), areas)
 
 
-@query("quality_report", _FLEET_SQL + """,
-q3 AS (
-  SELECT 'Q3 unique' AS rule, 'Kernel' AS "table", kernel_name AS key, 'kernel_name n=' || COUNT(*) AS detail
-  FROM kernels WHERE kernel_name IS NOT NULL GROUP BY kernel_name HAVING COUNT(*) > 1
-  UNION ALL
-  SELECT 'Q3 unique', 'Initrd', initrd_name, 'initrd_name n=' || COUNT(*) FROM initrds
-  WHERE initrd_name IS NOT NULL GROUP BY initrd_name HAVING COUNT(*) > 1
-  UNION ALL
-  SELECT 'Q3 unique', 'Rootfs', rootfs_name, 'rootfs_name n=' || COUNT(*) FROM rootfs
-  WHERE rootfs_name IS NOT NULL GROUP BY rootfs_name HAVING COUNT(*) > 1
-  UNION ALL
-  SELECT 'Q3 unique', 'Node', node_name, 'node_name n=' || COUNT(*) FROM nodes
-  WHERE node_name IS NOT NULL GROUP BY node_name HAVING COUNT(*) > 1),
-q4 AS (
-  SELECT 'Q4 reference' AS rule, 'Container' AS "table", bmc_id AS key,
-         'kernel_id=' || kernel_id || ' not in Kernel' AS detail
-  FROM lcont c WHERE kernel_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM kernels k WHERE k.kernel_id = c.kernel_id)
-  UNION ALL
-  SELECT 'Q4 reference', 'Container', bmc_id, 'initrd_id=' || initrd_id || ' not in Initrd'
-  FROM lcont c WHERE initrd_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM initrds i WHERE i.initrd_id = c.initrd_id)
-  UNION ALL
-  SELECT 'Q4 reference', 'Container', bmc_id, 'node_id=' || node_id || ' not in Node'
-  FROM lcont c WHERE node_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.node_id = c.node_id)),
-q12 AS (
-  SELECT 'Q1 required' AS rule, 'Node' AS "table", CAST(node_id AS VARCHAR) AS key, 'node_name missing' AS detail
-  FROM nodes WHERE node_name IS NULL OR node_name = ''
-  UNION ALL
-  SELECT 'Q2 domain', 'Container', bmc_id, 'fstype=' || fstype FROM lcont
-  WHERE fstype IS NOT NULL AND fstype NOT IN ('nfs', 'ramfs', 's-ramfs', 'isofs'))
-SELECT * FROM q3 UNION ALL SELECT * FROM q4 UNION ALL SELECT * FROM q12""")
+_DIRTY_NODE = {
+    "node_name": "CASE WHEN c_custkey % 50 = 0 THEN '' WHEN c_custkey % 51 = 0 THEN 'same' ELSE c_name END",
+    "node_rank": "CASE WHEN c_custkey % 60 = 0 THEN NULL ELSE c_nationkey END",
+    "method_mgmt": "CASE WHEN c_custkey % 70 = 0 THEN NULL WHEN c_custkey % 80 = 0 THEN 'bogus' ELSE 'ipmi' END",
+    "have_tpm": "CASE WHEN c_custkey % 40 = 0 THEN 2 WHEN c_custkey % 41 = 0 THEN NULL WHEN c_acctbal > 0 THEN 1 ELSE 0 END",
+    "mac_addr_mgmt": "CASE WHEN c_custkey % 45 = 0 THEN NULL WHEN c_custkey % 46 = 0 THEN 'mac-x' ELSE 'mac-' || c_custkey END",
+    "ip4_addr_mgmt": "'mgmt-' || (c_custkey % 1000)", "ip4_addr_boot": "'boot-' || (c_custkey % 1200)", "ip4_addr_os": "'os-' || (c_custkey % 1400)",
+}
+_DIRTY_CONTAINER = {
+    "bmc_id": "l_orderkey || '-' || l_linenumber", "base_name": "l_orderkey || '-' || (l_linenumber % 6)",
+    "fstype": "CASE l_linenumber WHEN 7 THEN 'ext4' WHEN 2 THEN NULL ELSE 'nfs' END",
+    "kernel_id": "CASE l_linenumber WHEN 6 THEN l_partkey + 10000000 ELSE l_partkey END",
+    "initrd_id": "CASE l_linenumber WHEN 5 THEN l_suppkey + 10000000 ELSE l_suppkey END",
+    "rootfs_id": "CASE l_linenumber WHEN 4 THEN l_orderkey + 1000000000 WHEN 1 THEN NULL ELSE l_orderkey END",
+    "node_id": "CASE l_linenumber WHEN 3 THEN l_suppkey + 10000000 ELSE NULL END",
+}
+_cols = lambda d: ", ".join(f"{e} AS {c}" for c, e in d.items())
+_uniques = lambda rows: " UNION ALL ".join(
+    f"""SELECT 'Q3 unique', '{t}', {c}, '{c} n=' || COUNT(*) FROM {f} WHERE {c} IS NOT NULL GROUP BY {c} HAVING COUNT(*) > 1""" for t, f, c in rows)
+_orphans = lambda rows: " UNION ALL ".join(
+    f"""SELECT 'Q4 reference', 'Container', bmc_id, '{c}=' || {c} || ' not in {t}' FROM c
+  WHERE {c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {f} p WHERE p.{c} = c.{c})""" for t, f, c in rows)
+
+
+@query("quality_report", _FLEET_SQL + f""",
+n AS (SELECT c_custkey AS node_id, {_cols(_DIRTY_NODE)} FROM customer),
+c AS (SELECT {_cols(_DIRTY_CONTAINER)} FROM lineitem)
+SELECT 'Q1 required' AS rule, 'Node' AS "table", CAST(node_id AS VARCHAR) AS key, 'node_name missing' AS detail FROM n WHERE coalesce(node_name, '') = ''
+UNION ALL SELECT 'Q1 required', 'Node', CAST(node_id AS VARCHAR), 'node_rank missing' FROM n WHERE node_rank IS NULL
+UNION ALL SELECT 'Q1 required', 'Node', CAST(node_id AS VARCHAR), 'method_mgmt missing' FROM n WHERE coalesce(method_mgmt, '') = ''
+UNION ALL SELECT 'Q2 domain', 'Node', CAST(node_id AS VARCHAR), 'method_mgmt=' || method_mgmt FROM n WHERE method_mgmt NOT IN ('wol', 'amt', 'amt-soap', 'ipmi')
+UNION ALL SELECT 'Q2 domain', 'Node', CAST(node_id AS VARCHAR), 'have_tpm=' || have_tpm FROM n WHERE have_tpm NOT IN (0, 1)
+UNION ALL SELECT 'Q2 domain', 'Container', bmc_id, 'fstype=' || fstype FROM c WHERE fstype NOT IN ('nfs', 'ramfs', 's-ramfs', 'isofs')
+UNION ALL """ + _uniques([*(("Node", "n", x) for x in ("node_name", "mac_addr_mgmt", "ip4_addr_mgmt", "ip4_addr_boot", "ip4_addr_os")),
+                          ("Container", "c", "base_name"), ("Kernel", "kernels", "kernel_name"), ("Initrd", "initrds", "initrd_name"),
+                          ("Rootfs", "rootfs", "rootfs_name")]) + """
+UNION ALL """ + _orphans([("Kernel", "kernels", "kernel_id"), ("Initrd", "initrds", "initrd_id"), ("Rootfs", "rootfs", "rootfs_id"), ("Node", "n", "node_id")]))
 def quality_report(spark, sf_dir):
-    nodes = si.nodes(spark, sf_dir)
-    conts = si.line_containers(spark, sf_dir)
-    kernels, initrds, rootfs = si.kernels(spark, sf_dir), si.initrds(spark, sf_dir), si.rootfs(spark, sf_dir)
-    parts = [qa.required(nodes, "Node", "node_id", ["node_name"]),
-             qa.domain(conts, "Container", "bmc_id", "fstype", ("nfs", "ramfs", "s-ramfs", "isofs")),
-             qa.unique(kernels, "Kernel", "kernel_name"), qa.unique(initrds, "Initrd", "initrd_name"),
-             qa.unique(rootfs, "Rootfs", "rootfs_name"), qa.unique(nodes, "Node", "node_name"),
-             qa.references(conts, "Container", "bmc_id", "kernel_id", kernels, "kernel_id", "Kernel"),
-             qa.references(conts, "Container", "bmc_id", "initrd_id", initrds, "initrd_id", "Initrd"),
-             qa.references(conts, "Container", "bmc_id", "node_id", nodes, "node_id", "Node")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Q1-Q4 through the library's report, over tables in which every rule is
+    broken somewhere."""
+    expr = lambda d: [F.expr(e).alias(c) for c, e in d.items()]
+    nodes = si.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id"), *expr(_DIRTY_NODE))
+    conts = si.table(spark, sf_dir, "lineitem").select(*expr(_DIRTY_CONTAINER))
+    return qa.quality_report(nodes, conts, si.kernels(spark, sf_dir), si.initrds(spark, sf_dir), si.rootfs(spark, sf_dir))
 
 
 _CHANGE_SQL = """
@@ -654,26 +653,34 @@ def apply_replace(spark, sf_dir):
                              order=["line"], highest=top)
 
 
-_DUMP_TABLES = ("region", "nation", "supplier", "customer", "part", "orders")
+_DUMP_TABLES = ("region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events", "documents", "pages",
+                "benchmark", "labels", "conversations")
 
 
 @query("dump_all", " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows FROM {t}" for t in _DUMP_TABLES))
+    f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS n_changed, CAST(0 AS BIGINT) AS n_blank_nulls FROM {t}" for t in _DUMP_TABLES))
 def dump_all(spark, sf_dir):
     """S2 + S3 + S6: register tables, dump all as TSV (NULL as <NULL>) to a
-    fresh folder under the checkpoint folder, read each back, count rows."""
-    tables = {t: si.table(spark, sf_dir, t) for t in _DUMP_TABLES}
-    src_cat.register_catalog(spark, tables)
-    out = scratch_dir(spark, "dump")
-    written = src_cat.dump_all(spark, out, names=_DUMP_TABLES)
-    back = None
+    fresh folder under the checkpoint folder, read each back, and compare: rows
+    that differ either way, and nulls that do not read ``<NULL>`` in the file.
+    Every table a TSV can hold; each row gets one null, so nulls are in all."""
+    spec = {}
+    for t in _DUMP_TABLES:
+        df = si.table(spark, sf_dir, t)
+        spec[t] = df.withColumn("no_value", F.lit(None).cast("string"))
+    src_cat.register_catalog(spark, spec)
+    written = src_cat.dump_all(spark, scratch_dir(spark, "dump"), names=_DUMP_TABLES)
+    out = None
     for name in src_cat.list_tables(spark):
         if name not in written:
             continue
-        df = src_cat.read_tsv(spark, written[name], tables[name].schema, null_value=src_cat.NULL_TEXT)
-        c = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
-        back = c if back is None else back.unionByName(c)
-    return back
+        df = spec[name]
+        back = src_cat.read_tsv(spark, written[name], df.schema, null_value=src_cat.NULL_TEXT)
+        changed = df.exceptAll(back).unionByName(back.exceptAll(df)).agg(F.count("*").alias("n_changed"))
+        rows = back.agg(F.count("*").alias("n_rows"), F.count("no_value").alias("n_blank_nulls"))
+        one = rows.join(changed, F.lit(True)).select(F.lit(name).alias("table_name"), "n_rows", "n_changed", "n_blank_nulls")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # --------------------------------------------------------------------------
@@ -781,6 +788,30 @@ def timeline_phase_times(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
+@query("timeline_log_phase_times", """
+WITH o AS (SELECT 'C' || o_orderkey AS c, 'D' || o_orderkey AS d, o_orderkey % 4 AS kind, o_orderkey % 3 = 0 AS failed FROM orders),
+iv AS (
+  SELECT c AS bmc_id, 'exec_run' AS phase, 5 AS tenths FROM o WHERE kind = 0 UNION ALL
+  SELECT c, 'alloc', 1 FROM o WHERE kind = 0 UNION ALL SELECT c, 'prepare', 1 FROM o WHERE kind = 0 UNION ALL
+  SELECT NULL, 'exec_kill', NULL FROM o WHERE kind = 1 UNION ALL
+  SELECT c, 'exec_kill1', NULL FROM o WHERE kind = 1 UNION ALL SELECT d, 'exec_kill1', NULL FROM o WHERE kind = 1 UNION ALL
+  SELECT c, 'poweroff', 1 FROM o WHERE kind = 1 UNION ALL
+  SELECT d, 'poweroff', CASE WHEN NOT failed THEN 1 END FROM o WHERE kind = 1 UNION ALL
+  SELECT c, 'exec_pull', 3 FROM o WHERE kind = 2 UNION ALL SELECT c, 'load_kernel', 2 FROM o WHERE kind = 3)
+SELECT bmc_id, phase, COUNT(tenths) AS n_closed, COUNT(*) - COUNT(tenths) AS n_open,
+       CAST(SUM(tenths) AS DOUBLE) / 10 AS total_sec, CAST(SUM(tenths) AS DOUBLE) / 10 / COUNT(tenths) AS avg_sec
+FROM iv GROUP BY bmc_id, phase""")
+def timeline_log_phase_times(spark, sf_dir):
+    """The whole chain from text: lines written as a log file with bad lines
+    among them, read by S4, then F20, W2, J19, W8, W1 and A4."""
+    out = scratch_dir(spark, "log") + "/mgr"
+    rows = si.orders_as_log(spark, sf_dir)
+    text = rows.select(sources_timeline.format_line(F.col("local_date"), F.col("epoch_ns"), F.col("pid"), F.col("message")).alias("value"))
+    bad = si.table(spark, sf_dir, "nation").select(F.concat(F.lit("not a line of "), F.col("n_name")).alias("value"))
+    text.unionByName(bad).write.text(out)
+    return tl.phase_times(tl.intervals_from_timeline(sources_timeline.read_timeline(spark, out)))
+
+
 @query("check_session", """
 WITH h AS (SELECT CAST(c_custkey AS VARCHAR) AS session_id, make_timestamp(c_nationkey + 1990, 1, 1, 0, 0, 0) AS good_for,
                   c_mktsegment AS nonce2 FROM customer),
@@ -1322,21 +1353,20 @@ def checked_boot_outcome(spark, sf_dir):
 
 
 @query("area_listing", """
-SELECT 'event_type=' || event_type AS area, true AS has_files FROM (SELECT DISTINCT event_type FROM events)
-UNION ALL SELECT 'unused' AS area, false AS has_files""")
+SELECT 'event_type=' || event_type AS area, CAST(ceil(COUNT(*) / 100.0) AS BIGINT) AS n FROM events GROUP BY event_type
+UNION ALL SELECT 'unused' AS area, CAST(0 AS BIGINT) AS n""")
 def area_listing(spark, sf_dir):
-    """S10 + A7: events written as parquet in one folder per type, listed
-    with the binaryFile source (no content read) and counted per folder;
-    an area without files counts 0."""
+    """S10 + A7: events written as parquet, a file per 100 events in one
+    folder per type, listed with the binaryFile source (no content read) and
+    counted per folder; an area without files counts 0."""
     out = scratch_dir(spark, "areas")
     ev = si.table(spark, sf_dir, "events")
-    ev.write.partitionBy("event_type").parquet(out)
+    ev.repartition("event_type").write.option("maxRecordsPerFile", 100).partitionBy("event_type").parquet(out)
     listing = src_files.read_listing(spark, out, pattern="*.parquet")
     listing = listing.withColumn("area", F.element_at(F.split("path", "/"), -2))
     areas = (ev.select(F.concat(F.lit("event_type="), F.col("event_type")).alias("area"))
              .unionByName(spark.range(1).select(F.lit("unused").alias("area"))))
-    counts = src_files.area_counts(listing, areas)
-    return counts.select("area", (F.col("n") > 0).alias("has_files"))
+    return src_files.area_counts(listing, areas).select("area", "n")
 
 
 @query("accessed_since", """

@@ -43,6 +43,37 @@ def events_as_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.lit(True).alias("valid"))
 
 
+def orders_as_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as lines of a timeline log, a tenth of a second apart.  Pids
+    (the customer) are used again by later orders.  By order key modulo 4:
+
+    0. a run whose container is named by one of its marks only,
+    1. a kill of two containers, every third without its last end,
+    2. a background pull whose note names the container, and which then
+       mentions another one,
+    3. loader marks, each of its own process, and a line that is no mark."""
+    o = table(spark, sf_dir, "orders")
+    k, kind = F.col("o_orderkey"), F.col("o_orderkey") % 4
+    c, d, e = (F.concat(F.lit(x), k.cast("string")) for x in "CDE")
+    start = epoch_ns_of(F.col("o_orderdate")) + (k % 80000) * F.lit(NS_PER_SECOND)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    run = F.array(*map(F.lit, ("--Start--", "exec_run:begin --rank=eq 1 img a|b x:end", "exec_run alloc:begin")),
+                  text("exec_run alloc:end bmcid=", c, " node=3"), *map(F.lit, ("exec_run prepare:begin", "exec_run prepare:end", "exec_run:end")))
+    kill = F.array(F.lit("--Start--"), text("exec_kill:begin ", c, " ", d), text("exec_kill1:begin ", c), F.lit("kill poweroff:begin"),
+                   F.lit("kill poweroff:end"), text("exec_kill1:begin ", d), F.lit("kill poweroff:begin"),
+                   F.when(k % 3 != 0, F.lit("kill poweroff:end")))
+    pull = F.array(F.lit("--Start--"), F.lit("exec_pull:begin img"), text("exec_pull: bmcid=", c, " parent=1"),
+                   text("pulled bmcid=", e), F.lit("exec_pull:end"))
+    loader = F.array(F.lit("no mark at all"), text("load_kernel:begin_bmcid=", c, " from 10.0.0.5"), F.lit("another line"),
+                     text("load_kernel:end_bmcid=", c, " from 10.0.0.5"))
+    lines = F.when(kind == 0, run).when(kind == 1, kill).when(kind == 2, pull).otherwise(loader)
+    each = o.select(k.alias("k"), kind.alias("kind"), F.col("o_custkey").alias("pid"), start.alias("start"), F.posexplode(lines).alias("i", "message"))
+    pid = F.when(F.col("kind") == 3, F.col("k") * 10 + F.col("i") + 10_000_000).otherwise(F.col("pid"))
+    return each.where("message is not null").select(
+        F.date_format(F.timestamp_seconds(F.floor(F.col("start") / NS_PER_SECOND)), "yyyy-MM-dd HH:mm:ss").alias("local_date"),
+        (F.col("start") + F.col("i") * F.lit(NS_PER_SECOND // 10)).alias("epoch_ns"), pid.alias("pid"), "message")
+
+
 def user_bmc(col: str = "user_id") -> Column:
     return F.col(col).cast("string")
 

@@ -65,6 +65,7 @@ CATALOG = {
 }
 
 # Fixed values of the reference (domains of the catalog columns).
+TPM_VALUES = ("0", "1")
 MGMT_METHODS = ("wol", "amt", "amt-soap", "ipmi")
 FSTYPES = ("nfs", "ramfs", "s-ramfs", "isofs")
 CONTAINER_STATES = ("terminated", "up", "pending", "running", "shutting-down")

@@ -48,9 +48,11 @@ def list_tables(spark: SparkSession) -> list[str]:
 def write_tsv(df: DataFrame, path: str, null_value: str | None = None, mode: str = "overwrite") -> str:
     """Tab separated text with a header line.
 
-    Fields with tabs, quotes or line breaks are quoted, so every row reads
-    back whole (``read_tsv``)."""
-    w = df.write.mode(mode).option("sep", "\t").option("header", True).option("escapeQuotes", True)
+    Fields with tabs, quotes or line breaks are quoted, and times keep their
+    microseconds, so every row reads back whole (``read_tsv``)."""
+    w = (df.write.mode(mode).option("sep", "\t").option("header", True).option("escapeQuotes", True)
+         .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+         .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
     if null_value is not None:
         w = w.option("nullValue", null_value)
     w.csv(path)

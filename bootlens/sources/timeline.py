@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from bootlens.functions.marks import SEP
 from bootlens.schemas import NS_PER_SECOND
 
 # Fixed pattern of a timeline line.
@@ -24,28 +25,26 @@ def parse_lines(lines: DataFrame, value: str = "value", host: Column | None = No
     in the scan (stable for a given set of files).
     """
     v = F.col(value)
-    ok = v.rlike(LINE_PATTERN)
-    # a line is valid when it matches and its numbers fit their types
-
-    def g(i):
-        return F.when(ok, F.regexp_extract(v, LINE_PATTERN, i))
+    # one match per line: epoch, pid, and date and message still joined by the bar between them
+    fields = F.when(v.rlike(LINE_PATTERN), F.split(F.regexp_replace(v, LINE_PATTERN, f"$2{SEP}$3{SEP}$1|$4"), SEP, 3))
+    parts = lines.select(
+        (host if host is not None else F.lit(None).cast("string")).alias("host"),
+        (seq if seq is not None else F.monotonically_increasing_id()).alias("seq"),
+        v.alias("line"), fields.alias("_f"))
+    epoch, pid, rest = (F.col("_f")[i] for i in range(3))
 
     # "seconds.fraction" to whole nanoseconds (fraction cut or padded to 9
     # digits); NULL, not a failed job, when it does not fit a long.
-    secs = F.regexp_extract(g(2), r"^([0-9]+)", 1).try_cast("long")
-    frac = F.rpad(F.substring(F.regexp_extract(g(2), r"\.([0-9]+)$", 1), 1, 9), 9, "0").try_cast("long")
+    secs = F.substring_index(epoch, ".", 1).try_cast("long")
+    digits = F.when(F.instr(epoch, ".") > 0, F.substring_index(epoch, ".", -1)).otherwise("")
+    frac = F.rpad(F.substring(digits, 1, 9), 9, "0").try_cast("long")
     epoch_ns = F.try_add(F.try_multiply(secs, F.lit(NS_PER_SECOND)), frac)
-
-    return lines.select(
-        (host if host is not None else F.lit(None).cast("string")).alias("host"),
-        g(1).alias("local_date"),
-        epoch_ns.alias("epoch_ns"),
-        g(3).try_cast("long").alias("pid"),
-        g(4).alias("message"),
-        (seq if seq is not None else F.monotonically_increasing_id()).alias("seq"),
-        (ok & epoch_ns.isNotNull() & g(3).try_cast("long").isNotNull()).alias("valid"),
-        v.alias("line"),
-    )
+    pid = pid.try_cast("long")
+    # a line is valid when it matches and its numbers fit their types
+    return parts.select(
+        "host", F.substring_index(rest, "|", 1).alias("local_date"), epoch_ns.alias("epoch_ns"), pid.alias("pid"),
+        F.substr(rest, F.instr(rest, "|") + 1).alias("message"), "seq",
+        (F.col("_f").isNotNull() & epoch_ns.isNotNull() & pid.isNotNull()).alias("valid"), "line")
 
 
 def host_from_path(path: Column) -> Column:
@@ -60,12 +59,15 @@ def read_timeline(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_timeline(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """The same as a stream over rolled files in a folder."""
+    """The same as a stream over rolled files in a folder.
+
+    ``seq``, which orders lines of one epoch, is a hash of file and line: the
+    same however often and in whatever batches the files are read."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.load(path).select("value", F.col("_metadata.file_path").alias("_path"))
-    return parse_lines(raw, host=host_from_path(F.col("_path")), seq=F.lit(0).cast("long"))
+    return parse_lines(raw, host=host_from_path(F.col("_path")), seq=F.xxhash64("_path", "value"))
 
 
 def rejects(timeline: DataFrame) -> DataFrame:

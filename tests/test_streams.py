@@ -86,7 +86,7 @@ def test_a_session_is_used_once_until_it_expires(spark, tmp_dir):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_dir}/s/{i}")
     s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
          .parquet(f"{tmp_dir}/s"))
-    got = sorted((x.session_id, x.seq) for x in _run(st.first_use_stream(s, hashes), tmp_dir))
+    got = sorted((x.session_id, x.seq) for x in _run(st.first_use_stream(s, hashes, seq="rid"), tmp_dir))
     assert got == [("s1", 1), ("s2", 7)]
 
 
