@@ -47,6 +47,17 @@ NODE_TITLES = (("node_id", "ID"), ("node_name", "name"), ("node_descr", "descr")
                ("netmask_os", "netmask_os"), ("gateway_os", "gateway_os"), ("dns_os", "dns_os"))
 
 
+# Fixed column titles of the image listings.
+_IMAGE_TITLES = (("id", "ID"), ("name", "name"), ("file", "file"), ("sig_file", "sig"))
+
+
+def image_view(images: DataFrame, kind: str) -> DataFrame:
+    """One image table (kernel, initrd or rootfs) under its listing
+    titles; kernels also show their parameter."""
+    titles = [(f"{kind}_{c}", t) for c, t in _IMAGE_TITLES]
+    return images.select(*[F.col(c).alias(t) for c, t in (titles + [("kernel_param", "param")] if kind == "kernel" else titles)])
+
+
 def node_view(nodes: DataFrame) -> DataFrame:
     """Nodes under their listing titles; the management password is
     never part of any output."""

@@ -251,6 +251,17 @@ def container_listing(spark, sf_dir):
                                  si.initrds(spark, sf_dir), si.rootfs(spark, sf_dir), si.nodes(spark, sf_dir))
 
 
+@query("image_views", _FLEET_SQL + """
+SELECT 'kernel' AS kind, kernel_id AS "ID", kernel_name AS name, kernel_file AS file, kernel_sig_file AS sig, kernel_param AS param FROM kernels
+UNION ALL SELECT 'initrd', initrd_id, initrd_name, initrd_file, initrd_sig_file, NULL FROM initrds
+UNION ALL SELECT 'rootfs', rootfs_id, rootfs_name, rootfs_file, NULL, NULL FROM rootfs""")
+def image_views(spark, sf_dir):
+    """The three image listings under their titles, as one result."""
+    views = [cat.image_view(df, kind).select(F.lit(kind).alias("kind"), "*") for kind, df in
+             (("kernel", si.kernels(spark, sf_dir)), ("initrd", si.initrds(spark, sf_dir)), ("rootfs", si.rootfs(spark, sf_dir)))]
+    return views[0].unionByName(views[1], allowMissingColumns=True).unionByName(views[2], allowMissingColumns=True)
+
+
 @query("container_ids", _FLEET_SQL + """
 SELECT bmc_id FROM ocont WHERE state != 'terminated' ORDER BY created, bmc_id""")
 def container_ids(spark, sf_dir):
@@ -478,16 +489,19 @@ SELECT page_id,
        CASE WHEN contains(url, ':') THEN substr(url, strpos(url, ':') + 1) END AS image_tag,
        CASE WHEN regexp_matches(url, '^([^@]*)@(.*)$') THEN regexp_extract(url, '^([^@]*)@(.*)$', 1) ELSE 'root' END
          AS login_user,
+       CASE WHEN regexp_matches(url, '^([^@]*)@(.*)$') THEN regexp_extract(url, '^([^@]*)@(.*)$', 2) ELSE url END AS login_host,
        split_part(url, '/', 3) AS host,
        split_part(split_part(url, '/', 3), '.', 1) AS host_stem,
        CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) ELSE url END AS no_scheme,
        NULLIF(split_part(url, '?', 2), '') AS query
-FROM pages""")
+FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN replace(url, '://', '://me@') WHEN 1 THEN split_part(url, '?', 1) || '.git' ELSE url END AS url FROM pages)""")
 def scalar_set(spark, sf_dir):
-    p = si.table(spark, sf_dir, "pages")
+    kind, url = F.col("page_id") % 4, F.col("url")
+    p = si.table(spark, sf_dir, "pages").withColumn("url", F.when(kind == 0, F.replace(url, F.lit("://"), F.lit("://me@")))
+                                                    .when(kind == 1, F.concat(F.substring_index(url, "?", 1), F.lit(".git"))).otherwise(url))
     host = sc.nth_field("url", "/", 3)
     return p.select("page_id", sc.path_escape("url").alias("escaped"), sc.image_name("url").alias("image_name"),
-                    sc.image_tag("url").alias("image_tag"), sc.login_user("url").alias("login_user"),
+                    sc.image_tag("url").alias("image_tag"), sc.login_user("url").alias("login_user"), sc.login_host("url").alias("login_host"),
                     host.alias("host"), sc.stem(host).alias("host_stem"),
                     sc.strip_prefix("url", "https://").alias("no_scheme"),
                     sc.null_if_empty(sc.nth_field("url", "?", 2)).alias("query"))
@@ -526,9 +540,12 @@ FROM r WHERE l_tax != 0 GROUP BY target, smt"""
 
 @query("mean_gflops", _RESULT_SQL)
 def mean_gflops(spark, sf_dir):
+    """S9 + A3: the result logs written as text files and read back."""
     from bootlens.operators import benchmark as bm
 
-    return bm.mean_gflops_from_lines(si.result_lines(spark, sf_dir))
+    out = scratch_dir(spark, "results")
+    si.result_lines(spark, sf_dir).repartition("file_name").write.partitionBy("file_name").text(out)
+    return bm.mean_gflops_from_lines(src_files.read_results(spark, out, in_folders=True))
 
 
 @query("gflops_by_group", """
@@ -1003,6 +1020,59 @@ def apply_states(spark, sf_dir):
                                         F.lit(None).cast("long").alias("node_id"), "error")))
 
 
+@query("log_states", _FLEET_SQL + """,
+ev AS (SELECT CAST(l_orderkey AS VARCHAR) AS bmc_id, l_shipdate AS dt, l_linenumber AS seq,
+              CASE l_returnflag WHEN 'R' THEN 'removed' WHEN 'A' THEN 'terminated' ELSE 'up' END AS st
+       FROM lineitem WHERE l_linenumber < 6),
+seen AS (SELECT ev.*, c.state AS was,
+                last_value(CASE WHEN st != 'removed' THEN st END IGNORE NULLS)
+                  OVER (PARTITION BY ev.bmc_id ORDER BY dt, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+         FROM ev JOIN ocont c ON c.bmc_id = ev.bmc_id),
+gone AS (SELECT DISTINCT bmc_id FROM seen WHERE st = 'removed' AND coalesce(prev, was) = 'terminated'),
+per AS (SELECT bmc_id, arg_max(st, (dt, seq)) FILTER (st != 'removed') AS final FROM seen GROUP BY bmc_id)
+SELECT c.bmc_id, coalesce(per.final, c.state) AS state FROM ocont c LEFT JOIN per ON per.bmc_id = c.bmc_id
+WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.bmc_id = c.bmc_id)""")
+def log_states(spark, sf_dir):
+    """From audit log text to the container table: messages of every kind are
+    taken apart, and run, kill and rm are applied (M7)."""
+    from bootlens.operators import events as evs
+
+    li = si.table(spark, sf_dir, "lineitem")
+    key = F.col("l_orderkey").cast("string")
+    message = (F.when(F.col("l_linenumber") >= 6, F.concat(F.lit("import_kernel K"), key, F.lit(" (update)")))
+               .when(F.col("l_returnflag") == "R", F.concat(F.lit("rm "), key)).when(F.col("l_returnflag") == "A", F.concat(F.lit("kill "), key))
+               .otherwise(F.concat(F.lit("run "), key, F.lit(" on n"), F.col("l_suppkey").cast("string"))))
+    log = li.select(si.epoch_ns_of(F.col("l_shipdate")).alias("epoch_ns"), F.col("l_linenumber").cast("long").alias("seq"), message.alias("message"))
+    new, _ = chg.apply_states(si.order_containers(spark, sf_dir), evs.state_events(log))
+    return new.select("bmc_id", "state")
+
+
+@query("fact_outcomes", """
+WITH r AS (SELECT user_id, epoch_us(ts) AS us, event_id AS seq FROM events WHERE event_type = 'signup'),
+n AS (SELECT user_id, epoch_us(ts) AS us, event_id AS seq, event_type AS status FROM events WHERE event_type IN ('purchase', 'error')),
+x AS (SELECT r.seq AS rseq, arg_min(n.seq, (n.us, n.seq)) AS nseq, arg_min(n.status, (n.us, n.seq)) AS st
+      FROM r JOIN n ON n.user_id = r.user_id AND n.us >= r.us AND n.us < r.us + 21600000000
+      GROUP BY r.seq)
+SELECT 'U' || r.user_id AS bmc_id, r.seq AS run_seq, '10.0.0.' || r.user_id AS remote_addr, x.nseq AS notice_seq,
+       CASE WHEN x.nseq IS NULL THEN 'timed out' ELSE 'boot failure: ' || x.st END AS outcome
+FROM r LEFT JOIN x ON x.rseq = r.seq""")
+def fact_outcomes(spark, sf_dir):
+    """From timeline fact lines to boot outcomes: requests (``from=``) and
+    notices (``status=``) are read out of the text and meet by J18."""
+    from bootlens.operators import events as evs
+
+    ev = si.events_keyed(spark, sf_dir)
+    u = F.concat(F.lit("U"), F.col("bmc_id"))
+    message = (F.when(F.col("event_type") == "signup", F.concat(F.lit("cgi-baremetal bmcid="), u, F.lit(" from=10.0.0."), F.col("bmc_id"), F.lit(" mac=m")))
+               .when(F.col("event_type").isin("purchase", "error"), F.concat(F.lit("cgi-notify-bmc bmcid="), u, F.lit(" status="), F.col("event_type")))
+               .otherwise(F.concat(F.lit("cgi-baremetal waitstate bmcid="), u, F.lit(" state="), F.col("event_type"))))
+    lines = ev.select(F.lit("events").alias("host"), F.col("user_id").alias("pid"), "epoch_ns", "seq", message.alias("message"))
+    facts = evs.fact_events(lines)
+    requests, notices = facts.where("remote_addr is not null"), facts.where("status is not null")
+    out = rq.boot_outcome(requests, notices, ["bmc_id"], timeout=6 * 3600)
+    return out.join(requests.select(F.col("seq").alias("run_seq"), "remote_addr"), "run_seq").select("bmc_id", "run_seq", "remote_addr", "notice_seq", "outcome")
+
+
 @query("reset_atime_rule", """
 SELECT 'Q5 reset-atime' AS rule, 'request' AS "table", CAST(doc_id AS VARCHAR) AS key,
        'fstype=' || CASE WHEN lang = 'en' THEN 'nfs' ELSE 'ramfs' END AS detail
@@ -1019,7 +1089,7 @@ def reset_atime_rule(spark, sf_dir):
 # F16 boot arguments, F17 deadlines, F8/F9 parameters, S7 manifests, S11 samples
 
 @query("boot_args", _FLEET_SQL + """,
-d AS (SELECT c.bmc_id, c.fstype, coalesce(k.kernel_param, '') || ' ' || coalesce(c.kernel_param, '') AS kp,
+d AS (SELECT c.bmc_id, CASE c.kernel_id % 4 WHEN 0 THEN 'nfs' WHEN 1 THEN 'ramfs' WHEN 2 THEN 's-ramfs' ELSE 'isofs' END AS fstype, coalesce(k.kernel_param, '') || ' ' || coalesce(c.kernel_param, '') AS kp,
              coalesce(n.ip4_addr_os, '') || ':srv:' || coalesce(n.gateway_os, '') || ':' || coalesce(n.netmask_os, '')
                || ':' || coalesce(n.node_name, '') || ':' || coalesce(n.interface_os, '') AS ip
       FROM lcont c JOIN nodes n ON n.node_id = c.node_id JOIN kernels k ON k.kernel_id = c.kernel_id
@@ -1033,7 +1103,9 @@ SELECT bmc_id, CASE
   WHEN fstype = 'isofs' THEN 'imgargs K' || bmc_id || ' iso raw' END AS args
 FROM d""")
 def boot_args(spark, sf_dir):
-    c = si.line_containers(spark, sf_dir)
+    kind = F.col("kernel_id") % 4
+    c = si.line_containers(spark, sf_dir).withColumn(
+        "fstype", F.when(kind == 0, "nfs").when(kind == 1, "ramfs").when(kind == 2, "s-ramfs").otherwise("isofs"))
     d = cat.container_detail(c.select("bmc_id"), c, si.nodes(spark, sf_dir), si.kernels(spark, sf_dir),
                              si.initrds(spark, sf_dir), si.rootfs(spark, sf_dir))
     server = F.lit("srv")
@@ -1058,7 +1130,8 @@ def deadlines(spark, sf_dir):
 
 
 @query("query_params", """
-WITH q AS (SELECT page_id, url, split_part(url, '?', 2) AS qs FROM pages WHERE strpos(url, '?') > 0),
+WITH p AS (SELECT page_id, url || '&session_id=s%3A' || page_id || '%3a%20x' AS url FROM pages),
+q AS (SELECT page_id, url, split_part(url, '?', 2) AS qs FROM p WHERE strpos(url, '?') > 0),
 items AS (SELECT page_id, unnest(string_split(qs, '&')) AS kv,
                  unnest(range(1, len(string_split(qs, '&')) + 1)) AS pos FROM q),
 kv AS (SELECT page_id, pos, split_part(kv, '=', 1) AS key,
@@ -1072,7 +1145,8 @@ SELECT q.page_id, NULLIF(m.ref, '') AS ref, NULLIF(m.page, '') AS page, NULLIF(m
        url_decode(q.url) AS decoded, regexp_replace(q.url, '%3[Aa]', ':', 'g') AS colon
 FROM q LEFT JOIN m ON m.page_id = q.page_id""")
 def query_params(spark, sf_dir):
-    p = si.table(spark, sf_dir, "pages").where(F.col("url").contains("?"))
+    p = (si.table(spark, sf_dir, "pages").where(F.col("url").contains("?"))
+         .withColumn("url", F.concat("url", F.lit("&session_id=s%3A"), F.col("page_id").cast("string"), F.lit("%3a%20x"))))
     m = sc.parse_query(sc.nth_field("url", "?", 2))
     return p.select("page_id", sc.required(m, "ref").alias("ref"), sc.required(m, "page").alias("page"),
                     sc.required(m, "utm_source").alias("utm_source"), sc.url_decode("url").alias("decoded"),
@@ -1154,15 +1228,17 @@ WITH s AS (SELECT s_suppkey AS k, s_acctbal, s_nationkey FROM supplier)
 SELECT 'r' || k AS repo,
        CASE WHEN s_nationkey != 1 THEN '/repo/r' || k || '/vmlinuz-kernel' END AS kernel,
        '/repo/r' || k || '/initramfs-initrd' AS initrd,
-       CASE WHEN s_acctbal > 0 THEN '/repo/r' || k || '/cmd-param' END AS param,
+       CASE WHEN s_acctbal > 0 AND s_nationkey != 2 THEN '/repo/r' || k || '/cmd-param'
+            WHEN s_acctbal <= 0 AND s_nationkey = 2 THEN '/repo/r' || k || '/other-param' END AS param,
        CAST(NULL AS VARCHAR) AS kernelsig,
        CASE WHEN s_acctbal > 5000 THEN '/repo/r' || k || '/initramfs-initrd.sig' END AS initrdsig,
-       CASE WHEN s_nationkey = 1 THEN 'ambiguous kernel' END AS error
+       CASE WHEN s_nationkey = 1 THEN 'ambiguous kernel' END AS error,
+       CASE WHEN s_acctbal > 0 AND s_nationkey != 2 THEN 'quiet' || chr(10) || 'r=' || k END AS kernel_param
 FROM s""")
 def listing_manifests(spark, sf_dir):
     """Repositories without a manifest, from a file listing (paths
     built from ``supplier``: a kernel, an initrd, a param when the balance is
-    positive, an initrd signature over 5000, two kernels in nation 1 and a
+    positive, an initrd signature over 5000, two kernels in nation 1, two params in nation 2, a dot file and a
     file in a subfolder that does not count)."""
     s = si.table(spark, sf_dir, "supplier")
     base = F.concat(F.lit("/repo/r"), F.col("s_suppkey").cast("string"))
@@ -1170,9 +1246,12 @@ def listing_manifests(spark, sf_dir):
                     F.when(F.col("s_acctbal") > 0, F.concat(base, F.lit("/cmd-param"))),
                     F.when(F.col("s_acctbal") > 5000, F.concat(base, F.lit("/initramfs-initrd.sig"))),
                     F.when(F.col("s_nationkey") == 1, F.concat(base, F.lit("/old-kernel"))),
-                    F.concat(base, F.lit("/sub/other-kernel")))
+                    F.when(F.col("s_nationkey") == 2, F.concat(base, F.lit("/other-param"))),
+                    F.concat(base, F.lit("/.old-kernel")), F.concat(base, F.lit("/sub/other-kernel")))
     listing = s.select(F.explode(files).alias("path")).where(F.col("path").isNotNull())
-    return src_files.manifest_from_listing(listing, "/repo")
+    contents = s.select(F.concat(base, F.lit("/cmd-param")).alias("path"),
+                        F.concat(F.lit("quiet\nr="), F.col("s_suppkey").cast("string"), F.lit("\n")).alias("text"))
+    return src_files.with_param_content(src_files.manifest_from_listing(listing, "/repo"), contents)
 
 
 @query("image_env", """
@@ -1238,8 +1317,8 @@ SELECT c.conv_id, c.turn,
        right(md5(c.text), 12) AS short,
        NULLIF(regexp_extract(c.text, 'the\s+(\S+)', 1), '') AS after_the,
        list_contains(string_split(c.role, 'a'), 'ssist') AS has_part,
-       CASE c.role WHEN 'user' THEN 2 WHEN 'assistant' THEN 8 END AS power,
-       c.role != 'wol' AS early
+       CASE c.conv_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 8 WHEN 2 THEN 5 END AS power,
+       c.turn % 3 != 0 AS early
 FROM conversations c""")
 def scalar_more(spark, sf_dir):
     """F6 (last group of an id), F10 (token after a marker), F13 (exact
@@ -1248,11 +1327,13 @@ def scalar_more(spark, sf_dir):
     uuid_like = F.concat_ws("-", F.substring(F.md5("text"), 1, 8), F.substring(F.md5("text"), 9, 4),
                             F.substring(F.md5("text"), 13, 4), F.substring(F.md5("text"), 17, 4),
                             F.substring(F.md5("text"), 21, 12))
-    action = F.when(F.col("role") == "user", F.lit("on")).when(F.col("role") == "assistant", F.lit("off"))
+    kind = F.col("conv_id") % 4
+    action = F.when(kind == 0, "on").when(kind == 1, "off").when(kind == 2, "reset").otherwise("cycle")
+    method = F.when(F.col("turn") % 3 == 0, "wol").otherwise("ipmi")
     return c.select("conv_id", "turn", sc.short_id(uuid_like).alias("short"),
                     sc.token_after("text", "the").alias("after_the"),
                     src_files.tag_exists(F.split("role", "a"), F.lit("ssist")).alias("has_part"),
-                    sc.power_code(action).alias("power"), sc.early_start("role").alias("early"))
+                    sc.power_code(action).alias("power"), sc.early_start(method).alias("early"))
 
 
 @query("passwd_home", """

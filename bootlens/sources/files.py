@@ -79,20 +79,23 @@ def manifest_table(lines: DataFrame, listing: DataFrame | None = None, root: str
 
 def manifest_from_listing(listing: DataFrame, root: str, path: str = "path") -> DataFrame:
     """Repositories without a manifest: the top-level file ending in each
-    pattern.  Exactly one match is taken; two or more are an error (the
-    reference cannot read them); none is an error for kernel and initrd."""
+    pattern; like a shell glob a pattern skips dot files.  Exactly one match
+    is taken.  None or several (which name no readable file) are an error for
+    kernel and initrd; the parameter and signature files are then left out."""
     rel = F.when(F.col(path).startswith(root.rstrip("/") + "/"),
                  F.substr(F.col(path), F.lit(len(root.rstrip("/")) + 2)))
     parts = F.split(rel, "/")
     top = listing.select(F.element_at(parts, 1).alias("repo"), F.element_at(parts, 2).alias("file"),
                          F.size(parts).alias("depth"), F.col(path).alias("path")).where(F.col("depth") == 2)
-    matches = [F.struct(F.lit(k).alias("key"), F.col("file").endswith(s).alias("hit")) for k, s in LISTING_SUFFIXES]
+    matches = [F.struct(F.lit(k).alias("key"), (F.col("file").endswith(s) & ~F.col("file").startswith(".")).alias("hit"))
+               for k, s in LISTING_SUFFIXES]
     hits = (top.select("repo", "path", F.explode(F.array(*matches)).alias("m"))
             .where(F.col("m.hit")).select("repo", "path", F.col("m.key").alias("key")))
     per = hits.groupBy("repo", "key").agg(F.count(F.lit(1)).alias("n"), F.max("path").alias("path"))
     t = per.groupBy("repo").agg(
         *[F.max(F.when((F.col("key") == k) & (F.col("n") == 1), F.col("path"))).alias(k) for k, _ in LISTING_SUFFIXES],
-        F.min(F.when(F.col("n") > 1, F.concat(F.lit("ambiguous "), F.col("key")))).alias("_amb"))
+        F.min(F.when((F.col("n") > 1) & F.col("key").isin("kernel", "initrd"),
+                     F.concat(F.lit("ambiguous "), F.col("key")))).alias("_amb"))
     repos = top.select("repo").distinct()
     t = repos.join(t, "repo", "left")
     err = (F.when(F.col("_amb").isNotNull(), F.col("_amb"))
@@ -101,6 +104,16 @@ def manifest_from_listing(listing: DataFrame, root: str, path: str = "path") ->
     return t.select("repo", *[k for k, _ in LISTING_SUFFIXES], err.alias("error"))
 
 
+def with_param_content(manifests: DataFrame, contents: DataFrame, root: str | None = None, param: str = "param") -> DataFrame:
+    """Add ``kernel_param``, what the named parameter file holds
+    (trailing line breaks cut, as a shell substitution does); NULL without
+    such a file.  ``contents`` is (path, text), e.g. whole-text files; with
+    ``root`` the names are relative to the repository's folder below it."""
+    path = F.col(param) if root is None else F.concat(F.lit(root.rstrip("/") + "/"), F.col("repo"), F.lit("/"), F.col(param))
+    text = contents.select(F.col("path").alias("_path"), F.regexp_replace("text", r"\n+$", "").alias("kernel_param"))
+    return manifests.join(text, path == F.col("_path"), "left").drop("_path")
+
+
 # --------------------------------------------------------------------------
 # Benchmark result logs
 
@@ -110,9 +123,12 @@ RESULT_NAME = r"^res-([^-]+)-(\d+)-(.+)-Smt([^-]+)-(\d+)\.out$"
 NUMBER_PREFIX = r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Result logs as (file_name, line)."""
-    return spark.read.text(path).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("line"))
+def read_results(spark: SparkSession, path: str, in_folders: bool = False) -> DataFrame:
+    """Result logs as (file_name, line).  With ``in_folders`` a log is a
+    folder of that name (``file_name=NAME``) that holds its parts."""
+    lines = spark.read.text(path)
+    name = F.col("file_name") if in_folders else F.col("_metadata.file_name")
+    return lines.select(name.alias("file_name"), F.col("value").alias("line"))
 
 
 def first_number(text: Column) -> Column:

@@ -201,3 +201,10 @@ def test_rank_ok_predicate(spark):
                                 ("eq", None, 3)], "op string, n int, r int")
     got = [x.ok for x in df.select(rank_ok(F.col("op"), F.col("n"), F.col("r")).alias("ok")).collect()]
     assert got == [True, True, False, True, False, False, None]
+
+
+def test_image_views(f):
+    _, _, k, i, r = f
+    assert cat.image_view(k, "kernel").columns == ["ID", "name", "file", "sig", "param"]
+    assert cat.image_view(i, "initrd").columns == cat.image_view(r, "rootfs").columns == ["ID", "name", "file", "sig"]
+    assert cat.image_view(k, "kernel").where("ID = 10").first().param == "quiet"

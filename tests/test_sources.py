@@ -46,6 +46,20 @@ def test_manifest_from_listing(spark):
     assert t["c"].error == "No kernel file in repository"
 
 
+def test_ambiguous_extras_and_dot_files_are_left_out(spark):
+    listing = spark.createDataFrame([(f"/repo/a/{x}",) for x in ("k-kernel", ".old-kernel", "i-initrd", "x-param", "y-param",
+                                                                "a-kernel.sig", "b-kernel.sig")], "path string")
+    r = sf.manifest_from_listing(listing, "/repo").first()
+    assert (r.kernel, r.initrd, r.param, r.kernelsig, r.error) == ("/repo/a/k-kernel", "/repo/a/i-initrd", None, None, None)
+
+
+def test_param_content(spark):
+    m = spark.createDataFrame([("a", "p1"), ("b", None), ("c", "gone")], "repo string, param string")
+    files = spark.createDataFrame([("/repo/a/p1", "quiet ro\nx=1\n\n")], "path string, text string")
+    got = {r.repo: r.kernel_param for r in sf.with_param_content(m, files, "/repo").collect()}
+    assert got == {"a": "quiet ro\nx=1", "b": None, "c": None}
+
+
 def test_results(spark, tmp_dir):
     _write(f"{tmp_dir}/res/res-blas-1600-myblas-Smton-1.out", "warming up\nGFLOPS = 10.5\nGFLOPS = oops\n")
     _write(f"{tmp_dir}/res/res-blas-3200-myblas-Smton-2.out", "GFLOPS =3.5e1 extra\n")
