@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bootlens.session import scratch_dir
@@ -97,19 +96,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
                        .union(tied.select(F.col("parent").alias("child"), F.col("least").alias("parent"))).distinct(), "links")
 
 
-# ------------------------------------------------------------ per-row Python inside tasks
-
-
-def by_rows(fn: Callable[[list[dict]], list[dict]], schema: pa.Schema, rows: int = 256) -> Callable:
-    """A ``mapInArrow`` function that hands ``fn`` at most ``rows`` rows at a time, as dicts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                made = fn(batch.slice(at, rows).to_pylist())
-                yield pa.RecordBatch.from_pylist(made, schema=schema)
-
-    return run
+# ------------------------------------------------------------ inside tasks
 
 
 class BoundedCache(dict):
