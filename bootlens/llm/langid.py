@@ -25,7 +25,7 @@ LETTERS = regex.compile(r"\p{L}+")
 #: Model size and documented bound of the training sample (documents per language).
 BUCKETS, DIMS, GRAMS, PER_LABEL = 1 << 15, 16, (1, 2, 3, 4), 400
 EPOCHS, STEPS, BATCH, RATE, SEED = 8, 800, 16, 20.0, 5  # epochs, but at least so many steps
-#: Of held-back predictions as low as the rejection score or lower, at least this share is wrong or doubtful.
+#: The rejection score is the lowest at which at most this share of the held-back predictions that pass it is wrong.
 TOLERATED = 0.02
 UNKNOWN = "und"
 LONGEST = 200
@@ -138,9 +138,12 @@ def train(texts: list[str], labels: list[str], buckets: int = BUCKETS, dims: int
         p = _softmax(logits / model.temperature)
         best, right = p.max(axis=1), p.argmax(axis=1) == truth
         order = np.argsort(best)
-        wrong = np.cumsum(~right[order]) / np.arange(1, len(order) + 1)
-        low = np.nonzero(wrong > TOLERATED)[0]
-        model.reject_below = float(best[order[low[-1]]]) if len(low) and (~right).any() else 0.0
+        wrong = np.cumsum(~right[order][::-1])[::-1] / np.arange(len(order), 0, -1)  # among those at least as sure
+        fine = np.nonzero(wrong <= TOLERATED)[0]
+        if not len(fine):
+            model.reject_below = float(np.nextafter(best.max(), 2))
+        elif fine[0]:
+            model.reject_below = float(best[order[fine[0]]])
     return model
 
 

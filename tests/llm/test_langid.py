@@ -63,11 +63,11 @@ def test_grams_of_words_do_not_depend_on_company():
 
 
 def test_rejection_is_calibrated(spark):
-    rng, rows = random.Random(9), labelled(90)
-    texts = [r[1] for r in rows] + ["".join(rng.choice("qwx") for _ in range(4)) for _ in range(60)]
-    labels = [r[2] for r in rows] + [rng.choice(sorted(SOUNDS)) for _ in range(60)]
-    model = langid.train(texts, labels)
-    assert model.reject_below > 0 and model.temperature > 0.1
-    df = spark.createDataFrame([(1, rows[0][1]), (2, "qqww xwqx")], "doc_id long, text string").withColumn("score", F.lit(1))
-    got = {r["doc_id"]: r["rejected"] for r in langid.predict(df, model).collect()}
-    assert got == {1: False, 2: True}
+    """Scraps with labels at random are learnt to be doubtful; real texts pass."""
+    rng, rows = random.Random(9), labelled(240)
+    junk = ["".join(rng.choice("qwx") for _ in range(4)) for _ in range(60)]
+    model = langid.train([r[1] for r in rows] + junk, [r[2] for r in rows] + [rng.choice(sorted(SOUNDS)) for _ in junk])
+    texts = [(k, t) for k, t in enumerate([r[1] for r in rows] + junk)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("score", F.lit(1))
+    rejected = {r["doc_id"] for r in langid.predict(df, model).collect() if r["rejected"]}
+    assert len([k for k in rejected if k < 240]) <= 24 and len([k for k in rejected if k >= 240]) >= 57

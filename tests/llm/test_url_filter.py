@@ -67,7 +67,7 @@ def test_compiled_trees_score_as_spark_ml(spark):
 
     from bootlens.llm.trees import boosted_margin
 
-    df = spark.range(200).select((F.col("id") % 17).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y")).withColumn("label", ((F.col("x") > 6) ^ (F.col("y") > 2)).cast("double"))
+    df = spark.range(200).select((F.col("id") % 17).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y")).withColumn("label", ((F.col("x") > 6) != (F.col("y") > 2)).cast("double"))
     data = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(df)
     model = GBTClassifier(maxIter=4, maxDepth=2, seed=1).fit(data)
     both = model.transform(data).withColumn("own", boosted_margin(model, [F.col("x"), F.col("y")]))
