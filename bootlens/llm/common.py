@@ -31,6 +31,13 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hash_share(key: Column, wanted: int, total: int) -> Column:
+    """True for about ``wanted`` of ``total`` rows, by a hash of ``key`` (unique per row for the bound to hold).
+
+    A filter: unlike a sort with a limit, no task gathers a share of every partition."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 40)) < F.lit(min(1 << 40, -(-(wanted << 40) // max(1, total)))).cast("long")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     while name in df.columns:

@@ -15,7 +15,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bootlens.llm.common import fresh, staged
+from bootlens.llm.common import fresh, hash_share, staged
 from bootlens.llm.trees import forest_votes
 
 #: What a candidate looks like, names that announce a secret, formats of providers.
@@ -98,19 +98,21 @@ class Scanner:
 
 
 def fit(docs: DataFrame, text: str = "text", per_class: int = SAMPLE_PER_CLASS) -> Scanner:
-    """Fit the forest on at most ``per_class`` labelled findings a class, those with the smallest hashes.
+    """Fit the forest on about ``per_class`` distinct labelled findings a class, drawn by their hash.
 
     Candidates of all documents are labelled; the sample is taken from them."""
     found = docs.select(F.col(text).alias("text")).where(F.col("text").rlike(CANDIDATE)).select(parts(F.col("text")).alias("p"))
     each = found.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("p.cands") - 1), lambda i: F.struct(
         *[c.alias(n) for c, n in zip(_context(F.col("p"), i), ("cand", "before", "after"))]))).alias("x")).select("x.*")
-    labelled = staged(each.withColumn("label", label(F.col("cand"), F.col("before"))).where("label is not null"), "candidates")
-    order = [F.xxhash64("cand", "before", "after"), "cand", "before", "after"]
-    sample = labelled.where("label = 0").orderBy(*order).limit(per_class).union(labelled.where("label = 1").orderBy(*order).limit(per_class))
-    columns = features(F.col("cand"), F.col("before"), F.col("after"))
-    sample = staged(sample.select(F.col("label").cast("double").alias("label"), *[c.cast("double").alias(k) for k, c in zip(FEATURES, columns)]).coalesce(1), "findings")
-    if sample.select("label").distinct().count() < 2:
+    labelled = staged(each.withColumn("label", label(F.col("cand"), F.col("before"))).where("label is not null").distinct(), "candidates")
+    sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
         return Scanner(None)
+    value = F.concat_ws("\n", "before", "cand", "after")
+    sample = labelled.where(F.when(F.col("label") == 1, hash_share(value, per_class, sizes[1])).otherwise(hash_share(value, per_class, sizes[0])))
+    sample = sample.orderBy("cand", "before", "after")
+    columns = features(F.col("cand"), F.col("before"), F.col("after"))
+    sample = staged(sample.select(F.col("label").cast("double").alias("label"), *[c.cast("double").alias(k) for k, c in zip(FEATURES, columns)]), "findings")
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample.coalesce(1))
     return Scanner(RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32).fit(assembled.select("label", "features")))
 

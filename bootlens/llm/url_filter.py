@@ -14,7 +14,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bootlens.llm.common import staged
+from bootlens.llm.common import hash_share, staged
 from bootlens.llm.trees import boosted_margin
 
 #: Documented bounds: labelled URLs per class to fit on; host suffixes, and first path segments, with statistics of their own.
@@ -134,8 +134,8 @@ def fit(rows: DataFrame, per_class: int = SAMPLE_PER_CLASS, suffixes: int = SUFF
     Shares of host suffixes and of first path segments are counted over all
     rows and block rates over all labelled ones; the ``suffixes`` most frequent
     of each are kept.  The trees are
-    fitted on at most ``per_class`` labelled rows a class, those with the
-    smallest hashes of the URL."""
+    fitted on about ``per_class`` distinct labelled URLs a class, drawn by a
+    hash of the URL."""
     n, labelled, blocked = rows.agg(F.count("*"), F.count("label"), F.sum("label")).first()
     if not labelled or not blocked or blocked == labelled:
         return Judge({}, {}, float(bool(blocked)), None)
@@ -146,9 +146,11 @@ def fit(rows: DataFrame, per_class: int = SAMPLE_PER_CLASS, suffixes: int = SUFF
         return {r["value"]: (r["n"] / n, (r["b"] + rate) / (r["l"] + 1)) for r in stats.orderBy(F.desc("n"), "value").limit(suffixes).collect()}
 
     judge = Judge(frequent(suffix_of(F.col("host"))), frequent(lead_of(F.col("path"))), rate, None)
-    parts = [rows.where(F.col("label") == c).orderBy(F.xxhash64("url"), "url").limit(per_class) for c in (0, 1)]
+    known = staged(rows.where("label is not null").select("url", "host", "path", "f", "label").distinct(), "labelled")
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    parts = [known.where(F.col("label") == c).where(hash_share(F.col("url"), per_class, sizes[c])) for c in (0, 1)]
     columns = judge.features(F.col("f"), F.col("host"), F.col("path"))
-    sample = staged(parts[0].union(parts[1]).select(F.col("label").cast("double").alias("label"), *[c.alias(k) for k, c in zip(FEATURES, columns)]).coalesce(1), "sample")
+    sample = staged(parts[0].union(parts[1]).orderBy("url").select(F.col("label").cast("double").alias("label"), *[c.alias(k) for k, c in zip(FEATURES, columns)]), "sample")
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample.coalesce(1))
     judge.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32).fit(assembled.select("label", "features"))
     return judge
