@@ -120,7 +120,7 @@ class BytePairCoder:
     def encode_parts(self, text: str) -> Iterator[list[int]]:
         """Ids of a text, chunk by chunk."""
         units = self._units
-        for segment in self.split_special.split(text) if self.split_special else [text]:
+        for segment in self.split_special.split(text) if any(s in text for s in self.special) else [text]:
             if segment in self.special:
                 yield [self.special[segment]]
             elif segment:
