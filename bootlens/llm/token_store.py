@@ -17,6 +17,7 @@ repeated attempt puts the same bytes in the same place.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -27,8 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from bootlens.llm.bpe import UNIT, chunks
-from bootlens.llm.common import BoundedCache, prefix_sums, staged, store
+from bootlens.llm.bpe import CHUNK, UNIT, chunks
+from bootlens.llm.common import hash_share, prefix_sums, staged, store
 from bootlens.session import scratch_dir
 
 MAGIC = b"TOKSHRD1"
@@ -36,35 +37,69 @@ HEADER, ENTRY, FOOTER = 40, 48, 24
 #: Documented bounds of the dictionary's training sample and of the dictionary.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 2000, 8 << 20, 64 << 10
 LEVEL = 3
+#: Longer units are not kept in a worker's cache.
+LONGEST = 64
 
 
 class LibraryEncoder:
     """The tokenizers library over white-space units, whose ids do not depend on their neighbours.
 
-    Units repeat, so each distinct one in a bounded cache is encoded by the library once."""
+    Units repeat, so each distinct one in a bounded cache goes through the
+    library once.  Units that start with their space can stand side by side in
+    one text without changing each other's ids; thousands of them are encoded
+    at once and told apart by their offsets."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache = BoundedCache(self._one, limit)
-
-    def _one(self, unit: str) -> list[int]:
-        return self.tokenizer.encode(unit, add_special_tokens=False).ids
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text as unsigned 32-bit arrays."""
-        cut = [[UNIT.findall(c) for c in chunks(t)] for t in texts]
-        cache = self.cache
-        missing = list({u for text in cut for units in text for u in units if len(u) <= cache.longest and u not in cache})
-        if len(cache) + len(missing) > cache.limit:
-            cache.clear()
-        for at in range(0, len(missing), 1 << 14):
-            part = missing[at:at + (1 << 14)]
-            cache.update(zip(part, [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]))
-        return [np.array([i for units in text for u in units for i in cache[u]], dtype="<u4") for text in cut]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
+        self.cache: dict[str, bytes] = {}
+        self.limit = limit
+
+    def _spaced(self, units: list[str]) -> list[bytes]:
+        """Ids of units that each are a space and a word."""
+        encoded = self.tokenizer.encode("".join(units), add_special_tokens=False)
+        starts = np.cumsum([0, *map(len, units)])
+        first = np.searchsorted(np.array([s for s, _ in encoded.offsets]), starts)
+        ids = np.array(encoded.ids, dtype="<u4")
+        return [ids[a:b].tobytes() for a, b in zip(first, first[1:])]
+
+    def learn(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of units that the cache does not hold; short ones are kept there."""
+        spaced, other = [], []
+        for u in units:
+            (spaced if len(u) > 1 and u[0] == " " and not u[1].isspace() else other).append(u)
+        made = {}
+        for at in range(0, len(spaced), 4096):
+            part = spaced[at:at + 4096]
+            made.update(zip(part, self._spaced(part)))
+        for at in range(0, len(other), 4096):
+            part = other[at:at + 4096]
+            made.update(zip(part, [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]))
+        if len(self.cache) + len(made) > self.limit:
+            self.cache.clear()
+        self.cache.update((u, ids) for u, ids in made.items() if len(u) <= LONGEST)
+        return made
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, serialized as unsigned 32-bit integers."""
+        cut = [self.units(t) for t in texts]
+        known = self.cache.get
+        here = {u: known(u) for u in set().union(*cut)}  # small enough to stay in the processor's cache
+        here.update(self.learn([u for u, ids in here.items() if ids is None]))
+        return [b"".join(map(here.__getitem__, units)) for units in cut]
+
+    def units(self, text: str) -> list[str]:
+        """Units of a text; a special token is one, and white space before it is not split as before a word."""
+        if any(s in text for s in self.special):
+            return [u for k, part in enumerate(self.split_special(text)) if part for u in ([part] if k % 2 else self.units(part))]
+        if len(text) > CHUNK:
+            return [u for chunk in chunks(text) for u in UNIT.findall(chunk)]
+        return UNIT.findall(text)
 
 
 @lru_cache(maxsize=2)
@@ -76,22 +111,23 @@ def encoder(path: str) -> LibraryEncoder:
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int, max_docs: int = SAMPLE_DOCS, max_bytes: int = SAMPLE_BYTES) -> bytes:
-    """Dictionary from the id arrays of the ``max_docs`` documents whose id hashes are smallest, ``max_bytes`` in all.
+    """Dictionary from the id arrays of about ``max_docs`` documents drawn by a hash of the row's place, ``max_bytes`` in all.
 
     Of a sampled document its first 64 KiB of ids count.  Too few samples give
     an empty dictionary (frames are then compressed without one)."""
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_docs)
+    total = docs.count()
+    sample = docs.where(hash_share(F.monotonically_increasing_id(), max_docs, total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         samples, size = [], 0
         for batch in batches:
-            for t in batch.column(1):
+            for at in range(0, batch.num_rows, 64):
                 if size < max_bytes:
-                    ids = np.append(encoder(path).encode([t.as_py() or ""])[0], np.uint32(end_id)).astype("<u4")
-                    samples.append(ids.tobytes()[:1 << 16])
-                    size += len(samples[-1])
+                    for ids in encoder(path).encode(batch.column(1).slice(at, 64).to_pylist()):
+                        samples.append((ids + struct.pack("<I", end_id))[:1 << 16])
+                        size += len(samples[-1])
         made = b""
         if len(samples) >= 16 and size >= 16 * 1024:
             try:
@@ -132,7 +168,7 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 2, doc_id
 
         shard = TaskContext.get().partitionId()
         press, fs, index, before, out, offset = _compressor(shared.value), store(folder)[0], [], 0, None, HEADER
-        name, attempt = f"{at}/shard-{shard:08d}", f"{at}/attempt-{uuid.uuid4().hex}"
+        name, attempt, end = f"{at}/shard-{shard:08d}", f"{at}/attempt-{uuid.uuid4().hex}", struct.pack("<I", end_id)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
@@ -140,10 +176,11 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 2, doc_id
                     out = fs.open_output_stream(attempt)
                     out.write(MAGIC + hashlib.sha256(shared.value).digest())
                 for i, ids in zip(part.column(0).to_pylist(), encoder(path).encode(part.column(1).to_pylist())):
-                    frame = press.compress(ids.tobytes() + struct.pack("<I", end_id))
+                    ids += end
+                    frame = press.compress(ids)
                     out.write(frame)
-                    index.append(struct.pack("<6q", i is not None, i or 0, offset, len(frame), len(ids) + 1, before))
-                    before += len(ids) + 1
+                    index.append(struct.pack("<6q", i is not None, i or 0, offset, len(frame), len(ids) // 4, before))
+                    before += len(ids) // 4
                     offset += len(frame)
         if out is not None:
             out.write(b"".join(index) + struct.pack("<2q", len(index), before) + MAGIC)
