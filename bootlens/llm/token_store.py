@@ -136,7 +136,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, max_docs: int = SA
                 made = b""
         yield pa.RecordBatch.from_pydict({"dict": pa.array([made], pa.binary())})
 
-    rows = sample.select("doc_id", "text").coalesce(1).mapInArrow(run, "dict binary").collect()  # DICT_BYTES at most
+    rows = sample.select("doc_id", "text").repartition(1).mapInArrow(run, "dict binary").collect()  # DICT_BYTES at most
     return bytes(rows[0][0]) if rows else b""
 
 
