@@ -19,7 +19,7 @@ from bootlens.llm.common import fresh, hash_share, staged
 from bootlens.llm.trees import forest_votes
 
 #: What a candidate looks like, names that announce a secret, formats of providers.
-CANDIDATE = r"(?<![\p{L}\p{N}_+/=-])[A-Za-z0-9_+/-]{16,}={0,2}(?![\p{L}\p{N}_+/=-])"
+CANDIDATE = r"(?<![\p{L}\p{N}_+/-])[A-Za-z0-9_+/-]{16,}={0,2}(?![\p{L}\p{N}_+/=-])"
 KEY_NAMES = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credential|auth)"
 ASSIGNED = KEY_NAMES + r"[A-Za-z_]{0,12}[\"']?\s{0,3}(=|:|=>|:=)\s{0,3}[\"']?$"
 FORMATS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|sk_(live|test)_[A-Za-z0-9]{16,}|xox[abpr]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,})$"
