@@ -1,8 +1,10 @@
 """Secret scan (operator 7): wide candidates, false positives removed by a random forest.
 
-Candidates are unbroken runs of token characters.  Labelled findings come from
-rules that need the context or a provider's format; the forest learns from
-them what secrets look like, and judges every candidate.  The fitted trees are
+Candidates are unbroken runs of 16 or more token characters, values of 6 or
+more characters assigned to a name for secrets, and providers' formats.
+Labelled findings come from rules that need the context or a provider's
+format; the forest learns from them what secrets look like, and judges every
+candidate.  The fitted trees are
 native expressions, so finding, judging and masking are projections of each
 text; nothing but the bounded training sample is shuffled.
 """
@@ -18,11 +20,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bootlens.llm.common import fresh, hash_share, staged
 from bootlens.llm.trees import forest_votes
 
-#: What a candidate looks like, names that announce a secret, formats of providers.
-CANDIDATE = r"(?<![\p{L}\p{N}_+/-])[A-Za-z0-9_+/-]{16,}={0,2}(?![\p{L}\p{N}_+/=-])"
+#: Names that announce a secret, formats of providers, what a candidate looks like.
 KEY_NAMES = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credential|auth)"
 ASSIGNED = KEY_NAMES + r"[A-Za-z_]{0,12}[\"']?\s{0,3}(=|:|=>|:=)\s{0,3}[\"']?$"
 FORMATS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|sk_(live|test)_[A-Za-z0-9]{16,}|xox[abpr]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,})$"
+TOKEN = "[A-Za-z0-9_+/-]"
+FORMAT = f"(?<!{TOKEN})(?:{FORMATS[1:-1]})(?!{TOKEN})"
+#: Right after a name for secrets and its sign; the first lookbehind only saves the second one most of its work.
+AFTER_NAME = r"(?<=[=:>\s\"'`])(?<=[=:>]\s{0,3}[\"'`]?)(?<=" + KEY_NAMES.replace("(?i)(", "(?i:", 1) + r"[A-Za-z_]{0,12}[\"']?\s{0,3}(?:=|:|=>|:=)\s{0,3}[\"'`]?)"
+#: Six characters or more up to the closing quote; with spaces inside only if no long run is cut into.
+QUOTED = "|".join(rf"(?<={q})(?:(?=(?:[^{q}\\\s]|\\.){{6}})(?:[^{q}\\\s]++|\\.)*+(?={q})|(?![^{q}\n]*{TOKEN}{{16}})(?=(?:[^{q}\\\n]|\\.){{6}})(?:[^{q}\\\n]++|\\.)*+(?={q}))" for q in "\"'`")
+#: Without quotes: up to a space, a quote, a tag, the next field, or punctuation that ends a phrase; in a query string up to its & or #.
+_PLAIN = r"[^\s\p{Z}\"'`,;.&<)\]}>]|[,;&](?!\s{0,3}[\"']?[A-Za-z_][A-Za-z0-9_.-]{0,40}[\"']?\s{0,3}[=:])(?!_END)|[.)\]}>](?!_END)|<(?![/!A-Za-z])".replace("_END", r"[,;.&)\]}>]{0,8}(?:[\s\p{Z}\"'`<]|\z)")
+_QUERY = r"[^\s\p{Z}\"'`&#<>]"
+UNQUOTED = rf"(?![=:>])(?:(?<=[?&;][A-Za-z0-9_.-]{{1,40}}=)(?={_QUERY}{{6}}){_QUERY}++|(?<![?&;][A-Za-z0-9_.-]{{1,40}}=)(?=(?:{_PLAIN}){{6}})(?:{_PLAIN})++)"
+CANDIDATE = f"{FORMAT}|{AFTER_NAME}(?:{QUOTED}|{UNQUOTED})|(?<!{TOKEN}){TOKEN}{{16,}}={{0,2}}(?![A-Za-z0-9_+/=-])"
 DICTIONARY = r"(?i)(the|and|ing|ion|tion|ment|ent|able|ness|that|with|from|this|have|not|for|are|was|user|name|file|data|test|list|home|path|page|index|html|http|www|com|org|info|search|view|type|value|group|count|item|order|table|code|text|time|date|ver|ung|sch|ein|der|die|und|elle|que|les|des|ado|ción|ar|er|en|es|on|an|in|or|re|st|th|ti|at|le|te)"
 
 #: Documented bounds: labelled findings per class to fit on; characters of context on either side.
@@ -51,16 +63,18 @@ def features(cand: Column, before: Column, after: Column) -> list[Column]:
 
 
 def label(cand: Column, before: Column) -> Column:
-    """1: a provider's format, or assigned to a name for secrets and mixed of digits and letters.
+    """1: a provider's format in it, or assigned to a name for secrets and mixed of digits and letters.
     0: only letters, only digits or few of either kind, or inside a URL or path.  Null: neither."""
     mixed = cand.rlike("[0-9]") & cand.rlike("[A-Za-z]")
     plain = (~mixed) | (F.regexp_count(cand, F.lit("[0-9]")) <= 2)
-    return (F.when(cand.rlike(FORMATS) | (before.rlike(ASSIGNED) & mixed), 1)
+    return (F.when(cand.rlike(FORMAT) | (before.rlike(ASSIGNED) & mixed), 1)
             .when(plain | before.rlike(r"(://|www\.)[^\s\"']*$"), 0))
 
 
 def _context(p: Column, i: Column) -> tuple[Column, Column, Column]:
-    return p["cands"][i], F.right(p["gaps"][i], F.lit(BEFORE)), F.left(p["gaps"][i + 1], F.lit(AFTER))
+    """A candidate, and the text around it; a long name is a candidate itself, so the one before belongs to the context."""
+    before = F.concat(F.coalesce(F.right(F.get(p["cands"], i - 1), F.lit(BEFORE)), F.lit("")), p["gaps"][i])
+    return p["cands"][i], F.right(before, F.lit(BEFORE)), F.left(p["gaps"][i + 1], F.lit(AFTER))
 
 
 @dataclass
@@ -71,12 +85,12 @@ class Scanner:
     threshold: float = THRESHOLD
 
     def score(self, cand: Column, before: Column, after: Column) -> Column:
-        """Share of trees that call it a secret; a provider's format is 1."""
+        """Share of trees that call it a secret; one with a provider's format in it is 1."""
         if self.model is None:
             return F.coalesce(label(cand, before), F.lit(0)).cast("double")
         values = F.struct(*[v.cast("double").alias(k) for k, v in zip(FEATURES, features(cand, before, after))])
         votes = F.transform(F.array(values), lambda f: forest_votes(self.model, [f[k] for k in FEATURES]))[0]
-        return F.when(cand.rlike(FORMATS), 1.0).otherwise(votes)
+        return F.when(cand.rlike(FORMAT), 1.0).otherwise(votes)
 
     def findings(self, text: Column) -> Column:
         """Array of (start, length, candidate, score, is_secret), in order; ``start`` counts code points from 0."""
