@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bootlens.llm.common import hash_share, staged
 from bootlens.llm.trees import boosted_margin
 
-#: Documented bounds: labelled URLs per class to fit on; host suffixes, and first path segments, with statistics of their own.
-SAMPLE_PER_CLASS, SUFFIXES = 5000, 50
+#: Documented bound: labelled URLs per class to fit on.
+SAMPLE_PER_CLASS = 5000
 TREES, DEPTH, SEED = 12, 3, 7
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "n_params", "param_length", "n_hyphens", "suffix_share", "suffix_block", "lead_share", "lead_block")
 
@@ -102,25 +102,35 @@ def lead_of(path: Column) -> Column:
     return F.regexp_extract(path, "^/([^/]*)", 1)
 
 
-def _looked_up(value: Column, stats: dict[str, tuple[float, float]], rate: float) -> list[Column]:
-    """(share, block rate) of a value; values without statistics have share 0 and the overall rate."""
-    share, block = F.lit(0.0), F.lit(rate)
-    for name, (s, b) in stats.items():
-        share, block = F.when(value == name, s).otherwise(share), F.when(value == name, b).otherwise(block)
-    return [share, block]
+def _counted(rows: DataFrame, value: Column, n: int, rate: float, name: str) -> DataFrame:
+    """(value, share, block) of every value: its share of all rows, and the block rate of its labelled rows drawn to ``rate``."""
+    stats = rows.groupBy(value.alias("_value")).agg(F.count("*").alias("n"), F.count("label").alias("l"), F.coalesce(F.sum("label"), F.lit(0)).alias("b"))
+    return staged(stats.select("_value", (F.col("n") / n).alias("_share"), ((F.col("b") + rate) / (F.col("l") + 1)).alias("_block")), name)
+
+
+def _looked_up(value: Column, stats: DataFrame | None, rate: float) -> list[Column]:
+    """(share, block rate) of a value; values without statistics have share 0 and the overall rate.
+
+    A correlated subquery: Spark plans it as an equi-join of the rows with the
+    table.  ``max`` says that a value has one row there."""
+    if stats is None:
+        return [F.lit(0.0), F.lit(rate)]
+    found = stats.where(F.col("_value").eqNullSafe(value)).select(F.max(F.struct("_share", "_block")).alias("_found")).scalar()
+    return [F.coalesce(found["_share"], F.lit(0.0)), F.coalesce(found["_block"], F.lit(rate))]
 
 
 @dataclass
 class Judge:
-    """A fitted filter; ``suffixes`` of hosts and ``leads`` of paths hold (share, block rate)."""
+    """A fitted filter; ``suffixes`` of hosts and ``leads`` of paths are tables of every counted value's share and block rate."""
 
-    suffixes: dict[str, tuple[float, float]]
-    leads: dict[str, tuple[float, float]]
+    suffixes: DataFrame | None
+    leads: DataFrame | None
     rate: float
     model: object | None
 
     def features(self, f: Column, host: Column, path: Column) -> list[Column]:
-        return [f[k].cast("double") for k in FEATURES[:-4]] + _looked_up(suffix_of(host), self.suffixes, self.rate) + _looked_up(lead_of(path), self.leads, self.rate)
+        """Features in the order of FEATURES; ``host`` and ``path`` are plain columns of the rows."""
+        return [f[k].cast("double") for k in FEATURES[:-4]] + _looked_up(suffix_of(host.outer()), self.suffixes, self.rate) + _looked_up(lead_of(path.outer()), self.leads, self.rate)
 
     def blocks(self, features: Sequence[Column]) -> Column:
         if self.model is None:  # one class only, or no labels
@@ -128,24 +138,18 @@ class Judge:
         return boosted_margin(self.model, features) > 0
 
 
-def fit(rows: DataFrame, per_class: int = SAMPLE_PER_CLASS, suffixes: int = SUFFIXES) -> Judge:
+def fit(rows: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Judge:
     """Fit on (url, host, path, f, label): label 1 to block, 0 to allow, null unlabelled.
 
     Shares of host suffixes and of first path segments are counted over all
-    rows and block rates over all labelled ones; the ``suffixes`` most frequent
-    of each are kept.  The trees are
+    rows and block rates over all labelled ones, and all are kept.  The trees are
     fitted on about ``per_class`` distinct labelled URLs a class, drawn by a
     hash of the URL."""
     n, labelled, blocked = rows.agg(F.count("*"), F.count("label"), F.sum("label")).first()
     if not labelled or not blocked or blocked == labelled:
-        return Judge({}, {}, float(bool(blocked)), None)
+        return Judge(None, None, float(bool(blocked)), None)
     rate = blocked / labelled
-
-    def frequent(value: Column) -> dict[str, tuple[float, float]]:
-        stats = rows.groupBy(value.alias("value")).agg(F.count("*").alias("n"), F.count("label").alias("l"), F.coalesce(F.sum("label"), F.lit(0)).alias("b"))
-        return {r["value"]: (r["n"] / n, (r["b"] + rate) / (r["l"] + 1)) for r in stats.orderBy(F.desc("n"), "value").limit(suffixes).collect()}
-
-    judge = Judge(frequent(suffix_of(F.col("host"))), frequent(lead_of(F.col("path"))), rate, None)
+    judge = Judge(_counted(rows, suffix_of(F.col("host")), n, rate, "suffixes"), _counted(rows, lead_of(F.col("path")), n, rate, "leads"), rate, None)
     known = staged(rows.where("label is not null").select("url", "host", "path", "f", "label").distinct(), "labelled")
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     parts = [known.where(F.col("label") == c).where(hash_share(F.col("url"), per_class, sizes[c])) for c in (0, 1)]

@@ -85,3 +85,38 @@ def test_one_class_and_empty(spark):
     only = [(1, "http://a.com/x", None), (2, "http://c.org/x", None)]
     assert [r["verdict"] for r in u.filter_urls(pages(spark, only), URL_RULES).collect()] == ["allow"] * 2
     assert u.filter_urls(pages(spark, []), URL_RULES).collect() == []
+
+
+def tail_pages(n=3000):
+    """60 frequent neutral first segments, and a rare one per 4 pages whose label it alone carries; rare ones have an unlabelled page each."""
+    rules = (u.Rule("block", "abc.com", "/"), u.Rule("allow", "bca.com", "/"))
+    rows = [(k, f"https://{'abc.com' if k % 2 else 'bca.com'}/common{k // 2 % 60}/{k:05d}") for k in range(n)]
+    for k in range(n // 4):
+        rows += [(n + 4 * k + j, f"https://{'abc.com' if k % 2 else 'bca.com'}/r{k:04d}/{n + 4 * k + j:05d}") for j in range(3)]
+        rows.append((n + 4 * k + 3, f"https://cab.com/r{k:04d}/{n + 4 * k + 3:05d}"))
+    return [(i, x, None) for i, x in rows], rules
+
+
+def test_statistics_of_all_segments_and_suffixes_are_used(spark):
+    rows, rules = tail_pages()
+    df = u.filter_urls(pages(spark, rows), rules)
+    got = df.where("rule is null").select("page_id", "path", "verdict").collect()
+    right = sum((r["verdict"] == "block") == (int(r["path"][2:6]) % 2 == 1) for r in got)
+    assert len(got) == 750 and right >= 0.95 * len(got)
+    assert df.count() == len(rows)
+    plan = df._jdf.queryExecution().toString()
+    assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_every_counted_value_is_kept(spark):
+    rows = [(k, f"https://h{k}.t{k % 130}/s{k}/x", k % 2) for k in range(400)]
+    df = spark.createDataFrame([(x, u_host, f"/s{k}/x", y) for (k, x, y) in rows for u_host in [f"h{k}.t{k % 130}"]], "url string, host string, path string, label int")
+    df = df.withColumn("f", F.struct(*[c.alias(k) for k, c in u.lexical(F.col("url"), F.col("host"), F.col("path")).items()]))
+    judge = u.fit(df)
+    assert (judge.suffixes.count(), judge.leads.count()) == (130, 400)
+    features = judge.features(F.col("f"), F.col("host"), F.col("path"))
+    got = df.select("host", "label", *[c.alias(k) for k, c in zip(u.FEATURES, features)]).collect()
+    assert {(r["lead_share"], r["lead_block"], r["label"]) for r in got} == {(1 / 400, 0.25, 0), (1 / 400, 0.75, 1)}
+    assert {r["suffix_share"] for r in got} == {3 / 400, 4 / 400}
+    new = df.limit(1).select("f", F.lit("a.new").alias("host"), F.lit("/new/").alias("path")).select(*judge.features(F.col("f"), F.col("host"), F.col("path"))[-4:])
+    assert tuple(new.first()) == (0.0, 0.5, 0.0, 0.5)
