@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from bootlens.llm.common import components, staged
+from bootlens.llm.common import components, fresh, staged
 
 CHUNK_WORDS = 1 << 16
 
@@ -120,6 +121,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     with fewer words than a shingle are one shingle.  Rows that share a doc_id
     each get their own fingerprint and component.  Other columns are ignored.
     """
+    return _grouped(docs, doc_id, text, shingle, seed, max_bits, cell_rows).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int = 3, seed: int = 42, max_bits: int = 2, cell_rows: int = 16) -> DataFrame:
+    """(doc_id, fp, class, component_id), one row per input row; ``class`` is one of the component's fingerprints and names it also where ids repeat."""
     fps = staged(fingerprints(docs, doc_id, text, shingle, seed), "fps")
     distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     found = components(links(distinct, "fp", max_bits, cell_rows), "a", "b")
@@ -128,24 +135,42 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = classes.where("linked").groupBy("class").agg(F.min("first").alias("least"))
     # only fingerprints of several documents or with links need a look-up; the others are their own component
     several = staged(classes.where("linked or n > 1").join(least, "class", "left")
-                     .select(F.col("fp").alias("_fp"), F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id")), "several")
+                     .select(F.col("fp").alias("_fp"), "class", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id")), "several")
     return fps.join(several, fps["fp"] == several["_fp"], "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "doc_id", "fp", F.coalesce("class", "fp").alias("class"),
         F.when(F.col("_fp").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the document with the smallest id.
-
-    Rows that repeat a kept doc_id are reduced to one; rows without an id are
-    kept, as a survivor is named by its id.  Columns stay as they are."""
-    found = staged(near_duplicates(docs, doc_id, text, **settings), "near")
-    ids = found.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id"))
-    verdict = staged(ids.agg(F.min(F.col("doc_id") == F.col("component_id")).alias("_first"), F.count("*").alias("_n")).where("not _first or _n > 1"), "verdict")
+    """The rows of ``docs`` without near-duplicates: of each component one row with the smallest id.
+
+    Rows that share an id are judged by their own texts: those of different
+    components each have a survivor.  Rows without an id are kept, as a
+    survivor is named by its id.  Columns stay as they are."""
+    found = staged(_grouped(docs, doc_id, text, **settings), "near").where(F.col("doc_id").isNotNull())
+    first = F.col("doc_id") == F.col("component_id")
+    verdict = staged(found.groupBy(F.col("doc_id").alias("_id")).agg(F.max(first).alias("_first"), F.count("*").alias("_n")).where("not _first or _n > 1"), "verdict")
     dropped = verdict.where("not _first")
     left = docs.join(dropped, docs[doc_id] == dropped["_id"], "left_anti")
     repeated = verdict.where("_first and _n > 1").select("_id")
     if repeated.isEmpty():
         return left
-    return left.join(repeated, left[doc_id] == repeated["_id"], "left_anti").union(
-        left.join(repeated, left[doc_id] == repeated["_id"], "left_semi").dropDuplicates([doc_id]))
+    # of ids on several rows, the fingerprint says which row of a component stays
+    kept = staged(found.where(first).join(repeated, F.col("doc_id") == F.col("_id"), "left_semi")
+                  .groupBy("class", F.col("doc_id").alias("_id")).agg(F.min("fp").alias("_fp")).select("_id", "_fp"), "kept")
+    own = fresh(docs, "fp")
+    marked = _marked(left.join(repeated, left[doc_id] == repeated["_id"], "left_semi"), text, own, settings)
+    chosen = marked.join(kept, (marked[doc_id] == kept["_id"]) & (marked[own] == kept["_fp"]), "left_semi").dropDuplicates([doc_id, own]).drop(own)
+    return left.join(repeated, left[doc_id] == repeated["_id"], "left_anti").union(chosen)
+
+
+def _marked(rows: DataFrame, text: str, name: str, settings: dict) -> DataFrame:
+    """``rows`` with the fingerprint of ``text`` as the last column ``name``."""
+    at, fixed = rows.columns.index(text), {k: settings[k] for k in ("shingle", "seed") if k in settings}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [fingerprint(t.as_py(), **fixed) for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=[*batch.schema.names, name])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, LongType())]))

@@ -78,3 +78,13 @@ def test_keep_one(spark):
     ids = sorted((r["doc_id"] for r in kept.select("doc_id").collect()), key=str)
     assert ids == sorted([1, 3, 4, 7, 8, 9, 12, 13, None, None, None], key=str)  # 2 copies 1; 5 and 6 have no words like 4; 9 twice; no id: kept
     assert simhash.keep_one(documents(spark, [])).collect() == [] and simhash.near_duplicates(documents(spark, [])).collect() == []
+
+
+def test_keep_one_judges_rows_that_share_an_id_by_their_texts(spark):
+    a, b, c = prose(50), prose(51), prose(52)
+    rows = [(5, a), (5, b), (3, b), (7, a), (8, c), (8, c), (8, a), (2, c)]
+    kept = simhash.keep_one(documents(spark, [(i, t, "en", "a", 1) for i, t in rows]))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(5, a), (3, b), (2, c)])
+    rows = [(5, a), (5, b), (5, b), (7, a), (9, b)]  # two components with one smallest id
+    kept = simhash.keep_one(documents(spark, [(i, t, "en", "a", 1) for i, t in rows]))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(5, a), (5, b)])
