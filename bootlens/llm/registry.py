@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from bootlens.llm import bpe, embed_dedup, langid, mixing, quality_rules, secret_scan, simhash, token_store, url_filter, warc
+from pyspark.sql import functions as F
+
+from bootlens.llm import bpe, embed_dedup, hard_negatives, langid, mixing, quality_rules, secret_scan, simhash, token_store, url_filter, warc
 from bootlens.llm.common import table
 
 #: Installed vocabulary file of the public tokenizers package; any other path can be given to the operators.
@@ -65,6 +67,11 @@ def op10_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), is_anchor=F.col("id") % 100 == 0, label=label)
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -72,7 +79,8 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_embedding_near_dup, op3_token_store, op4_mixing, op5_url_filter, op6_language_id,
-                                   op7_secret_scan, op8_simhash, op9_quality_rules, op10_warc, pipeline)}
+                                   op7_secret_scan, op8_simhash, op9_quality_rules, op10_warc,
+                                   op11_hard_negatives, pipeline)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -167,5 +175,25 @@ q AS (
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM q
+""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), v1 AS (
+  SELECT DISTINCT * FROM v
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS al, b.vec_id AS id, b.label, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM v1 a JOIN v1 b ON a.vec_id % 100 = 0 AND len(a.x) = len(b.x)
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE label = al AND id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), n AS (
+  SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE label <> al AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
 """,
 }
