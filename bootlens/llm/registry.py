@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bootlens.llm import bpe, embed_dedup, hard_negatives, langid, mixing, quality_rules, secret_scan, simhash, token_store, url_filter, warc
+from bootlens.llm import bpe, conversations, embed_dedup, hard_negatives, langid, mixing, quality_rules, secret_scan, simhash, token_store, url_filter, warc
 from bootlens.llm.common import table
 
 #: Installed vocabulary file of the public tokenizers package; any other path can be given to the operators.
@@ -72,6 +72,10 @@ def op11_hard_negatives(spark, sf_dir):
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), is_anchor=F.col("id") % 100 == 0, label=label)
 
 
+def op12_conversation_repair(spark, sf_dir):
+    return conversations.audit(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -80,7 +84,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_embedding_near_dup, op3_token_store, op4_mixing, op5_url_filter, op6_language_id,
                                    op7_secret_scan, op8_simhash, op9_quality_rules, op10_warc,
-                                   op11_hard_negatives, pipeline)}
+                                   op11_hard_negatives, op12_conversation_repair, pipeline)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -195,5 +199,62 @@ WITH v AS (
   FROM p JOIN s USING (anchor_id) WHERE label <> al AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
 )
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), x AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations
+), y AS (
+  SELECT x.*, xor(list_reduce([4294967295] || list_transform(range(1, length(k) + 1), lambda i: CAST(ord(substr(k, i, 1)) AS BIGINT)),
+                              lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS code
+  FROM x, crc
+), z AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END)
+  FROM y WHERE code <> 0
+), p AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+         regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body FROM z
+), r AS (
+  SELECT *, substr(role, 1, 1) AS mark, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS prev,
+         CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+              WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault
+  FROM p
+), stats AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (prev IS NOT NULL AND prev || mark NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY conv_id
+), ins(q, q2, own, lines) AS (
+  VALUES (0, 0, '', ''), (0, 2, 'I', 'user:' || chr(10)), (0, 3, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+         (1, 1, '', ''), (1, 2, 'I', 'user:' || chr(10)), (1, 3, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+         (2, 2, '', ''), (2, 3, 'I', 'assistant:' || chr(10)), (2, 2, 'II', 'assistant:' || chr(10) || 'user:' || chr(10)),
+         (3, 3, '', ''), (3, 2, 'I', 'user:' || chr(10)), (3, 3, 'II', 'user:' || chr(10) || 'assistant:' || chr(10))
+), ed(q, letter, mark, q2, role) AS (
+  VALUES (0, 'D', NULL, 0, NULL), (1, 'D', NULL, 1, NULL), (2, 'D', NULL, 2, NULL), (3, 'D', NULL, 3, NULL),
+         (0, 'K', 's', 1, NULL), (0, 'K', 'u', 2, NULL), (1, 'K', 'u', 2, NULL), (3, 'K', 'u', 2, NULL), (2, 'K', 'a', 3, NULL),
+         (0, 'R', NULL, 2, 'user'), (1, 'R', NULL, 2, 'user'), (2, 'R', NULL, 3, 'assistant'), (3, 'R', NULL, 2, 'user')
+), dp(conv_id, i, q, best) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), 0, {'cost': CAST(0 AS BIGINT), 'audit': '', 'out': ''} FROM stats
+  UNION ALL
+  SELECT d.conv_id, d.i + 1, ed.q2, min({'cost': d.best.cost + CAST(3 * length(ins.own) + CASE ed.letter WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END
+                   + CASE WHEN ed.letter <> 'D' AND r.fault IS NOT NULL THEN 3 ELSE 0 END AS BIGINT),
+              'audit': d.best.audit || ins.own || ed.letter,
+              'out': d.best.out || ins.lines || CASE WHEN ed.letter = 'D' THEN '' ELSE coalesce(ed.role, r.role) || ':' || r.text || chr(10) END})
+  FROM dp d JOIN ins ON ins.q = d.q JOIN ed ON ed.q = ins.q2 JOIN r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.pos = d.i + 1
+  WHERE ed.letter = 'D' OR (coalesce(r.fault, 'truncated') = 'truncated' AND (ed.letter = 'R' OR ed.mark = r.mark))
+  GROUP BY d.conv_id, d.i, ed.q2
+), done AS (
+  SELECT d.conv_id, min({'cost': d.best.cost + CAST(3 * length(ins.own) AS BIGINT), 'audit': d.best.audit || ins.own, 'out': d.best.out || ins.lines}) AS best
+  FROM dp d JOIN stats s ON s.conv_id IS NOT DISTINCT FROM d.conv_id AND s.n = d.i JOIN ins ON ins.q = d.q AND ins.q2 IN (0, 3)
+  GROUP BY d.conv_id
+)
+SELECT o.conv_id, coalesce(s.gaps, 0) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate, coalesce(s.truncated, 0) AS truncated,
+       coalesce(s.illegal, 0) AS illegal, coalesce(d.best.cost, 0) AS cost, coalesce(d.best.audit, '') AS audit,
+       sha256(CASE WHEN coalesce(d.best.out, '') = '' THEN '' ELSE left(d.best.out, length(d.best.out) - 1) END) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
 """,
 }
