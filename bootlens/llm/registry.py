@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bootlens.llm import bpe, conversations, embed_dedup, hard_negatives, langid, mixing, quality_rules, secret_scan, simhash, token_store, url_filter, warc
+from bootlens.llm import bpe, conversations, embed_dedup, hard_negatives, langid, mixing, quality_mil, quality_rules, secret_scan, simhash, token_store, url_filter, warc
 from bootlens.llm.common import table
 
 #: Installed vocabulary file of the public tokenizers package; any other path can be given to the operators.
@@ -76,6 +76,10 @@ def op12_conversation_repair(spark, sf_dir):
     return conversations.audit(table(spark, sf_dir, "conversations"))
 
 
+def op13_quality_classifier(spark, sf_dir):
+    return quality_mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -84,7 +88,8 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_embedding_near_dup, op3_token_store, op4_mixing, op5_url_filter, op6_language_id,
                                    op7_secret_scan, op8_simhash, op9_quality_rules, op10_warc,
-                                   op11_hard_negatives, op12_conversation_repair, pipeline)}
+                                   op11_hard_negatives, op12_conversation_repair, op13_quality_classifier,
+                                   pipeline)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
