@@ -320,71 +320,72 @@ def match_rank(spark, sf_dir):
     return cat.match_rank(nodes, req)
 
 
-def _alloc_sql(steps) -> str:
-    """CTEs that hand out nodes one request after another: rq0(rid, op, n,
-    need) in rid order, fr0(node_id, rk, tpm); g<last> holds (rid, node_id)."""
-    keys = {"eq": ("{c}", "0"), "le": ("0", "{c}"), "ge": ("0", "-{c}"), "any": ("0", "0")}
-    out = ["g0 AS (SELECT rid, CAST(NULL AS BIGINT) AS node_id FROM rq0 WHERE false)"]
-    for i, (op, need, tpm) in enumerate(steps, 1):
-        pool, key = keys[op]
-        out.append(f"""w{i} AS MATERIALIZED (
-  SELECT rid, pool, key, row_number() OVER (ORDER BY pool, key, rid) AS j
-  FROM (SELECT rid, {pool.format(c='n')} AS pool, {key.format(c='n')} AS key FROM rq0
-        WHERE op = '{op}' AND need = {need} AND NOT EXISTS (SELECT 1 FROM g{i - 1} g WHERE g.rid = rq0.rid))),
-p{i} AS MATERIALIZED (
-  SELECT node_id, pool, key, row_number() OVER (PARTITION BY pool ORDER BY key, node_id) AS q
-  FROM (SELECT node_id, {pool.format(c='rk')} AS pool, {key.format(c='rk')} AS key FROM fr0
-        WHERE tpm = {tpm} AND NOT EXISTS (SELECT 1 FROM g{i - 1} g WHERE g.node_id = fr0.node_id))),
-a{i} AS MATERIALIZED (
-  SELECT w.j, w.rid, w.pool, count(p.node_id) AS a FROM w{i} w LEFT JOIN p{i} p ON p.pool = w.pool AND p.key <= w.key
-  GROUP BY w.j, w.rid, w.pool),
-s{i}(j, rid, pool, s, hit) AS (
-  SELECT a.j, a.rid, a.pool, CAST(a.a > 0 AS BIGINT), a.a > 0 FROM a{i} a WHERE a.j = 1
+#: Hands out nodes rank by rank, one request after another: rq0(rid, lo, hi, need), fr0(node_id, rk, tpm); g0 holds (rid, node_id).
+_ALLOC_SQL = """
+rka AS (SELECT rk, count(*) AS m, row_number() OVER (ORDER BY rk) AS s FROM fr0 WHERE tpm GROUP BY rk),
+sta(s, rid, lo, hi, rk, j) AS (
+  SELECT CAST(0 AS BIGINT), rid, lo, hi, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM rq0 WHERE need
   UNION ALL
-  SELECT a.j, a.rid, a.pool, CASE WHEN a.pool = s.pool THEN s.s ELSE 0 END + CAST(CASE WHEN a.pool = s.pool THEN s.s ELSE 0 END < a.a AS BIGINT),
-         CASE WHEN a.pool = s.pool THEN s.s ELSE 0 END < a.a
-  FROM s{i} s JOIN a{i} a ON a.j = s.j + 1),
-g{i} AS (
-  SELECT * FROM g{i - 1} UNION ALL SELECT s.rid, p.node_id FROM s{i} s JOIN p{i} p ON p.pool = s.pool AND p.q = s.s WHERE s.hit)""")
-    return ",\n".join(out)
-
-
-_ALLOC_STEPS = [(op, need, tpm) for op in ("eq", "le", "ge", "any")
-                for need, tpm in (("true", "true"), ("false", "false"), ("false", "true"))]
+  SELECT s, rid, lo, hi, CASE WHEN fit AND place <= m THEN here ELSE rk END, CASE WHEN fit AND place <= m THEN place ELSE j END
+  FROM (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY hi, lo, rid) AS place
+        FROM (SELECT r.s, r.m, r.rk AS here, t.rid, t.lo, t.hi, t.rk, t.j, t.rk IS NULL AND t.lo <= r.rk AND t.hi >= r.rk AS fit FROM sta t JOIN rka r ON r.s = t.s + 1))),
+ga AS (
+  SELECT t.rid, n.node_id FROM sta t JOIN (SELECT node_id, rk, row_number() OVER (PARTITION BY rk ORDER BY node_id) AS j FROM fr0 WHERE tpm) n USING (rk, j)
+  WHERE t.s = (SELECT max(s) FROM rka)),
+frb AS (SELECT * FROM fr0 WHERE NOT EXISTS (SELECT 1 FROM ga WHERE ga.node_id = fr0.node_id)),
+rkb AS (SELECT rk, count(*) AS m, row_number() OVER (ORDER BY rk) AS s FROM frb GROUP BY rk),
+stb(s, rid, lo, hi, rk, j) AS (
+  SELECT CAST(0 AS BIGINT), rid, lo, hi, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM rq0 WHERE NOT need
+  UNION ALL
+  SELECT s, rid, lo, hi, CASE WHEN fit AND place <= m THEN here ELSE rk END, CASE WHEN fit AND place <= m THEN place ELSE j END
+  FROM (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY hi, lo, rid) AS place
+        FROM (SELECT r.s, r.m, r.rk AS here, t.rid, t.lo, t.hi, t.rk, t.j, t.rk IS NULL AND t.lo <= r.rk AND t.hi >= r.rk AS fit FROM stb t JOIN rkb r ON r.s = t.s + 1))),
+g0 AS (
+  SELECT * FROM ga UNION ALL
+  SELECT t.rid, n.node_id FROM stb t JOIN (SELECT node_id, rk, row_number() OVER (PARTITION BY rk ORDER BY tpm, node_id) AS j FROM frb) n USING (rk, j)
+  WHERE t.s = (SELECT max(s) FROM rkb))"""
 _FREE_SQL = """
-fr0 AS (SELECT c_custkey AS node_id, c_nationkey AS rk, c_acctbal > 0 AS tpm FROM customer
+fr0 AS (SELECT c_custkey AS node_id, CAST(c_nationkey AS BIGINT) AS rk, c_acctbal > 0 AS tpm FROM customer
         WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'O' AND o_custkey = c_custkey))"""
+_BOUNDS_SQL = """coalesce(max(n) FILTER (op IN ('ge', 'eq')), -1000000) AS lo,
+         coalesce(min(n) FILTER (op IN ('le', 'eq')), CASE WHEN bool_or(op != 'any') THEN 1000000 ELSE 1000001 END) AS hi"""
 
 
-@query("allocate_eq", "WITH RECURSIVE rq0 AS (SELECT s_suppkey AS rid, 'eq' AS op, s_nationkey AS n, false AS need FROM supplier),"
-       + _FREE_SQL.replace("c_acctbal > 0", "false") + ",\n" + _alloc_sql(_ALLOC_STEPS[1:2]) + """
+@query("allocate_eq", "WITH RECURSIVE rq0 AS (SELECT s_suppkey AS rid, s_nationkey AS lo, s_nationkey AS hi, false AS need FROM supplier),"
+       + _FREE_SQL.replace("c_acctbal > 0", "false") + ",\n" + _ALLOC_SQL + """
 SELECT rid AS request_id, node_id, CASE WHEN node_id IS NULL THEN 'Node exhausted' END AS reason
-FROM rq0 LEFT JOIN g1 USING (rid)""")
+FROM rq0 LEFT JOIN g0 USING (rid)""")
 def allocate_eq(spark, sf_dir):
     free = cat.free_nodes(si.nodes(spark, sf_dir), si.order_containers(spark, sf_dir))
     req = si.table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("request_id"), F.lit("eq").alias("rank_op"), F.col("s_nationkey").alias("rank_n"))
-    return allocation.allocate(req, free).select("request_id", "node_id", "reason")
+    return allocation.allocate(req, free)
 
 
-@query("allocate", """
-WITH RECURSIVE rq0 AS (
+@query("allocate", f"""
+WITH RECURSIVE ask AS (
   SELECT p_partkey AS rid, CASE p_partkey % 4 WHEN 0 THEN 'eq' WHEN 1 THEN 'le' WHEN 2 THEN 'ge' ELSE 'any' END AS op,
-         CASE WHEN p_partkey % 4 != 3 AND p_size % 13 != 0 THEN p_size - 20 END AS n, p_retailprice > 950 AS need
-  FROM part),""" + _FREE_SQL + ",\n" + _alloc_sql(_ALLOC_STEPS).replace("FROM rq0\n", "FROM (SELECT * FROM rq0 WHERE op = 'any' OR n IS NOT NULL) rq0\n") + """
-SELECT rq0.rid AS request_id, node_id, CASE WHEN op != 'any' AND n IS NULL THEN 'invalid rank expression'
-                                            WHEN node_id IS NULL THEN 'Node exhausted' END AS reason
-FROM rq0 LEFT JOIN g12 ON g12.rid = rq0.rid""")
+         CASE WHEN p_partkey % 4 != 3 AND p_size % 13 != 0 THEN p_size - 20 END AS n, p_retailprice > 950 AS need FROM part
+  UNION ALL SELECT p_partkey, 'le', p_size - 15, p_retailprice > 950 FROM part WHERE p_partkey % 8 IN (2, 3)
+  UNION ALL SELECT p_partkey, 'ge', p_size - 23, p_retailprice > 950 FROM part WHERE p_partkey % 8 IN (1, 3)),
+every AS (SELECT rid, any_value(need) AS need, bool_or(op != 'any' AND n IS NULL) AS void, {_BOUNDS_SQL} FROM ask GROUP BY rid),
+rq0 AS (SELECT * FROM every WHERE NOT void),{_FREE_SQL},
+{_ALLOC_SQL}
+SELECT every.rid AS request_id, node_id, CASE WHEN void THEN 'invalid rank expression' WHEN node_id IS NULL THEN 'Node exhausted' END AS reason
+FROM every LEFT JOIN g0 ON g0.rid = every.rid""")
 def allocate(spark, sf_dir):
-    """J7 with all four operators and both TPM kinds: a request per part."""
+    """J7 with all four operators, ANDed ones and both TPM kinds: a request per part, some with ``ge`` and ``le`` together."""
     free = cat.free_nodes(si.nodes(spark, sf_dir), si.order_containers(spark, sf_dir))
-    kind = F.col("p_partkey") % 4
-    req = si.table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("request_id"),
-        F.when(kind == 0, "eq").when(kind == 1, "le").when(kind == 2, "ge").otherwise("any").alias("rank_op"),
-        F.when((kind != 3) & (F.col("p_size") % 13 != 0), F.col("p_size") - 20).alias("rank_n"),
-        (F.col("p_retailprice") > 950).alias("need"))
-    return allocation.allocate(req, free, need_tpm="need").select("request_id", "node_id", "reason")
+    part, kind, eighth = si.table(spark, sf_dir, "part"), F.col("p_partkey") % 4, F.col("p_partkey") % 8
+
+    def ask(rows, op, n):
+        return rows.select(F.col("p_partkey").alias("request_id"), op.alias("rank_op"), n.alias("rank_n"), (F.col("p_retailprice") > 950).alias("need"))
+
+    req = (ask(part, F.when(kind == 0, "eq").when(kind == 1, "le").when(kind == 2, "ge").otherwise("any"),
+               F.when((kind != 3) & (F.col("p_size") % 13 != 0), F.col("p_size") - 20))
+           .unionByName(ask(part.where(eighth.isin(2, 3)), F.lit("le"), F.col("p_size") - 15))
+           .unionByName(ask(part.where(eighth.isin(1, 3)), F.lit("ge"), F.col("p_size") - 23)))
+    return allocation.allocate(req, free, need_tpm="need")
 
 
 @query("image_presence", _FLEET_SQL + """,
@@ -1370,14 +1371,13 @@ g AS (SELECT req.*, CASE WHEN k.name IS NULL THEN 'missing kernel' WHEN i.name I
                          WHEN fstype = 's-ramfs' AND NOT i.signed THEN 'unsigned initrd'
                          WHEN r.name IS NULL THEN 'needs pull' ELSE 'ok' END AS gate
       FROM req LEFT JOIN k ON k.name = req.kernel LEFT JOIN i ON i.name = req.initrd LEFT JOIN r ON r.name = req.image),
-rq0 AS (SELECT request_id AS rid, rank_op AS op, rank_n AS n, fstype = 's-ramfs' AS need FROM g WHERE gate IN ('ok', 'needs pull')),""" \
-    + _FREE_SQL + ",\n" + _alloc_sql(_ALLOC_STEPS[:6]) + """
-"""
+rq0 AS (SELECT request_id AS rid, CASE WHEN rank_op = 'eq' THEN rank_n ELSE -1000000 END AS lo, rank_n AS hi, fstype = 's-ramfs' AS need
+        FROM g WHERE gate IN ('ok', 'needs pull')),""" + _FREE_SQL + ",\n" + _ALLOC_SQL
 
 
 @query("admit_runs", _ADMIT_SQL + """
-SELECT g.request_id, g.gate, g6.node_id, CASE WHEN g.gate NOT IN ('ok', 'needs pull') THEN g.gate WHEN g6.node_id IS NULL THEN 'Node exhausted' END AS reason
-FROM g LEFT JOIN g6 ON g6.rid = g.request_id""")
+SELECT g.request_id, g.gate, g0.node_id, CASE WHEN g.gate NOT IN ('ok', 'needs pull') THEN g.gate WHEN g0.node_id IS NULL THEN 'Node exhausted' END AS reason
+FROM g LEFT JOIN g0 ON g0.rid = g.request_id""")
 def admit_runs(spark, sf_dir):
     """Run requests from ``part`` (image ``img-<10 x partkey>``, so some
     images are missing and must be pulled first), gated, then allocated."""
@@ -1392,8 +1392,8 @@ def _admitted(spark, sf_dir):
 
 
 @query("allocated_containers", _ADMIT_SQL + """
-SELECT CAST(g.request_id AS VARCHAR) AS bmc_id, kn.kernel_id, ir.initrd_id, rf.rootfs_id, g.fstype, g6.node_id, 'terminated' AS state
-FROM g JOIN g6 ON g6.rid = g.request_id JOIN kernels kn ON kn.kernel_name = g.kernel JOIN initrds ir ON ir.initrd_name = g.initrd
+SELECT CAST(g.request_id AS VARCHAR) AS bmc_id, kn.kernel_id, ir.initrd_id, rf.rootfs_id, g.fstype, g0.node_id, 'terminated' AS state
+FROM g JOIN g0 ON g0.rid = g.request_id JOIN kernels kn ON kn.kernel_name = g.kernel JOIN initrds ir ON ir.initrd_name = g.initrd
 JOIN rootfs rf ON rf.rootfs_name = g.image""")
 def allocated_containers(spark, sf_dir):
     """The container rows that the admitted requests insert."""

@@ -92,33 +92,99 @@ def test_allocate(spark, f):
     assert got["r8"] == (None, "Node exhausted") and got["r7"] == got["r6"] == (None, "invalid rank expression")
 
 
+FITS = {"eq": lambda a, v: a is not None and a == v, "le": lambda a, v: a is not None and a <= v,
+        "ge": lambda a, v: a is not None and a >= v, "any": lambda a, v: True}
+
+
+def _fits(asks, node, need=False):
+    return all(FITS[op](node[1], v) for op, v in asks) and (node[2] or not need)
+
+
+def _most(reqs, nodes):
+    """Size of a greatest matching, by augmenting paths: ``reqs`` are lists of predicates."""
+    holds = {}
+
+    def place(q, seen):
+        for x in nodes:
+            if x[0] not in seen and _fits(reqs[q], x):
+                seen.add(x[0])
+                if x[0] not in holds or place(holds[x[0]], seen):
+                    holds[x[0]] = q
+                    return True
+        return False
+
+    return sum(place(q, set()) for q in range(len(reqs)))
+
+
 def _one_by_one(reqs, nodes):
-    """The policy of ``allocate``, one request after another."""
-    fits = {"eq": lambda a, v: a == v, "le": lambda a, v: a <= v, "ge": lambda a, v: a >= v, "any": lambda a, v: True}
-    got, left = {}, sorted(nodes, key=lambda x: (x[1] is None, x[1] or 0, x[0]))
-    for op in ("eq", "le", "ge", "any"):
-        for need, tpm in ((True, True), (False, False), (False, True)):
-            turn = sorted((r for r in reqs if r[1] == op and r[3] == need and r[0] not in got),
-                          key=lambda r: ({"eq": 0, "le": r[2], "ge": -(r[2] or 0), "any": 0}[op], r[0]))
-            for q, _, v, _ in turn:
-                pool = [x for x in left if x[2] == tpm and (op == "any" or x[1] is not None and fits[op](x[1], v))]
-                if pool:
-                    best = min(pool, key=lambda x: (-(x[1] or 0) if op == "ge" else (x[1] or 0) if op != "any" else 0, x[0]))
-                    got[q] = best[0]
-                    left.remove(best)
+    """The policy of ``allocate``, one node after another: reqs {id: (predicates, need)}."""
+    top = 1 << 40
+    hi = lambda asks: min([v for op, v in asks if op in ("le", "eq")], default=top if {op for op, _ in asks} != {"any"} else top + 1)
+    lo = lambda asks: max([v for op, v in asks if op in ("ge", "eq")], default=-top)
+    got, used = {}, set()
+    for need in (True, False):
+        for x in sorted((x for x in nodes if x[0] not in used and (x[2] or not need)), key=lambda x: (x[1] is None, x[1] or 0, x[2], x[0])):
+            wait = [(hi(asks), lo(asks), q) for q, (asks, n) in reqs.items() if n == need and q not in got and _fits(asks, x)]
+            if wait:
+                got[min(wait)[2]] = x[0]
+                used.add(x[0])
     return got
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+def _ask(rng):
+    op = rng.choice(["eq", "le", "ge", "any", "both", "both"])
+    a, b = rng.randint(0, 9), rng.randint(0, 9)
+    return [("ge", min(a, b)), ("le", max(a, b) if rng.random() < 0.9 else min(a, b) - 1)] if op == "both" else [(op, None if op == "any" else a)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_allocate_as_one_by_one(spark, seed):
     rng = random.Random(seed)
-    nodes = [(j, rng.choice([None, 1, 2, 3, 4, 5, 6]), rng.random() < 0.4) for j in range(40)]
-    reqs = [(q, op, None if op == "any" else rng.randint(0, 7), rng.random() < 0.4) for q in range(60) for op in [rng.choice(["eq", "le", "ge", "any"])]]
+    nodes = [(j, rng.choice([None, 1, 2, 3, 4, 5, 6, 8]), rng.random() < 0.4) for j in range(40)]
+    reqs = {q: (_ask(rng), rng.random() < 0.4) for q in range(60)}
     n = spark.createDataFrame(nodes, "node_id long, node_rank int, have_tpm boolean")
-    r = spark.createDataFrame(reqs, "request_id long, rank_op string, rank_n int, need boolean")
+    r = spark.createDataFrame([(q, op, v, need) for q, (asks, need) in reqs.items() for op, v in asks], "request_id long, rank_op string, rank_n int, need boolean")
     got = {x.request_id: x.node_id for x in allocation.allocate(r, n, need_tpm="need", partitions=3).collect()}
     want = _one_by_one(reqs, nodes)
-    assert got == {q: want.get(q) for q, *_ in reqs}
+    assert got == {q: want.get(q) for q in reqs}
+
+
+def test_allocate_serves_as_many_as_any_matching(spark):
+    """Many small cases side by side (ranks apart by 100 a case): the served are as many as a greatest matching."""
+    rng = random.Random(7)
+    nodes, reqs, most = [], {}, {}
+    for case in range(60):
+        own = [(case * 100 + j, case * 100 + rng.randint(0, 9), False) for j in range(rng.randint(1, 8))]
+        asks = [[(op, None if v is None else case * 100 + v) for op, v in _ask(rng)] for _ in range(rng.randint(1, 9))]
+        asks = [[*a, ("ge", case * 100), ("le", case * 100 + 99)] for a in asks]
+        nodes += own
+        reqs |= {case * 100 + k: a for k, a in enumerate(asks)}
+        most[case] = _most(asks, own)
+    n = spark.createDataFrame(nodes, "node_id long, node_rank int, have_tpm boolean")
+    r = spark.createDataFrame([(q, op, v) for q, asks in reqs.items() for op, v in asks], "request_id long, rank_op string, rank_n int")
+    got = {x.request_id: x.node_id for x in allocation.allocate(r, n).collect()}
+    assert set(got) == set(reqs)
+    by = {x[0]: x for x in nodes}
+    held = [v for v in got.values() if v is not None]
+    assert len(held) == len(set(held)) and all(_fits(reqs[q], by[v]) for q, v in got.items() if v is not None)
+    served = {}
+    for q, v in got.items():
+        served[q // 100] = served.get(q // 100, 0) + (v is not None)
+    assert served == most
+
+
+def test_allocate_hot_class_and_rank(spark):
+    """One pair of bounds and one rank hold most rows; numbering and stretches are cut into ranges."""
+    n = spark.range(3000).select(F.col("id").alias("node_id"), F.when(F.col("id") % 3 > 0, 5).otherwise((F.col("id") % 50).cast("int")).alias("node_rank"))
+    r = spark.range(4000).select(F.col("id").alias("request_id"), F.lit("ge").alias("rank_op"), F.lit(3).alias("rank_n")).unionByName(
+        spark.range(4000).where("id % 4 > 0").select(F.col("id").alias("request_id"), F.lit("le").alias("rank_op"), F.lit(5).alias("rank_n")))
+    got = allocation.allocate(r, n, partitions=7).collect()
+    ranks = {x.node_id: x.node_rank for x in n.collect()}
+    served = [x for x in got if x.node_id is not None]
+    assert len(got) == 4000 and len({x.node_id for x in served}) == len(served)
+    assert all(ranks[x.node_id] >= 3 and (x.request_id % 4 == 0 or ranks[x.node_id] <= 5) for x in served)
+    inside, above = sum(3 <= v <= 5 for v in ranks.values()), sum(v > 5 for v in ranks.values())
+    assert len(served) == min(3000, inside) + min(1000, above)
 
 
 def test_gate_and_signatures(spark, f):
