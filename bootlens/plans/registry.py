@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bootlens.functions import scalars as sc
-from bootlens.operators import allocation, catalog as cat, changes as chg, meter, quality as qa
+from bootlens.operators import allocation, catalog as cat, changes as chg, history as hist, meter, quality as qa
 from bootlens.operators import requests as rq, timeline as tl, windows as win
 from bootlens.plans import standins as si
 from bootlens.session import scratch_dir
@@ -795,6 +795,96 @@ def enrich_requests_stream(spark, sf_dir):
     return stream.run_to_files(out, scratch_dir(spark, "t3"))
 
 
+@query("wait_stream", """
+WITH s AS (SELECT user_id, ts, event_id AS seq, CASE event_type WHEN 'view' THEN 'up' WHEN 'purchase' THEN 'pending' ELSE 'shutting-down' END AS state
+           FROM events WHERE event_type IN ('view', 'purchase', 'error')),
+r AS (SELECT user_id, ts, event_id AS seq FROM events WHERE event_type IN ('signup', 'click')),
+c AS (SELECT r.*, arg_max(s.state, (s.ts, s.seq)) AS cur FROM r LEFT JOIN s ON s.user_id = r.user_id AND s.ts <= r.ts GROUP BY ALL),
+n AS (SELECT c.*, min((s.ts, s.seq, s.state)) AS nxt FROM c LEFT JOIN s ON c.cur = 'up' AND s.user_id = c.user_id AND s.ts > c.ts
+        AND s.ts < c.ts + INTERVAL 2 HOUR AND s.state != 'up' GROUP BY ALL)
+SELECT CAST(user_id AS VARCHAR) AS bmc_id, seq,
+       CASE WHEN cur = 'up' THEN CASE nxt[3] WHEN 'pending' THEN 'go' WHEN 'shutting-down' THEN 'fail' ELSE 'timed out' END
+            WHEN cur = 'pending' THEN 'go' ELSE 'fail' END AS verdict,
+       CASE WHEN cur = 'up' THEN nxt[3] ELSE cur END AS state,
+       CASE WHEN cur = 'up' THEN CAST(epoch_us(nxt[1]) - epoch_us(ts) AS DOUBLE) / 1e6 ELSE 0.0 END AS wait_sec
+FROM n""")
+def wait_stream(spark, sf_dir):
+    """T2 with a deadline: views, purchases and errors are states of the user, signups and clicks wait for them."""
+    ev = _event_stream(spark, sf_dir)
+    kind = F.col("event_type")
+    states = ev.where(kind.isin("view", "purchase", "error") | (F.col("bmc_id") == "")).select(
+        "bmc_id", "ts", "seq", F.when(kind == "view", "up").when(kind == "purchase", "pending").otherwise("shutting-down").alias("state"))
+    asked = ev.where(kind.isin("signup", "click")).select("bmc_id", "ts", "seq")
+    out = stream.run_to_files(stream.wait_stream(asked, states, timeout=2 * 3600), scratch_dir(spark, "t2-wait")).where("bmc_id != ''")
+    return out.select("bmc_id", "seq", "verdict", "state", "wait_sec")
+
+
+# --------------------------------------------------------------------------
+# J13 as of the request's time
+
+#: Customers as nodes, every fifth readdressed in mid-1995; orders as containers that end after 40 days unless the next order comes first.
+_AT_SQL = """
+WITH v AS (
+  SELECT c_custkey AS node_id, 'ip-' || c_custkey AS ip, 'mac-' || c_custkey AS mac, TIMESTAMP '1900-01-01' AS f,
+         CASE WHEN c_custkey % 5 = 0 THEN TIMESTAMP '1995-06-17' END AS t FROM customer
+  UNION ALL SELECT c_custkey, 'new-' || c_custkey, 'mac-' || c_custkey, TIMESTAMP '1995-06-17', NULL FROM customer WHERE c_custkey % 5 = 0),
+h AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS bmc_id, o_custkey AS node_id, CAST(o_orderdate AS TIMESTAMP) AS f,
+         least(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 40 DAY, lead(CAST(o_orderdate AS TIMESTAMP)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, CAST(o_orderkey AS VARCHAR))) AS t
+  FROM orders),
+q AS (
+  SELECT l_orderkey * 10 + l_linenumber AS request_id, CAST(min(l_shipdate) AS TIMESTAMP) AS ts,
+         CASE l_linenumber % 3 WHEN 0 THEN 'ip-' WHEN 1 THEN 'new-' ELSE 'no-' END || o_custkey AS remote_addr, CASE WHEN l_linenumber % 2 = 0 THEN 'mac-' || o_custkey END AS mac_addr
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey, l_linenumber, o_custkey)"""
+
+
+@query("identify_caller_at", _AT_SQL + """
+SELECT q.request_id, coalesce(a.bmc_id, b.bmc_id) AS bmc_id, CASE WHEN a.bmc_id IS NOT NULL THEN 'ip' WHEN b.bmc_id IS NOT NULL THEN 'mac' END AS matched_by
+FROM q
+LEFT JOIN (SELECT q.request_id, h.bmc_id FROM q JOIN v ON v.ip = q.remote_addr AND v.f <= q.ts AND (v.t IS NULL OR q.ts < v.t)
+           JOIN h ON h.node_id = v.node_id AND h.f <= q.ts AND q.ts < h.t) a ON a.request_id = q.request_id
+LEFT JOIN (SELECT q.request_id, h.bmc_id FROM q JOIN v ON v.mac = q.mac_addr AND v.f <= q.ts AND (v.t IS NULL OR q.ts < v.t)
+           JOIN h ON h.node_id = v.node_id AND h.f <= q.ts AND q.ts < h.t) b ON b.request_id = q.request_id""")
+def identify_caller_at(spark, sf_dir):
+    """J13 as of the request's time: line items ask at their ship date; orders hold their customer's node for 40 days."""
+    nodes, containers, req = si.catalog_events(spark, sf_dir)
+    return hist.identify_caller_at(req, hist.catalog_history(nodes, containers)).select("request_id", "bmc_id", "matched_by")
+
+
+@query("catalog_history", _AT_SQL + """,
+e AS (SELECT node_id, f AS edge FROM v UNION SELECT node_id, f FROM h UNION SELECT node_id, t FROM h),
+i AS (SELECT node_id, edge, lead(edge) OVER (PARTITION BY node_id ORDER BY edge) AS until FROM e)
+SELECT i.node_id, v.ip AS ip4_addr_boot, v.mac AS mac_addr_mgmt, h.bmc_id, epoch_us(i.edge) AS from_us, epoch_us(i.until) AS to_us
+FROM i LEFT JOIN v ON v.node_id = i.node_id AND v.f <= i.edge AND (v.t IS NULL OR i.edge < v.t)
+LEFT JOIN h ON h.node_id = i.node_id AND h.f <= i.edge AND i.edge < h.t""")
+def catalog_history(spark, sf_dir):
+    nodes, containers, _ = si.catalog_events(spark, sf_dir)
+    h = hist.catalog_history(nodes, containers)
+    return h.select("node_id", "ip4_addr_boot", "mac_addr_mgmt", "bmc_id", (F.col("valid_from") / 1000).cast("long").alias("from_us"), (F.col("valid_to") / 1000).cast("long").alias("to_us"))
+
+
+@query("identify_caller_at_stream", ORACLE["identify_caller_at"])
+def identify_caller_at_stream(spark, sf_dir):
+    """T3 with a catalog that grows while the stream runs: requests arrive in two micro-batches; what happened from
+    1995 on reaches the catalog between them, and every request is answered as of its own time."""
+    nodes, containers, req = si.catalog_events(spark, sf_dir)
+    turn = F.lit("1995-01-01").cast("timestamp")
+    early = F.col("epoch_ns") < F.unix_micros(turn) * 1000
+    folder, asked, known = (scratch_dir(spark, x) for x in ("t3-at", "t3-requests", "t3-catalog"))
+
+    def resolve(rows):
+        n, c = (spark.read.parquet(f"{known}/{x}") for x in ("nodes", "containers"))
+        return hist.identify_caller_at(rows, hist.catalog_history(n, c))
+
+    for now in (early, ~early):
+        nodes.where(now).write.mode("append").parquet(f"{known}/nodes")
+        containers.where(now).write.mode("append").parquet(f"{known}/containers")
+        req.where(now).write.mode("append").parquet(asked)
+        source = spark.readStream.schema(req.schema).parquet(asked)
+        out = stream.run_with_catalog(source, resolve, folder)
+    return out.select("request_id", "bmc_id", "matched_by")
+
+
 # --------------------------------------------------------------------------
 # the flagship chain as a query: S4 -> F20 -> W2 -> J19 -> W8 -> W1 -> A4
 

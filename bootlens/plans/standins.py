@@ -267,3 +267,29 @@ def supplier_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(5).alias("line_no"), F.when(F.col("s_nationkey") == 0, F.lit("foo bar")).alias("text")))
     return (s.select(F.concat(F.lit("repo-"), k).alias("repo"), F.explode(lines).alias("l"))
             .select("repo", "l.line_no", "l.text").where(F.col("text").isNotNull()))
+
+
+def catalog_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Node events, container events and timed boot requests.
+
+    Customers are nodes (every fifth gets a new boot address on 1995-06-17), orders containers that take their
+    customer's node on the order date and end 40 days later, line items requests at their ship date."""
+    c, o, l = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
+    ns = lambda col: F.unix_micros(col.cast("timestamp")) * 1000
+    text = lambda kind, col: F.concat(F.lit(f"{kind}-"), F.col(col).cast("string"))
+
+    def node(rows, day, kind, seq):
+        return rows.select(F.col("c_custkey").alias("node_id"), ns(F.lit(day)).alias("epoch_ns"), F.lit(seq).alias("seq"),
+                           text(kind, "c_custkey").alias("ip4_addr_boot"), text("mac", "c_custkey").alias("mac_addr_mgmt"))
+
+    nodes = node(c, "1900-01-01", "ip", 1).unionByName(node(c.where("c_custkey % 5 = 0"), "1995-06-17", "new", 2))
+    key, day = F.col("o_orderkey").cast("string").alias("bmc_id"), F.col("o_orderdate")
+    containers = o.select(key, ns(day).alias("epoch_ns"), F.lit("up").alias("state"), F.col("o_custkey").alias("node_id")).unionByName(
+        o.select(key, ns(day.cast("timestamp") + F.expr("INTERVAL 40 DAYS")).alias("epoch_ns"), F.lit("terminated").alias("state"), F.lit(None).cast("long").alias("node_id")))
+    third = F.col("l_linenumber") % 3
+    first = l.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("l_shipdate"))   # the tables repeat line numbers
+    requests = first.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"), ns(F.col("l_shipdate")).alias("epoch_ns"),
+        F.when(third == 0, text("ip", "o_custkey")).when(third == 1, text("new", "o_custkey")).otherwise(text("no", "o_custkey")).alias("remote_addr"),
+        F.when(F.col("l_linenumber") % 2 == 0, text("mac", "o_custkey")).alias("mac_addr"))
+    return nodes, containers, requests

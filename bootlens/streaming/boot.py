@@ -17,62 +17,36 @@ side).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bootlens.operators.requests import identify_caller
+from bootlens.streaming.inorder import ANSWER, BOTH, OTHER, PARTS, START, first_answer
 
 
 def as_event_time(df: DataFrame, col: str = "ts") -> DataFrame:
     return df.withColumn(col, F.col(col).cast("timestamp"))
 
 
-def _interval(seconds: float) -> Column:
-    # an interval literal: the join planner reads it as an event-time bound
-    return F.expr(f"INTERVAL {int(round(seconds * 1e6))} MICROSECONDS")
-
-
-def first_within(left: DataFrame, right: DataFrame, keys: Sequence[str], bound_seconds: float,
-                 left_cols: Sequence[str], right_cols: Sequence[str], ts: str = "ts", seq: str = "seq",
-                 watermark: str = "10 minutes", later: bool = False) -> DataFrame:
-    """For each left row, the first right row of the same key with
-    left.ts <= right.ts < left.ts + bound (NULL fields when none).  With
-    ``later`` the right row must come after the left one in (ts, seq).
-
-    A stream-stream left outer join bounded in event time (state is dropped
-    once the watermark passes the bound), then a ``min_by`` per left row
-    grouped on the left event time, so it runs in append mode."""
-    keys = list(keys)
-    lft = left.withWatermark(ts, watermark).alias("l")
-    rgt = right.withWatermark(ts, watermark).alias("r")
-    cond = None
-    for k in keys:
-        c = F.col(f"l.{k}") == F.col(f"r.{k}")
-        cond = c if cond is None else cond & c
-    cond = cond & (F.col(f"r.{ts}") >= F.col(f"l.{ts}")) & (F.col(f"r.{ts}") < F.col(f"l.{ts}") + _interval(bound_seconds))
-    if later:
-        cond = cond & ((F.col(f"r.{ts}") > F.col(f"l.{ts}")) | (F.col(f"r.{seq}") > F.col(f"l.{seq}")))
-    j = lft.join(rgt, cond, "leftOuter").select(
-        *[F.col(f"l.{k}").alias(k) for k in keys], *[F.col(f"l.{c}").alias(c) for c in left_cols],
-        F.col(f"l.{ts}").alias(ts),
-        F.struct(F.col(f"r.{ts}").alias("ts"), F.col(f"r.{seq}").alias("seq"),
-                 *[F.col(f"r.{c}").alias(c) for c in right_cols]).alias("_r"))
-    first = F.min_by(F.col("_r"), F.when(F.col("_r.ts").isNotNull(), F.struct(F.col("_r.ts"), F.col("_r.seq"))))
-    return j.groupBy(*keys, *left_cols, ts).agg(first.alias("first"))
-
-
 def boot_outcome_stream(runs: DataFrame, notices: DataFrame, keys: Sequence[str] = ("bmc_id",),
-                        timeout: float = 180.0, watermark: str = "10 minutes") -> DataFrame:
+                        timeout: float = 180.0, watermark: str = "10 minutes", parts: int = PARTS) -> DataFrame:
     """J18 on streams: run starts (keys, ts, seq) against notices (keys,
-    ts, seq, status); first notice within ``timeout`` seconds wins."""
-    f = first_within(runs, notices, keys, timeout, ["seq"], ["status"], watermark=watermark)
-    got = F.col("first.ts").isNotNull()
-    outcome = (F.when(~got, F.lit("timed out")).when(F.col("first.status") == "ok", F.lit("ok"))
-               .otherwise(F.concat(F.lit("boot failure: "), F.col("first.status"))))
-    wait = (F.unix_micros(F.col("first.ts")) - F.unix_micros(F.col("ts"))).cast("double") / F.lit(1e6)
+    ts, seq, status); first notice within ``timeout`` seconds wins.  Keyed
+    state answers the runs in the order of their times (see ``inorder``): no
+    run x notice pairs, a hot key in ``parts``."""
+    none = F.lit(None).cast("string")
+    rows = (runs.withWatermark("ts", watermark).select(*keys, "ts", F.lit(0).alias("prio"), F.col("seq").cast("long").alias("seq"), F.lit(START).alias("kind"), none.alias("value"))
+            .unionByName(notices.withWatermark("ts", watermark).select(
+                *keys, "ts", F.lit(1).alias("prio"), F.col("seq").cast("long").alias("seq"), F.lit(ANSWER).alias("kind"), F.col("status").cast("string").alias("value"))))
+    f = first_answer(rows, keys, timeout, parts)
+    got = F.col("found")
+    outcome = (F.when(~got, F.lit("timed out")).when(F.col("answer") == "ok", F.lit("ok"))
+               .otherwise(F.concat(F.lit("boot failure: "), F.col("answer"))))
+    wait = (F.unix_micros("answer_ts") - F.unix_micros("ts")).cast("double") / F.lit(1e6)
     return f.select(*keys, F.col("seq").alias("run_seq"), outcome.alias("outcome"),
-                    F.col("first.seq").alias("notice_seq"), F.when(got, wait).alias("wait_sec"))
+                    F.col("answer_seq").alias("notice_seq"), F.when(got, wait).alias("wait_sec"))
 
 
 def state_stream(events: DataFrame, key: str = "bmc_id", order: Sequence[str] = ("ts", "seq"),
@@ -96,12 +70,54 @@ def wait_verdict(state: Column) -> Column:
             .otherwise(F.lit("wait")))
 
 
+def wait_stream(requests: DataFrame, states: DataFrame, keys: Sequence[str] = ("bmc_id",), timeout: float = 180.0,
+                watermark: str = "10 minutes", parts: int = PARTS) -> DataFrame:
+    """T2 as a wait with a deadline: requests (keys, ts, seq) that wait until
+    the state of their container lets them go on; (keys, seq, ts, verdict,
+    state, state_ts, wait_sec), exactly one row a request.
+
+    The state that holds at the request's time (a state of that very time
+    included) decides at once if it is ``pending`` (go), a dead one, or none at
+    all (fail); otherwise the first such state before ts + ``timeout`` does,
+    and ``timed out`` is the verdict when there is none."""
+    none = F.lit(None).cast("string")
+    rows = (states.withWatermark("ts", watermark).select(*keys, "ts", F.lit(0).alias("prio"), F.col("seq").cast("long").alias("seq"), F.lit(OTHER).alias("kind"),
+                                                         F.col("state").cast("string").alias("value"))
+            .unionByName(requests.withWatermark("ts", watermark).select(*keys, "ts", F.lit(1).alias("prio"), F.col("seq").cast("long").alias("seq"),
+                                                                        F.lit(START).alias("kind"), none.alias("value"))))
+    f = first_answer(rows, keys, timeout, parts, slices=False, settles=(*WAIT_OK, *WAIT_FAIL), no_state=True)
+    verdict = F.when(F.col("found"), wait_verdict(F.col("answer"))).otherwise(F.lit("timed out"))
+    wait = (F.unix_micros("answer_ts") - F.unix_micros("ts")).cast("double") / F.lit(1e6)
+    return f.select(*keys, "seq", "ts", verdict.alias("verdict"), F.col("answer").alias("state"), F.when(F.col("found"), wait).alias("wait_sec"))
+
+
 def enrich_requests(requests: DataFrame, nodes: DataFrame, containers: DataFrame, **kw) -> DataFrame:
-    """Boot requests (a stream) resolved against the node and container
-    tables (static): a stream-static left join, J13's rule."""
+    """Boot requests (a stream) resolved against node and container
+    tables that stand still: a stream-static left join, J13's rule.  For a
+    catalog that changes while the stream runs see ``run_with_catalog``."""
     return identify_caller(requests, nodes, containers, **kw)
 
 
+def run_with_catalog(requests: DataFrame, resolve: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """T3 with a catalog that changes: every micro-batch of ``requests`` is
+    resolved by ``resolve(rows)``, which reads the catalog anew, so a
+    container made a minute ago is seen.  With ``catalog_history`` and
+    ``identify_caller_at`` inside, a request is answered as of its own time,
+    however late it arrives.
+
+    Runs everything available now; the rows of micro-batch n replace those of
+    an earlier attempt at it.  Called again with the same ``folder`` the stream
+    goes on where it ended.  Returns all rows so far, with ``batch``."""
+    out = f"{folder}/rows"
+
+    def write(rows: DataFrame, n: int) -> None:
+        resolve(rows).write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    run = requests.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write)
+    run.start().awaitTermination()
+    return requests.sparkSession.read.option("mergeSchema", True).parquet(out)
+
+
 def first_use_stream(requests: DataFrame, hashes: DataFrame, session: str = "session_id", nonce: str = "nonce",
                      ts: str = "ts", seq: str = "seq", watermark: str = "10 minutes") -> DataFrame:
     """T4: one-time sessions on a stream: (session, ts, seq) of the one
@@ -145,15 +161,17 @@ def first_use_stream(requests: DataFrame, hashes: DataFrame, session: str = "ses
 
 
 def interval_stream(marks: DataFrame, keys: Sequence[str] = ("bmc_id", "phase"), bound_seconds: float = 3600.0,
-                    watermark: str = "10 minutes") -> DataFrame:
+                    watermark: str = "10 minutes", parts: int = PARTS) -> DataFrame:
     """T5: phase intervals as marks arrive, by W1's rule: the next mark of the
     same (bmc_id, phase) decides.  An end within ``bound_seconds`` closes the
     begin before it; another begin, or none in time, leaves it open (NULL end)."""
-    begins = marks.where(F.col("kind") == "begin")
-    f = first_within(begins, marks, keys, bound_seconds, ["seq"], ["kind"], watermark=watermark, later=True)
-    closed = F.col("first.kind") == F.lit("end")
+    is_begin = F.col("kind") == F.lit("begin")
+    rows = marks.withWatermark("ts", watermark).select(
+        *keys, "ts", F.lit(0).alias("prio"), F.col("seq").cast("long").alias("seq"), F.when(is_begin, BOTH).otherwise(ANSWER).alias("kind"), F.col("kind").alias("value"))
+    f = first_answer(rows, keys, bound_seconds, parts)
+    closed = F.col("found") & (F.col("answer") == F.lit("end"))
     return f.select(*keys, F.col("seq").alias("begin_seq"), F.col("ts").alias("begin_ts"),
-                    F.when(closed, F.col("first.seq")).alias("end_seq"), F.when(closed, F.col("first.ts")).alias("end_ts"))
+                    F.when(closed, F.col("answer_seq")).alias("end_seq"), F.when(closed, F.col("answer_ts")).alias("end_ts"))
 
 
 def run_to_files(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:

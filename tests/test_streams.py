@@ -114,3 +114,54 @@ def test_late_notice_is_ignored(spark, tmp_dir):
     got = {(x.bmc_id, x.run_seq): (x.outcome, x.notice_seq) for x in _run(out, tmp_dir)}
     assert got[("a", 1)] == ("timed out", None)
     assert got[("z", 9)] == ("ok", 19)
+
+
+def _by_hand(waits, states, timeout):
+    """Verdict of each wait: the state at its time, else the first that ends it."""
+    out = {}
+    for key, seq, at in waits:
+        own = sorted((t, s, v) for k, s, t, v in states if k == key)
+        now = [x for x in own if x[0] <= at]
+        later = [x for x in own if at < x[0] < at + dt.timedelta(seconds=timeout)]
+        end = {"pending": "go", "terminated": "fail", "shutting-down": "fail", None: "fail"}
+        found = end.get(now[-1][2]) if now else "fail"
+        found = found or next((end[v] for _, _, v in later if v in end), "timed out")
+        out[(key, seq)] = found
+    return out
+
+
+def test_wait_with_a_deadline(spark, tmp_dir):
+    """Micro-batches out of order inside the watermark delay; every wait has one verdict."""
+    import random
+
+    rng = random.Random(5)
+    states = [(f"c{rng.randint(0, 5)}", 1000 + k, _at(rng.randint(0, 3000)), rng.choice(["up", "up", "up", "pending", "terminated", "shutting-down", None])) for k in range(80)]
+    waits = [(f"c{rng.randint(0, 6)}", k, _at(rng.randint(0, 3000))) for k in range(120)]
+    for i in range(4):   # arrival: by time, give or take 300 s
+        early = lambda t, j: min(3, max(0, int(((t - T0).total_seconds() + (j * 97) % 300) // 800))) == i  # noqa: E731, B023
+        spark.createDataFrame([r for r in states if early(r[2], r[1])] + ([("zz", 9999, _at(99999), "up")] if i == 3 else []),
+                              "bmc_id string, seq long, ts timestamp, state string").coalesce(1).write.parquet(f"{tmp_dir}/s/{i}")
+        spark.createDataFrame([r for r in waits if early(r[2], r[1])] + ([("zz", 9998, _at(99999))] if i == 3 else []),
+                              "bmc_id string, seq long, ts timestamp").coalesce(1).write.parquet(f"{tmp_dir}/w/{i}")
+
+    def src(name, schema):
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_dir}/{name}")
+
+    out = st.wait_stream(src("w", "bmc_id string, seq long, ts timestamp"), src("s", "bmc_id string, seq long, ts timestamp, state string"), timeout=400, watermark="15 minutes", parts=3)
+    rows = [x for x in _run(out, tmp_dir) if x.bmc_id != "zz"]
+    assert len(rows) == len(waits)
+    assert {(x.bmc_id, x.seq): x.verdict for x in rows} == _by_hand(waits, states, 400)
+
+
+def test_overlapping_runs_of_one_key(spark, tmp_dir):
+    """10,000 overlapping runs of one container, then one notice: one row a run, and no more rows in state than came in."""
+    n = 10_000
+    runs = spark.range(n).select(F.lit("hot").alias("bmc_id"), F.col("id").alias("seq"), (F.lit(T0).cast("timestamp") + F.make_dt_interval(secs=(F.col("id") / 100).cast("decimal(18,6)"))).alias("ts"))
+    runs = runs.unionByName(spark.createDataFrame([("zz", -1, _at(90000))], "bmc_id string, seq long, ts timestamp"))
+    notes = spark.createDataFrame([("hot", 5, _at(120), "ok"), ("hot", 6, _at(130), "bad"), ("zz", 7, _at(90000), "ok")], "bmc_id string, seq long, ts timestamp, status string")
+    out = st.boot_outcome_stream(_stream(spark, runs, f"{tmp_dir}/r"), _stream(spark, notes, f"{tmp_dir}/n"), timeout=110, parts=4)
+    got = [x for x in _run(out, tmp_dir) if x.bmc_id == "hot"]
+    assert len(got) == n and len({x.run_seq for x in got}) == n
+    assert all((x.outcome, x.notice_seq) == (("ok", 5) if x.run_seq / 100 > 10 else ("timed out", None)) for x in got)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "Join" not in plan and "FlatMapGroupsInPandasWithState" in plan
