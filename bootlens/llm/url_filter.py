@@ -20,6 +20,8 @@ from bootlens.llm.trees import boosted_margin
 #: Documented bound: labelled URLs per class to fit on.
 SAMPLE_PER_CLASS = 5000
 TREES, DEPTH, SEED = 12, 3, 7
+#: Parts of the labelled URLs; statistics for a training row leave its own part out.
+FOLDS = 5
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "n_params", "param_length", "n_hyphens", "suffix_share", "suffix_block", "lead_share", "lead_block")
 
 
@@ -102,21 +104,33 @@ def lead_of(path: Column) -> Column:
     return F.regexp_extract(path, "^/([^/]*)", 1)
 
 
-def _counted(rows: DataFrame, value: Column, n: int, rate: float, name: str) -> DataFrame:
-    """(value, share, block) of every value: its share of all rows, and the block rate of its labelled rows drawn to ``rate``."""
-    stats = rows.groupBy(value.alias("_value")).agg(F.count("*").alias("n"), F.count("label").alias("l"), F.coalesce(F.sum("label"), F.lit(0)).alias("b"))
-    return staged(stats.select("_value", (F.col("n") / n).alias("_share"), ((F.col("b") + rate) / (F.col("l") + 1)).alias("_block")), name)
+def fold_of(url: Column) -> Column:
+    """The part of the URLs, by hash, whose labels a training row of the same part does not see."""
+    return F.pmod(F.xxhash64(F.lit("fold"), url), F.lit(FOLDS)).cast("int")
 
 
-def _looked_up(value: Column, stats: DataFrame | None, rate: float) -> list[Column]:
+def _counted(rows: DataFrame, value: Column, n: int, rate: float, name: str) -> DataFrame:
+    """(value, share, block, out) of every value: its share of all rows, the block rate of its labelled rows drawn to
+    ``rate``, and that rate without the labels of each fold."""
+    stats = rows.groupBy(value.alias("_value"), fold_of(F.col("url")).alias("_fold")).agg(
+        F.count("*").alias("n"), F.count("label").alias("l"), F.coalesce(F.sum("label"), F.lit(0)).alias("b"))
+    sums = stats.groupBy("_value").agg(F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b"),
+                                       *[F.struct(*[F.coalesce(F.sum(F.when(F.col("_fold") == k, F.col(c))), F.lit(0)).alias(c) for c in ("l", "b")]).alias(f"_f{k}") for k in range(FOLDS)])
+    drawn = lambda b, l: (b + rate) / (l + 1)  # noqa: E731, E741
+    out = F.array(*[drawn(F.col("b") - F.col(f"_f{k}.b"), F.col("l") - F.col(f"_f{k}.l")) for k in range(FOLDS)])
+    return staged(sums.select("_value", (F.col("n") / n).alias("_share"), drawn(F.col("b"), F.col("l")).alias("_block"), out.alias("_out")), name)
+
+
+def _looked_up(value: Column, stats: DataFrame | None, rate: float, fold: Column | None = None) -> list[Column]:
     """(share, block rate) of a value; values without statistics have share 0 and the overall rate.
 
-    A correlated subquery: Spark plans it as an equi-join of the rows with the
-    table.  ``max`` says that a value has one row there."""
+    With ``fold`` the rate is that of the other folds' labels.  A correlated
+    subquery: Spark plans it as an equi-join of the rows with the table.
+    ``max`` says that a value has one row there."""
     if stats is None:
         return [F.lit(0.0), F.lit(rate)]
-    found = stats.where(F.col("_value").eqNullSafe(value)).select(F.max(F.struct("_share", "_block")).alias("_found")).scalar()
-    return [F.coalesce(found["_share"], F.lit(0.0)), F.coalesce(found["_block"], F.lit(rate))]
+    found = stats.where(F.col("_value").eqNullSafe(value)).select(F.max(F.struct("_share", "_block", "_out")).alias("_found")).scalar()
+    return [F.coalesce(found["_share"], F.lit(0.0)), F.coalesce(found["_block"] if fold is None else found["_out"][fold], F.lit(rate))]
 
 
 @dataclass
@@ -128,9 +142,13 @@ class Judge:
     rate: float
     model: object | None
 
-    def features(self, f: Column, host: Column, path: Column) -> list[Column]:
-        """Features in the order of FEATURES; ``host`` and ``path`` are plain columns of the rows."""
-        return [f[k].cast("double") for k in FEATURES[:-4]] + _looked_up(suffix_of(host.outer()), self.suffixes, self.rate) + _looked_up(lead_of(path.outer()), self.leads, self.rate)
+    def features(self, f: Column, host: Column, path: Column, fold: Column | None = None) -> list[Column]:
+        """Features in the order of FEATURES; ``host`` and ``path`` are plain columns of the rows.
+
+        Training rows give their ``fold``: statistics that held a row's own
+        label would tell it the answer."""
+        return ([f[k].cast("double") for k in FEATURES[:-4]] + _looked_up(suffix_of(host.outer()), self.suffixes, self.rate, fold)
+                + _looked_up(lead_of(path.outer()), self.leads, self.rate, fold))
 
     def blocks(self, features: Sequence[Column]) -> Column:
         if self.model is None:  # one class only, or no labels
@@ -142,8 +160,8 @@ def fit(rows: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Judge:
     """Fit on (url, host, path, f, label): label 1 to block, 0 to allow, null unlabelled.
 
     Shares of host suffixes and of first path segments are counted over all
-    rows and block rates over all labelled ones, and all are kept.  The trees are
-    fitted on about ``per_class`` distinct labelled URLs a class, drawn by a
+    rows and block rates over all labelled ones, and all are kept.  A training row
+    sees the block rates of the other folds only.  The trees are fitted on about ``per_class`` distinct labelled URLs a class, drawn by a
     hash of the URL."""
     n, labelled, blocked = rows.agg(F.count("*"), F.count("label"), F.sum("label")).first()
     if not labelled or not blocked or blocked == labelled:
@@ -153,7 +171,7 @@ def fit(rows: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Judge:
     known = staged(rows.where("label is not null").select("url", "host", "path", "f", "label").distinct(), "labelled")
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     parts = [known.where(F.col("label") == c).where(hash_share(F.col("url"), per_class, sizes[c])) for c in (0, 1)]
-    columns = judge.features(F.col("f"), F.col("host"), F.col("path"))
+    columns = judge.features(F.col("f"), F.col("host"), F.col("path"), fold_of(F.col("url")))
     sample = staged(parts[0].union(parts[1]).orderBy("url").select(F.col("label").cast("double").alias("label"), *[c.alias(k) for k, c in zip(FEATURES, columns)]), "sample")
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample.coalesce(1))
     judge.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32).fit(assembled.select("label", "features"))
