@@ -5,11 +5,16 @@ source as fit come first.  What remains of the target is filled by
 Efraimidis-Spirakis sampling: every document draws the exponential key
 ``-ln(u) / weight`` with u from a hash of its id, keys are sorted within the
 source, sizes are prefix-summed, and documents are taken while the sum stays
-within the budget.  The outcome per source is one row: the number of epochs
-and the largest key taken; documents are matched to it by source alone, so no
-text is shuffled for the decision.  The gap before the first document that
-does not fit is closed by one more document of the source, the one whose size
-comes nearest to the gap.
+within the budget.  The first that does not fit may be very long, so the draw
+goes on behind it: among documents of at most half the gap that is left, again
+in order of their keys, until one does not fit.  Each such round more than
+halves the gap or runs out of documents, so few are needed until the gap is a
+thousandth of the target.  Last comes one more document, the one whose size is
+nearest to the gap, if that brings the source nearer.
+
+The outcome per source is one row: the number of epochs, and per round the
+stretch of keys and the largest size taken; documents are matched to it by
+source alone, so no text is shuffled for the decision.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from bootlens.llm.common import fresh, prefix_sums, staged, word_count
 
 #: Production settings: weights by rank of the source, total share, most times a document is taken.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
+#: Rounds go on while the gap is larger than this share of the target.
+NEAR = 0.001
 
 
 def key(doc_id: Column, weight: Column, seed: str = "mix") -> Column:
@@ -57,30 +64,56 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
     return t.select("source", "source_size", F.least("_cap", rate * F.col("_w")).alias("target"))
 
 
+def _behind(key: Column, size: Column, at_key: Column, at_size: Column) -> Column:
+    """Whether (key, size) comes after (at_key, at_size)."""
+    return (key > at_key) | ((key == at_key) & (size > at_size))
+
+
+def _drawn(key: Column, size: Column, rounds: Column) -> Column:
+    """Whether a document lies in a stretch that some round took."""
+    return F.exists(rounds, lambda r: _behind(key, size, r["low_key"], r["low_size"]) & ~_behind(key, size, r["high_key"], r["high_size"]) & (size <= r["longest"]))
+
+
 def plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """(source, source_size, target, epochs, cut, fill) from (source, size, key).
+    """(source, source_size, target, epochs, rounds, fill) from (source, size, key).
 
-    A document is taken ``epochs`` times, and once more if its key is at most
-    ``cut`` (null: none) or equal to ``fill`` (null: none).  Documents with one
-    key (rows that repeat an id) share their fate."""
+    A document is taken ``epochs`` times, and once more if it lies in one of
+    ``rounds`` (behind (low_key, low_size), up to (high_key, high_size), no
+    longer than ``longest``) or is ``fill`` (null: none).  Documents of one key
+    and size (rows that repeat an id) share their fate."""
     dealt = staged(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     counted = dealt.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    budget = counted.select(F.col("source").alias("_source"), (F.col("target") - F.col("epochs") * F.col("source_size")).alias("budget"))
-    units = sized.groupBy("source", "key").agg(F.sum("size").alias("size"))
-    summed = staged(prefix_sums(units, ["source"], ["key"], "size"), "summed")
-    within = summed.join(budget, F.col("source").eqNullSafe(F.col("_source")))
-    end = F.col("before") + F.col("size")
-    fits = within.where(end <= F.col("budget")).groupBy("_source").agg(F.max("key").alias("cut"), F.max(end).alias("filled"))
-    cuts = staged(budget.withColumnRenamed("_source", "_s").join(fits, F.col("_s").eqNullSafe(F.col("_source")), "left")
-                  .select("_s", "cut", (F.col("budget") - F.coalesce("filled", F.lit(0))).alias("gap")), "cuts")
-    rest = units.join(cuts, F.col("source").eqNullSafe(F.col("_s"))).where((F.col("cut").isNull() | (F.col("key") > F.col("cut"))) & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")))
-    fill = rest.groupBy(F.col("source").alias("_f")).agg(F.min_by("key", F.struct(F.abs(F.col("gap") - F.col("size")), "key")).alias("fill"))
-    found = cuts.join(fill, F.col("_s").eqNullSafe(F.col("_f")), "left").select("_s", "cut", "fill")
+    units = staged(sized.groupBy("source", "key", "size").agg((F.count("*") * F.col("size")).alias("total")), "units")
+    no_rounds = F.array().cast("array<struct<low_key:double,low_size:long,high_key:double,high_size:long,longest:double>>")
+    state = counted.select(F.col("source").alias("_s"), "target", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("gap"), no_rounds.alias("rounds"),
+                           F.lit(-1.0).alias("low_key"), F.lit(-1).cast("long").alias("low_size"), F.lit(float("inf")).alias("longest"), F.lit(True).alias("open"))
+    while True:
+        state = staged(state, "mix-state")   # one row per source
+        live = state.where("open")
+        if live.isEmpty():
+            break
+        own = units.join(live, F.col("source").eqNullSafe(F.col("_s"))).where(_behind(F.col("key"), F.col("size"), F.col("low_key"), F.col("low_size")) & (F.col("size") <= F.col("longest")))
+        summed = prefix_sums(own.select("source", "key", "size", "total", "gap"), ["source"], ["key", "size"], "total")
+        end = F.col("before") + F.col("total")
+        at, fits = F.struct("key", "size"), end <= F.col("gap")
+        step = summed.groupBy(F.col("source").alias("_of")).agg(F.max(F.when(fits, at)).alias("_high"), F.max(F.when(fits, end)).alias("_filled"), F.min(F.when(~fits, at)).alias("_next"))
+        joined = state.join(step, F.col("open") & F.col("_s").eqNullSafe(F.col("_of")), "left")
+        gap = F.col("gap") - F.coalesce("_filled", F.lit(0))
+        taken = F.struct("low_key", "low_size", F.col("_high.key").alias("high_key"), F.col("_high.size").alias("high_size"), "longest")
+        state = joined.select("_s", "target", gap.alias("gap"), F.when(F.col("_high").isNotNull(), F.concat("rounds", F.array(taken))).otherwise(F.col("rounds")).alias("rounds"),
+                              F.coalesce("_next.key", "low_key").alias("low_key"), F.coalesce("_next.size", "low_size").alias("low_size"),
+                              F.when(F.col("open"), gap / 2).otherwise(F.col("longest")).alias("longest"),
+                              (F.col("_next").isNotNull() & (gap > NEAR * F.col("target"))).alias("open"))
+    last = state.select("_s", "gap", "rounds")
+    rest = (units.join(last, F.col("source").eqNullSafe(F.col("_s")))
+            .where(~_drawn(F.col("key"), F.col("size"), F.col("rounds")) & (F.abs(F.col("gap") - F.col("total")) < F.col("gap"))))
+    fill = rest.groupBy(F.col("source").alias("_f")).agg(F.min_by(F.struct("key", "size"), F.struct(F.abs(F.col("gap") - F.col("total")), "key", "size")).alias("fill"))
+    found = last.join(fill, F.col("_s").eqNullSafe(F.col("_f")), "left").select("_s", "rounds", "fill")
     return staged(counted.join(found, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "plan")
 
 
-def _times(drawn: Column, epochs: Column, cut: Column, fill: Column) -> Column:
-    once = F.coalesce(drawn <= cut, F.lit(False)) | F.coalesce(drawn == fill, F.lit(False))
+def _times(drawn: Column, size: Column, epochs: Column, rounds: Column, fill: Column) -> Column:
+    once = _drawn(drawn, size, rounds) | F.coalesce((drawn == fill["key"]) & (size == fill["size"]), F.lit(False))
     return epochs + once.cast("long")
 
 
@@ -99,19 +132,19 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     Null and wordless texts have size 0 and are taken 0 words of.  A null
     source is a source of its own, sorted last.  Rows that repeat an id are
-    separate rows with one fate.  Reruns on any partitioning agree, as keys
+    separate rows; those of one size share their fate.  Reruns on any partitioning agree, as keys
     come from ids.  Other columns are ignored."""
     sized = staged(_sized(docs, doc_id, text, source), "sized")
     p = plan(sized).withColumnRenamed("source", "_source")
-    taken = F.col("size") * _times(F.col("key"), F.col("epochs"), F.col("cut"), F.col("fill"))
+    taken = F.col("size") * _times(F.col("key"), F.col("size"), F.col("epochs"), F.col("rounds"), F.col("fill"))
     return sized.join(p, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def take(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken, columns as they are."""
-    p = plan(staged(_sized(docs, doc_id, text, source), "sized")).select("source", "epochs", "cut", "fill")
-    drawn = key(docs[doc_id].cast("long"), quality(word_count(docs[text])))
-    times = _times(drawn, p["epochs"], p["cut"], p["fill"])
+    p = plan(staged(_sized(docs, doc_id, text, source), "sized")).select("source", "epochs", "rounds", "fill")
+    size = word_count(docs[text])
+    times = _times(key(docs[doc_id].cast("long"), quality(size)), size, p["epochs"], p["rounds"], p["fill"])
     joined = docs.join(p, docs[source].eqNullSafe(p["source"]))
     copy = fresh(docs, "copy")
     return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(True), times.cast("int"))).alias(copy)).drop(copy)

@@ -111,7 +111,7 @@ SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(v.vec_id, co
 FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN c ON c.a = v.vec_id
 """,
     "op4_mixing": rf"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents
 ), k AS (
   SELECT *, -ln((CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))
@@ -130,21 +130,32 @@ WITH d AS (
 ), b AS (
   SELECT *, CASE WHEN ss > 0 THEN floor(target / ss) ELSE 0 END AS epochs FROM t
 ), u AS (
-  SELECT k.source, k.key, sum(k.size) AS size, any_value(b.target - b.epochs * b.ss) AS budget
-  FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source GROUP BY k.source, k.key
-), p AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key) AS fin FROM u
+  SELECT k.source, k.key, k.size, CAST(count(*) * k.size AS BIGINT) AS total FROM k GROUP BY k.source, k.key, k.size
+), rounds AS (
+  SELECT source, target, 0 AS n, CAST(-1 AS DOUBLE) AS lk, CAST(-1 AS BIGINT) AS ls, CAST('inf' AS DOUBLE) AS longest, CAST(NULL AS DOUBLE) AS hk, CAST(NULL AS BIGINT) AS hs,
+         CAST(target - epochs * ss AS DOUBLE) AS gap, CAST(-1 AS DOUBLE) AS nk, CAST(-1 AS BIGINT) AS ns, CAST('inf' AS DOUBLE) AS most FROM b
+  UNION ALL
+  SELECT source, target, n + 1, nk, ns, most, hi.key, hi.size, gap - filled, blocked.key, blocked.size, (gap - filled) / 2
+  FROM (
+    SELECT source, any_value(target) AS target, any_value(n) AS n, any_value(nk) AS nk, any_value(ns) AS ns, any_value(most) AS most, any_value(gap) AS gap,
+           max({{'key': key, 'size': size}}) FILTER (fin <= gap) AS hi, coalesce(max(fin) FILTER (fin <= gap), 0) AS filled, min({{'key': key, 'size': size}}) FILTER (fin > gap) AS blocked
+    FROM (
+      SELECT r.*, u.key, u.size, sum(u.total) OVER (PARTITION BY r.source ORDER BY u.key, u.size) AS fin
+      FROM rounds r JOIN u ON u.source IS NOT DISTINCT FROM r.source AND (u.key > r.nk OR (u.key = r.nk AND u.size > r.ns)) AND u.size <= r.most
+      WHERE r.nk IS NOT NULL AND (r.n = 0 OR r.gap > {mixing.NEAR} * r.target))
+    GROUP BY source)
 ), c AS (
-  SELECT source, any_value(budget) - coalesce(max(fin) FILTER (fin <= budget), 0) AS gap, max(key) FILTER (fin <= budget) AS cut FROM p GROUP BY source
+  SELECT source, arg_min(gap, -n) AS gap FROM rounds GROUP BY source
+), drawn AS (
+  SELECT DISTINCT u.source, u.key, u.size FROM u JOIN rounds r ON u.source IS NOT DISTINCT FROM r.source AND (u.key > r.lk OR (u.key = r.lk AND u.size > r.ls))
+    AND (u.key < r.hk OR (u.key = r.hk AND u.size <= r.hs)) AND u.size <= r.longest
 ), f AS (
-  SELECT p.source, p.key FROM p JOIN c ON p.source IS NOT DISTINCT FROM c.source
-  WHERE (c.cut IS NULL OR p.key > c.cut) AND abs(c.gap - p.size) < c.gap
-  QUALIFY row_number() OVER (PARTITION BY p.source ORDER BY abs(c.gap - p.size), p.key) = 1
-)
-SELECT k.doc_id, k.size, b.ss AS source_size, b.target,
-       CAST(k.size * (b.epochs + CASE WHEN coalesce(k.key <= c.cut, false) OR coalesce(k.key = f.key, false) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source JOIN c ON k.source IS NOT DISTINCT FROM c.source
-LEFT JOIN f ON k.source IS NOT DISTINCT FROM f.source
+  SELECT u.source, u.key, u.size FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source
+  WHERE abs(c.gap - u.total) < c.gap AND NOT EXISTS (SELECT 1 FROM drawn d WHERE d.source IS NOT DISTINCT FROM u.source AND d.key = u.key AND d.size = u.size)
+  QUALIFY row_number() OVER (PARTITION BY u.source ORDER BY abs(c.gap - u.total), u.key, u.size) = 1
+), once AS (SELECT * FROM drawn UNION SELECT * FROM f)
+SELECT k.doc_id, k.size, b.ss AS source_size, b.target, CAST(k.size * (b.epochs + CASE WHEN once.key IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS taken
+FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source LEFT JOIN once ON once.source IS NOT DISTINCT FROM k.source AND once.key = k.key AND once.size = k.size
 """,
     "op9_quality_rules": rf"""
 WITH d AS (

@@ -41,6 +41,23 @@ def test_targets_and_taken(spark):
     assert sum(target.values()) == pytest.approx(1.5 * sum(sizes.values()))
 
 
+@pytest.mark.parametrize("long_id", [3, 1500, 2999, 7777])
+def test_one_long_document_does_not_end_the_draw(spark, long_id):
+    """A source of many short texts and one very long one, which often stands early in key order."""
+    rows = [(k, prose(k % 50, 60), "en", "b", 1) for k in range(3000) if k != long_id]
+    rows += [(long_id, " ".join(["word"] * 40_000), "en", "b", 1)]
+    rows += [(10_000 + k, prose(k, 80), "en", "ac"[k % 2], 1) for k in range(600)]
+    df = documents(spark, rows, clash=False)
+    source = {r[0]: r[3] for r in rows}
+    taken, target, total = {}, {}, {}
+    for r in mixing.mix(df).collect():
+        s = source[r["doc_id"]]
+        taken[s], target[s], total[s] = taken.get(s, 0) + r["taken"], r["target"], r["source_size"]
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+    assert all(abs(taken[s] - target[s]) <= 60 for s in taken)
+    assert mixing.take(df).count() > 0
+
+
 def test_reruns_agree_on_any_partitioning(spark):
     df = documents(spark, many(200), clash=False)
     runs = [sorted(map(tuple, mixing.mix(df.repartition(n)).select("doc_id", "taken").collect())) for n in (1, 7)]
