@@ -3,7 +3,8 @@
 A store is a folder of shards in ascending doc_id order plus one shared
 zstandard dictionary, trained on serialized id arrays of a sample.  Every
 document is its own zstandard frame, so one short document can be read
-without the others.  Shard layout, little-endian:
+without the others.  Texts are encoded and compressed where they lie; only
+frames are sorted by doc_id.  Shard layout, little-endian:
 
     header   8 bytes magic, 32 bytes SHA-256 of the dictionary
     frames   one per document: its ids as unsigned 32-bit integers
@@ -34,8 +35,9 @@ from bootlens.session import scratch_dir
 
 MAGIC = b"TOKSHRD1"
 HEADER, ENTRY, FOOTER = 40, 48, 24
-#: Documented bounds of the dictionary's training sample and of the dictionary.
-SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 2000, 8 << 20, 64 << 10
+#: Documented bounds of the dictionary's training sample (about so many documents, so many pieces of
+#: so many bytes of each, spread evenly over its whole id array) and of the dictionary.
+SAMPLE_DOCS, PIECES, PIECE, DICT_BYTES = 2000, 8, 512, 64 << 10
 LEVEL = 3
 #: Longer units are not kept in a worker's cache.
 LONGEST = 64
@@ -45,7 +47,9 @@ class LibraryEncoder:
     """The tokenizers library over white-space units, whose ids do not depend on their neighbours.
 
     Units repeat, so each distinct one in a bounded cache goes through the
-    library once.  Units that start with their space can stand side by side in
+    library once.  The cache has two generations: when the young one is full it
+    becomes the old one, and what is met again moves up, so that frequent units
+    stay however many rare ones pass.  Units that start with their space can stand side by side in
     one text without changing each other's ids; thousands of them are encoded
     at once and told apart by their offsets."""
 
@@ -57,7 +61,8 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.limit = limit
 
     def _spaced(self, units: list[str]) -> list[bytes]:
@@ -80,17 +85,25 @@ class LibraryEncoder:
         for at in range(0, len(other), 4096):
             part = other[at:at + 4096]
             made.update(zip(part, [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]))
-        if len(self.cache) + len(made) > self.limit:
-            self.cache.clear()
-        self.cache.update((u, ids) for u, ids in made.items() if len(u) <= LONGEST)
+        self._keep((u, ids) for u, ids in made.items() if len(u) <= LONGEST)
         return made
 
+    def _keep(self, units) -> None:
+        if 2 * len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young.update(units)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, serialized as unsigned 32-bit integers."""
         cut = [self.units(t) for t in texts]
-        known = self.cache.get
+        known = self.young.get
         here = {u: known(u) for u in set().union(*cut)}  # small enough to stay in the processor's cache
-        here.update(self.learn([u for u, ids in here.items() if ids is None]))
+        missing = [u for u, ids in here.items() if ids is None]
+        if missing:
+            again = {u: ids for u, ids in zip(missing, map(self.old.get, missing)) if ids is not None}
+            here.update(again)
+            here.update(self.learn([u for u in missing if u not in again]))
+            self._keep(again.items())
         return [b"".join(map(here.__getitem__, units)) for units in cut]
 
     def units(self, text: str) -> list[str]:
@@ -110,25 +123,37 @@ def encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def train_dictionary(docs: DataFrame, path: str, end_id: int, max_docs: int = SAMPLE_DOCS, max_bytes: int = SAMPLE_BYTES) -> bytes:
-    """Dictionary from the id arrays of about ``max_docs`` documents drawn by a hash of the row's place, ``max_bytes`` in all.
+def pieces(ids: bytes, count: int = PIECES, size: int = PIECE) -> bytes:
+    """A serialized id array, or ``count`` pieces of ``size`` bytes spread evenly over the whole of a longer one."""
+    if len(ids) <= count * size:
+        return ids
+    last = (len(ids) - size) // 4
+    return b"".join(ids[4 * at:4 * at + size] for at in (last * k // (count - 1) for k in range(count)))
+
+
+def train_dictionary(docs: DataFrame, path: str, end_id: int, max_docs: int = SAMPLE_DOCS) -> bytes:
+    """Dictionary from pieces of the id arrays of about ``max_docs`` documents drawn by a hash of doc_id (null: of the text).
 
-    Of a sampled document its first 64 KiB of ids count.  Too few samples give
-    an empty dictionary (frames are then compressed without one)."""
+    The sample is encoded where it lies and trained on in one task in order of
+    doc_id, so the same documents give the same dictionary on any partitioning.
+    Too few samples give an empty one (frames are then compressed without)."""
     total = docs.count()
-    sample = docs.where(hash_share(F.monotonically_increasing_id(), max_docs, total))
+    sample = docs.where(hash_share(F.coalesce("doc_id", F.xxhash64("text")), max_docs, total))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = struct.pack("<I", end_id)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                made = [pieces(ids + end) for ids in encoder(path).encode(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["doc_id", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        samples, size = [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                if size < max_bytes:
-                    for ids in encoder(path).encode(batch.column(1).slice(at, 64).to_pylist()):
-                        samples.append((ids + struct.pack("<I", end_id))[:1 << 16])
-                        size += len(samples[-1])
-        made = b""
+        rows = sorted((i is not None, i or 0, ids) for batch in batches for i, ids in zip(*(c.to_pylist() for c in batch.columns)))
+        samples = [ids for *_, ids in rows]
+        size, made = sum(map(len, samples)), b""
         if len(samples) >= 16 and size >= 16 * 1024:
             try:
                 made = zstandard.train_dictionary(min(DICT_BYTES, max(1024, size // 10)), samples, level=LEVEL).as_bytes()
@@ -136,7 +161,8 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, max_docs: int = SA
                 made = b""
         yield pa.RecordBatch.from_pydict({"dict": pa.array([made], pa.binary())})
 
-    rows = sample.select("doc_id", "text").repartition(1).mapInArrow(run, "dict binary").collect()  # DICT_BYTES at most
+    bits = sample.select("doc_id", "text").mapInArrow(cut, "doc_id long, ids binary")
+    rows = bits.repartition(1).mapInArrow(run, "dict binary").collect()  # DICT_BYTES at most
     return bytes(rows[0][0]) if rows else b""
 
 
@@ -153,8 +179,9 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 2, doc_id
 
     Returns the manifest (shard, file, n_docs, n_tokens), also written to the
     folder.  Null texts are empty.  Documents without an id come first;
-    documents that share an id follow each other, by text.  Columns other than
-    the two named are ignored.  One shuffle, by ranges of doc_id."""
+    documents that share an id follow each other, by a hash of the text.
+    Columns other than the two named are ignored.  One pass over the texts gives
+    frames, written once; they are shuffled by ranges of doc_id."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     dictionary = train_dictionary(rows, path, end_id)
     files, at = store(folder)
@@ -163,32 +190,38 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 2, doc_id
         out.write(dictionary)
     shared = rows.sparkSession.sparkContext.broadcast(dictionary)  # DICT_BYTES at most
 
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool, end = _compressor(shared.value), struct.pack("<I", end_id)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                ids = [x + end for x in encoder(path).encode(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(tool.compress, ids), pa.binary())],
+                                                 names=["doc_id", "hash", "n_tokens", "frame"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        press, fs, index, before, out, offset = _compressor(shared.value), store(folder)[0], [], 0, None, HEADER
-        name, attempt, end = f"{at}/shard-{shard:08d}", f"{at}/attempt-{uuid.uuid4().hex}", struct.pack("<I", end_id)
+        fs, index, before, out, offset = store(folder)[0], [], 0, None, HEADER
+        name, attempt = f"{at}/shard-{shard:08d}", f"{at}/attempt-{uuid.uuid4().hex}"
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                if out is None:
-                    out = fs.open_output_stream(attempt)
-                    out.write(MAGIC + hashlib.sha256(shared.value).digest())
-                for i, ids in zip(part.column(0).to_pylist(), encoder(path).encode(part.column(1).to_pylist())):
-                    ids += end
-                    frame = press.compress(ids)
-                    out.write(frame)
-                    index.append(struct.pack("<6q", i is not None, i or 0, offset, len(frame), len(ids) // 4, before))
-                    before += len(ids) // 4
-                    offset += len(frame)
+            if out is None and batch.num_rows:
+                out = fs.open_output_stream(attempt)
+                out.write(MAGIC + hashlib.sha256(shared.value).digest())
+            for i, n, frame in zip(*(c.to_pylist() for c in batch.columns)):
+                out.write(frame)
+                index.append(struct.pack("<6q", i is not None, i or 0, offset, len(frame), n, before))
+                before += n
+                offset += len(frame)
         if out is not None:
             out.write(b"".join(index) + struct.pack("<2q", len(index), before) + MAGIC)
             out.close()
             fs.move(attempt, name)
             yield pa.RecordBatch.from_pylist([{"shard": shard, "file": name, "n_docs": len(index), "n_tokens": before}])
 
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    frames = staged(rows.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(press, "doc_id long, hash long, n_tokens long, frame binary"), "frames")
+    ordered = frames.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "hash", "frame").select("doc_id", "n_tokens", "frame")
     written = ordered.mapInArrow(run, "shard long, file string, n_docs long, n_tokens long")
     written.write.parquet(f"{folder}/manifest")
     return rows.sparkSession.read.parquet(f"{folder}/manifest")

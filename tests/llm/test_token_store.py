@@ -62,3 +62,24 @@ def test_one_document_by_its_index(spark, tmp_dir):
 
 def test_empty_table(spark):
     assert ts.round_trip(documents(spark, []), PATH).collect() == []
+
+
+def test_pieces_cover_the_whole_document():
+    ids = np.arange(5000, dtype="<u4").tobytes()
+    got = np.frombuffer(ts.pieces(ids), dtype="<u4")
+    assert len(got) == ts.PIECES * ts.PIECE // 4 and got[0] == 0 and got[-1] == 4999 and ts.pieces(ids[:400]) == ids[:400]
+    assert max(np.diff(got)) < 5000 / (ts.PIECES - 1)
+
+
+def test_the_dictionary_does_not_depend_on_partitioning(spark):
+    rows = [(k, prose(k, 90), "en", "a", 1) for k in range(400)] + [(None, prose(k, 90), "en", "a", 1) for k in range(20)]
+    df = documents(spark, rows, clash=False).select("doc_id", "text")
+    a, b = (ts.train_dictionary(df.repartition(n), PATH, 2) for n in (1, 6))
+    assert a == b and a
+
+
+def test_frequent_units_stay_in_the_cache():
+    own = ts.LibraryEncoder(PATH, limit=200)
+    for k in range(30):
+        own.encode([" ".join(["the", "frequent", "words", *(f"rare{k}x{j}" for j in range(40))])])
+    assert {" frequent", " words"} <= set(own.young) | set(own.old) and len(own.young) + len(own.old) <= 2 * 200
