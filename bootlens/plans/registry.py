@@ -7,6 +7,7 @@ operator's result.  Column names match the oracle SQL.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,7 +17,8 @@ from bootlens.operators import allocation, catalog as cat, changes as chg, histo
 from bootlens.operators import requests as rq, timeline as tl, windows as win
 from bootlens.plans import standins as si
 from bootlens.session import scratch_dir
-from bootlens.sources import catalog as src_cat, files as src_files, timeline as sources_timeline
+from bootlens.operators.sequence import Count, ordered_scan
+from bootlens.sources import catalog as src_cat, files as src_files, tail, timeline as sources_timeline, versions as vs
 from bootlens.streaming import boot as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -671,6 +673,41 @@ def apply_replace(spark, sf_dir):
                              order=["line"], highest=top)
 
 
+@query("versioned_import", _CHANGE_SQL + """,
+every AS (SELECT c_custkey AS kernel_id, c_name AS kernel_name, 'k/' || c_custkey AS kernel_file, CAST(NULL AS VARCHAR) AS kernel_sig_file, c_mktsegment AS kernel_param FROM customer),
+after AS (
+  SELECT t.kernel_id, t.kernel_name, COALESCE(ch.kernel_file, t.kernel_file) AS kernel_file,
+         CASE WHEN ch.kernel_name IS NULL THEN t.kernel_sig_file ELSE ch.kernel_sig_file END AS kernel_sig_file, t.kernel_param
+  FROM t LEFT JOIN lasts ch ON ch.kernel_name = t.kernel_name
+  UNION ALL
+  SELECT top.m + ROW_NUMBER() OVER (ORDER BY ch.kernel_name), ch.kernel_name, ch.kernel_file, ch.kernel_sig_file, ''
+  FROM lasts ch, top WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.kernel_name = ch.kernel_name))
+SELECT 0 AS version, 1 AS refused, * FROM every UNION ALL SELECT 1, 1, * FROM t UNION ALL SELECT 2, 1, * FROM after""")
+def versioned_import(spark, sf_dir):
+    """M5 and M2 as versions of a table: the last kernel is deleted, a batch imported; a second writer, still on the
+    base of the import, is refused.  All three versions are read at the end; the deleted id does not return."""
+    c = si.table(spark, sf_dir, "customer")
+    _, ch, _ = si.customer_kernels(spark, sf_dir)
+    every = c.select(F.col("c_custkey").alias("kernel_id"), F.col("c_name").alias("kernel_name"), F.concat(F.lit("k/"), F.col("c_custkey").cast("string")).alias("kernel_file"),
+                     F.lit(None).cast("string").alias("kernel_sig_file"), F.col("c_mktsegment").alias("kernel_param"))
+    path = scratch_dir(spark, "kernels")
+    vs.create(path, every, "kernel_name", "kernel_id", buckets=16)
+    last = c.where(F.col("c_custkey") == c.agg(F.max("c_custkey")).scalar()).select(F.col("c_name").alias("kernel_name"))
+    base = vs.commit(path, 0, last, lambda rows, names, top: chg.delete_by_name(rows, names, "kernel_name")[0])
+
+    def imported(rows, changes, top):
+        return chg.apply_upsert(rows, changes, "kernel_name", "kernel_id", order=["line"], highest=top)
+
+    vs.commit(path, base, ch, imported)
+    refused = 0
+    try:
+        vs.commit(path, base, ch, imported)
+    except vs.VersionConflict:
+        refused = 1
+    out = [vs.read(spark, path, v).select(F.lit(v).alias("version"), F.lit(refused).alias("refused"), "*") for v in vs.versions(spark, path)]
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 _DUMP_TABLES = ("region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events", "documents", "pages",
                 "benchmark", "labels", "conversations")
 
@@ -1314,6 +1351,47 @@ def timeline_stream(spark, sf_dir):
     return got.where("valid").select("host", "epoch_ns", "pid", "message")
 
 
+@query("timeline_follow", """
+WITH l AS (SELECT 'd' || (user_id % 3) AS host, epoch_us(ts) * 1000 AS epoch_ns, user_id AS pid, event_type AS message, event_id FROM events)
+SELECT host, row_number() OVER (PARTITION BY host ORDER BY event_id) AS place, epoch_ns, pid, message FROM l""")
+def timeline_follow(spark, sf_dir):
+    """S5 on files that grow: three logs get their lines in two turns, the second while the stream stands between two
+    micro-batches; the byte positions put the lines in the order in which they were written."""
+    import os
+
+    out = scratch_dir(spark, "growing")
+    ev = si.table(spark, sf_dir, "events").select(
+        F.concat(F.lit("d"), (F.col("user_id") % 3).cast("string")).alias("host"), "event_id",
+        sources_timeline.format_line(F.lit("d"), si.epoch_ns_of(F.col("ts")), F.col("user_id"), F.col("event_type")).alias("value"))
+    half = ev.agg(F.expr("percentile_approx(event_id, 0.5)")).scalar()
+    root = tail._store(out)[1]
+
+    def grow(part):
+        """Append the lines to their logs, as their writers would, a log a task."""
+        def run(batches):
+            import pyarrow as pa
+
+            logs = {}
+            for b in batches:
+                for host, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if host not in logs:
+                        os.makedirs(f"{root}/{host}", exist_ok=True)
+                        logs[host] = open(f"{root}/{host}/time.log", "a")
+                    logs[host].write(value + "\n")
+            for f in logs.values():
+                f.close()
+            yield pa.RecordBatch.from_pydict({"n": [len(logs)]})
+
+        ev.where(part).repartition("host").sortWithinPartitions("host", "event_id").select("host", "value").mapInArrow(run, "n long").collect()   # a row a task
+
+    folder = scratch_dir(spark, "s5-follow")
+    for part in (F.col("event_id") <= half, F.col("event_id") > half):
+        grow(part)
+        got = stream.run_to_files(tail.follow_timeline(spark, out, "time.log", range_bytes=1 << 16), folder)
+    placed = ordered_scan(got.where("valid"), ["host"], ["seq"], [Count("place")])
+    return placed.select("host", "place", "epoch_ns", "pid", "message")
+
+
 @query("listing_manifests", """
 WITH s AS (SELECT s_suppkey AS k, s_acctbal, s_nationkey FROM supplier)
 SELECT 'r' || k AS repo,
@@ -1540,6 +1618,17 @@ def area_listing(spark, sf_dir):
     return src_files.area_counts(listing, areas).select("area", "n")
 
 
+@query("files_touched", """
+SELECT 'event_type=' || event_type AS area, CAST(ceil(COUNT(*) / 100.0) AS BIGINT) AS n FROM events GROUP BY event_type""")
+def files_touched(spark, sf_dir):
+    """S10 + P6 + A7: the files that this run has written, listed by the executors with their access times, less than a day old."""
+    out = scratch_dir(spark, "touched")
+    si.table(spark, sf_dir, "events").repartition("event_type").write.option("maxRecordsPerFile", 100).partitionBy("event_type").parquet(out)
+    recent = src_files.accessed_since(src_files.read_listing(spark, out, pattern="*.parquet"), F.current_timestamp())
+    area = F.element_at(F.split("path", "/"), -2)
+    return recent.groupBy(area.alias("area")).agg(F.count("*").alias("n"))
+
+
 @query("accessed_since", """
 SELECT 'f/' || event_id AS path, ts AS accessed FROM events
 WHERE ts > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 1 DAY""")

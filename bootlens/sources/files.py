@@ -7,9 +7,16 @@ column expressions; the file a row came from is ``_metadata.file_path``.
 
 from __future__ import annotations
 
+import datetime as dt
+import fnmatch
+import functools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from bootlens.schemas import SAMPLE
+from bootlens.session import scratch_dir
 
 # --------------------------------------------------------------------------
 # manifests
@@ -173,17 +180,61 @@ def parse_results(lines: DataFrame) -> DataFrame:
 # S10, S11, S12
 
 
-def read_listing(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """Files under ``root`` (path, length, modified, accessed).
-
-    Spark's binaryFile source reads no file content when ``content`` is
-    not selected.  It offers no access time, so ``accessed`` is NULL; pass
-    an exported listing table for P6."""
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if pattern:
-        r = r.option("pathGlobFilter", pattern)
-    return r.load(root).select("path", "length", F.col("modificationTime").alias("modified"),
-                               F.lit(None).cast("timestamp").alias("accessed"))
+_ENTRY = pa.schema([("path", pa.string()), ("folder", pa.bool_()), ("length", pa.int64()), ("modified", pa.timestamp("us", "UTC")), ("accessed", pa.timestamp("us", "UTC"))])
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of each folder of a batch; access times where the file system is the executor's own or mounted."""
+    import os
+
+    from pyarrow import fs
+
+    utc = lambda t: dt.datetime.fromtimestamp(t, dt.timezone.utc)
+    for batch in batches:
+        for uri in batch.column(0).to_pylist():
+            rows = []
+            if "://" in uri and not uri.startswith("file:"):
+                store, root = fs.FileSystem.from_uri(uri)
+                head = uri[:len(uri) - len(root)]
+                for i in store.get_file_info(fs.FileSelector(root)):
+                    rows.append({"path": head + i.path, "folder": i.type == fs.FileType.Directory, "length": i.size, "modified": i.mtime, "accessed": None})
+            else:
+                root = "/" + uri.split(":", 1)[1].lstrip("/") if uri.startswith("file:") else uri
+                with os.scandir(root) as found:
+                    for e in found:
+                        if e.is_dir(follow_symlinks=False):
+                            rows.append({"path": e.path, "folder": True, "length": None, "modified": None, "accessed": None})
+                        elif e.is_file():
+                            st = e.stat()
+                            rows.append({"path": e.path, "folder": False, "length": st.st_size, "modified": utc(st.st_mtime), "accessed": utc(st.st_atime)})
+            for at in range(0, len(rows), 4096):
+                yield pa.RecordBatch.from_pylist(rows[at:at + 4096], schema=_ENTRY)
+
+
+def read_listing(spark: SparkSession, root: str, pattern: str | None = None, partitions: int | None = None) -> DataFrame:
+    """Files under ``root`` (path, length, modified, accessed), with an optional pattern of their names.
+
+    Folders are listed by tasks, one level of the tree a round: each round's
+    folders are spread over the executors, its entries are written to the shared
+    checkpoint folder, and the driver only asks whether folders are left.
+    ``accessed`` is the file system's access time, and NULL in stores that keep
+    none.  Names that begin with ``_`` or ``.`` and what lies in such folders
+    are left out, as Spark's own readers do."""
+    n = int(partitions or spark.conf.get("spark.sql.shuffle.partitions"))
+    level, files = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string"), []
+    while True:
+        path = scratch_dir(spark, "listing")
+        found = level.repartition(n).mapInArrow(_entries, "path string, folder boolean, length long, modified timestamp, accessed timestamp")
+        found.where(~F.element_at(F.split("path", "/"), -1).rlike("^[_.]")).write.parquet(path)
+        entries = spark.read.parquet(path)
+        files.append(entries.where("NOT folder").select("path", "length", "modified", "accessed"))
+        level = entries.where("folder").select("path")
+        if level.isEmpty():
+            break
+    out = functools.reduce(DataFrame.unionByName, files)
+    if not pattern:
+        return out
+    return out.where(F.element_at(F.split("path", "/"), -1).rlike("^" + fnmatch.translate(pattern)))
 
 
 def accessed_since(listing: DataFrame, now: Column, days: float = 1.0, ts: str = "accessed") -> DataFrame:
