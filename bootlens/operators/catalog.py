@@ -13,8 +13,9 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from bootlens.session import scratch_dir
 from bootlens.operators.sequence import Count, ordered_scan
 from bootlens.schemas import IMAGE_KINDS
 
@@ -112,51 +113,56 @@ def match_rank(nodes: DataFrame, requests: DataFrame, request_id: str = "request
     request column) only TPM nodes count for the requests that need one.
 
     No request x node pairs are formed.  A request's predicates fold into one
-    interval of ranks.  The distinct ranks are numbered in order (a running
-    count, ``ordered_scan``, in which the interval ends take part and so find
-    their numbers).  Over these numbers a tree of halves holds count and
-    lowest id per span of 1, 2, 4, ... ranks; an interval is at most two spans
-    of each length, found by an equi-join."""
+    interval of ranks.  Distinct ranks and interval ends stand in one order
+    (``ordered_scan``): running sums there give every end the number of ranks
+    and of nodes before it, so the count is one difference.  The lowest id of a
+    stretch of ranks is two look-ups in a disjoint sparse table: for each length
+    2^k the ranks are cut into halves of that length, and each rank keeps the
+    lowest id from itself to the middle of its pair of halves.  Two ranks that
+    differ in bit k at the highest lie on both sides of such a middle.  Nodes
+    and requests are read once, into the written table of that order."""
     o, v = F.col(op), F.col(n)
     known = F.coalesce(o.isin(*RANK_OPS), F.lit(False))
+    bounded = F.coalesce(o.isin("ge", "le", "eq"), F.lit(False))
     secure = F.coalesce(F.col(need_tpm), F.lit(False)) if need_tpm else F.lit(False)
-    iv = requests.groupBy(request_id).agg(
-        F.max(F.when(o.isin("ge", "eq"), v)).cast("long").alias("_lo"),
-        F.min(F.when(o.isin("le", "eq"), v)).cast("long").alias("_hi"),
-        F.max(secure).alias("_need"),
-        F.max((~known | (o.isin("ge", "le", "eq") & v.isNull())).cast("int")).alias("_void"))
+    iv = requests.groupBy(F.col(request_id).alias("_req")).agg(
+        F.max(F.when(o.isin("ge", "eq"), v)).cast("long").alias("_lo"), F.min(F.when(o.isin("le", "eq"), v)).cast("long").alias("_hi"),
+        F.max(bounded).alias("_ranked"), F.max(secure).alias("_need"), F.max(~known | (bounded & v.isNull())).alias("_void"))
     has = F.coalesce(F.col(tpm), F.lit(False)) if tpm in nodes.columns else F.lit(False)
-    per_rank = (nodes.groupBy(F.col(rank).cast("long").alias("_at"))   # nodes without a rank come first
-                .agg(F.count("*").alias("_n"), F.min(node_id).alias("_id"),
-                     F.count(F.when(has, 1)).alias("_nt"), F.min(F.when(has, F.col(node_id))).alias("_idt")))
-    # ends before a rank of the same value look at smaller ranks only: side 0 < rank 1 < side 2
-    none = [F.lit(None).cast("long").alias(c) for c in ("_n", "_nt")] + [F.lit(None).cast(nodes.schema[node_id].dataType).alias(c) for c in ("_id", "_idt")]
-    ends = iv.select(F.col(request_id).alias("_req"), F.explode(F.array(
-        F.struct(F.lit(0).alias("_side"), F.col("_lo").alias("_at")), F.struct(F.lit(2).alias("_side"), F.col("_hi").alias("_at")))).alias("_e"))
-    rows = per_rank.select("_at", F.lit(1).alias("_side"), F.lit(None).cast(iv.schema[request_id].dataType).alias("_req"), "_n", "_nt", "_id", "_idt").unionByName(
-        ends.where("_e._at is not null").select(F.col("_e._at").alias("_at"), F.col("_e._side").alias("_side"), "_req", *none))
-    placed = ordered_scan(rows, [], ["_at", "_side", "_req"], [Count("_k", F.col("_side") == 1)], partitions=partitions)
-    levels = per_rank.agg(F.ceil(F.log2(F.count("*") + F.lit(1.0))).cast("int")).scalar()
-    spans = placed.where("_side = 1").select("_n", "_nt", "_id", "_idt", (F.col("_k") - 1).alias("_i"), F.explode(F.sequence(F.lit(0), levels)).alias("_level"))
-    tree = (spans.groupBy("_level", F.expr("shiftright(_i, _level)").alias("_span"))
-            .agg(F.sum("_n").alias("_n"), F.min("_id").alias("_id"), F.sum("_nt").alias("_nt"), F.min("_idt").alias("_idt")))
-    total = per_rank.agg(F.count("*")).scalar()
-    unranked = per_rank.where("_at is null").agg(F.count("*")).scalar()
-    bounds = placed.where("_side != 1").groupBy("_req").agg(
-        F.max(F.when(F.col("_side") == 0, F.col("_k"))).alias("_a"), F.max(F.when(F.col("_side") == 2, F.col("_k"))).alias("_b"))
-    asked = (iv.where("_void = 0").join(bounds, F.col(request_id) == F.col("_req"), "left")
-             .select(request_id, "_need", F.coalesce("_a", F.when(F.col("_hi").isNotNull(), unranked).otherwise(0)).alias("_a"), F.coalesce("_b", total).alias("_b"),
-                     F.explode(F.sequence(F.lit(0), levels)).alias("_level")))
-    # spans of this length: [a, b) rounded inwards; an odd end is not covered by the next length
-    low, high = F.expr("shiftright(_a + shiftleft(1L, _level) - 1, _level)"), F.expr("shiftright(_b, _level)")
-    pieces = (asked.withColumn("_l", low).withColumn("_h", high).where("_l < _h")
-              .select(request_id, "_need", "_level", F.explode(F.array_compact(F.array(
-                  F.when(F.col("_l") % 2 == 1, F.col("_l")), F.when(F.col("_h") % 2 == 1, F.col("_h") - 1)))).alias("_span")))
-    count = F.when(F.col("_need"), F.col("_nt")).otherwise(F.col("_n"))
-    lowest = F.when(F.col("_need"), F.col("_idt")).otherwise(F.col("_id"))
-    found = pieces.join(tree, ["_level", "_span"]).groupBy(request_id).agg(F.sum(count).alias("n_nodes"), F.min(lowest).alias(node_id))
-    return iv.select(request_id).join(found, request_id, "left").select(
-        request_id, F.coalesce("n_nodes", F.lit(0)).cast("long").alias("n_nodes"), node_id)
+    per_rank = (nodes.groupBy(F.col(rank).cast("long").alias("_rank"))
+                .agg(F.count("*").alias("_n"), F.min(node_id).alias("_id"), F.count(F.when(has, 1)).alias("_nt"), F.min(F.when(has, F.col(node_id))).alias("_idt")))
+    # places: zone 0 the nodes without a rank, 1 the ranks, -1 and 2 before and behind all; of one value, low end < rank < high end
+    zone, at, side = ("_zone", "_at", "_side")
+    place = lambda z, x, y: F.struct(F.lit(z).alias(zone), F.coalesce(x, F.lit(0)).cast("long").alias(at), F.lit(y).alias(side))
+    first, last, zero = place(-1, F.lit(0), 0), place(2, F.lit(0), 2), F.lit(-(1 << 63))
+    low = (F.when(F.col("_void"), place(2, F.lit(0), 0)).when(F.col("_lo").isNotNull(), place(1, F.col("_lo"), 0)).when(F.col("_ranked"), place(1, zero, 0)).otherwise(first))
+    high = (F.when(F.col("_void"), place(-1, F.lit(0), 2)).when(F.col("_hi").isNotNull(), place(1, F.col("_hi"), 2)).otherwise(last))
+    ends = iv.select("_req", "_need", F.explode(F.array(low, high)).alias("_p")).select("_req", "_need", "_p.*")
+    ranks = per_rank.select(F.when(F.col("_rank").isNull(), 0).otherwise(1).alias(zone), F.coalesce("_rank", F.lit(0)).cast("long").alias(at), F.lit(1).alias(side), "_n", "_nt", "_id", "_idt")
+    is_rank = F.col(side) == 1
+    scanned = ordered_scan(ranks.unionByName(ends, allowMissingColumns=True), [], [zone, at, side, "_req"],
+                           [Count("_k", is_rank), Count("_c", is_rank, F.col("_n")), Count("_ct", is_rank, F.col("_nt"))], partitions=partitions)
+    path = scratch_dir(nodes.sparkSession, "ranks")
+    scanned.write.parquet(path)
+    placed = nodes.sparkSession.read.schema(scanned.schema).parquet(path)
+    # the sparse table; a number's level is the highest bit in which it can differ from another
+    bits = placed.where(is_rank).agg(F.max(F.length(F.bin(F.col("_k"))))).scalar()
+    half = F.expr("shiftright(_i, _level)")
+    outward = W.partitionBy("_level", half).orderBy(F.when(half % 2 == 0, -F.col("_i")).otherwise(F.col("_i"))).rowsBetween(W.unboundedPreceding, W.currentRow)
+    table = (placed.where(is_rank).select((F.col("_k") - 1).alias("_i"), "_id", "_idt", F.explode(F.sequence(F.lit(0), bits)).alias("_level"))
+             .select("_level", "_i", F.min("_id").over(outward).alias("_id"), F.min("_idt").over(outward).alias("_idt")))
+    of = lambda end, c: F.max(F.when(F.col(side) == end, F.col(c)))
+    asked = (placed.where(~is_rank).groupBy("_req").agg(
+        F.max("_need").alias("_need"), of(0, "_k").alias("_a"), (of(2, "_k") - 1).alias("_b"),
+        (of(2, "_c") - of(0, "_c")).alias("_all"), (of(2, "_ct") - of(0, "_ct")).alias("_tpm")))
+    asked = asked.withColumn("_level", F.when(F.col("_a") < F.col("_b"), F.length(F.bin(F.expr("_a ^ _b"))) - 1).when(F.col("_a") == F.col("_b"), 0))
+    end = lambda c: table.select(F.col("_level").alias(f"_l{c}"), F.col("_i").alias(f"_i{c}"), F.struct("_id", "_idt").alias(f"_min{c}"))
+    j = asked
+    for c in ("_a", "_b"):
+        j = j.join(end(c), (F.col("_level") == F.col(f"_l{c}")) & (F.col(c) == F.col(f"_i{c}")), "left")
+    lowest = F.when(F.col("_need"), F.least("_min_a._idt", "_min_b._idt")).otherwise(F.least("_min_a._id", "_min_b._id"))
+    count = F.when(F.col("_level").isNull(), 0).otherwise(F.when(F.col("_need"), F.col("_tpm")).otherwise(F.col("_all")))
+    return j.select(F.col("_req").alias(request_id), F.coalesce(count, F.lit(0)).cast("long").alias("n_nodes"), lowest.alias(node_id))
 
 
 def tpm_ok(fstype: Column, have_tpm: Column) -> Column:
