@@ -9,11 +9,13 @@ New ids are ``max(id) + running number``; the running number comes from
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bootlens.operators.sequence import Count, Fill, ordered_scan
+from bootlens.operators.sequence import Count, ordered_scan
 
 
 def _with_new_ids(rows: DataFrame, base: DataFrame, id_col: str, order: str,
@@ -132,6 +134,44 @@ def latest_state(events: DataFrame, key: str = "bmc_id", order: Sequence[str] =
     return events.groupBy(key).agg(F.max_by(state, o).alias(state), F.max(o).alias("_at")).drop("_at")
 
 
+LIVE, DEAD, GONE = range(3)
+_CHUNK = pa.schema([("bmc_id", pa.string()), ("range", pa.int32()), ("from_live", pa.int32()), ("from_dead", pa.int32()), ("live_refused", pa.bool_()),
+                    ("dead_refused", pa.bool_()), ("any_set", pa.bool_()), ("new", pa.string()), ("freed", pa.bool_())])
+_CHUNK_DDL = ("bmc_id string, range int, from_live int, from_dead int, live_refused boolean, dead_refused boolean, any_set boolean, new string, freed boolean")
+
+
+def _state_chunks(force: bool):
+    """Ordered events of a range -> per container what they do together: where they lead from a live and from a dead
+    container, whether a removal is refused on the way, and the state they leave."""
+    after_removal = (GONE if force else LIVE, GONE, GONE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, now = TaskContext.get().partitionId(), None
+        for batch in batches:
+            done = []
+            for key, state in zip(*(c.to_pylist() for c in batch.columns)):
+                if now is None or key != now[0]:
+                    if now is not None:
+                        done.append(now)
+                    now = [key, part, LIVE, DEAD, False, False, False, None, False]
+                if state == "removed":
+                    now[4] |= not force and now[2] == LIVE
+                    now[5] |= not force and now[3] == LIVE
+                    now[2], now[3] = after_removal[now[2]], after_removal[now[3]]
+                else:
+                    to = DEAD if state == "terminated" else LIVE
+                    now[2], now[3] = (x if x == GONE else to for x in now[2:4])
+                    now[6], now[7], now[8] = True, state, now[8] or to == DEAD
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), _CHUNK.types)], schema=_CHUNK)
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(now, _CHUNK.types)], schema=_CHUNK)
+
+    return run
+
+
 def apply_states(containers: DataFrame, events: DataFrame, force: bool = False,
                  order: Sequence[str] = ("epoch_ns", "seq"), partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """M7: apply state events (kill / rm) to the container table, in ``order``
@@ -143,37 +183,35 @@ def apply_states(containers: DataFrame, events: DataFrame, force: bool = False,
     NULL too, is live: that removal is refused and the rest of the events
     still counts.  Returns (new table, containers with a refused removal).
 
-    The state before each removal is a running fill (``ordered_scan``), the
-    rest one row per container by partial aggregation."""
-    order = list(order)
-    ev = events.select("bmc_id", *[c for c in order if c != "state"], F.col("state").alias("_state"),
-                       *([F.col("state")] if "state" in order else []))
-    ev = ev.withColumn("_set", ~F.col("_state").eqNullSafe(F.lit("removed")))
-    seen = ordered_scan(ev, ["bmc_id"], order, [Fill(["_state", "_set"], F.col("_set"), prefix="_before")],
-                        partitions=partitions)
-    at = F.struct(*[F.col(c) for c in order])
-    removal, known = ~F.col("_set"), F.col("_before_set").isNotNull()
-    dead = F.coalesce(F.col("_before_state") == F.lit("terminated"), F.lit(False))
-    per = seen.groupBy("bmc_id").agg(
-        F.min(F.when(removal & ~known, at)).alias("_early"),
-        F.min(F.when(removal & known & dead, at)).alias("_dies"),
-        F.min(F.when(removal & known & ~dead, at)).alias("_stays"),
-        F.max(F.col("_set")).alias("_any"), F.max_by(F.col("_state"), F.when(F.col("_set"), at)).alias("_new"),
-        F.max(F.coalesce(F.col("_set") & (F.col("_state") == F.lit("terminated")), F.lit(False))).alias("_freed"))
-    j = containers.join(per, "bmc_id", "left")
+    An event is a function on live, dead and gone containers, and so is a run
+    of events.  The events are range-partitioned by (container, order) and
+    streamed through once; each range gives a function a container, and a
+    container's few (one but where its events span ranges) are applied one
+    after the other to the state in the table."""
+    state = F.col("state").cast("string").alias("_state")
+    ev = events.where(F.col("bmc_id").isNotNull()).select(F.col("bmc_id").cast("string").alias("bmc_id"), state, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    at = ["bmc_id", *[f"_o{i}" for i in range(len(order))]]
+    ranged = ev.repartitionByRange(partitions, *at) if partitions else ev.repartitionByRange(*at)
+    chunks = ranged.sortWithinPartitions(*at).select("bmc_id", "_state").mapInArrow(_state_chunks(force), _CHUNK_DDL)
+    steps = chunks.groupBy("bmc_id").agg(F.array_sort(F.collect_list(F.struct(*[F.col(f.name) for f in _CHUNK][1:]))).alias("_steps"))   # one a range
+
+    def follow(start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.lit(False).alias("refused"))
+        to = lambda s, x: F.when(s["at"] == LIVE, x["from_live"]).when(s["at"] == DEAD, x["from_dead"]).otherwise(GONE)
+        no = lambda s, x: F.when(s["at"] == LIVE, x["live_refused"]).when(s["at"] == DEAD, x["dead_refused"]).otherwise(False)
+        return F.aggregate("_steps", first, lambda s, x: F.struct(to(s, x).alias("at"), (s["refused"] | no(s, x)).alias("refused")))
+
+    key = "bmc_id"
+    j = containers.join(steps.withColumnRenamed("bmc_id", "_bmc"), F.col(key) == F.col("_bmc"), "left").drop("_bmc")
     was_dead = F.coalesce(F.col("state") == F.lit("terminated"), F.lit(False))
-    dies = F.when(was_dead & F.col("_early").isNotNull(), F.col("_early")).otherwise(F.col("_dies"))
-    if force:
-        refused_here = F.lit(False)
-        gone = F.col("_early").isNotNull() | F.col("_dies").isNotNull() | F.col("_stays").isNotNull()
-    else:
-        refused_here = ((F.col("_early").isNotNull() & ~was_dead)
-                        | (F.col("_stays").isNotNull() & (dies.isNull() | (F.col("_stays") < dies))))
-        gone = dies.isNotNull()
-    refused = j.where(F.coalesce(refused_here, F.lit(False))).select("bmc_id", F.lit("live container").alias("error"))
-    state = F.when(F.coalesce(F.col("_any"), F.lit(False)), F.col("_new")).otherwise(F.col("state"))
-    free = F.coalesce(F.col("_freed"), F.lit(False)) | F.coalesce(state == F.lit("terminated"), F.lit(False))
-    out = j.where(~gone).withColumn("node_id", F.when(~free, F.col("node_id"))).withColumn("state", state)
+    j = j.withColumn("_end", F.when(F.col("_steps").isNotNull(), follow(F.when(was_dead, DEAD).otherwise(LIVE))))
+    refused = j.where("_end.refused").select(key, F.lit("live container").alias("error"))
+    sets = F.filter("_steps", lambda x: x["any_set"])
+    any_set = F.coalesce(F.size(sets) > 0, F.lit(False))
+    now = F.when(any_set, F.element_at(sets, -1)["new"]).otherwise(F.col("state"))
+    free = F.coalesce(F.exists("_steps", lambda x: x["freed"]), F.lit(False)) | F.coalesce(now == F.lit("terminated"), F.lit(False))
+    out = (j.where(F.coalesce(F.col("_end.at") != GONE, F.lit(True))).withColumn("_now", now)
+           .withColumn("node_id", F.when(~free, F.col("node_id"))).withColumn("state", F.col("_now")))
     return out.select(*containers.columns), refused
 
 
