@@ -362,6 +362,11 @@ def key_counts(keys: DataFrame, df: DataFrame, col: str, key_col: str | None = N
 
 def duplicates(df: DataFrame, col: str) -> DataFrame:
     """A2: values of a UNIQUE column that occur more than once (NULLs are
-    not duplicates)."""
-    return (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    not duplicates).
+
+    Values may be long, so 64-bit hashes are counted first, and only the
+    values whose hash repeats are compared themselves."""
+    rows = df.where(F.col(col).isNotNull()).select(col)
+    again = rows.groupBy(F.xxhash64(col).alias("_h")).agg(F.count("*").alias("_n")).where("_n > 1")
+    return (rows.join(again, F.xxhash64(col) == F.col("_h"), "left_semi").groupBy(col).agg(F.count(F.lit(1)).alias("n"))
             .where(F.col("n") > 1))

@@ -25,12 +25,14 @@ def parse_lines(lines: DataFrame, value: str = "value", host: Column | None = No
     in the scan (stable for a given set of files).
     """
     v = F.col(value)
-    # one match per line: epoch, pid, and date and message still joined by the bar between them
-    fields = F.when(v.rlike(LINE_PATTERN), F.split(F.regexp_replace(v, LINE_PATTERN, f"$2{SEP}$3{SEP}$1|$4"), SEP, 3))
-    parts = lines.select(
+    # one match per line: epoch, pid, and date and message still joined by the bar between them.  A line that
+    # matches gets shorter (its last bar goes), any other stays as it is; the result is a column of its own, so
+    # that the pattern runs once.
+    cut = lines.select(
         (host if host is not None else F.lit(None).cast("string")).alias("host"),
         (seq if seq is not None else F.monotonically_increasing_id()).alias("seq"),
-        v.alias("line"), fields.alias("_f"))
+        v.alias("line"), F.regexp_replace(v, LINE_PATTERN, f"$2{SEP}$3{SEP}$1|$4").alias("_cut"))
+    parts = cut.select("host", "seq", "line", F.when(F.col("_cut") != F.col("line"), F.split("_cut", SEP, 3)).alias("_f"))
     epoch, pid, rest = (F.col("_f")[i] for i in range(3))
 
     # "seconds.fraction" to whole nanoseconds (fraction cut or padded to 9

@@ -86,3 +86,31 @@ def test_repeated_names_and_deleted_ids(spark):
     assert sorted((r.kernel_name, r.line) for r in refused.collect()) == [("kA", 1), ("kA", 2), ("kN", 4)]
     new, _ = chg.set_column(table, full.withColumn("kernel_param", F.col("kernel_file")), "kernel_name", "kernel_param", order=["line"])
     assert sorted((r.kernel_name, r.kernel_param) for r in new.collect()) == [("kA", "a2"), ("kB", None)]
+
+
+def test_states_as_one_by_one(spark):
+    """Random events of few containers over many ranges, against a plain loop."""
+    import random
+
+    rng = random.Random(4)
+    table = [(f"c{k}", rng.choice(["up", "terminated", None]), k) for k in range(12)]
+    events = [(f"c{min(11, int(rng.expovariate(0.5)))}", rng.randint(0, 40), n, rng.choice(["up", "running", "terminated", "removed", "removed", None])) for n in range(400)]
+    conts = spark.createDataFrame(table, "bmc_id string, state string, node_id long")
+    ev = spark.createDataFrame(events, "bmc_id string, epoch_ns long, seq long, state string").repartition(4)
+    for force in (False, True):
+        want, refused = {}, set()
+        for key, state, node in table:
+            gone = freed = False
+            for _, _, s in sorted((e, n, s) for b, e, n, s in events if b == key):
+                if s == "removed":
+                    if gone or force or state == "terminated":
+                        gone = True
+                    else:
+                        refused.add(key)
+                else:
+                    state, freed = s, freed or s == "terminated"
+            if not gone:
+                want[key] = (state, None if freed or state == "terminated" else node)
+        new, no = chg.apply_states(conts, ev, force=force, partitions=9)
+        assert {r.bmc_id: (r.state, r.node_id) for r in new.collect()} == want
+        assert {r.bmc_id for r in no.collect()} == (set() if force else refused)
