@@ -39,6 +39,8 @@ HEADER, ENTRY, FOOTER = 40, 48, 24
 #: so many bytes of each, spread evenly over its whole id array) and of the dictionary.
 SAMPLE_DOCS, PIECES, PIECE, DICT_BYTES = 2000, 8, 512, 64 << 10
 LEVEL = 3
+#: A space as byte-level vocabularies write it.
+SPACE = "\u0120"
 #: Longer units are not kept in a worker's cache.
 LONGEST = 64
 
@@ -51,7 +53,7 @@ class LibraryEncoder:
     becomes the old one, and what is met again moves up, so that frequent units
     stay however many rare ones pass.  Units that start with their space can stand side by side in
     one text without changing each other's ids; thousands of them are encoded
-    at once and told apart by their offsets."""
+    at once and told apart by the tokens that begin with a space."""
 
     def __init__(self, path: str, limit: int = 1_200_000):
         from tokenizers import Tokenizer
@@ -59,6 +61,11 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenizer.model._resize_cache(0)  # every unit comes once: the library's own cache would only fill
+        # a space begins every spaced unit and nothing inside one: tokens that begin with it part the units
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values(), default=-1) + 1, dtype=bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
         self.young: dict[str, bytes] = {}
@@ -67,7 +74,12 @@ class LibraryEncoder:
 
     def _spaced(self, units: list[str]) -> list[bytes]:
         """Ids of units that each are a space and a word."""
-        encoded = self.tokenizer.encode("".join(units), add_special_tokens=False)
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, dtype="<u4")
+        at = np.append(np.nonzero(self.begins[ids])[0], len(ids)) * 4
+        if len(at) == len(units) + 1:
+            data, cuts = ids.tobytes(), at.tolist()
+            return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        encoded = self.tokenizer.encode("".join(units), add_special_tokens=False)   # a vocabulary of another kind: by offsets
         starts = np.cumsum([0, *map(len, units)])
         first = np.searchsorted(np.array([s for s, _ in encoded.offsets]), starts)
         ids = np.array(encoded.ids, dtype="<u4")
