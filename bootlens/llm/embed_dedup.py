@@ -85,6 +85,32 @@ def _local_roots(link: np.ndarray) -> np.ndarray:
         root = least
 
 
+def _met_before(codes: np.ndarray, code: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the rows a[i] and b[i] share a bucket before ``code``.
+
+    Products of 0/1 membership matrices over the earlier buckets with several
+    rows; few links among very many such buckets are looked at one by one."""
+    found, place, times = np.unique(codes, return_inverse=True, return_counts=True)
+    place = place.reshape(codes.shape)
+    shared = np.nonzero((found < code) & (times > 1))[0]
+    if len(codes) ** 2 * len(shared) > 2000 * len(a):
+        out = np.zeros(len(a), dtype=bool)
+        for at in range(0, len(a), 1 << 14):
+            ca, cb = codes[a[at:at + (1 << 14)]], codes[b[at:at + (1 << 14)]]
+            for k in range(ca.shape[1]):
+                out[at:at + (1 << 14)] |= (ca[:, k] < code) & (cb == ca[:, k:k + 1]).any(axis=1)
+        return out
+    met = np.zeros((len(codes), len(codes)), dtype=bool)
+    for at in range(0, len(shared), 256):
+        column = np.full(len(found), -1)
+        column[shared[at:at + 256]] = np.arange(len(shared[at:at + 256]))
+        row, k = np.nonzero(column[place] >= 0)
+        member = np.zeros((len(codes), 256), dtype=np.float32)
+        member[row, column[place[row, k]]] = 1
+        met |= member @ member.T > 0
+    return met[a, b]
+
+
 def _meet(ids, vectors, codes, copies, code, side, threshold):
     """Links inside one block pair: per vector (id, copies newly linked) and ties (id, smallest id tied to)."""
     order = np.argsort(ids, kind="stable")
@@ -96,13 +122,7 @@ def _meet(ids, vectors, codes, copies, code, side, threshold):
     if not link.any():
         return None
     a, b = np.nonzero(link)
-    fresh = np.ones(len(a), dtype=bool)
-    for at in range(0, len(a), 1 << 14):
-        ca, cb = codes[a[at:at + (1 << 14)]], codes[b[at:at + (1 << 14)]]
-        earlier = np.zeros(len(ca), dtype=bool)
-        for k in range(ca.shape[1]):
-            earlier |= (ca[:, k] < code) & (cb == ca[:, k:k + 1]).any(axis=1)
-        fresh[at:at + (1 << 14)] = ~earlier
+    fresh = ~_met_before(codes, code, a, b)
     gained = np.bincount(a[fresh], weights=copies[b[fresh]], minlength=len(ids)).astype(np.int64)
     return ids, gained, ids[_local_roots(link)]
 
@@ -128,7 +148,10 @@ def linked(vectors: DataFrame, threshold: float = 0.95, tables: int = TABLES, fu
 
     placed = staged(vectors.select("id", "copies", "v").mapInArrow(place, "id long, copies long, x array<double>, codes array<long>"), "placed")
     rows = placed.select("id", F.size("x").alias("width"), F.explode(F.array_distinct("codes")).alias("code"))
-    full = staged(rows.groupBy("width", "code").agg(F.count("*").alias("n")).where("n > 1"), "full")
+    # of buckets with the same members the first is enough: a pair counts in its first bucket only
+    members = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"set{k}") for k in range(2)]
+    full = staged(rows.groupBy("width", "code").agg(F.count("*").alias("n"), *members).where("n > 1")
+                  .groupBy("width", "n", "set0", "set1").agg(F.min("code").alias("code")).select("width", "code", "n"), "full")
     # blocks of a crowded bucket: each row goes to the pairs of its block with every block
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = rows.join(full, ["width", "code"]).select("id", "width", "code", blocks.alias("blocks"), F.pmod(F.xxhash64("id", "code"), blocks).cast("int").alias("mine"))

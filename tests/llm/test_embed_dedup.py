@@ -79,3 +79,22 @@ def test_hadamard_keeps_lengths_and_buckets_agree():
 def test_narrow_vectors(spark, width):
     rows = [(k, [float(1 + k % 2)] + [0.5] * (width - 1)) for k in range(8)]
     assert [r[2] for r in run(spark, rows)] == [r[2] for r in brute(rows)]
+
+
+def test_pairs_that_met_before():
+    rng = np.random.default_rng(3)
+    for n, spread in ((40, 6), (40, 4000), (7, 2)):
+        codes = rng.integers(0, spread, (n, 9))
+        a, b = np.nonzero(~np.eye(n, dtype=bool))   # a row is not linked with itself
+        for links in (slice(None), slice(0, 5)):
+            got = e._met_before(codes, spread // 2, a[links], b[links])
+            assert got.tolist() == [bool({c for c in codes[i] if c < spread // 2} & set(codes[j])) for i, j in zip(a[links], b[links])]
+
+
+def test_dense_group(spark):
+    """4,000 vectors in one tight cone: all linked with all, each pair counted once."""
+    rng = np.random.default_rng(8)
+    x = np.ones(32) + rng.normal(0, 0.03, (4000, 32))
+    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = e.near_duplicates(df).agg(F.min("n_links"), F.max("n_links"), F.max("component_id"), F.count("*")).first()
+    assert tuple(got) == (3999, 3999, 0, 4000)
