@@ -28,7 +28,7 @@ class Rule:
 
 #: The production thresholds.
 RULES = (
-    Rule("n_words", 50, 1_000_000),
+    Rule("n_words", 50, None),
     Rule("repeat_ratio", None, 0.5),
     Rule("mean_word_chars", 2, 12),
     Rule("symbol_ratio", None, 0.15),

@@ -179,7 +179,7 @@ WITH d AS (
 )
 SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
-  AND n_words BETWEEN 50 AND 1000000 AND n_repeat_words <= 0.5 * n_words AND word_chars BETWEEN 2 * n_words AND 12 * n_words
+  AND n_words >= 50 AND n_repeat_words <= 0.5 * n_words AND word_chars BETWEEN 2 * n_words AND 12 * n_words
   AND n_symbols <= 0.15 * word_chars AND n_stop >= 0.01 * n_words AND n_dup_lines <= 0.5 * n_lines AS kept
 FROM m
 """,
