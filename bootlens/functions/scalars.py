@@ -155,10 +155,11 @@ BOOT_ARGS_RAMFS = ("imgargs K{base} bmcid={bmc_id} boot=local rootdelay=1 ip={ip
 BOOT_ARGS_ISOFS = "imgargs K{base} iso raw"
 
 
-def boot_args(fstype, base_name, bmc_id, ip, kernel_param, server, http: str = "http", doc_path: str = "bmc",
-              distfs_root: str = "/export/bmc") -> Column:
+def boot_args(fstype, base_name, bmc_id, ip, kernel_param, server, *, doc_path: str, distfs_root: str,
+              http: str = "http") -> Column:
     """F16: the boot loader's argument line for a container (NULL for an
-    unknown file system type).  ``kernel_param`` is the kernel's and the
+    unknown file system type).  ``doc_path`` is the web server's folder,
+    ``distfs_root`` the exported one.  ``kernel_param`` is the kernel's and the
     container's parameter joined by a space, as the loader builds it."""
     f = _c(fstype)
     parts = {"base": _text(base_name), "bmc_id": _text(bmc_id), "ip": _text(ip), "kernel_param": _text(kernel_param),

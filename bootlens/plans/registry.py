@@ -1240,7 +1240,7 @@ def boot_args(spark, sf_dir):
     ip = sc.boot_ip("ip4_addr_os", server, "gateway_os", "netmask_os", "node_name", "interface_os")
     kp = F.concat(F.coalesce("kernel_default_param", F.lit("")), F.lit(" "), F.coalesce("kernel_param", F.lit("")))
     return d.select("bmc_id", sc.boot_args("fstype", "base_name", "bmc_id", ip, kp, server,
-                                           distfs_root="/export/bmc").alias("args"))
+                                           doc_path="bmc", distfs_root="/export/bmc").alias("args"))
 
 
 @query("deadlines", """

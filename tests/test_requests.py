@@ -84,7 +84,7 @@ def test_boot_args(spark):
                                 ("zfs", "B4", "C4", "")], "fstype string, base string, bmc string, kp string")
     ip = sc.boot_ip(F.lit("10.0.3.1"), F.lit("srv"), F.lit(None), F.lit("255.255.255.0"), F.lit("n1"), F.lit("eth0"))
     got = [r.a for r in df.select(sc.boot_args("fstype", "base", "bmc", ip, "kp", F.lit("srv"),
-                                               distfs_root="/x/dist").alias("a")).collect()]
+                                               doc_path="bmc", distfs_root="/x/dist").alias("a")).collect()]
     assert got[0] == ("imgargs KB1 bmcid=C1 boot=nfs rootdelay=1 ip=10.0.3.1:srv::255.255.255.0:n1:eth0 root=/dev/nfs "
                       "nfsroot=srv:/x/dist/B1 port=tcp rw quiet ")
     assert got[1] == ("imgargs KB2 bmcid=C2 boot=local rootdelay=1 ip=10.0.3.1:srv::255.255.255.0:n1:eth0 "
