@@ -1,10 +1,9 @@
 """Q1-Q5: the catalog's insert-time checks as audits over whole tables.
 
 Each rule returns rows (rule, table, key, detail).  ``quality_report`` checks all
-rules of a table in one scan: a row gives what fails in it, the values that must
-be unique and the ids that it names or defines, stacked as narrow rows and
-written once; uniqueness is one aggregation and references one anti join over
-those, for all columns of all tables together.
+rows of a table against all its rules (required, domain, references) in one
+scan, each row giving an array of what fails in it, and the values of all
+UNIQUE columns of all tables in one aggregation.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bootlens.schemas import FSTYPES, MGMT_METHODS, TPM_VALUES
-from bootlens.session import scratch_dir
 
 REPORT_COLS = ("rule", "table", "key", "detail")
 
@@ -65,52 +63,43 @@ def reset_atime_rule(requests: DataFrame, key: str = "request_id") -> DataFrame:
     return _rows(bad, "Q5 reset-atime", "request", F.col(key), F.concat(F.lit("fstype="), F.col("fstype")))
 
 
-_FACT = "struct<kind:string,name:string,value:string,key:string,detail:string>"
+def _failures(df: DataFrame, table: str, key: str, required: Sequence[str] = (), domains: Sequence[tuple[str, Sequence]] = (),
+              parents: Sequence[tuple[str, DataFrame, str, str]] = ()) -> DataFrame:
+    """Q1, Q2 and Q4 of a table in one scan; ``parents`` are (foreign key, parent table, its key, its name).
 
+    A parent's distinct keys are joined once each, so a row stays one row."""
+    text = lambda c: F.col(c).cast("string")
+    fact = lambda rule, detail: F.struct(F.lit(rule).alias("rule"), detail.alias("detail"))
+    facts = [F.when(F.col(c).isNull() | (text(c) == ""), fact("Q1 required", F.lit(f"{c} missing"))) for c in required]
+    facts += [F.when(F.col(c).isNotNull() & ~text(c).isin(*allowed), fact("Q2 domain", F.concat(F.lit(f"{c}="), text(c)))) for c, allowed in domains]
+    rows = df
+    for i, (fk, parent, pk, name) in enumerate(parents):
+        known = parent.select(F.col(pk).alias(f"_pk{i}")).distinct()
+        rows = rows.join(known, F.col(fk) == F.col(f"_pk{i}"), "left")
+        facts.append(F.when(F.col(fk).isNotNull() & F.col(f"_pk{i}").isNull(), fact("Q4 reference", F.concat(F.lit(f"{fk}="), text(fk), F.lit(f" not in {name}")))))
+    found = rows.select(text(key).alias("key"), F.explode(F.array_compact(F.array(*facts))).alias("f"))
+    return found.select("f.rule", F.lit(table).alias("table"), "key", "f.detail")
 
-def _fact(kind: str, name: str, value: Column | None = None, key: Column | None = None, detail: Column | None = None) -> Column:
-    text = lambda c: (F.lit(None) if c is None else c).cast("string")
-    return F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), text(value).alias("value"), text(key).alias("key"), text(detail).alias("detail"))
 
-
-def _stack(df: DataFrame, table: str, key: str, required: Sequence[str] = (), domains: Sequence[tuple[str, Sequence]] = (),
-           unique: Sequence[str] = (), refers: Sequence[tuple[str, str]] = (), defines: str | None = None) -> DataFrame:
-    """(table, kind, name, value, key, detail) of a table's rows, in one scan: kind ``bad`` (a failed Q1 or Q2 rule),
-    ``unique`` (a value of a UNIQUE column), ``fk`` and ``pk`` (an id of a parent table, named or defined)."""
-    k = F.col(key)
-    facts = [F.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), _fact("bad", "Q1 required", key=k, detail=F.lit(f"{c} missing"))) for c in required]
-    facts += [F.when(F.col(c).isNotNull() & ~F.col(c).cast("string").isin(*allowed), _fact("bad", "Q2 domain", key=k, detail=F.concat(F.lit(f"{c}="), F.col(c).cast("string"))))
-              for c, allowed in domains]
-    facts += [F.when(F.col(c).isNotNull(), _fact("unique", c, F.col(c))) for c in unique]
-    facts += [F.when(F.col(c).isNotNull(), _fact("fk", parent, F.col(c), k, F.lit(c))) for c, parent in refers]
-    facts += [_fact("pk", table, F.col(defines))] if defines else []
-    return df.select(F.lit(table).alias("table"), F.explode(F.array_compact(F.array(*[f.cast(_FACT) for f in facts]))).alias("f")).select("table", "f.*")
+def _repeated(tables: Sequence[tuple[DataFrame, str, Sequence[str]]]) -> DataFrame:
+    """Q3 of many UNIQUE columns, (table, its name, columns) each: one aggregation over their stacked values."""
+    stacked = [df.select(F.lit(name).alias("table"), F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("key")) for c in cols])).alias("v"))
+               .select("table", "v.*").where("key IS NOT NULL") for df, name, cols in tables]
+    twice = functools.reduce(DataFrame.unionByName, stacked).groupBy("table", "col", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return twice.select(F.lit("Q3 unique").alias("rule"), "table", "key", F.concat("col", F.lit(" n="), F.col("n").cast("string")).alias("detail"))
 
 
 def quality_report(nodes: DataFrame, containers: DataFrame, kernels: DataFrame, initrds: DataFrame,
                    rootfs: DataFrame) -> DataFrame:
-    """Q1-Q4 over a catalog, as one table; each table is scanned once.
+    """Q1-Q4 over a catalog, as one table.
 
     ``have_tpm`` may be a boolean, or 1/0 as stored; then other values are
     reported too."""
     stored = [] if dict(nodes.dtypes)["have_tpm"] == "boolean" else [("have_tpm", TPM_VALUES)]
-    stacks = [
-        _stack(nodes, "Node", "node_id", ["node_name", "node_rank", "method_mgmt"], [*stored, ("method_mgmt", MGMT_METHODS)],
-               ["node_name", "mac_addr_mgmt", "ip4_addr_mgmt", "ip4_addr_boot", "ip4_addr_os"], defines="node_id"),
-        _stack(containers, "Container", "bmc_id", domains=[("fstype", FSTYPES)], unique=["base_name"],
-               refers=[("kernel_id", "Kernel"), ("initrd_id", "Initrd"), ("rootfs_id", "Rootfs"), ("node_id", "Node")]),
-        *[_stack(df, name, f"{name.lower()}_id", unique=[f"{name.lower()}_name"], defines=f"{name.lower()}_id")
-          for name, df in (("Kernel", kernels), ("Initrd", initrds), ("Rootfs", rootfs))],
-    ]
-    spark, path = nodes.sparkSession, scratch_dir(nodes.sparkSession, "quality")
-    union = functools.reduce(DataFrame.unionByName, stacks)
-    union.write.partitionBy("kind").parquet(path)
-    facts = spark.read.schema(union.schema).parquet(path)   # each kind is a folder of its own
-    of = lambda kind: facts.where(F.col("kind") == kind)
-    bad = of("bad").select(F.col("name").alias("rule"), "table", "key", "detail")
-    twice = of("unique").groupBy("table", "name", "value").agg(F.count("*").alias("n")).where("n > 1")
-    repeated = twice.select(F.lit("Q3 unique").alias("rule"), "table", F.col("value").alias("key"), F.concat("name", F.lit(" n="), F.col("n").cast("string")).alias("detail"))
-    parents = of("pk").select(F.col("name").alias("_name"), F.col("value").alias("_value"))
-    orphans = of("fk").join(parents, (F.col("name") == F.col("_name")) & (F.col("value") == F.col("_value")), "left_anti")
-    lost = orphans.select(F.lit("Q4 reference").alias("rule"), "table", "key", F.concat("detail", F.lit("="), "value", F.lit(" not in "), "name").alias("detail"))
-    return bad.unionByName(repeated).unionByName(lost)
+    images = [(kernels, "Kernel"), (initrds, "Initrd"), (rootfs, "Rootfs")]
+    node = _failures(nodes, "Node", "node_id", ["node_name", "node_rank", "method_mgmt"], [*stored, ("method_mgmt", MGMT_METHODS)])
+    container = _failures(containers, "Container", "bmc_id", domains=[("fstype", FSTYPES)],
+                          parents=[(f"{n.lower()}_id", df, f"{n.lower()}_id", n) for df, n in [*images, (nodes, "Node")]])
+    unique_columns = [(nodes, "Node", ["node_name", "mac_addr_mgmt", "ip4_addr_mgmt", "ip4_addr_boot", "ip4_addr_os"]), (containers, "Container", ["base_name"]),
+                      *[(df, n, [f"{n.lower()}_name"]) for df, n in images]]
+    return node.unionByName(container).unionByName(_repeated(unique_columns))
