@@ -167,3 +167,34 @@ def test_short_values_are_masked(spark):
     rows = [(i, t.replace(values[i], short[i]) if i in values else t, *r) for i, t, *r in rows]
     got = {r["doc_id"]: r["text"] for r in s.mask_secrets(documents(spark, rows)).where("doc_id >= 5000").collect()}
     assert got == {i: t.replace(short[i], s.MASK) for i, t, *_ in rows if i in values}
+
+
+def test_dictionary_counts_words_of_all_documents_once_each(spark):
+    texts = ["Table, table table of (secret) values", "the table: values 'chair' x1table9 password=tables tablé", "chair!", "http://x.y/chair", None, "", "once", "z" * 30, "z" * 30]
+    df = documents(spark, [(k, t, "en", "a", 1) for k, t in enumerate(texts)])
+    assert s.dictionary(df) == ["chair", "table", "values"] and s.dictionary(df, limit=1) == ["chair"]
+    assert s.dictionary(documents(spark, [])) == []
+
+
+def test_coverage_by_words_alone_and_written_together(spark):
+    words = ["table", "values", "chair", "in"]
+    want = {"table": 5, "TableValues9chair": 16, "tablevalues": 11, "tablevaluesx": 0, "x1y2": 0, "": 0, "chairintablechair": 17, "a_table-b": 5, "tablé": 0,
+            "in" * 31: 62, "in" * 32: 0, "tablevalues" * 20_000: 0}
+    rows = spark.createDataFrame([(w,) for w in want], "cand string")
+    assert [r[0] for r in rows.select(s.covered(F.col("cand"), words)).collect()] == list(want.values())
+    assert [r[0] for r in rows.select(s.covered(F.col("cand"), [])).distinct().collect()] == [0]
+
+
+def test_very_many_candidates_in_one_text(spark):
+    """Positions take time in proportion; an own table of them tells each start."""
+    rng, rows = random.Random(4), planted()[0]
+    keys = [hexes(rng, 16) for _ in range(60_000)]
+    text = "é ".join(keys)
+    got = s.scan(documents(spark, rows + [(900, text, "en", "a", 1)])).where("doc_id = 900").orderBy("finding").collect()
+    assert [(r["finding"], r["start"], r["length"]) for r in got] == [(k, 18 * k, 16) for k in range(len(keys))]
+
+
+def test_rows_that_repeat_give_their_findings_again(spark):
+    rows, secret = planted(30)
+    got = s.scan(documents(spark, rows + rows[:3])).where("doc_id < 3 and is_secret").groupBy("doc_id", "start").count().collect()
+    assert [(r["doc_id"], r["count"]) for r in got] == [(0, 2)]
