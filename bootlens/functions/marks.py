@@ -22,12 +22,22 @@ END_MARK = "--End--"
 SEP = "\u0001"
 
 
+def mark_joined(msg: Column) -> Column:
+    """The message with a mark rewritten to ``g1 SEP g2 SEP g3 SEP g4`` in one regex pass."""
+    return F.regexp_replace(msg, MARK_PATTERN, SEP.join(f"${i}" for i in range(1, 5)))
+
+
+def mark_split(msg: Column, joined: Column) -> Column:
+    """The four groups of the mark pattern; NULL when the message is not a mark.
+
+    A mark loses its first colon when it is rewritten, so only a mark differs from its message."""
+    return F.when(joined != msg, F.split(joined, SEP, 4))
+
+
 def mark_parts(msg: Column) -> Column:
-    """The four groups of the mark pattern in one regex pass: the match is
-    rewritten to ``g1 SEP g2 SEP g3 SEP g4`` and split; NULL when the message
-    is not a mark.  Select it once and take fields with ``mark_field``."""
-    joined = F.regexp_replace(msg, MARK_PATTERN, SEP.join(f"${i}" for i in range(1, 5)))
-    return F.when(msg.rlike(MARK_PATTERN), F.split(joined, SEP, 4))
+    """The four groups of the mark pattern; NULL when the message is not a mark.
+    Select it once and take fields with ``mark_field``."""
+    return mark_split(msg, mark_joined(msg))
 
 
 def mark_field(parts: Column, i: int) -> Column:

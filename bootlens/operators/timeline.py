@@ -15,9 +15,10 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bootlens.functions.marks import SCRIPT_PREFIX, START_MARK, bmcid_of, container_id, mark_field, mark_parts
+from bootlens.functions.marks import SCRIPT_PREFIX, START_MARK, bmcid_of, container_id, mark_field, mark_joined, mark_split
 from bootlens.operators.sequence import Fill, Lag, ordered_scan
 from bootlens.schemas import span_seconds
+from bootlens.session import scratch_dir
 
 ORDER = ("epoch_ns", "seq")
 
@@ -44,7 +45,9 @@ def marks(timeline: DataFrame) -> DataFrame:
     reused.
     """
     tl = timeline.where(F.col("valid")) if "valid" in timeline.columns else timeline
-    base = tl.select("host", "pid", "epoch_ns", "seq", "message", mark_parts(F.col("message")).alias("_parts"))
+    # a projection each: the rewritten message and its groups are used more than once and made once
+    base = tl.select("host", "pid", "epoch_ns", "seq", "message", mark_joined(F.col("message")).alias("_joined"))
+    base = base.select("host", "pid", "epoch_ns", "seq", "message", mark_split(F.col("message"), F.col("_joined")).alias("_parts"))
     p = F.col("_parts")
     fields = base.select("host", "pid", "epoch_ns", "seq", "message",
                          mark_field(p, 1).alias("prefix"), mark_field(p, 2).alias("phase"),
@@ -162,27 +165,50 @@ def relative_time(df: DataFrame, key: str = "bmc_id", epoch: str = "epoch_ns", o
 NOTE_PATTERN = r"^exec_pull: (.*)$"
 
 
+def note_fields(message: Column) -> Column:
+    """Struct (id, parent) of a child's note; NULL when the message is not one."""
+    note = F.regexp_extract(message, NOTE_PATTERN, 1)
+    return F.when(message.rlike(NOTE_PATTERN), F.struct(
+        F.nullif(F.regexp_extract(note, r"bmcid=(\S+)", 1), F.lit("")).alias("id"),
+        F.nullif(F.regexp_extract(note, r"parent=(\d+)", 1), F.lit("")).try_cast("long").alias("parent")))
+
+
+def telling_lines(m: DataFrame) -> DataFrame:
+    """The lines of ``marks`` that intervals depend on, without their texts, written once.
+
+    Kept are starts, begin and end marks, lines that name a container and
+    children's notes (``_note``, as ``note_fields``); any other line neither
+    opens nor closes anything and names nothing.  Lines are chosen from the
+    written rows: a filter on top of the parsing would be pushed below it and
+    parse every line twice, and so would the sample that finds range bounds."""
+    noted = m.select("host", "pid", "epoch_ns", "seq", "phase", "kind", "bmc_id", "is_start", note_fields(F.col("message")).alias("_note"))
+    path = scratch_dir(m.sparkSession, "telling-lines")
+    noted.write.parquet(path)
+    rows = m.sparkSession.read.schema(noted.schema).parquet(path)
+    return rows.where(F.col("is_start") | F.col("kind").isNotNull() | F.col("bmc_id").isNotNull() | F.col("_note").isNotNull())
+
+
 def attach_pid(m: DataFrame, keys: Sequence[str] = ("host", "run_epoch_ns", "run_seq")) -> DataFrame:
     """A background child (``pull --note=bmcid=ID --note=parent=PID``)
     logs ``exec_pull: bmcid=ID parent=PID``; every mark of that child's run
     gets the container id, and ``parent_pid`` names the process that started
-    it.  Notes are reduced per (keys, pid) and joined back; marks keep an id
-    they already have."""
+    it.  Notes (of the messages, or ``_note`` where they are read already) are
+    reduced per (keys, pid) and joined back; marks keep an id they already have."""
     keys = list(keys)
-    note = F.regexp_extract("message", NOTE_PATTERN, 1)
-    noted = (m.where(F.col("message").rlike(NOTE_PATTERN))
-             .select(*keys, "pid", F.nullif(F.regexp_extract(note, r"bmcid=(\S+)", 1), F.lit("")).alias("_note_id"),
-                     F.nullif(F.regexp_extract(note, r"parent=(\d+)", 1), F.lit("")).try_cast("long").alias("_parent"))
-             .groupBy(*keys, "pid").agg(F.max("_note_id").alias("_note_id"), F.max("_parent").alias("parent_pid")))
-    joined = _null_safe_join(m, noted, [*keys, "pid"])
+    notes = m.select(*keys, "pid", F.col("_note") if "_note" in m.columns else note_fields(F.col("message")).alias("_note"))
+    noted = (notes.where(F.col("_note").isNotNull())
+             .groupBy(*keys, "pid").agg(F.max("_note.id").alias("_note_id"), F.max("_note.parent").alias("parent_pid")))
+    joined = _null_safe_join(m.drop("_note"), noted, [*keys, "pid"])
     return joined.withColumn("bmc_id", F.coalesce("bmc_id", "_note_id")).drop("_note_id")
 
 
 def intervals_from_timeline(timeline: DataFrame, partitions: int | None = None) -> DataFrame:
     """S4 -> F20 -> W2 -> J19 -> W8 -> W1: intervals per (bmc_id, phase).
 
-    Marks without any container id pair on (host, run, pid, phase) instead."""
-    m = marks(timeline)
+    Marks without any container id pair on (host, run, pid, phase) instead.
+    The log is read and parsed once; only the narrow rows of telling lines are
+    ordered."""
+    m = telling_lines(marks(timeline))
     m = segment_runs_and_carry(m, partitions=partitions)
     m = attach_pid(m)
     m = fill_bmc_id(m, partitions=partitions)

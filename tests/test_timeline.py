@@ -152,3 +152,28 @@ def test_mark_helpers_agree_with_marks(spark, timeline):
         assert (r.p.prefix, r.p.phase, r.p.kind) == (t.prefix, t.phase, t.kind)
         if t.kind is not None:
             assert r.p.bmc_id == t.bmc_id
+
+
+def test_only_telling_lines_without_texts_are_ordered(spark, timeline):
+    m = tl.marks(timeline)
+    rows = tl.telling_lines(m)
+    assert not {"message", "rest", "prefix"} & set(rows.columns)
+    kept = {r.seq for r in rows.collect()}
+    for r in m.collect():
+        telling = r.is_start or r.kind is not None or r.bmc_id is not None or r.message.startswith("exec_pull: ")
+        assert (r.seq in kept) == telling
+    # the same intervals as with every line and its text in the scan
+    whole = tl.fill_bmc_id(tl.attach_pid(tl.segment_runs_and_carry(m)))
+    want = sorted((r.bmc_id or "", r.host, r.pid, r.phase, r.begin_ns, r.end_ns or 0)
+                  for r in tl.pair_marks(whole.where("bmc_id is not null"), ["bmc_id"], carry=["host", "pid"]).collect())
+    got = sorted((r.bmc_id or "", r.host, r.pid, r.phase, r.begin_ns, r.end_ns or 0)
+                 for r in tl.intervals_from_timeline(timeline).where("bmc_id is not null").collect())
+    assert got == want and got
+
+
+def test_marks_of_odd_messages(spark):
+    from bootlens.functions import marks as mk
+
+    odd = ["", "x", ":begin", "a:begin", "a:b:begin", "p a:end r", "a:begin_x", "a:beginx", "\u0001a:begin", "a\u0001b", "a:end ", "p q a:begin", None]
+    got = spark.createDataFrame([(m,) for m in odd], "m string").select(mk.mark_parts(F.col("m"))).collect()
+    assert [r[0] is not None for r in got] == [False, False, False, True, False, True, True, False, True, False, True, False, False]
