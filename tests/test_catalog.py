@@ -274,3 +274,36 @@ def test_image_views(f):
     assert cat.image_view(k, "kernel").columns == ["ID", "name", "file", "sig", "param"]
     assert cat.image_view(i, "initrd").columns == cat.image_view(r, "rootfs").columns == ["ID", "name", "file", "sig"]
     assert cat.image_view(k, "kernel").where("ID = 10").first().param == "quiet"
+
+
+def _images(spark):
+    k = spark.createDataFrame([(i, "same") for i in range(40)] + [(40, "one"), (40, "one"), (41, None), (None, "one")], "kernel_id long, kernel_name string")
+    i = spark.createDataFrame([(i, "boot") for i in range(12)] + [(12, "other"), (13, None)], "initrd_id long, initrd_name string")
+    r = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, None)], "rootfs_id long, rootfs_name string")
+    asked = spark.createDataFrame([(n, "same", "boot", "a") for n in range(25)] + [(30, "one", "other", "b"), (31, "one", "boot", "b"), (31, "one", "boot", "b"), (32, None, "boot", "a"), (33, "gone", "boot", "a"),
+                                                                                 (34, "one", None, "a")], "request_id long, kernel string, initrd string, image string")
+    return asked, k, i, r
+
+
+def test_every_combination_of_images_of_a_name(spark, monkeypatch):
+    """Names shared by requests and images, repeated rows and NULLs: as the plain joins give, whatever the length of the arrays."""
+    import collections
+
+    asked, k, i, r = _images(spark)
+    plain = (asked.join(k.withColumnRenamed("kernel_name", "kernel"), "kernel").join(i.withColumnRenamed("initrd_name", "initrd"), "initrd")
+             .join(r.withColumnRenamed("rootfs_name", "image"), "image"))
+    cols = ["request_id", "kernel_id", "initrd_id", "rootfs_id"]
+    exp = collections.Counter(map(tuple, plain.select(cols).collect()))
+    for block in (4096, 5):
+        monkeypatch.setattr(cat, "BLOCK", block)
+        assert collections.Counter(map(tuple, cat.with_image_ids(asked, k, i, r, 3).select(cols).collect())) == exp
+
+
+def test_combinations_of_images_are_not_shuffled(spark, f):
+    """Behind the step that makes the combinations of images there is no exchange any more."""
+    nodes, conts, _, _, _ = f
+    asked, k, i, r = _images(spark)
+    asked = asked.withColumns({"fstype": F.lit("nfs"), "rank_op": F.lit("any"), "rank_n": F.lit(None).cast("long")})
+    plan = cat.candidates(asked, k, i, r, nodes, conts)._jdf.queryExecution().sparkPlan().toString().split("\n")
+    explodes = [n for n, line in enumerate(plan) if "Generate explode(_k" in line]
+    assert explodes and not any("Exchange" in line or "Join" in line for line in plan[:explodes[0]])
