@@ -174,11 +174,11 @@ def allocated_containers(admitted: DataFrame, requests: DataFrame, kernels: Data
     bmc_id, and the default state ``terminated`` (power-on comes later).  A
     request whose image is still to be pulled has no rootfs row and gets no
     container yet."""
+    from bootlens.operators.catalog import with_image_ids
+
     got = admitted.where(F.col("node_id").isNotNull()).select(request_id, "node_id")
-    j = (requests.dropDuplicates([request_id]).join(got, request_id)
-         .join(kernels.select(F.col("kernel_name").alias("kernel"), "kernel_id"), "kernel")
-         .join(initrds.select(F.col("initrd_name").alias("initrd"), "initrd_id"), "initrd")
-         .join(rootfs.select(F.col("rootfs_name").alias("image"), "rootfs_id"), "image"))
+    wanted = requests.dropDuplicates([request_id]).drop(*(c for c in requests.columns if c not in (request_id, "kernel", "initrd", "image", "fstype", "base_name", "client_addr", "kernel_param", "command")))
+    j = with_image_ids(wanted.join(got, request_id), kernels, initrds, rootfs)
     text = lambda c: F.col(c) if c in requests.columns else F.lit(None).cast("string")
     return j.select(F.col(request_id).cast("string").alias("bmc_id"), text("base_name").alias("base_name"),
                     text("client_addr").alias("client_addr"), "kernel_id", text("kernel_param").alias("kernel_param"),
