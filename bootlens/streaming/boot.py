@@ -23,7 +23,10 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bootlens.operators.requests import identify_caller
-from bootlens.streaming.inorder import ANSWER, BOTH, OTHER, PARTS, START, first_answer
+from bootlens.streaming.inorder import ANSWER, BOTH, OTHER, PARTS, START, bucket_of, first_answer, packed, unpacked
+
+#: Stands for a request without a sequence number, which comes last among those of its time.
+_LAST_SEQ = (1 << 63) - 1
 
 
 def as_event_time(df: DataFrame, col: str = "ts") -> DataFrame:
@@ -128,36 +131,48 @@ def first_use_stream(requests: DataFrame, hashes: DataFrame, session: str = "ses
     pass it the earliest (ts, seq) of the micro-batch in which a session is
     first used is accepted; every later one is refused.  That a session is
     used is kept until it expires: only when the watermark has passed
-    ``session_good_for`` is its state dropped, and from then on its requests
-    are expired."""
+    ``session_good_for`` is it dropped, and from then on its requests are
+    expired.  Used sessions are kept in ``inorder.BUCKETS`` states, so a call
+    of Python serves many of them."""
     h = hashes.select(F.col("session_id").alias("_sid"), "session_good_for", "nonce2")
     valid = (requests.withWatermark(ts, watermark).join(h, F.col(session) == F.col("_sid"))
              .where((F.col(ts) <= F.col("session_good_for"))
                     & (F.nullif(F.col(nonce), F.lit("")) == F.nullif(F.col("nonce2"), F.lit(""))))
              .select(F.col(session).alias("session_id"), F.col(ts).alias("ts"), F.col(seq).cast("long").alias("seq"), "session_good_for"))
 
+    us, none = F.unix_micros, F.lit(_LAST_SEQ)
+    given = valid.select(bucket_of("session_id"), "session_id", "ts", us("ts").alias("at"), F.coalesce("seq", none).alias("seq"), us("session_good_for").alias("until"))
+
+    def earliest(rows):
+        """Per session its first request, with the latest expiry of them all."""
+        until = rows.groupby("session_id", sort=False)["until"].max().rename("until")
+        first = rows.sort_values(["at", "seq"]).drop_duplicates("session_id")[["session_id", "at", "seq"]]
+        return first.merge(until, left_on="session_id", right_index=True)
+
     def once(key, batches, state):
         import pandas as pd
+        import pyarrow as pa
 
-        if state.hasTimedOut:
-            state.remove()
-            return
-        first, until = None, None
+        schema = pa.schema([("session_id", pa.string()), ("until", pa.int64())])
+        used, new = unpacked(state.get[0]).to_pandas() if state.exists else schema.empty_table().to_pandas(), None
         for rows in batches:
-            row = rows.sort_values(["ts", "seq"]).iloc[0]
-            until = rows["session_good_for"].max()
-            if first is None or (row["ts"], row["seq"]) < (first["ts"], first["seq"]):
-                first = row
-        if state.exists or first is None:
-            return
-        state.update((True,))
-        expiry = int(until.timestamp() * 1000) + 1
-        if expiry > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(expiry)
-        yield pd.DataFrame({"session_id": [key[0]], "ts": [first["ts"]], "seq": [first["seq"]]})
-
-    return valid.groupBy("session_id").applyInPandasWithState(
-        once, "session_id string, ts timestamp, seq long", "used boolean", "append", "EventTimeTimeout")
+            first = earliest(rows)
+            new = first if new is None else earliest(pd.concat([new, first]))
+        if new is not None:
+            new = new[~new["session_id"].isin(used["session_id"])]
+            used = pd.concat([used, new[["session_id", "until"]]])
+        expiry = used["until"] // 1000 + 1
+        used = used[expiry > state.getCurrentWatermarkMs()]
+        if len(used):
+            state.update((packed(pa.Table.from_pandas(used, schema=schema, preserve_index=False)),))
+            state.setTimeoutTimestamp(int(used["until"].min() // 1000 + 1))
+        elif state.exists:
+            state.remove()
+        if new is not None and len(new):
+            yield new[["session_id", "at", "seq"]]
+
+    first = given.groupBy("bucket").applyInPandasWithState(once, "session_id string, at long, seq long", "used binary", "append", "EventTimeTimeout")
+    return first.select("session_id", F.timestamp_micros("at").alias("ts"), F.nullif("seq", none).alias("seq"))
 
 
 def interval_stream(marks: DataFrame, keys: Sequence[str] = ("bmc_id", "phase"), bound_seconds: float = 3600.0,
