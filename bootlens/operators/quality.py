@@ -1,9 +1,9 @@
 """Q1-Q5: the catalog's insert-time checks as audits over whole tables.
 
 Each rule returns rows (rule, table, key, detail).  ``quality_report`` checks all
-rows of a table against all its rules (required, domain, references) in one
-scan, each row giving an array of what fails in it, and the values of all
-UNIQUE columns of all tables in one aggregation.
+rows of a table against the rules about its own values in one scan, each row
+giving an array of what fails in it, all its references in another, and the
+values of all UNIQUE columns of all tables in one aggregation.
 """
 
 from __future__ import annotations
@@ -65,20 +65,26 @@ def reset_atime_rule(requests: DataFrame, key: str = "request_id") -> DataFrame:
 
 def _failures(df: DataFrame, table: str, key: str, required: Sequence[str] = (), domains: Sequence[tuple[str, Sequence]] = (),
               parents: Sequence[tuple[str, DataFrame, str, str]] = ()) -> DataFrame:
-    """Q1, Q2 and Q4 of a table in one scan; ``parents`` are (foreign key, parent table, its key, its name).
+    """Q1, Q2 and Q4 of a table; ``parents`` are (foreign key, parent table, its key, its name).
 
-    A parent's distinct keys are joined once each, so a row stays one row."""
+    References that are given stand as rows of their own (parent, its key, key of the row) and meet the keys of all
+    parents in one anti join: rows without a reference, which may be nearly all, do not gather in one task."""
     text = lambda c: F.col(c).cast("string")
     fact = lambda rule, detail: F.struct(F.lit(rule).alias("rule"), detail.alias("detail"))
     facts = [F.when(F.col(c).isNull() | (text(c) == ""), fact("Q1 required", F.lit(f"{c} missing"))) for c in required]
     facts += [F.when(F.col(c).isNotNull() & ~text(c).isin(*allowed), fact("Q2 domain", F.concat(F.lit(f"{c}="), text(c)))) for c, allowed in domains]
-    rows = df
-    for i, (fk, parent, pk, name) in enumerate(parents):
-        known = parent.select(F.col(pk).alias(f"_pk{i}")).distinct()
-        rows = rows.join(known, F.col(fk) == F.col(f"_pk{i}"), "left")
-        facts.append(F.when(F.col(fk).isNotNull() & F.col(f"_pk{i}").isNull(), fact("Q4 reference", F.concat(F.lit(f"{fk}="), text(fk), F.lit(f" not in {name}")))))
-    found = rows.select(text(key).alias("key"), F.explode(F.array_compact(F.array(*facts))).alias("f"))
-    return found.select("f.rule", F.lit(table).alias("table"), "key", "f.detail")
+    found = df.select(text(key).alias("key"), F.explode(F.array_compact(F.array(*facts))).alias("f")).select("f.rule", F.lit(table).alias("table"), "key", "f.detail")
+    if not parents:
+        return found
+    ref = lambda i, v: F.struct(F.lit(i).alias("parent"), v.cast("string").alias("ref"))
+    given = [ref(i, F.col(fk).cast(parent.schema[pk].dataType)) for i, (fk, parent, pk, _) in enumerate(parents)]
+    refs = df.select(text(key).alias("key"), F.explode(F.array(*given)).alias("r")).select("key", "r.*").where("ref IS NOT NULL")
+    known = functools.reduce(DataFrame.unionByName, [parent.select(ref(i, F.col(pk)).alias("r")).select("r.*") for i, (_, parent, pk, _) in enumerate(parents)])
+    label = lambda words: F.element_at(F.array(*map(F.lit, words)), F.col("parent") + 1)
+    orphans = refs.join(known, ["parent", "ref"], "left_anti").select(
+        F.lit("Q4 reference").alias("rule"), F.lit(table).alias("table"), "key",
+        F.concat(label(f"{fk}=" for fk, *_ in parents), "ref", label(f" not in {name}" for *_, name in parents)).alias("detail"))
+    return found.unionByName(orphans)
 
 
 def _repeated(tables: Sequence[tuple[DataFrame, str, Sequence[str]]]) -> DataFrame:

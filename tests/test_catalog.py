@@ -307,3 +307,10 @@ def test_combinations_of_images_are_not_shuffled(spark, f):
     plan = cat.candidates(asked, k, i, r, nodes, conts)._jdf.queryExecution().sparkPlan().toString().split("\n")
     explodes = [n for n, line in enumerate(plan) if "Generate explode(_k" in line]
     assert explodes and not any("Exchange" in line or "Join" in line for line in plan[:explodes[0]])
+
+
+def test_rows_without_a_reference_are_not_joined(f):
+    """Most containers hold no node: their rows must not meet in one task of an outer join."""
+    nodes, conts, k, i, r = f
+    plan = qa.quality_report(nodes, conts, k, i, r)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan and plan.count("Join LeftAnti") == 1
