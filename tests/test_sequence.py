@@ -104,3 +104,10 @@ def test_random_inputs_match_windows(spark):
         assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
 
     check()
+
+
+def test_a_forward_scan_keeps_no_copy_of_its_order(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 6)], "k string, o long, v long")
+    out = ordered_scan(df, ["k"], ["o"], [Lag(["v"])])
+    assert "_pos" not in out._jdf.queryExecution().analyzed().toString()
+    assert [tuple(x) for x in out.orderBy("o").collect()] == [("a", 1, 5, None), ("a", 2, 6, 5)]
