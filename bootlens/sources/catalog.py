@@ -78,6 +78,23 @@ def dump_all(spark: SparkSession, out: str, names: Iterable[str] | None = None,
     return done
 
 
+def rows_changed(a: DataFrame, b: DataFrame, buckets: int = 1 << 16) -> DataFrame:
+    """``n_changed``: how many rows are in ``a`` and not in ``b`` or the other way round, repeats counted.
+
+    Rows are dealt to buckets by a hash, and each side's count and sums of two
+    64-bit hashes are compared per bucket; only rows of buckets that differ are
+    grouped and compared themselves, so equal tables are read but not shuffled."""
+    cols = a.columns
+    hashes = [F.xxhash64(F.lit(salt), *cols, *[F.isnull(c) for c in cols]) for salt in (1, 2)]
+    both = a.withColumn("_side", F.lit(1)).unionByName(b.withColumn("_side", F.lit(-1)))
+    bucket = F.pmod(F.xxhash64(F.lit(0), *cols), F.lit(buckets)).alias("_bucket")
+    halves = [F.sum(F.col("_side") * half) for h in hashes for half in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright(h, 32))]
+    totals = both.groupBy(bucket).agg(F.array(F.sum("_side"), *halves).alias("_t"))
+    odd = totals.where(F.exists("_t", lambda x: x != 0)).select("_bucket")
+    differ = both.select("*", bucket).join(F.broadcast(odd), "_bucket", "left_semi").groupBy(*cols).agg(F.sum("_side").alias("_n"))
+    return differ.agg(F.coalesce(F.sum(F.abs("_n")), F.lit(0)).alias("n_changed"))
+
+
 def as_bool(col: str) -> F.Column:
     """Booleans stored as 1/0 (or true/false text) read as boolean."""
     c = F.col(col).cast("string")
