@@ -54,7 +54,7 @@ class BytePairCoder:
 
     ``path`` names the file on every executor (it is installed with Python)."""
 
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cache: int = 150_000):
         from tokenizers import pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
@@ -161,8 +161,8 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
         c = coder(path)
         decimal = [str(i) for i in range(len(c.piece))]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 rows = []
                 for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     n, id_hash, decoded, kept = 0, hashlib.sha256(), [], []

@@ -107,3 +107,25 @@ def test_docker_json(spark):
     r = df.select(sf.tag_exists(sf.tag_names(df, "tags"), F.lit("7.1")).alias("a"),
                   sf.tag_exists(sf.tag_names(df, "tags"), F.lit("7")).alias("b")).first()
     assert r.a is True and r.b is False
+
+
+def test_rows_changed(spark):
+    """Rows of one side only, repeats counted; NULL and its place count, equal tables give 0."""
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (None, "2"), (3, "y")], "a long, b string")
+    b = spark.createDataFrame([(1, "x"), (2, None), (None, "2"), (3, "z")], "a long, b string")
+    for buckets in (1, 1 << 16):
+        n = [src_cat.rows_changed(x, y, buckets).first().n_changed for x, y in ((a, a), (a, b), (b, a), (a.limit(0), b))]
+        assert n == [0, 3, 3, 4]
+
+
+def test_files_of_a_type_are_written_by_many_tasks(spark, tmp_dir):
+    import glob
+
+    from bootlens.plans.registry import _write_by_type
+
+    ev = spark.range(1050).select(F.col("id").alias("event_id"), F.when(F.col("id") < 1001, "a").when(F.col("id") < 1040, "b").alias("event_type"))
+    _write_by_type(ev, f"{tmp_dir}/o", rows=100, files=2)
+    files = {t: glob.glob(f"{tmp_dir}/o/event_type={t}/part-*") for t in ("a", "b", "__HIVE_DEFAULT_PARTITION__")}
+    assert [len(f) for f in files.values()] == [11, 1, 1]
+    assert len({f.split("/part-")[1].split("-")[0] for f in files["a"]}) > 1
+    assert spark.read.parquet(f"{tmp_dir}/o").count() == 1050

@@ -165,3 +165,17 @@ def test_overlapping_runs_of_one_key(spark, tmp_dir):
     assert all((x.outcome, x.notice_seq) == (("ok", 5) if x.run_seq / 100 > 10 else ("timed out", None)) for x in got)
     plan = out._jdf.queryExecution().analyzed().toString()
     assert "Join" not in plan and "FlatMapGroupsInPandasWithState" in plan
+
+
+def test_keys_share_states(spark, tmp_dir, monkeypatch):
+    """A stream has no more states than buckets, however many keys, and each key its own answers."""
+    from bootlens.streaming import inorder
+
+    monkeypatch.setattr(inorder, "BUCKETS", 3)
+    n = 200
+    marks = spark.range(2 * n).select(F.concat(F.lit("k"), (F.col("id") % n).cast("string")).alias("bmc_id"), F.lit("p").alias("phase"), F.when(F.col("id") < n, "begin").otherwise("end").alias("kind"),
+                                      F.col("id").alias("seq"), (F.lit(T0).cast("timestamp") + F.make_dt_interval(secs=(F.col("id") / 10).cast("decimal(18,6)"))).alias("ts"))
+    marks = marks.unionByName(spark.createDataFrame([("zz", "p", "begin", -1, _at(90000))], "bmc_id string, phase string, kind string, seq long, ts timestamp"))
+    out = st.interval_stream(_stream(spark, marks, f"{tmp_dir}/m"))
+    assert "bucket" in out._jdf.queryExecution().analyzed().toString()
+    assert {(x.bmc_id, x.begin_seq, x.end_seq) for x in _run(out, tmp_dir) if x.bmc_id != "zz"} == {(f"k{i}", i, i + n) for i in range(n)}
