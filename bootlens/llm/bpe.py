@@ -5,18 +5,21 @@ pre-token is merged on its own: a heap of (merge rank, position) over a doubly
 linked list of symbols, where entries whose symbols have changed since are
 skipped when they surface.  Decoding concatenates the vocabulary strings.
 
-Units repeat, so each worker keeps a bounded cache of their ids.  Long texts
-are worked off in chunks that end at unit boundaries, whole to the end.
+Units repeat, so each worker keeps a bounded cache of their ids.  A word of
+common letters is a unit without the punctuation behind it, and a pre-token as
+it stands.  Long texts are worked off in chunks that end at unit boundaries,
+whole to the end.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -28,6 +31,12 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 BOUNDARY = re.compile(f"(?<=[^{WHITE}])(?= [^{WHITE}])")
 CHUNK = 1 << 20
+#: Ranges of Unicode that hold letters only (Latin, Cyrillic, kana, Han, Hangul).
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u052f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+#: A word of such letters that ends at white space or an ASCII character, or else a unit.  Pre-tokens with
+#: letters end where letters end, and none looks back, so the parts of a unit have the pre-tokens of the whole.
+WORD = re.compile(f" ?[{LETTERS}]++(?=[\\x00-@\\[-`{{-\\x7f{WHITE}]|\\Z)")
+PART = re.compile(f"{WORD.pattern}|{UNIT.pattern}")
 
 
 def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
@@ -49,83 +58,104 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class PackedIds(BoundedCache):
+    """Ids of units, kept as the bytes of 4-byte integers: small, and nothing that garbage collection follows."""
+
+    def __getitem__(self, unit: str) -> memoryview:
+        return memoryview(self.packed(unit)).cast("I")
+
+    def packed(self, unit: str) -> bytes:
+        return super().__getitem__(unit)
+
+
 class BytePairCoder:
     """Encoder and decoder of one byte-level BPE file of the tokenizers library.
 
     ``path`` names the file on every executor (it is installed with Python)."""
 
-    def __init__(self, path: str, cache: int = 150_000):
+    def __init__(self, path: str, cache: int = 600_000):
         from tokenizers import pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
-        self.id_of = vocab
-        self.merges = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
+        pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in spec["model"]["merges"]]
+        self.joined = [vocab[left + right] for left, right in pairs]  # by rank
+        ranks = {}
+        for rank, (left, right) in enumerate(pairs):
+            ranks.setdefault(vocab[left], {})[vocab[right]] = rank
+        none: dict[int, int] = {}
+        self.ranks = [ranks.get(i, none) for i in range(max(vocab.values()) + 1)]  # of a left symbol, by the right one
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         alphabet = byte_of_char()
+        self.id_of = {c: vocab[c] for c in alphabet if c in vocab}
+        self._shown = {b: c for c, b in alphabet.items()}
         self.piece = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for token, i in (vocab | self.special).items():
             self.piece[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
         self.split_special = re.compile("(" + "|".join(re.escape(s) for s in self.special) + ")") if self.special else None
         self._cut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-        self._words = BoundedCache(self.merge, cache)
-        self._units = BoundedCache(self._unit, cache)
+        self._units = PackedIds(self._unit, cache)
 
     def merge(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-token (in the byte-level alphabet)."""
-        ids = [self.id_of[c] for c in word if c in self.id_of]
-        n = len(ids)
-        if n < 2:
+        id_of, ranks, joined = self.id_of, self.ranks, self.joined
+        ids = [id_of[c] for c in word if c in id_of]
+        n, queue, i = len(ids), [], 0  # entries are rank * n + position
+        for left, right in zip(ids, ids[1:]):
+            rank = ranks[left].get(right)
+            if rank is not None:
+                queue.append(rank * n + i)
+            i += 1
+        if not queue:
             return tuple(ids)
+        heapify(queue)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        merges = self.merges
-        queue = []
-        for i in range(n - 1):
-            found = merges.get((ids[i], ids[i + 1]))
-            if found:
-                queue.append((found[0], i, found[1]))
-        heapq.heapify(queue)
         while queue:
-            _, i, joined = heapq.heappop(queue)
-            j = after[i]
-            if ids[i] < 0 or j < 0:
+            entry = heappop(queue)
+            i, rank = entry % n, entry // n
+            left, j = ids[i], after[i]
+            if left < 0 or j < 0:
                 continue  # stale: one of the two symbols is gone
-            now = merges.get((ids[i], ids[j]))
-            if now is None or now[1] != joined:
+            if ranks[left].get(ids[j]) != rank:
                 continue  # stale: the pair here is another one by now
-            ids[i], ids[j] = joined, -1
+            ids[i] = new = joined[rank]
+            ids[j] = -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                found = merges.get((joined, ids[k]))
-                if found:
-                    heapq.heappush(queue, (found[0], i, found[1]))
+                rank = ranks[new].get(ids[k])
+                if rank is not None:
+                    heappush(queue, rank * n + i)
             h = before[i]
             if h >= 0:
-                found = merges.get((ids[h], joined))
-                if found:
-                    heapq.heappush(queue, (found[0], h, found[1]))
-        return tuple(x for x in ids if x >= 0)
-
-    def _unit(self, unit: str) -> tuple[int, ...]:
-        words = self._cut(unit)
-        if len(words) == 1:
-            return self._words[words[0][0]]
-        return tuple(x for word, _ in words for x in self._words[word])
+                rank = ranks[ids[h]].get(new)
+                if rank is not None:
+                    heappush(queue, rank * n + h)
+        return tuple([x for x in ids if x >= 0])
+
+    def _unit(self, unit: str) -> bytes:
+        if WORD.fullmatch(unit):
+            ids = self.merge(unit.encode().decode("latin-1").translate(self._shown))
+        else:
+            ids = [x for word, _ in self._cut(unit) for x in self.merge(word)]
+        return array("I", ids).tobytes()
 
     def encode_parts(self, text: str) -> Iterator[list[int]]:
         """Ids of a text, chunk by chunk."""
-        units = self._units
+        known = self._units
         for segment in self.split_special.split(text) if any(s in text for s in self.special) else [text]:
             if segment in self.special:
                 yield [self.special[segment]]
             elif segment:
                 for chunk in chunks(segment):
-                    yield [x for unit in UNIT.findall(chunk) for x in units[unit]]
+                    units = PART.findall(chunk)
+                    distinct = set(units)
+                    here = dict(zip(distinct, map(known.get, distinct)))
+                    for u, ids in here.items():
+                        if ids is None:
+                            here[u] = known.packed(u)
+                    yield memoryview(b"".join(map(here.__getitem__, units))).cast("I").tolist()
 
     def encode(self, text: str) -> list[int]:
         return [x for part in self.encode_parts(text) for x in part]
