@@ -22,14 +22,16 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from bootlens.llm.bpe import CHUNK, UNIT, chunks
+from bootlens.llm.bpe import CHUNK, LETTERS, WHITE, chunks
 from bootlens.llm.common import hash_share, prefix_sums, staged, store
 from bootlens.session import scratch_dir
 
@@ -43,10 +45,79 @@ LEVEL = 3
 SPACE = "\u0120"
 #: Longer units are not kept in a worker's cache.
 LONGEST = 64
+#: Characters of text that are cut at once, and the kinds of characters that tell where.
+BLOCK = 4 << 20
+BLANK, GAP, LETTER, DIGIT, MARK = range(1, 6)
+
+
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """By code point: the space, other white space, a common letter, an ASCII digit, another ASCII character; 0 for all others."""
+    table = np.zeros(0x110000, dtype=np.uint8)
+    table[:0x80] = MARK
+    low = "".join(map(chr, range(0x10000)))
+    for kind, range_ in ((LETTER, LETTERS), (DIGIT, "0-9"), (GAP, WHITE), (BLANK, " ")):
+        for found in re.finditer(f"[{range_}]+", low):
+            table[found.start():found.end()] = kind
+    return table
+
+
+def _pairs() -> np.ndarray:
+    """By 8 * kind + kind of the next character: whether a unit begins between them (inside white space: see ``cut_units``)."""
+    table, white, other = np.zeros(64, dtype=bool), (BLANK, GAP), (0, LETTER, DIGIT, MARK)
+    pairs = [(a, b) for a in other for b in white] + [(GAP, b) for b in other]
+    pairs += [(LETTER, DIGIT), (LETTER, MARK), (DIGIT, LETTER), (DIGIT, MARK)]
+    table[[8 * a + b for a, b in pairs]] = True
+    return table
+
+
+PAIRS = _pairs()
+
+
+def cut_units(parts: list[str], whole: Sequence[str] = ()) -> tuple[pa.StringArray, np.ndarray]:
+    """Units of texts, one after another, and the number of units before each text and after the last.
+
+    Units end at white space; of a run of it before a word the last character
+    is apart, and goes with the word if it is a space.  Runs of common letters
+    and of ASCII digits also end where another known kind begins: pre-tokens
+    end there too and none looks back, so the units have the pre-tokens of the
+    whole.  A text that is in ``whole`` is one unit."""
+    text = "".join(parts)
+    kind = kinds()[np.frombuffer(text.encode("utf-32-le"), dtype="<u4")]
+    edges = np.append(0, np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))))
+    edge = np.zeros(len(kind) + 1, dtype=bool)
+    edge[edges] = True
+    begins = edge.copy()
+    begins[1:-1] |= PAIRS[8 * kind[:-1] + kind[1:]]
+    white = (kind == BLANK) | (kind == GAP)
+    last = np.nonzero(white[:-2] & white[1:-1] & ~white[2:])[0] + 1
+    begins[last[~edge[last + 1]]] = True
+    for k in (k for k, part in enumerate(parts) if part in whole):
+        begins[edges[k] + 1:edges[k + 1]] = False
+    at = np.nonzero(begins[:-1])[0]
+    before = np.searchsorted(at, edges)
+    data = text.encode()
+    if len(data) > len(text):
+        at = np.nonzero((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80)[0][at]
+    offsets = np.append(at, len(data)).astype("<i4")
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)), before
+
+
+def blocks(parts: list[str], size: int = BLOCK) -> Iterator[list[str]]:
+    """Runs of parts of about ``size`` characters together, a part at least."""
+    block, held = [], 0
+    for part in parts:
+        if block and held + len(part) > size:
+            yield block
+            block, held = [], 0
+        block.append(part)
+        held += len(part)
+    if block:
+        yield block
 
 
 class LibraryEncoder:
-    """The tokenizers library over white-space units, whose ids do not depend on their neighbours.
+    """The tokenizers library over units of texts (``cut_units``), whose ids do not depend on their neighbours.
 
     Units repeat, so each distinct one in a bounded cache goes through the
     library once.  The cache has two generations: when the young one is full it
@@ -107,24 +178,42 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, serialized as unsigned 32-bit integers."""
-        cut = [self.units(t) for t in texts]
-        known = self.young.get
-        here = {u: known(u) for u in set().union(*cut)}  # small enough to stay in the processor's cache
-        missing = [u for u, ids in here.items() if ids is None]
+        parts = [list(self.parts(t)) for t in texts]
+        made = (ids for block in blocks([p for own in parts for p in own]) for ids in self._block(block))
+        return [b"".join(islice(made, len(own))) for own in parts]
+
+    def _block(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part: those of the distinct units, taken in the units' order."""
+        units, before = cut_units(parts, self.special)
+        coded = units.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.young.get, distinct))
+        missing = [u for u, ids in zip(distinct, found) if ids is None]
         if missing:
             again = {u: ids for u, ids in zip(missing, map(self.old.get, missing)) if ids is not None}
-            here.update(again)
-            here.update(self.learn([u for u in missing if u not in again]))
+            new = self.learn([u for u in missing if u not in again]) | again
             self._keep(again.items())
-        return [b"".join(map(here.__getitem__, units)) for units in cut]
+            found = [new[u] if ids is None else ids for u, ids in zip(distinct, found)]
+        taken = pa.array(found, pa.large_binary()).take(coded.indices)
+        data = memoryview(taken.buffers()[2] or b"")
+        at = np.append(0, np.cumsum(pc.binary_length(taken).to_numpy()))[before].tolist()
+        return [bytes(data[a:b]) for a, b in zip(at, at[1:])]
 
-    def units(self, text: str) -> list[str]:
-        """Units of a text; a special token is one, and white space before it is not split as before a word."""
-        if any(s in text for s in self.special):
-            return [u for k, part in enumerate(self.split_special(text)) if part for u in ([part] if k % 2 else self.units(part))]
-        if len(text) > CHUNK:
-            return [u for chunk in chunks(text) for u in UNIT.findall(chunk)]
-        return UNIT.findall(text)
+    def parts(self, text: str) -> Iterator[str]:
+        """A text in parts whose ids do not depend on each other: special tokens, what lies between, chunks of long ones."""
+        for segment in self.split_special(text) if any(s in text for s in self.special) else (text,):
+            yield from chunks(segment) if len(segment) > CHUNK else (segment,)
+
+
+def slices(batch: pa.RecordBatch, rows: int = 2048, size: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``rows`` rows and, but for longer single ones, ``size`` bytes of the second column."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        after = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, after - at)
+        at = after
 
 
 @lru_cache(maxsize=2)
@@ -205,8 +294,7 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 2, doc_id
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, end = _compressor(shared.value), struct.pack("<I", end_id)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for part in slices(batch):
                 ids = [x + end for x in encoder(path).encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(tool.compress, ids), pa.binary())],
                                                  names=["doc_id", "hash", "n_tokens", "frame"])

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyarrow import fs
@@ -83,3 +84,50 @@ def test_frequent_units_stay_in_the_cache():
     for k in range(30):
         own.encode([" ".join(["the", "frequent", "words", *(f"rare{k}x{j}" for j in range(40))])])
     assert {" frequent", " words"} <= set(own.young) | set(own.old) and len(own.young) + len(own.old) <= 2 * 200
+
+
+def test_units_end_where_common_pretokens_end():
+    texts = ["Rare words. rare,", "", " \n two  4you it's", "naïve! 中文1 \xa0x", "<|endoftext|>", "\t"]
+    units, before = ts.cut_units(texts, ["<|endoftext|>"])
+    got = [units.to_pylist()[a:b] for a, b in zip(before, before[1:])]
+    assert got == [["Rare", " words", ".", " rare", ","], [], [" \n", " two", " ", " 4", "you", " it", "'s"],
+                   ["naïve", "!", " 中文", "1", " ", "\xa0", "x"], ["<|endoftext|>"], ["\t"]]
+    assert ts.cut_units([])[0].to_pylist() == ts.cut_units(["", ""])[0].to_pylist() == []
+
+
+def test_the_library_meets_a_word_once_whatever_stands_behind_it():
+    own, asked = ts.LibraryEncoder(PATH), []
+    own.learn = lambda units, f=own.learn: asked.extend(units) or f(units)
+    texts = [" word" + end for end in (".", ",", "!", ";", "?", ")", ":", "1", "22", "'s", " word", "\nword")]
+    got = own.encode(texts)
+    assert asked.count(" word") == 1 and len(asked) == len(set(asked)) and not {" word.", " word,", " word1"} & set(asked)
+    library = Tokenizer.from_file(PATH)
+    assert [np.frombuffer(ids, dtype="<u4").tolist() for ids in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_texts_are_cut_in_blocks():
+    library, own = Tokenizer.from_file(PATH), ts.LibraryEncoder(PATH)
+    texts = ["", prose(1, 260_000), "short", "", prose(2, 50) + "<|endoftext|> x", prose(3, 260_000) + " "]
+    assert max(map(len, texts)) > ts.CHUNK
+    assert [b"".join(p) for p in ([x.encode() for x in own.parts(t)] for t in texts)] == [t.encode() for t in texts]
+    assert [len(x) for x in ts.blocks(["a" * 3, "b" * 3, "c" * 9, "d"], 6)] == [2, 1, 1]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_batches_are_sliced_by_bytes():
+    texts = ["x" * n for n in (5, 5, 30, 1, 1, 1, 1, 0, 9, 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(texts)], names=["doc_id", "text"])
+    got = [s.column(1).to_pylist() for s in ts.slices(batch, rows=4, size=10)]
+    assert [t for s in got for t in s] == texts and [len(s) for s in got] == [2, 1, 4, 2, 1]
+    assert list(ts.slices(batch.slice(0, 0))) == []
+
+
+def test_odd_characters_as_the_library():
+    library, own, rng = Tokenizer.from_file(PATH), ts.LibraryEncoder(PATH, limit=300), random.Random(7)
+    atoms = [" ", "  ", "\n", "\x85", "\xa0", "\x1c", "\u2003", "\u3000", "'", "'s", "'LL", "s", ",", ".", "_", "[", "`", "{", "\x7f", "’", "\u0301", "\xad", "\u200d",
+             "1", "23", "²", "٣", "ª", "º", "×", "÷", "a", "é", "ß", "Ω", "ǅ", "ʰ", "я", "中", "か", "한", "\U0001F600", "the", " The", "<|endoftext|>", "<|"]
+    for _ in range(200):
+        texts = ["".join(rng.choice(atoms) for _ in range(rng.randint(0, 12))) for _ in range(20)]
+        for text, ids in zip(texts, own.encode(texts), strict=True):
+            assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
