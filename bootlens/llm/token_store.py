@@ -62,33 +62,35 @@ def kinds() -> np.ndarray:
     return table
 
 
-def _pairs() -> np.ndarray:
-    """By 8 * kind + kind of the next character: whether a unit begins between them (inside white space: see ``cut_units``)."""
-    table, white, other = np.zeros(64, dtype=bool), (BLANK, GAP), (0, LETTER, DIGIT, MARK)
-    pairs = [(a, b) for a in other for b in white] + [(GAP, b) for b in other]
-    pairs += [(LETTER, DIGIT), (LETTER, MARK), (DIGIT, LETTER), (DIGIT, MARK)]
+def _pairs(pairs: list[tuple[int, int]]) -> np.ndarray:
+    """By 8 * kind + kind of the next character: whether a unit begins between them."""
+    table = np.zeros(64, dtype=bool)
     table[[8 * a + b for a, b in pairs]] = True
     return table
 
 
-PAIRS = _pairs()
+_OTHER = (0, LETTER, DIGIT, MARK)
+#: Where white space begins or a word behind it (inside white space: see ``cut_units``).
+PAIRS = _pairs([(a, b) for a in _OTHER for b in (BLANK, GAP)] + [(GAP, b) for b in _OTHER])
+#: Also where letters or digits end, for the byte-level pattern of the library.
+FINE_PAIRS = PAIRS | _pairs([(LETTER, DIGIT), (LETTER, MARK), (DIGIT, LETTER), (DIGIT, MARK)])
 
 
-def cut_units(parts: list[str], whole: Sequence[str] = ()) -> tuple[pa.StringArray, np.ndarray]:
+def cut_units(parts: list[str], whole: Sequence[str] = (), pairs: np.ndarray = FINE_PAIRS) -> tuple[pa.StringArray, np.ndarray]:
     """Units of texts, one after another, and the number of units before each text and after the last.
 
     Units end at white space; of a run of it before a word the last character
-    is apart, and goes with the word if it is a space.  Runs of common letters
-    and of ASCII digits also end where another known kind begins: pre-tokens
-    end there too and none looks back, so the units have the pre-tokens of the
-    whole.  A text that is in ``whole`` is one unit."""
+    is apart, and goes with the word if it is a space.  With ``FINE_PAIRS`` runs
+    of common letters and of ASCII digits also end where another known kind
+    begins: byte-level pre-tokens end there too and none looks back, so the units
+    have the pre-tokens of the whole.  A text that is in ``whole`` is one unit."""
     text = "".join(parts)
     kind = kinds()[np.frombuffer(text.encode("utf-32-le"), dtype="<u4")]
     edges = np.append(0, np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))))
     edge = np.zeros(len(kind) + 1, dtype=bool)
     edge[edges] = True
     begins = edge.copy()
-    begins[1:-1] |= PAIRS[8 * kind[:-1] + kind[1:]]
+    begins[1:-1] |= pairs[8 * kind[:-1] + kind[1:]]
     white = (kind == BLANK) | (kind == GAP)
     last = np.nonzero(white[:-2] & white[1:-1] & ~white[2:])[0] + 1
     begins[last[~edge[last + 1]]] = True
@@ -127,7 +129,7 @@ class LibraryEncoder:
     at once and told apart by the tokens that begin with a space."""
 
     def __init__(self, path: str, limit: int = 1_200_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -139,6 +141,8 @@ class LibraryEncoder:
         self.begins[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
+        words = self.tokenizer.pre_tokenizer
+        self.pairs = FINE_PAIRS if isinstance(words, pre_tokenizers.ByteLevel) and words.use_regex else PAIRS
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.limit = limit
@@ -184,7 +188,7 @@ class LibraryEncoder:
 
     def _block(self, parts: list[str]) -> list[bytes]:
         """Ids of each part: those of the distinct units, taken in the units' order."""
-        units, before = cut_units(parts, self.special)
+        units, before = cut_units(parts, self.special, self.pairs)
         coded = units.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.young.get, distinct))

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -131,3 +132,19 @@ def test_odd_characters_as_the_library():
         texts = ["".join(rng.choice(atoms) for _ in range(rng.randint(0, 12))) for _ in range(20)]
         for text, ids in zip(texts, own.encode(texts), strict=True):
             assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_other_pretokens_are_cut_at_white_space_only(tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    words = {"type": "Split", "pattern": {"Regex": r" ?\S+|\s+(?!\S)|\s+"}, "behavior": "Isolated", "invert": False}
+    spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [words, spec["pre_tokenizer"] | {"use_regex": False}]}
+    spec["model"]["vocab"]["a."] = 50257  # a merge over the end of letters
+    merges = spec["model"]["merges"]
+    merges.append(["a", "."] if isinstance(merges[0], list) else "a .")
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    library, own = Tokenizer.from_file(f"{tmp_path}/other.json"), ts.LibraryEncoder(f"{tmp_path}/other.json")
+    texts = ["it's (a)st.. end", "U.S. 4you 2.5.\n\n  x's", "don't.", "<|endoftext|>a.b a."]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(ids, dtype="<u4").tolist() for ids in own.encode(texts)] == want
+    assert any(50257 in ids for ids in want)
