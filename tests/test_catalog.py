@@ -309,6 +309,15 @@ def test_combinations_of_images_are_not_shuffled(spark, f):
     assert explodes and not any("Exchange" in line or "Join" in line for line in plan[:explodes[0]])
 
 
+def test_one_array_is_exploded_behind_the_join(spark):
+    """A task holds what one row becomes in explodes that follow each other: behind the join that is one array of
+    kernels, and the other two arrays are exploded below it and short."""
+    asked, k, i, r = _images(spark)
+    plan = cat.with_image_ids(asked, k, i, r, 3)._jdf.queryExecution().sparkPlan().toString().split("\n")
+    join = next(n for n, line in enumerate(plan) if "SortMergeJoin" in line and "_chunk" in line)
+    assert ["explode(_k" in line for line in plan[:join] if "Generate" in line] == [True]
+    assert cat.FEW ** 2 <= cat.BLOCK
+
 def test_rows_without_a_reference_are_not_joined(f):
     """Most containers hold no node: their rows must not meet in one task of an outer join."""
     nodes, conts, k, i, r = f
