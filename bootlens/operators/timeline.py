@@ -83,10 +83,14 @@ def segment_runs_and_carry(m: DataFrame, keys: Sequence[str] = ("host", "pid"),
     ``run_epoch_ns``/``run_seq`` as in ``segment_runs``; ``_carry_bmc_id`` is
     the id of the nearest line at or before this one that names an id or
     starts a run (a start line names none, so the carry stops at run
-    starts and stays inside the run)."""
+    starts and stays inside the run).  ``_run_note_id``, ``_run_parent_pid``,
+    ``_run_id_min`` and ``_run_id_max`` are what ``attach_pid`` and
+    ``fill_bmc_id`` need to know of the whole run, so that they join nothing."""
     start = F.col("is_start")
+    note = F.col("_note") if "_note" in m.columns else note_fields(F.col("message"))
     return ordered_scan(m, list(keys), list(ORDER),
-                        [Fill(list(ORDER), start, prefix="run_"),
+                        [Fill(list(ORDER), start, prefix="run_", least={"_run_id_min": F.col("bmc_id")},
+                              greatest={"_run_id_max": F.col("bmc_id"), "_run_note_id": note["id"], "_run_parent_pid": note["parent"]}),
                          Fill(["bmc_id"], F.col("bmc_id").isNotNull() | start, prefix="_carry_")],
                         partitions=partitions)
 
@@ -100,18 +104,21 @@ def fill_bmc_id(m: DataFrame, keys: Sequence[str] = ("host", "run_epoch_ns", "ru
     names several (``kill``/``rm`` of many ids) gives each mark the last id
     named at or before it.  Marks that name an id keep it.  When ``m``
     already holds ``_carry_bmc_id`` (``segment_runs_and_carry``) no second
-    scan is run.
+    scan is run, and the ids of a run are ``_run_id_min`` and ``_run_id_max``.
+    (Those are of the marks' own ids: in a run with a note ``attach_pid`` gave
+    every mark an id, so they are not asked there.)
     """
     keys = list(keys)
-    stats = (m.groupBy(*keys)
-             .agg(F.min("bmc_id").alias("_id_min"), F.max("bmc_id").alias("_id_max")))
     carried = m if "_carry_bmc_id" in m.columns else ordered_scan(
         m, keys, list(ORDER), [Fill(["bmc_id"], F.col("bmc_id").isNotNull(), prefix="_carry_")], partitions=partitions)
-    joined = _null_safe_join(carried, stats, keys)
-    single = F.col("_id_min") == F.col("_id_max")
-    return (joined
-            .withColumn("bmc_id", F.coalesce(F.col("bmc_id"), F.when(single, F.col("_id_min")), F.col("_carry_bmc_id")))
-            .drop("_id_min", "_id_max", "_carry_bmc_id"))
+    if "_run_id_min" not in m.columns:
+        stats = (m.groupBy(*keys)
+                 .agg(F.min("bmc_id").alias("_run_id_min"), F.max("bmc_id").alias("_run_id_max")))
+        carried = _null_safe_join(carried, stats, keys)
+    single = F.col("_run_id_min") == F.col("_run_id_max")
+    return (carried
+            .withColumn("bmc_id", F.coalesce(F.col("bmc_id"), F.when(single, F.col("_run_id_min")), F.col("_carry_bmc_id")))
+            .drop("_run_id_min", "_run_id_max", "_carry_bmc_id"))
 
 
 def pair_marks(m: DataFrame, keys: Sequence[str] = ("bmc_id",), phase: str = "phase", kind: str = "kind",
@@ -122,11 +129,12 @@ def pair_marks(m: DataFrame, keys: Sequence[str] = ("bmc_id",), phase: str = "ph
     closed by the very next mark when that mark is an end.  Begins followed by
     another begin, or by nothing (a failed process writes no end), are kept
     as open intervals with NULL end.  Ends without a begin are dropped.
-    ``carry`` columns are taken from the begin mark.
+    ``carry`` columns are taken from the begin mark, so only begins bring them.
     """
     keys, order = list(keys), list(order)
+    needed = list(dict.fromkeys([*keys, phase, kind, *order]))
     be = (m.where(F.col(kind).isin("begin", "end") & F.col(phase).isNotNull())
-          .select(*dict.fromkeys([*keys, phase, kind, *order, *carry])))
+          .select(*needed, *[F.when(F.col(kind) == "begin", F.col(c)).alias(c) for c in dict.fromkeys(carry) if c not in needed]))
     nxt = ordered_scan(be, [*keys, phase], order, [Lag([kind, *order], prefix="_next_")], descending=True,
                        partitions=partitions)
     closed = F.col(f"_next_{kind}") == F.lit("end")
@@ -193,7 +201,11 @@ def attach_pid(m: DataFrame, keys: Sequence[str] = ("host", "run_epoch_ns", "run
     logs ``exec_pull: bmcid=ID parent=PID``; every mark of that child's run
     gets the container id, and ``parent_pid`` names the process that started
     it.  Notes (of the messages, or ``_note`` where they are read already) are
-    reduced per (keys, pid) and joined back; marks keep an id they already have."""
+    reduced per (keys, pid) and joined back, unless the scan has brought them
+    (``segment_runs_and_carry``); marks keep an id they already have."""
+    if "_run_note_id" in m.columns:
+        return (m.drop("_note").withColumn("bmc_id", F.coalesce("bmc_id", "_run_note_id")).drop("_run_note_id")
+                .withColumnRenamed("_run_parent_pid", "parent_pid"))
     keys = list(keys)
     notes = m.select(*keys, "pid", F.col("_note") if "_note" in m.columns else note_fields(F.col("message")).alias("_note"))
     noted = (notes.where(F.col("_note").isNotNull())
@@ -215,7 +227,7 @@ def intervals_from_timeline(timeline: DataFrame, partitions: int | None = None)
     # one pairing scan: by container id, or by process run when there is none
     proc = F.concat_ws("/", F.lit("proc"), F.col("host"), F.col("run_epoch_ns").cast("string"),
                        F.col("run_seq").cast("string"), F.col("pid").cast("string"))
-    m = m.withColumn("_pair_key", F.when(F.col("bmc_id").isNotNull(), F.concat(F.lit("id/"), F.col("bmc_id")))
-                     .otherwise(proc))
-    iv = pair_marks(m, ["_pair_key"], carry=["bmc_id", "host", "run_epoch_ns", "run_seq", "pid"], partitions=partitions)
-    return iv.drop("_pair_key")
+    m = m.withColumn("_proc", F.when(F.col("bmc_id").isNull(), proc))
+    own = ["host", "run_epoch_ns", "run_seq", "pid"]
+    iv = pair_marks(m, ["bmc_id", "_proc"], carry=own, partitions=partitions)
+    return iv.select("phase", "bmc_id", *own, *[c for c in iv.columns if c not in ("phase", "bmc_id", "_proc", *own)])

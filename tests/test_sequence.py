@@ -111,3 +111,40 @@ def test_a_forward_scan_keeps_no_copy_of_its_order(spark):
     out = ordered_scan(df, ["k"], ["o"], [Lag(["v"])])
     assert "_pos" not in out._jdf.queryExecution().analyzed().toString()
     assert [tuple(x) for x in out.orderBy("o").collect()] == [("a", 1, 5, None), ("a", 2, 6, 5)]
+
+
+@pytest.mark.parametrize("parts,desc", [(1, False), (9, False), (97, False), (9, True)])
+def test_totals_of_whole_runs(spark, parts, desc):
+    """Minimum and maximum over all rows of a run, those behind a row too; runs span many ranges, are cut by their
+    edges, hold no value, come before any start, and keys are NULL."""
+    rnd = random.Random(11)
+    rows = [(rnd.choice([1, 1, 1, 1, 2, 3, None]), rnd.randint(0, 60), i, rnd.choice([None, None, None, *"abcd"]), rnd.random() < 0.02) for i in range(1500)]
+    df = spark.createDataFrame(rows, "k int, t int, seq long, v string, flag boolean")
+    got = ordered_scan(df, ["k"], ["t", "seq"], [Fill(["t", "seq"], F.col("flag"), "run_", least={"lo": F.col("v")}, greatest={"hi": F.upper("v"), "top": F.col("seq")})],
+                       descending=desc, partitions=parts)
+    w = W.partitionBy("k").orderBy(*[F.col(c).desc() if desc else F.col(c) for c in ("t", "seq")]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = W.partitionBy("k", "run_t", "run_seq")
+    exp = (df.withColumn("s", F.last(F.when(F.col("flag"), F.struct("t", "seq")), ignorenulls=True).over(w)).select(*df.columns, F.col("s.t").alias("run_t"), F.col("s.seq").alias("run_seq"))
+           .select("*", F.min("v").over(run).alias("lo"), F.max(F.upper("v")).over(run).alias("hi"), F.max("seq").over(run).alias("top")))
+    assert sorted(map(repr, got.select(*exp.columns).collect())) == sorted(map(repr, exp.collect()))
+
+
+def test_rows_are_not_shuffled_to_meet_the_edges_of_ranges(spark):
+    """The edges are small however many rows there are, and are planned as such."""
+    df = spark.range(60_000).select((F.col("id") % 7).alias("k"), (F.hash("id") % 1000).alias("t"), F.col("id").alias("seq"), F.xxhash64("id").alias("v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        out = ordered_scan(df, ["k"], ["t", "seq"], [Lag(["v"]), Fill(["v"], F.col("v") > 0, greatest={"most": F.col("v")})], descending=True)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_reverse_scan_writes_no_copy_of_its_order(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 6)], "k string, o long, v long")
+    out = ordered_scan(df, ["k"], ["o"], [Lag(["v"])], descending=True)
+    assert "_pos" not in out._jdf.queryExecution().analyzed().toString()
+    assert [tuple(x) for x in out.orderBy("o").collect()] == [("a", 1, 5, 6), ("a", 2, 6, None)]

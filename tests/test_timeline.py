@@ -177,3 +177,30 @@ def test_marks_of_odd_messages(spark):
     odd = ["", "x", ":begin", "a:begin", "a:b:begin", "p a:end r", "a:begin_x", "a:beginx", "\u0001a:begin", "a\u0001b", "a:end ", "p q a:begin", None]
     got = spark.createDataFrame([(m,) for m in odd], "m string").select(mk.mark_parts(F.col("m"))).collect()
     assert [r[0] is not None for r in got] == [False, False, False, True, False, True, True, False, True, False, True, False, False]
+
+
+def test_runs_bring_what_their_marks_need(spark, timeline):
+    """Notes and ids of a run come with the scan that finds the runs: no mark is joined to its run again, and results are
+    those of the joins."""
+    m = tl.marks(timeline)
+    got = tl.fill_bmc_id(tl.attach_pid(tl.segment_runs_and_carry(m, partitions=5)))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan
+    joined = tl.fill_bmc_id(tl.attach_pid(tl.segment_runs(m)))
+    cols = ["seq", "host", "pid", "run_epoch_ns", "run_seq", "bmc_id", "parent_pid"]
+    assert sorted(map(repr, got.select(cols).collect())) == sorted(map(repr, joined.select(cols).collect()))
+
+
+def test_only_begins_bring_what_intervals_carry(spark, timeline):
+    import glob
+
+    from bootlens.session import ensure_checkpoint_dir
+
+    at = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{at}/ordered-scan-*"))
+    iv = tl.intervals_from_timeline(timeline)
+    assert iv.columns[:6] == ["phase", "bmc_id", "host", "run_epoch_ns", "run_seq", "pid"]
+    written = [spark.read.parquet(p) for p in set(glob.glob(f"{at}/ordered-scan-*")) - before]
+    pairing = next(x for x in written if "_proc" in x.columns)
+    assert pairing.where("kind = 'end' AND pid IS NOT NULL").count() == 0 and pairing.where("kind = 'begin' AND pid IS NULL").count() == 0
+    assert pairing.where("bmc_id IS NOT NULL AND _proc IS NOT NULL").count() == 0
